@@ -73,6 +73,14 @@ def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
+def runs(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(ids):
+        return []
+    edge = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+    return list(zip(edge, edge[1:], strict=False))
+
+
 def anchors(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blobs of rolling-window hashes of ``size`` words and of the aligned blocks among them."""
     seen: set[bytes] = set()
@@ -135,8 +143,7 @@ def hit_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     for p, v in zip(parts, values, strict=True):
         keep = np.isin(v, shared, assume_unique=True)[p[0]]
         ids, blocks = p[1][keep], p[2][keep]
-        edge = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-        for a, b in zip(edge, [*edge[1:], len(ids)], strict=True):
+        for a, b in runs(ids):
             out["doc_id"].append(int(ids[a]))
             out["blocks"].append(blocks[a:b].astype(np.int32).tobytes())
     return pd.DataFrame(out)
@@ -198,8 +205,8 @@ def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = np.concatenate([start[late], *(p[5] for p in parts)])
     order = np.lexsort((starts, ids))
     ids, starts = ids[order], starts[order]
-    edge = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-    return pd.DataFrame({"doc_id": ids[edge], "starts": [starts[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(ids)], strict=True)]})
+    spans = runs(ids)
+    return pd.DataFrame({"doc_id": ids[np.array([a for a, _ in spans], np.int64)], "starts": [starts[a:b].tobytes() for a, b in spans]})
 
 
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
