@@ -9,10 +9,11 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,87 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+class Words(NamedTuple):
+    """The words of several texts: a hash of each, its bytes in ``data``, and by text the index of
+    its first word (with the end of the last)."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hashes[self.first[k] : self.first[k + 1]]
+
+    def text(self, k: int) -> bytes:
+        return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_VALUES = _BYTE_VALUES.copy()
+_LOWER_VALUES[0x41:0x5B] = _BYTE_VALUES[0x61:0x7B]
+_CHUNK = 1 << 18
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of MULTIPLIER and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for base in (int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64)):
+            out = np.full(max(n, 2 * _CHUNK), base, np.uint64)
+            out[0] = 1
+            _POWERS.append(np.multiply.accumulate(out))
+    return _POWERS[0], _POWERS[1]
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """Words of the texts ``data[offsets[k]:offsets[k + 1]]``; with ``lower``, A-Z hash as a-z.
+
+    A word's hash is a polynomial over its bytes, got from running sums over a stretch of text.
+    """
+    space = _SPACE[data]
+    inside = np.flatnonzero(np.diff(offsets) > 0)
+    before = np.concatenate([[True], space[:-1]])[: len(data)]
+    before[offsets[inside]] = True
+    after = np.concatenate([space[1:], [True]])[: len(data)]
+    after[offsets[inside + 1] - 1] = True
+    starts = np.flatnonzero(~space & before)
+    ends = np.flatnonzero(~space & after) + 1
+    hashes = np.empty(len(starts), np.uint64)
+    values = _LOWER_VALUES if lower else _BYTE_VALUES
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
+        lo, hi = starts[i], ends[j - 1]
+        power, inverse = _powers(hi - lo)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.multiply(values[data[lo:hi]], power[: hi - lo], out=sums[1:])
+        np.cumsum(sums, out=sums)
+        hashes[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * inverse[starts[i:j] - lo]
+        i = j
+    return Words(mix(hashes), starts, ends, np.searchsorted(starts, offsets), data, offsets)
+
+
+def word_table(batch: pa.RecordBatch, name: str = "text", lower: bool = False) -> Words:
+    data, offsets = text_buffer(batch, name)
+    return words_in(data, offsets, lower)
+
+
+def text_buffer(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's texts one after the other, and where each begins (null: empty)."""
+    col = batch.column(batch.schema.get_field_index(name))
+    if col.null_count:
+        col = col.fill_null("")
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    _, places, data = col.buffers()
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -96,13 +176,13 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, so that memory is bounded."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(name))
-        sizes = np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(float))
+        sizes = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float))
         slots = (np.cumsum(sizes) // limit).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -131,14 +211,14 @@ def kept_by(bits: bytes, name: str = "doc_id") -> Callable:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(name))
             mask = np.zeros(batch.num_rows, bool)
-            there = np.asarray(ids.is_valid())
+            there = ids.is_valid().to_numpy(zero_copy_only=False)
             mask[there] = in_bitmap(bits, ids.drop_null().to_pylist())
             yield batch.filter(pa.array(mask))
 
     return run
 
 
-def digest(words: list[bytes]) -> bytes:
-    """128 bits of the word sequence."""
-    return hashlib.blake2b(b"\x20".join(words), digest_size=16).digest()
+def digest(hashes: np.ndarray) -> bytes:
+    """128 bits of a sequence of word hashes."""
+    return hashlib.blake2b(np.ascontiguousarray(hashes), digest_size=16).digest()
 

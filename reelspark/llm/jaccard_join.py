@@ -17,14 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from reelspark.llm import copies
-from reelspark.llm.common import column, cut, digest, id_bitmap, in_bitmap, partitions, table, text_bytes, window_hashes, word_hashes, words_of
+from reelspark.llm.common import Words, column, cut, digest, id_bitmap, kept_by, partitions, small_batches, table, window_hashes, word_table
 from reelspark.llm.components import connected_components
+from reelspark.llm.substring_dedup import pack, pack_sorted, unpack, unpack_sorted
 
 #: Shingle size in words, and the similarity as a percentage.
 SHINGLE_WORDS = 5
@@ -37,73 +38,163 @@ HOT = 50_000
 #: Pivot rounds at most, and pairs for each posting up to which the rest is compared pair by pair.
 PIVOT_ROUNDS = 4
 PAIRS_PER_POSTING = 4
+#: Postings that meet in one bucket.
+BUCKET_POSTINGS = 1_000_000
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; A-Z lower-cased."""
-    words = words_of(text.lower() if text else text)
-    if not words:
+def grams_of(words: Words, k: int, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of text ``k``."""
+    own = words.of(k)
+    if not len(own):
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(size, len(words))))
+    grams = np.sort(window_hashes(own, min(size, len(own))))
+    new = np.ones(len(grams), bool)
+    np.not_equal(grams[1:], grams[:-1], out=new[1:])
+    return grams[new]
 
 
-def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, text) of the first of the task's copies of each word sequence."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        for doc, text in zip(column(batch, "doc_id"), text_bytes(batch), strict=True):
-            key = digest(words_of(text.lower() if text else text))
-            if key not in seen:
-                seen.add(key)
-                yield doc, text
+class Sketch:
+    """Counts of documents by n-gram hash modulo SKETCH, in blocks for the sum over the tasks."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros(SKETCH, np.int64)
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.held.append(slots(grams))
+        self.n += len(grams)
+        if self.n > SKETCH:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=SKETCH)
+        self.held, self.n = [], 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        blocks = SKETCH // BLOCK
+        payload = [self.counts[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32 if self.counts.max() < 1 << 32 else np.uint64).tobytes() for b in range(blocks)]
+        none = pa.nulls(blocks, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(range(blocks), pa.int64()), pa.nulls(blocks, pa.binary()), none, none, pa.array(payload, pa.binary()), pa.nulls(blocks, pa.string())], schema=copies.SCHEMA)
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(8)).astype(np.int64) & (SKETCH - 1)
+
+
+def document_facts(size: int):
+    """Facts of each document and, with null doc_id, the task's sketch of n-gram counts."""
+
+    def run(batches):
+        counts = Sketch()
+
+        def extra(words, k):
+            grams = grams_of(words, k, size)
+            if not len(grams):
+                return 0, None
+            counts.add(grams)
+            places = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
+            return len(grams), np.minimum(places, 255).astype(np.uint8).tobytes()
 
+        yield from copies.facts(True, extra, more=counts.rows)(batches)
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Counts of documents by n-gram hash modulo SKETCH, summed in blocks over the tasks."""
+    return run
 
-    def count(batches):
-        counts = np.zeros(SKETCH, np.int64)
-        for _, text in firsts(batches):
-            np.add.at(counts, (shingles(text, size) >> np.uint64(8)).astype(np.int64) & (SKETCH - 1), 1)
-        for b in range(SKETCH // BLOCK):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [counts[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32 if counts.max() < 1 << 32 else np.uint64).tobytes()], "wide": [bool(counts.max() >= 1 << 32)]})
 
+def summed_sketch(rows: DataFrame) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
-        for counts, wide in zip(t["counts"].to_pylist(), t["wide"].to_pylist(), strict=True):
-            total += np.frombuffer(counts, np.uint64 if wide else np.uint32).astype(np.int64)
-        return pa.table({"block": t["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        for counts in t["sig"].to_pylist():
+            total += np.frombuffer(counts, np.uint32 if len(counts) == 4 * BLOCK else np.uint64).astype(np.int64)
+        return pa.table({"block": t["rep"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.mapInArrow(count, "block int, counts binary, wide boolean").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    blocks = rows.where("doc_id is null").select("rep", "sig").groupBy("rep").applyInArrow(add, "block bigint, counts binary").collect()
     out = np.zeros(SKETCH, np.int64)
-    for r in rows:
+    for r in blocks:
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.counts), np.int64)
     return out
 
 
-def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(gram, salt, doc, n, pos) of each prefix n-gram of each task's first copies."""
+def planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of the values, all first ones, all second ones...: those that are alike compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).reshape(-1)
+
+
+def unplanes(data: np.ndarray, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(wide, -1).T).reshape(-1).view(kind)
+
+
+def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, buckets: int) -> DataFrame:
+    """Blobs of (n-gram, document, position) of the prefixes of each task's first copies.
+
+    An n-gram that the sketch counts more than HOT times is dealt to several buckets.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     noise = float(counts.mean() + 6 * counts.mean() ** 0.5)
-    schema = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        known, held, n_held = shared.value, [], 0
-        for doc, text in firsts(batches):
-            grams = shingles(text, size)
-            if not (n := len(grams)):
-                continue
-            seen = known[(grams >> np.uint64(8)).astype(np.int64) & (SKETCH - 1)]
-            first = np.lexsort((grams, seen))[: n + (-percent * n) // 100 + 1]
-            salts = np.maximum(1, (seen[first] - noise) / HOT).astype(np.int64)
-            held.append((grams[first].view(np.int64), (doc % salts).astype(np.int32), np.full(len(first), doc, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-            if (n_held := n_held + len(first)) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=schema)
+        known, held, n_held, seen = shared.value, [], 0, set()
+
+        def flush():
+            grams, salt, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = (bucket + np.maximum(salt, 0)) % buckets
+            order = np.lexsort((grams, bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                own = order[edges[b] : edges[b + 1]]
+                for part, hot in ((own[salt[own] < 0], 0), (own[salt[own] >= 0], 1)):
+                    if len(part):
+                        blob = pack(planes(doc[part]), planes(pos[part]), *pack_sorted(grams[part] >> np.uint64(8)))
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([hot], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "hot", "payload"])
+
+        for batch in small_batches(batches):
+            words = word_table(batch, lower=True)
+            for k, doc in enumerate(column(batch, "doc_id")):
+                if (key := digest(words.of(k))) in seen:
+                    continue
+                seen.add(key)
+                grams = grams_of(words, k, size)
+                if not (n := len(grams)):
+                    continue
+                often = known[slots(grams)]
+                prefix = n + (-percent * n) // 100 + 1
+                first = np.lexsort((grams, often))[:prefix]
+                salts = np.maximum(1, (often[first] - noise) / HOT).astype(np.int64)
+                held.append((grams[first], np.where(salts > 1, doc % salts, -1), np.full(len(first), doc, np.int64), np.arange(len(first), dtype=np.int32)))
+                n_held += len(first)
+            if n_held > 1_000_000:
+                yield from flush()
                 held, n_held = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=schema)
-
-    return docs.mapInArrow(run, "gram bigint, salt int, doc bigint, n int, pos int")
+            yield from flush()
+
+    return docs.mapInArrow(run, "bucket int, hot int, payload binary")
+
+
+def shared_grams(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the n-grams of several documents (of any, if dealt to several buckets), each
+    document beside the n-gram's first one there, its pivot."""
+    parts = [unpack(p) for p in pdf["payload"]]
+    grams = [unpack_sorted(p[2:]) for p in parts]
+    hot = np.repeat(pdf["hot"].to_numpy() > 0, [len(g) for g in grams])
+    gram, doc, pos = np.concatenate(grams), np.concatenate([unplanes(p[0], np.int64) for p in parts]), np.concatenate([unplanes(p[1], np.int32) for p in parts])
+    order = np.argsort(gram, kind="stable")
+    same = gram[order][1:] == gram[order][:-1]
+    several = np.zeros(len(gram), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    keep = order[several | hot[order]]
+    gram, doc, pos = gram[keep], doc[keep], pos[keep]
+    order = np.lexsort((doc, gram))
+    gram, doc, pos = gram[order], doc[order], pos[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+    return pd.DataFrame({"gram": gram.view(np.int64), "doc": doc, "pos": pos, "pdoc": doc[lead], "ppos": pos[lead]})
 
 
 def may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
@@ -112,34 +203,45 @@ def may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
     return f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) and {100 + percent}L * {most} >= {percent}L * ({n} + {m})"
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link, by their whole sets of n-grams."""
-    ids = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+def verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) that link. The suffix filter comes first: by counts of
+    the n-grams in 256 ranges of their hash, how many two sets can share at most (255: unknown);
+    what passes is judged once by the whole sets."""
+
+    def may_share(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column(batch, c)), np.uint8).reshape(-1, 256).astype(np.int64) for c in ("x", "y"))
+            full = ((x == 255) | (y == 255)).any(axis=1)
+            n = np.array(column(batch, "n")) + np.array(column(batch, "m"))
+            keep = full | ((100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * n)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda d, x, n: sigs.select(F.col("doc").alias(d), F.col("sig").alias(x), F.col("n").alias(n))
+    near = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+    near = cut(near.mapInArrow(may_share, "a bigint, b bigint"))
+    ids = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc"))
-    schema = pa.schema([("doc", pa.int64()), ("grams", pa.binary())])
 
     def sets(batches):
-        for batch in batches:
-            keep = np.flatnonzero(in_bitmap(bits.value, column(batch, "doc_id")))
-            if len(keep):
-                part = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.array(column(part, "doc_id"), pa.int64()), pa.array([shingles(t, size).tobytes() for t in text_bytes(part)], pa.binary())], schema=schema)
+        for batch in kept_by(bits.value)(batches):
+            for part in small_batches([batch]):
+                words = word_table(part, lower=True)
+                grams = [grams_of(words, k, size).tobytes() for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(column(part, "doc_id"), pa.int64()), pa.array(grams, pa.binary())], names=["doc", "grams"])
 
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                need = percent * (len(x) + len(y))
-                # suffix filter: what the halves of the value range can share at most
-                i, j = np.searchsorted(x, np.uint64(1 << 63)), np.searchsorted(y, np.uint64(1 << 63))
-                keep.append((100 + percent) * (min(i, j) + min(len(x) - i, len(y) - j)) >= need and (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= need)
+                both = np.sort(np.concatenate([x, y]))
+                keep.append((100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([pa.array(column(batch, n), pa.int64()).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["u", "v"])
 
     grams = cut(docs.mapInArrow(sets, "doc bigint, grams binary"))
-    with_x = pairs.join(grams.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
-    with_y = with_x.join(grams.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
-    return with_y.select("a", "b", "x", "y").mapInArrow(check, "u bigint, v bigint")
+    with_y = near.join(grams.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
+    both = with_y.join(grams.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "u bigint, v bigint")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -154,31 +256,25 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
-    def set_size(words):
-        return len(shingles(b" ".join(words), size))
-
-    rows = cut(docs.mapInArrow(copies.facts(True, set_size), copies.FACTS))
+    facts = cut(docs.mapInArrow(document_facts(size), copies.FACTS))
+    rows = facts.where("doc_id is not null")
     classes = cut(copies.classes(rows.where("n_words > 0")))
+    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep", F.col("n_extra").alias("n")).join(classes, "rep").select("doc", F.col("first").alias("cls"), "n").distinct())
+    sigs = rows.where("sig is not null").select(F.col("doc_id").alias("doc"), "sig", F.col("n_extra").alias("n")).dropDuplicates(["doc"])
 
     total = rows.agg(F.sum("n_extra")).first()[0] or 0
-    parts = partitions(docs.sparkSession, total // 3, 1_000_000)
-    found = postings(docs, sketch(docs, size), size, percent).repartition(parts, "gram", "salt")
-    group = Window.partitionBy("gram", "salt")
-    first = F.min(F.struct("doc", "n", "pos")).over(group)
-    kept = found.withColumn("g", F.count("*").over(group)).withColumn("p", first).where("g > 1 or salt > 0")
+    buckets = partitions(docs.sparkSession, total * (100 - percent) // 100, BUCKET_POSTINGS)
+    blobs = postings(docs, summed_sketch(facts), size, percent, buckets)
+    found = cut(blobs.groupBy("bucket").applyInPandas(shared_grams, "gram bigint, doc bigint, pos int, pdoc bigint, ppos int"))
     # classes take the documents' place: copies in other tasks need no comparison
-    named = rows.select(F.col("doc_id").alias("doc"), "rep").distinct().join(classes, "rep").select("doc", F.col("first").alias("cls"))
-    kept = kept.select("gram", "doc", "n", "pos", F.col("p.doc").alias("pdoc"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
-    kept = cut(kept)
-    named = cut(named.join(kept.select("doc").distinct(), "doc", "left_semi"))
-    kept = kept.join(named, "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("pcls")), "pdoc")
-    kept = cut(kept.drop("doc", "pdoc"))
+    kept = found.join(named, "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("pcls"), F.col("n").alias("pn")), "pdoc")
+    kept = cut(kept.select("gram", "cls", "n", "pos", "pcls", "pn", "ppos"))
 
     def pairs_of(df: DataFrame) -> DataFrame:
         ok = df.where("cls <> pcls and " + may_link("n", "pos", "pn", "ppos", percent))
         return cut(ok.select(F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b")).distinct())
 
-    links = cut(verified(docs, pairs_of(kept), size, percent))
+    links = cut(verified(docs, pairs_of(kept), sigs, size, percent))
     labels = connected_components(links)
     grams = kept.select("gram", "cls", "n", "pos")
     many = kept.count()
@@ -199,7 +295,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
         other = other.select("gram", F.col("cls").alias("pcls"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
         side = "label < plabel" if last else "label <> plabel"
         more = pairs_of(tagged.join(other, "gram").where(side))
-        links = cut(links.unionByName(verified(docs, more, size, percent)))
+        links = cut(links.unionByName(verified(docs, more, sigs, size, percent)))
         labels = connected_components(links)
         if last:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import MULTIPLIER_2, column, cut, id_bitmap, kept_by, partitions, small_batches, table, text_bytes, window_hashes, word_hashes, words_of
+from reelspark.llm.common import MULTIPLIER_2, column, cut, digest, id_bitmap, kept_by, partitions, small_batches, table, text_bytes, window_hashes, word_table, words_of
 
 #: Words of a window whose repeats go; blocks have (WINDOW_WORDS + 1) // 2.
 WINDOW_WORDS = 13
@@ -116,14 +116,15 @@ def anchors(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOB_SCHEMA)
 
     for batch in small_batches(batches):
-        for doc, text in zip(column(batch, "doc_id"), text_bytes(batch), strict=True):
-            words = words_of(text)
-            if len(words) < 2 * size - 1 or (key := copies.digest(words)) in seen:
+        words = word_table(batch)
+        for k, doc in enumerate(column(batch, "doc_id")):
+            own = words.of(k)
+            if len(own) < 2 * size - 1 or (key := digest(own)) in seen:
                 continue
             seen.add(key)
-            hashes.append(window_hashes(word_hashes(words), size))
+            hashes.append(window_hashes(own, size))
             docs.append(doc)
-            n += len(words)
+            n += len(own)
         if n >= FLUSH_WORDS:
             yield from flush()
             hashes, docs, n = [], [], 0
@@ -175,12 +176,12 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(*(x[by] for x in part), *done)], pa.binary())], schema=_BLOB_SCHEMA)
 
     for batch in small_batches(batches):
-        for doc, text, found in zip(column(batch, "doc_id"), text_bytes(batch), column(batch, "hits"), strict=True):
-            words = words_of(text)
+        words = word_table(batch)
+        for k, (doc, found) in enumerate(zip(column(batch, "doc_id"), column(batch, "hits"), strict=True)):
             hits = np.concatenate([np.frombuffer(x, np.int32) for x in found])
-            h = word_hashes(words)
+            h = words.of(k)
             starts = (hits.astype(np.int64)[:, None] * block - np.arange(block)[None, :]).reshape(-1)
-            starts = np.unique(starts[(starts >= 0) & (starts <= len(words) - size)])
+            starts = np.unique(starts[(starts >= 0) & (starts <= len(h) - size)])
             if len(starts):
                 held.append((window_hashes(h, size)[starts], (window_hashes(h, size, MULTIPLIER_2)[starts] >> np.uint64(32)).astype(np.uint32), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
                 n += len(starts)
