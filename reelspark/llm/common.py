@@ -99,8 +99,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``data[offsets[k]:offsets[k + 1]]``; with ``lower``, A-Z hash as a-z.
+#: 1: ASCII letter, 2: punctuation that tokenizers' rules always part from letters.
+_PART = np.full(256, 4, np.uint8)
+_PART[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_PART[list(b".,;:!?|#*$%&<>()[]{}\"/-_=+")] = 2
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, parted: bool = False) -> Words:
+    """Words of the texts ``data[offsets[k]:offsets[k + 1]]``; with ``lower``, A-Z hash as a-z;
+    ``parted``, words are also cut between ASCII letters and punctuation.
 
     A word's hash is a polynomial over its bytes, got from running sums over a stretch of text.
     """
@@ -110,6 +117,11 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     before[offsets[inside]] = True
     after = np.concatenate([space[1:], [True]])[: len(data)]
     after[offsets[inside + 1] - 1] = True
+    if parted and len(data):
+        kind = _PART[data]
+        apart = kind[1:] + kind[:-1] == 3
+        before[1:] |= apart
+        after[:-1] |= apart
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
     hashes = np.empty(len(starts), np.uint64)
@@ -127,9 +139,9 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     return Words(mix(hashes), starts, ends, np.searchsorted(starts, offsets), data, offsets)
 
 
-def word_table(batch: pa.RecordBatch, name: str = "text", lower: bool = False) -> Words:
+def word_table(batch: pa.RecordBatch, name: str = "text", lower: bool = False, parted: bool = False) -> Words:
     data, offsets = text_buffer(batch, name)
-    return words_in(data, offsets, lower)
+    return words_in(data, offsets, lower, parted)
 
 
 def text_buffer(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
