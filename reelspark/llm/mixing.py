@@ -3,8 +3,8 @@
 A classifier fitted on a bounded sample of a labelled table gives each document a posterior over
 domains. Nonnegative document rates are then fitted by projected-gradient least squares, so that
 the expected tokens of each domain, rates times tokens times posteriors, match their targets. A
-step of the gradient is one sum over all documents of as many numbers as there are domains; a
-document's rate follows from the list of those sums.
+step is one sum over all documents of a few numbers for each domain; a document's rate follows
+from its posteriors and the list of the steps.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ PLACES = 4096
 STEPS = 300
 RATE = 4.0
 DECAY = 1e-5
-#: Gradient steps at most, and the largest miss of a target, as a share of all tokens, that ends them.
-ROUNDS = 40
+#: Steps at most, and the largest miss of a target, as a share of all tokens, that ends them.
+ROUNDS = 20
 MISS = 1e-4
 
 #: Target weights of the domains of the registered query: quality and toxic of the labelled table.
@@ -108,59 +108,59 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, posteriors array<double>")
 
 
-class Fit(NamedTuple):
-    step: float
-    gradients: list[np.ndarray]
+def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after the fit's steps, each followed by the
+    projection on what isn't negative."""
+    r = np.ones(len(p))
+    for step in steps:
+        r = np.maximum(0.0, r - p @ step)
+    return r
 
 
-def rates(p: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors ``p`` after the fit's steps, and where the next gradient
-    is taken (accelerated steps: ahead of the rates)."""
-    r = ahead = np.ones(len(p))
-    for k, g in enumerate(fit.gradients):
-        new = np.maximum(0.0, ahead - fit.step * (p @ g))
-        ahead = new + k / (k + 3) * (new - r)
-        r = new
-    return r, ahead
-
-
-def fit_rates(members: DataFrame, targets: np.ndarray) -> Fit:
+def fit_rates(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
     """``members`` as from :func:`posteriors`, ``targets`` the domains' token totals.
 
-    Least squares in the domains' totals, each document's step scaled by its own tokens.
+    Projected gradient of the squared misses, scaled by each document's tokens and by the inverse of
+    the domains' second moments among documents with a positive rate. A step after which the misses
+    are larger is halved.
     """
-    spark = members.sparkSession
     k = len(targets)
     kind = ", ".join(f"v{i} double" for i in range(k + k * k + 1))
 
-    def sums(fit: Fit, square: bool) -> np.ndarray:
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
         def run(batches):
             total = np.zeros(k + k * k + 1)
             for batch in batches:
                 n = batch.column(0).to_numpy().astype(float)
                 p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-                total[:k] += (rates(p, fit)[1] * n) @ p
+                r = rates(p, steps)
+                total[:k] += (r * n) @ p
+                total[k:-1] += (p.T @ (p * (n * (r > 0))[:, None])).reshape(-1)
                 total[-1] += n.sum()
-                if square:
-                    total[k:-1] += (p.T @ (p * n[:, None])).reshape(-1)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"v{i}" for i in range(len(total))])
 
         row = members.select("n_tokens", "posteriors").mapInArrow(run, kind).agg(*(F.sum(f"v{i}") for i in range(k + k * k + 1))).first()
-        return np.array([x or 0.0 for x in row])
-
-    fit = Fit(1.0, [])
-    first = sums(fit, True)
-    n = max(1.0, first[-1])
-    largest = float(np.linalg.eigvalsh(first[k:-1].reshape(k, k) / n).max()) if first[-1] else 1.0
-    fit = Fit(1.0 / max(largest, 1e-9), [])
-    total = first[:k]
+        row = np.array([x or 0.0 for x in row])
+        return row[:k], row[k:-1].reshape(k, k), row[-1]
+
+    steps: list[np.ndarray] = []
+    total, square, n = sums(steps)
+    miss = np.abs(total - targets).max()
     for _ in range(ROUNDS):
-        gradient = (total - targets) / n
-        if np.abs(gradient).max() <= MISS:
+        if miss <= MISS * n:
+            break
+        step = np.linalg.pinv(square + 1e-9 * n * np.eye(k)) @ (total - targets)
+        after, square_after, _ = sums([*steps, step])
+        for _ in range(3):
+            if np.abs(after - targets).max() < miss:
+                break
+            step = step / 2
+            after, square_after, _ = sums([*steps, step])
+        if np.abs(after - targets).max() >= miss:
             break
-        fit = Fit(fit.step, [*fit.gradients, gradient])
-        total = sums(fit, False)[:k]
-    return fit
+        steps, total, square = [*steps, step], after, square_after
+        miss = np.abs(total - targets).max()
+    return steps
 
 
 def copies_of(doc_id: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, targets: dict[
 
     def run(batches):
         for batch in batches:
-            rate = rates(batch.column(2).flatten().to_numpy().reshape(-1, k), shared.value)[0]
+            rate = rates(batch.column(2).flatten().to_numpy().reshape(-1, k), shared.value)
             ids = batch.column(0).fill_null(0).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(copies_of(ids, rate))], names=[*batch.schema.names, "rate", "copies"])
 
@@ -223,7 +223,7 @@ def thin(docs: DataFrame, labels: DataFrame, whole: str = "q1t0", domain: str =
     def run(batches):
         for batch in small_batches(batches):
             model, fit = shared.value
-            rate = rates(members(batch, model)[1], fit)[0]
+            rate = rates(members(batch, model)[1], fit)
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy()
             yield batch.filter(pa.array(copies_of(ids, rate) > 0))
 
