@@ -128,7 +128,7 @@ def unplanes(data: np.ndarray, kind: type) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, buckets: int) -> DataFrame:
-    """Blobs of (n-gram, document, position) of the prefixes of each task's first copies.
+    """Blobs of (n-gram, document, its set's size, position) of the prefixes of each task's first copies.
 
     An n-gram that the sketch counts more than HOT times is dealt to several buckets.
     """
@@ -139,7 +139,7 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, bucke
         known, held, n_held, seen = shared.value, [], 0, set()
 
         def flush():
-            grams, salt, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            grams, salt, doc, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             bucket = (bucket + np.maximum(salt, 0)) % buckets
             order = np.lexsort((grams, bucket))
@@ -148,7 +148,7 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, bucke
                 own = order[edges[b] : edges[b + 1]]
                 for part, hot in ((own[salt[own] < 0], 0), (own[salt[own] >= 0], 1)):
                     if len(part):
-                        blob = pack(planes(doc[part]), planes(pos[part]), *pack_sorted(grams[part] >> np.uint64(8)))
+                        blob = pack(planes(doc[part]), planes(n[part]), planes(pos[part]), *pack_sorted(grams[part] >> np.uint64(8)))
                         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([hot], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "hot", "payload"])
 
         for batch in small_batches(batches):
@@ -164,7 +164,7 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, bucke
                 prefix = n + (-percent * n) // 100 + 1
                 first = np.lexsort((grams, often))[:prefix]
                 salts = np.maximum(1, (often[first] - noise) / HOT).astype(np.int64)
-                held.append((grams[first], np.where(salts > 1, doc % salts, -1), np.full(len(first), doc, np.int64), np.arange(len(first), dtype=np.int32)))
+                held.append((grams[first], np.where(salts > 1, doc % salts, -1), np.full(len(first), doc, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
                 n_held += len(first)
             if n_held > 1_000_000:
                 yield from flush()
@@ -179,22 +179,22 @@ def shared_grams(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the n-grams of several documents (of any, if dealt to several buckets), each
     document beside the n-gram's first one there, its pivot."""
     parts = [unpack(p) for p in pdf["payload"]]
-    grams = [unpack_sorted(p[2:]) for p in parts]
+    grams = [unpack_sorted(p[3:]) for p in parts]
     hot = np.repeat(pdf["hot"].to_numpy() > 0, [len(g) for g in grams])
-    gram, doc, pos = np.concatenate(grams), np.concatenate([unplanes(p[0], np.int64) for p in parts]), np.concatenate([unplanes(p[1], np.int32) for p in parts])
+    gram, doc = np.concatenate(grams), np.concatenate([unplanes(p[0], np.int64) for p in parts])
+    n, pos = (np.concatenate([unplanes(p[k], np.int32) for p in parts]) for k in (1, 2))
     order = np.argsort(gram, kind="stable")
     same = gram[order][1:] == gram[order][:-1]
     several = np.zeros(len(gram), bool)
     several[1:] |= same
     several[:-1] |= same
     keep = order[several | hot[order]]
-    gram, doc, pos = gram[keep], doc[keep], pos[keep]
-    order = np.lexsort((doc, gram))
-    gram, doc, pos = gram[order], doc[order], pos[order]
+    keep = keep[np.lexsort((doc[keep], gram[keep]))]
+    gram, doc, n, pos = gram[keep], doc[keep], n[keep], pos[keep]
     new = np.ones(len(gram), bool)
     new[1:] = gram[1:] != gram[:-1]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-    return pd.DataFrame({"gram": gram.view(np.int64), "doc": doc, "pos": pos, "pdoc": doc[lead], "ppos": pos[lead]})
+    return pd.DataFrame({"gram": gram.view(np.int64), "doc": doc, "n": n, "pos": pos, "pdoc": doc[lead], "pn": n[lead], "ppos": pos[lead]})
 
 
 def may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
@@ -259,40 +259,41 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     facts = cut(docs.mapInArrow(document_facts(size), copies.FACTS))
     rows = facts.where("doc_id is not null")
     classes = cut(copies.classes(rows.where("n_words > 0")))
-    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep", F.col("n_extra").alias("n")).join(classes, "rep").select("doc", F.col("first").alias("cls"), "n").distinct())
+    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep").join(classes, "rep").select("doc", F.col("first").alias("cls")).distinct())
     sigs = rows.where("sig is not null").select(F.col("doc_id").alias("doc"), "sig", F.col("n_extra").alias("n")).dropDuplicates(["doc"])
 
     total = rows.agg(F.sum("n_extra")).first()[0] or 0
     buckets = partitions(docs.sparkSession, total * (100 - percent) // 100, BUCKET_POSTINGS)
     blobs = postings(docs, summed_sketch(facts), size, percent, buckets)
-    found = cut(blobs.groupBy("bucket").applyInPandas(shared_grams, "gram bigint, doc bigint, pos int, pdoc bigint, ppos int"))
-    # classes take the documents' place: copies in other tasks need no comparison
-    kept = found.join(named, "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("pcls"), F.col("n").alias("pn")), "pdoc")
-    kept = cut(kept.select("gram", "cls", "n", "pos", "pcls", "pn", "ppos"))
+    grams = cut(blobs.groupBy("bucket").applyInPandas(shared_grams, "gram bigint, doc bigint, n int, pos int, pdoc bigint, pn int, ppos int"))
+    many = grams.count()
 
     def pairs_of(df: DataFrame) -> DataFrame:
-        ok = df.where("cls <> pcls and " + may_link("n", "pos", "pn", "ppos", percent))
-        return cut(ok.select(F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b")).distinct())
+        """Distinct pairs of classes, which take the documents' place: of copies in other tasks
+        only one is compared."""
+        near = df.where("doc <> pdoc and " + may_link("n", "pos", "pn", "ppos", percent)).select("doc", "pdoc").distinct()
+        near = near.join(named.select("doc", F.col("cls").alias("x")), "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("y")), "pdoc")
+        return cut(near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
-    links = cut(verified(docs, pairs_of(kept), sigs, size, percent))
+    links = cut(verified(docs, pairs_of(grams), sigs, size, percent))
     labels = connected_components(links)
-    grams = kept.select("gram", "cls", "n", "pos")
-    many = kept.count()
+    grams = grams.select("gram", "doc", "n", "pos")
     for turn in range(PIVOT_ROUNDS + 1):
         # n-grams whose documents are in several components, and their pairs across
-        tagged = cut(grams.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls")).dropDuplicates(["gram", "cls"]))
+        of_doc = named.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("doc", "cls", F.coalesce("label", "cls").alias("label"))
+        tagged = grams.join(cut(of_doc), "doc")
+        ends = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        tagged = cut(tagged.join(ends.where("lo <> hi").select("gram"), "gram").dropDuplicates(["gram", "cls"]))
         by_label = tagged.groupBy("gram", "label").agg(F.count("*").alias("c"))
-        open_grams = cut(by_label.groupBy("gram").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("k")).where("k > 1"))
-        across = open_grams.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
+        across = by_label.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.count("*"), F.sum("p")).first()
         if not across[0]:
             break
-        tagged = cut(tagged.join(open_grams.select("gram"), "gram"))
-        grams = tagged.drop("label")
+        grams = tagged.select("gram", "doc", "n", "pos")
         last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many
         other = tagged
         if not last:
-            other = cut(tagged.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).select("gram", "p.*"))
-        other = other.select("gram", F.col("cls").alias("pcls"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
+            other = tagged.groupBy("gram").agg(F.min_by(F.struct("doc", "n", "pos", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).select("gram", "p.*")
+        other = other.select("gram", F.col("doc").alias("pdoc"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
         side = "label < plabel" if last else "label <> plabel"
         more = pairs_of(tagged.join(other, "gram").where(side))
         links = cut(links.unionByName(verified(docs, more, sigs, size, percent)))
