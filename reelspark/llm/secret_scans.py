@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])[A-Za-z0-9+/_=\-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 #: Neighbouring characters on each side, and what a secret becomes.
 NEAR = 48
 MARK = "[SECRET]"
@@ -77,7 +77,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"concat('static/images/', {word}, '-large-', id)", "'src=\"/'", "'.png'", place, 0),
         (f"concat('en_US_', {word}, '_release_', id)", "'locale='", "' '", place, 0),
         (f"substr({hexes}, 1, 40)", f"concat({key}, ' = \"')", "'\"'", "concat('tests/fixtures/', id, '.py')", 0),
-        (f"concat(repeat('={word[0]}', 1), repeat('-', 12 + cast(id % 30 as int)), id)", "''", "''", place, 0),
+        ("concat(repeat('-', 16 + cast(id % 30 as int)), id)", "''", "''", place, 0),
     ]
     case = lambda k: "case " + " ".join(f"when id % {len(kinds)} = {i} then {row[k]}" for i, row in enumerate(kinds)) + " end"
     rows = spark.range(0, n, 1, 4)
