@@ -90,9 +90,13 @@ def wav_encode(v) -> DataFrame:
 @book.frame("pcm_decode")
 def pcm_decode(v) -> DataFrame:
     """Packets of a little-endian offset and samples; offsets beyond 63 bits and odd payloads go."""
-    packets = v.lineitem.where("l_linenumber <= 3").selectExpr("l_orderkey", "l_linenumber", "concat(reverse(unhex(lpad(hex(l_orderkey * 160), 16, '0'))), unhex(repeat('D204', cast(l_linenumber * 10 as int))), if(l_linenumber = 3, X'00', X'')) as p")
-    good = packets.where("length(p) >= 10 and length(p) % 2 = 0")
-    return good.selectExpr("l_orderkey", "l_linenumber", "cast(conv(hex(reverse(substring(p, 1, 8))), 16, 10) as bigint) as sample_offset", "cast((length(p) - 8) / 2 as bigint) as samples")
+    def turned(h: str) -> str:
+        return "concat(" + ", ".join(f"substr({h}, {k}, 2)" for k in range(15, 0, -2)) + ")"
+
+    offset = turned("lpad(hex(l_orderkey * 160), 16, '0')")
+    packets = v.lineitem.where("l_linenumber <= 3").selectExpr("l_orderkey", "l_linenumber", f"concat(unhex({offset}), unhex(repeat('D204', cast(l_linenumber * 10 as int))), if(l_linenumber = 3, X'00', X'')) as p")
+    good = packets.where("length(p) >= 10 and length(p) % 2 = 0").withColumn("h", F.expr("hex(substring(p, 1, 8))"))
+    return good.selectExpr("l_orderkey", "l_linenumber", f"cast(conv({turned('h')}, 16, 10) as bigint) as sample_offset", "cast((length(p) - 8) / 2 as bigint) as samples")
 
 
 @book.frame("heartbeat_stream")
