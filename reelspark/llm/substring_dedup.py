@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import MULTIPLIER_2, column, cut, digest, id_bitmap, kept_by, partitions, small_batches, table, text_bytes, window_hashes, word_table, words_of
+from reelspark.llm.common import MULTIPLIER_2, column, cut, digest, id_bitmap, kept_by, mix, partitions, small_batches, table, text_bytes, window_hashes, word_table, words_of
 
 #: Words of a window whose repeats go; blocks have (WINDOW_WORDS + 1) // 2.
 WINDOW_WORDS = 13
@@ -192,8 +192,9 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         yield from flush()
 
 
-def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the windows whose words start in a document with a smaller id too."""
+def repeated(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """Of one bucket: the windows whose words start in a document with a smaller id too, packed by
+    the home of their documents."""
     parts = [unpack(p) for p in pdf["payload"]]
     h, g, doc, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
     order = np.lexsort((doc, g, h))
@@ -204,10 +205,25 @@ def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     late = doc != doc[leader]
     ids = np.concatenate([doc[late], *(p[4] for p in parts)])
     starts = np.concatenate([start[late], *(p[5] for p in parts)])
-    order = np.lexsort((starts, ids))
+    home = (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.lexsort((starts, ids, home))
+    ids, starts, home = ids[order], starts[order], home[order]
+    out: dict[str, list] = {"home": [], "payload": []}
+    for a, b in runs(home):
+        spans = runs(ids[a:b])
+        out["home"].append(int(home[a]))
+        out["payload"].append(pack(ids[a:b][[x for x, _ in spans]], np.array([y - x for x, y in spans], np.int32), starts[a:b]))
+    return pd.DataFrame(out)
+
+
+def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one home: a row for each document with its windows' places."""
+    parts = [unpack(p) for p in pdf["payload"]]
+    ids, starts = np.concatenate([np.repeat(p[0], p[1]) for p in parts]), np.concatenate([p[2] for p in parts])
+    order = np.argsort(ids, kind="stable")
     ids, starts = ids[order], starts[order]
     spans = runs(ids)
-    return pd.DataFrame({"doc_id": ids[np.array([a for a, _ in spans], np.int64)], "starts": [starts[a:b].tobytes() for a, b in spans]})
+    return pd.DataFrame({"doc_id": ids[[a for a, _ in spans]], "starts": [starts[a:b].tobytes() for a, b in spans]})
 
 
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -246,8 +262,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     bits = spark.sparkContext.broadcast(id_bitmap(hits, "doc_id"))
     near = docs.mapInArrow(lambda b: kept_by(bits.value)(b), "doc_id bigint, text string").join(hits, "doc_id")
     blobs = near.mapInArrow(lambda b: windows(b, size, buckets), _BLOB)
-    found = blobs.groupBy("bucket").applyInPandas(repeated, "doc_id bigint, starts binary")
-    late = cut(found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")))
+    found = blobs.groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf, buckets), "home int, payload binary")
+    late = cut(found.groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary"))
 
     late_bits = spark.sparkContext.broadcast(id_bitmap(late, "doc_id"))
 
@@ -256,7 +272,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
             out = []
             for doc, text, starts in zip(column(batch, "doc_id"), text_bytes(batch), column(batch, "starts"), strict=True):
                 words = words_of(text)
-                gone = covered(len(words), np.concatenate([np.frombuffer(x, np.int32) for x in starts]), size)
+                gone = covered(len(words), np.frombuffer(starts, np.int32), size)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
                 out.append((doc, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_removed", "sha", "kept_text"])
