@@ -13,11 +13,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among a vertex and its neighbours, then the label's own label.
     A star settles in one round, a path in about log(length). Vertices without an edge do not occur;
-    an empty table gives an empty table. Raises if it has not settled after ``most_rounds``.
+    an empty table gives an empty table, repeated edges do no harm. Raises if it has not settled after ``most_rounds``.
     Joins put nothing above them that needs a key's rows together, so adaptive execution can split
     a vertex with very many neighbours.
     """
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v"))
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("label")))
     for _ in range(most_rounds):
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))

@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import Words, column, digest, small_batches, word_table, words_of
@@ -76,7 +76,10 @@ def facts(lower: bool, extra: Callable | None = None, sha: bool = False, more: C
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(rep, first): for each task's representative the least id with the same words anywhere."""
-    reps = rows.where("digest is not null").select("rep", "digest").distinct()
-    least = reps.groupBy("digest").agg(F.min("rep").alias("first"))
-    return reps.join(least, "digest").select("rep", "first")
+    """(rep, first): for each task's representative the least id with the same words anywhere.
+
+    One shuffle by digest; its groups hold a row for each task at most.
+    """
+    same = Window.partitionBy("digest")
+    reps = rows.where("digest is not null").select("rep", "digest")
+    return reps.withColumn("first", F.min("rep").over(same)).dropDuplicates(["digest", "rep"]).select("rep", "first")

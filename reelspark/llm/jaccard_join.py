@@ -219,7 +219,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, size: int, perc
     side = lambda d, x, n: sigs.select(F.col("doc").alias(d), F.col("sig").alias(x), F.col("n").alias(n))
     near = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
     near = cut(near.mapInArrow(may_share, "a bigint, b bigint"))
-    ids = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct()
+    ids = near.select(F.col("a").alias("doc")).union(near.select("b"))
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc"))
 
     def sets(batches):
@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     facts = cut(docs.mapInArrow(document_facts(size), copies.FACTS))
     rows = facts.where("doc_id is not null")
     classes = cut(copies.classes(rows.where("n_words > 0")))
-    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep").join(classes, "rep").select("doc", F.col("first").alias("cls")).distinct())
+    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep").join(classes, "rep").select("doc", F.col("first").alias("cls")))
     sigs = rows.where("sig is not null").select(F.col("doc_id").alias("doc"), "sig", F.col("n_extra").alias("n")).dropDuplicates(["doc"])
 
     total = rows.agg(F.sum("n_extra")).first()[0] or 0
@@ -268,14 +268,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     grams = cut(blobs.groupBy("bucket").applyInPandas(shared_grams, "gram bigint, doc bigint, n int, pos int, pdoc bigint, pn int, ppos int"))
     many = grams.count()
 
+    likely = may_link("n", "pos", "pn", "ppos", percent)
+
     def pairs_of(df: DataFrame) -> DataFrame:
-        """Distinct pairs of classes, which take the documents' place: of copies in other tasks
-        only one is compared."""
-        near = df.where("doc <> pdoc and " + may_link("n", "pos", "pn", "ppos", percent)).select("doc", "pdoc").distinct()
-        near = near.join(named.select("doc", F.col("cls").alias("x")), "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("y")), "pdoc")
-        return cut(near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        """Distinct pairs of classes (x, y), which take the documents' place: of copies in other
+        tasks only one is compared."""
+        return cut(df.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
-    links = cut(verified(docs, pairs_of(grams), sigs, size, percent))
+    near = grams.where("doc <> pdoc and " + likely).select("doc", "pdoc").distinct()
+    near = near.join(named.select("doc", F.col("cls").alias("x")), "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("y")), "pdoc")
+    links = cut(verified(docs, pairs_of(near), sigs, size, percent))
     labels = connected_components(links)
     grams = grams.select("gram", "doc", "n", "pos")
     for turn in range(PIVOT_ROUNDS + 1):
@@ -292,10 +294,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
         last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many
         other = tagged
         if not last:
-            other = tagged.groupBy("gram").agg(F.min_by(F.struct("doc", "n", "pos", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).select("gram", "p.*")
-        other = other.select("gram", F.col("doc").alias("pdoc"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
+            other = tagged.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).select("gram", "p.*")
+        other = other.select("gram", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
         side = "label < plabel" if last else "label <> plabel"
-        more = pairs_of(tagged.join(other, "gram").where(side))
+        more = pairs_of(tagged.withColumnRenamed("cls", "x").join(other, "gram").where(f"{side} and {likely}"))
         links = cut(links.unionByName(verified(docs, more, sigs, size, percent)))
         labels = connected_components(links)
         if last:
