@@ -8,7 +8,7 @@ that very many documents have is in few prefixes.
 
 A group of G similar documents would make G * G / 2 pairs. Only classes of equal texts enter,
 each prefix n-gram's documents are compared with one pivot, and what that leaves in different
-components is compared with further pivots while there are many such pairs, then pair by pair.
+components is compared with several further pivots a round while there are many such pairs, then pair by pair.
 No link between components is lost, and rows stay in proportion to the prefixes.
 """
 
@@ -35,7 +35,9 @@ SKETCH = 1 << 18
 BLOCK = 4096
 #: Documents of one n-gram that go to a group; an n-gram that the sketch counts oftener is salted.
 HOT = 50_000
-#: Pivot rounds at most, and pairs for each posting up to which the rest is compared pair by pair.
+#: Further pivots of an n-gram in one round, such rounds at most, and pairs for each posting up to
+#: which the rest is compared pair by pair.
+PIVOTS = 4
 PIVOT_ROUNDS = 4
 PAIRS_PER_POSTING = 4
 #: Postings that meet in one bucket.
@@ -294,7 +296,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
         last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many
         other = tagged
         if not last:
-            other = tagged.groupBy("gram").agg(F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).select("gram", "p.*")
+            picks = [F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(PIVOTS * turn + k))) for k in range(PIVOTS)]
+            other = tagged.groupBy("gram").agg(F.array_distinct(F.array(*picks)).alias("p")).select("gram", F.explode("p").alias("p")).select("gram", "p.*")
         other = other.select("gram", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
         side = "label < plabel" if last else "label <> plabel"
         more = pairs_of(tagged.withColumnRenamed("cls", "x").join(other, "gram").where(f"{side} and {likely}"))

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 
 import pytest
 
+from reelspark.llm import jaccard_join
 from reelspark.llm.jaccard_join import jaccard_components
 from reelspark.llm.substring_dedup import remove_repeats
 from tests.conftest import SMALL
@@ -74,3 +76,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert jaccard_components(none).count() == 0
     assert remove_repeats(none).count() == 0
+
+
+def test_jaccard_rounds_of_several_pivots(spark, monkeypatch):
+    """Near copies in many components, with the pairwise comparison put off as long as it may be."""
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", 0)
+    pick, rows = random.Random(3), []
+    for i in range(150):
+        words = [f"w{k}" for k in range(60)]
+        for _ in range(pick.randint(0, 6)):
+            words[pick.randrange(60)] = f"x{pick.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard_components(docs(spark, rows).repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == brute_jaccard(rows)
