@@ -8,7 +8,8 @@ that very many documents have is in few prefixes.
 
 A group of G similar documents would make G * G / 2 pairs. Only classes of equal texts enter,
 each prefix n-gram's documents are compared with one pivot, and what that leaves in different
-components is compared with several further pivots a round while there are many such pairs, then pair by pair.
+components is compared with several further pivots a round while there are many such pairs and a round halves
+them, then pair by pair.
 No link between components is lost, and rows stay in proportion to the prefixes.
 """
 
@@ -280,20 +281,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     near = grams.where("doc <> pdoc and " + likely).select("doc", "pdoc").distinct()
     near = near.join(named.select("doc", F.col("cls").alias("x")), "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("y")), "pdoc")
     links = cut(verified(docs, pairs_of(near), sigs, size, percent))
-    labels = connected_components(links)
-    grams = grams.select("gram", "doc", "n", "pos")
+    merged = connected_components(links)
+    of_doc = cut(named.join(merged.select(F.col("v").alias("cls"), "label"), "cls", "left").select("doc", "cls", F.coalesce("label", "cls").alias("label")))
+    tagged = grams.select("gram", "doc", "n", "pos").join(of_doc, "doc")
+    before = None
     for turn in range(PIVOT_ROUNDS + 1):
         # n-grams whose documents are in several components, and their pairs across
-        of_doc = named.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("doc", "cls", F.coalesce("label", "cls").alias("label"))
-        tagged = grams.join(cut(of_doc), "doc")
         ends = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        tagged = cut(tagged.join(ends.where("lo <> hi").select("gram"), "gram").dropDuplicates(["gram", "cls"]))
+        tagged = tagged.join(ends.where("lo <> hi").select("gram"), "gram")
+        tagged = cut(tagged if turn else tagged.dropDuplicates(["gram", "cls"]))
         by_label = tagged.groupBy("gram", "label").agg(F.count("*").alias("c"))
         across = by_label.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.count("*"), F.sum("p")).first()
         if not across[0]:
             break
-        grams = tagged.select("gram", "doc", "n", "pos")
-        last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many
+        last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many or (before is not None and 2 * across[1] > before)
+        before = across[1]
         other = tagged
         if not last:
             picks = [F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(PIVOTS * turn + k))) for k in range(PIVOTS)]
@@ -301,12 +303,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
         other = other.select("gram", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
         side = "label < plabel" if last else "label <> plabel"
         more = pairs_of(tagged.withColumnRenamed("cls", "x").join(other, "gram").where(f"{side} and {likely}"))
-        links = cut(links.unionByName(verified(docs, more, sigs, size, percent)))
-        labels = connected_components(links)
+        links = cut(verified(docs, more, sigs, size, percent))
+        # new links join components: labels take the vertices' place
+        label_of = of_doc.select("cls", "label").distinct()
+        ends_of = links.join(label_of.select(F.col("cls").alias("u"), F.col("label").alias("lu")), "u").join(label_of.select(F.col("cls").alias("v"), F.col("label").alias("lv")), "v")
+        merged = connected_components(ends_of.select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
+        moved = merged.select(F.col("v").alias("label"), F.col("label").alias("to"))
+        of_doc = cut(of_doc.join(moved, "label", "left").select("doc", "cls", F.coalesce("to", "label").alias("label")))
         if last:
             break
+        tagged = tagged.join(moved, "label", "left").select("gram", "doc", "n", "pos", "cls", F.coalesce("to", "label").alias("label"))
 
-    roots = classes.join(labels.select(F.col("v").alias("first"), "label"), "first", "left").select("rep", F.coalesce("label", "first").alias("component_id"))
+    label_of = of_doc.select(F.col("cls").alias("first"), F.col("label").alias("component_id")).distinct()
+    roots = classes.join(label_of, "first").select("rep", "component_id")
     out = rows.join(roots, "rep", "left")
     return out.select("doc_id", F.col("n_extra").alias("n_shingles"), F.when(F.col("n_words") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
