@@ -132,22 +132,31 @@ def anchors(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         yield from flush()
 
 
-def hit_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the aligned blocks whose hash another document has at any place."""
+def by_home(ids: np.ndarray, places: np.ndarray, homes: int) -> pd.DataFrame:
+    """Places in documents, packed by the home of the documents: few rows whatever the buckets."""
+    home = (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.lexsort((places, ids, home))
+    ids, places, home = ids[order], places[order], home[order]
+    out: dict[str, list] = {"home": [], "payload": []}
+    for a, b in runs(home):
+        spans = runs(ids[a:b])
+        out["home"].append(int(home[a]))
+        out["payload"].append(pack(ids[a:b][[x for x, _ in spans]], np.array([y - x for x, y in spans], np.int32), places[a:b]))
+    return pd.DataFrame(out)
+
+
+def hit_blocks(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """Of one bucket: the aligned blocks whose hash another document has at any place, packed by
+    the home of their documents."""
     parts = [unpack(p) for p in pdf["payload"]]
     values = [unpack_sorted(p[4:]) for p in parts]
     several = [np.unpackbits(p[3], count=len(v)).astype(bool) for p, v in zip(parts, values, strict=True)]
     every = np.sort(np.concatenate(values))
     # a value twice comes from two tasks or flushes, whose documents differ
     shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(v[s] for v, s in zip(values, several, strict=True))]))
-    out: dict[str, list] = {"doc_id": [], "blocks": []}
-    for p, v in zip(parts, values, strict=True):
-        keep = np.isin(v, shared, assume_unique=True)[p[0]]
-        ids, blocks = p[1][keep], p[2][keep]
-        for a, b in runs(ids):
-            out["doc_id"].append(int(ids[a]))
-            out["blocks"].append(blocks[a:b].astype(np.int32).tobytes())
-    return pd.DataFrame(out)
+    keep = [np.isin(v, shared, assume_unique=True)[p[0]] for p, v in zip(parts, values, strict=True)]
+    ids, blocks = (np.concatenate([p[k][x] for p, x in zip(parts, keep, strict=True)]) for k in (1, 2))
+    return by_home(ids, blocks, homes)
 
 
 def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -205,19 +214,11 @@ def repeated(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
     late = doc != doc[leader]
     ids = np.concatenate([doc[late], *(p[4] for p in parts)])
     starts = np.concatenate([start[late], *(p[5] for p in parts)])
-    home = (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
-    order = np.lexsort((starts, ids, home))
-    ids, starts, home = ids[order], starts[order], home[order]
-    out: dict[str, list] = {"home": [], "payload": []}
-    for a, b in runs(home):
-        spans = runs(ids[a:b])
-        out["home"].append(int(home[a]))
-        out["payload"].append(pack(ids[a:b][[x for x, _ in spans]], np.array([y - x for x, y in spans], np.int32), starts[a:b]))
-    return pd.DataFrame(out)
+    return by_home(ids, starts, homes)
 
 
 def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one home: a row for each document with its windows' places."""
+    """Of one home: a row for each document with its places."""
     parts = [unpack(p) for p in pdf["payload"]]
     ids, starts = np.concatenate([np.repeat(p[0], p[1]) for p in parts]), np.concatenate([p[2] for p in parts])
     order = np.argsort(ids, kind="stable")
@@ -254,10 +255,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     buckets = partitions(spark, rows.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS)
 
     blobs = docs.mapInArrow(lambda b: anchors(b, block, buckets), _BLOB)
-    hits = blobs.groupBy("bucket").applyInPandas(hit_blocks, "doc_id bigint, blocks binary")
+    found = blobs.groupBy("bucket").applyInPandas(lambda pdf: hit_blocks(pdf, buckets), "home int, payload binary")
+    hits = found.groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary")
     # a task reads one copy of its own; hits count for the class, whose first document stands for it
     member = rows.select("doc_id", "rep").distinct().join(classes, "rep").select("doc_id", "first")
-    hits = cut(hits.join(member, "doc_id").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("blocks").alias("hits")))
+    hits = cut(hits.join(member, "doc_id").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("starts").alias("hits")))
 
     bits = spark.sparkContext.broadcast(id_bitmap(hits, "doc_id"))
     near = docs.mapInArrow(lambda b: kept_by(bits.value)(b), "doc_id bigint, text string").join(hits, "doc_id")
