@@ -2,7 +2,7 @@
 
 Statistics of every whole text are taken in one pass. Trees of random splits are grown on a
 bounded sample of statistics; a document that few splits set apart is anomalous. The score from
-which documents go is calibrated on labelled rows: no more than GOOD_LOSS of the good ones.
+which documents go is the one that parts labelled junk from labelled good rows best.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ SAMPLE_ROWS = 8192
 TREES = 100
 TREE_ROWS = 256
 DEPTH = 10
-#: Share of good labelled rows that may go, and bins of the score for the calibration.
-GOOD_LOSS = 0.005
+#: Bins of the score for the calibration.
 BINS = 2000
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -159,26 +158,40 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.mapInArrow(run, f"{_STATS_DDL}, base_failed boolean, anomaly double, kept boolean")
 
 
+def best_threshold(counts: list[tuple[int, int, int]]) -> float:
+    """Least score that goes, from (bin, quality, rows) of labelled rows: where the share of junk
+    (quality 0) that goes less that of good rows (quality 1) is greatest; a bin goes whole, and of
+    equal differences the one with fewer rows gone holds. However few the labels, they decide; while
+    either kind has no row, that share is unknown and nothing is anomalous."""
+    total, bins = [0, 0], {}
+    for at, kind, n in counts:
+        total[kind] += n
+        bins.setdefault(at, [0, 0])[kind] += n
+    if not all(total):
+        return math.inf
+    gone, best, threshold = [0, 0], 0, math.inf
+    for at in sorted(bins, reverse=True):
+        gone = [a + b for a, b in zip(gone, bins[at], strict=True)]
+        gain = gone[0] * total[1] - gone[1] * total[0]
+        if gain > best:
+            best, threshold = gain, at / BINS
+    return threshold
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Forest:
     """Forest on at most about SAMPLE_ROWS rows that pass the base rule, chosen by a hash of
-    doc_id; threshold from all labelled rows (doc_id, quality), by counts in BINS bins of the
-    score. Without labels for good rows nothing is anomalous."""
+    doc_id; threshold from all labelled rows (doc_id, quality) that pass it, of both values, by
+    counts in BINS bins of the score."""
     passed = stats.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= 50 * n_words")
     share = min(1.0, SAMPLE_ROWS / max(1, passed.count()))
     rows = passed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("doc_id", *STATS).collect()
     if not rows:
         return grow(np.zeros((1, len(STATS))))
     forest = grow(features([np.array([r[c] for r in rows], np.int64) for c in STATS]))
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    known = scored(passed, forest).join(good, "doc_id").select(F.floor(F.col("anomaly") * BINS).alias("bin"))
-    bins = sorted(((r.bin, r["count"]) for r in known.groupBy("bin").count().collect()), reverse=True)
-    total, gone, threshold = sum(c for _, c in bins), 0, math.inf
-    for at, c in bins:
-        gone += c
-        if gone > GOOD_LOSS * total:
-            break
-        threshold = at / BINS
-    return forest._replace(threshold=threshold)
+    judged = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    known = scored(passed, forest).join(judged, "doc_id").select(F.floor(F.col("anomaly") * BINS).alias("bin"), "quality")
+    counts = known.groupBy("bin", "quality").count().collect()
+    return forest._replace(threshold=best_threshold([(r.bin, r.quality, r["count"]) for r in counts]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

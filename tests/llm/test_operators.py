@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -58,6 +59,23 @@ def test_quality_statistics(spark):
     assert quality_rules.quality(none, spark.createDataFrame([], LABELS)).count() == 0
 
 
+def test_quality_threshold_reads_both_labels():
+    counts = [(1900, 0, 3), (1900, 1, 1), (1500, 0, 1), (1200, 1, 30), (900, 0, 1), (900, 1, 69)]
+    assert quality_rules.best_threshold(counts) == 1500 / quality_rules.BINS
+    assert quality_rules.best_threshold([(1800, 0, 1), (900, 1, 4)]) == 1800 / quality_rules.BINS
+    assert quality_rules.best_threshold([(900, 0, 2), (1800, 1, 2)]) == float("inf")
+    assert quality_rules.best_threshold(counts[:1]) == quality_rules.best_threshold([(5, 1, 9)]) == quality_rules.best_threshold([]) == float("inf")
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_quality_recalls_held_out_junk(spark, part):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.quality(d, labels.where(f"pmod(hash(doc_id), 2) = {part}"))
+    held = got.where("not base_failed").join(labels.where(f"pmod(hash(doc_id), 2) <> {part}"), "doc_id")
+    shares = {r.quality: r.gone for r in held.groupBy("quality").agg(F.avg(F.expr("if(kept, 0, 1)")).alias("gone")).collect()}
+    assert shares[0] >= 0.95 and shares[1] <= 0.1, shares
+
+
 def test_fingerprints(spark):
     rows = sorted(small(spark))
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows, clash=True).repartition(3)).collect()}
