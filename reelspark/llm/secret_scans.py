@@ -1,6 +1,8 @@
 """Secret scans (operator 3): candidates judged by a random forest, in SQL expressions throughout.
 
-Candidates are long runs of key characters with a digit. The forest sees length, transitions
+Candidates are values that a key word and = or : lead up to (8 or more characters other than space,
+up to the quote that closes them), passwords in URLs, and all runs of 16 or more key characters,
+with digits or without. Values with spaces are not candidates as a whole. The forest sees length, transitions
 between kinds of characters, how much a dictionary covers, the path and the neighbouring words, and
 is trained on labelled findings. Its trees become one SQL expression, so that a document's
 candidates are found, judged and struck out in its own row, without a shuffle.
@@ -13,7 +15,13 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+#: What leads up to a value; what stands before is looked at only where the character there fits.
+LED = r"(?<=[=:>\s\"'])(?<=[=:]>?\s{0,3}[\"']?|\s)(?<=(?i:token|secret|pass|pwd|key|auth|credential)[\w.\-]{0,16}[\"'\])]{0,2}\s{0,3}[=:]{1,2}>?\s{0,3}[\"']?|(?i:bearer)\s{1,3})(?![=:>])"
+CANDIDATE = (
+    LED + r"""(?:(?<=")[^\s"]{8,}|(?<=')[^\s']{8,}|(?<!["'])[^\s"']{7,}[^\s"'.,;:)\]}])"""
+    r"""|(?<=:)(?<=://[^\s/:@"']{0,40}:)[^\s/@"']{3,}+(?=@)"""
+    r"""|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}"""
+)
 #: Neighbouring characters on each side, and what a secret becomes.
 NEAR = 48
 MARK = "[SECRET]"
@@ -21,7 +29,7 @@ THRESHOLD = 0.5
 TREES = 25
 DEPTH = 7
 #: Labelled findings that the default forest is trained on.
-FINDINGS = 6000
+FINDINGS = 11000
 
 #: Dictionary words that names, placeholders and prose are made of.
 DICTIONARY = "the and for you your with from this that have not are was will can here token key secret password example sample test dummy fake placeholder changeme insert replace default value name user page index image photo large small chapter version release build config data file path local public static asset locale utf book item order number list date time".split()
@@ -39,7 +47,12 @@ FEATURES = {
     "uuid": "if(c rlike '(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$', 1, 0)",
     "prefix": "if(c rlike '^(AKIA|ASIA|AIza|gh[opsu]_|glpat-|xox[abp]-|sk_live_|sk-|eyJ)', 1, 0)",
     "path_test": "if(path rlike '(?i)(test|fixture|mock|example|spec|docs?/|lock)', 1, 0)",
-    "word_key": "if(before rlike '(?i)(token|secret|passw|api|key|auth|credential|bearer|pwd)[^\\n]{0,16}$', 1, 0)",
+    "word_key": "if(before rlike '(?i)(token|secret|pass|api|key|auth|credential|bearer|pwd)[^\\n]{0,16}$', 1, 0)",
+    "word_pass": "if(before rlike '(?i)(pass|pwd|secret|credential)[^\\n]{0,16}$', 1, 0)",
+    "plain": "if(c rlike '^[A-Za-z]?[a-z]+$', 1, 0)",
+    "cases": "length(regexp_replace(c, '[a-z][A-Z]|[A-Z][A-Z]', '')) / length(c)",
+    "code": "if(c rlike '^[<{$%]|[(]|\\\\[|^[A-Za-z_]+[.][A-Za-z_.]+$|^(https?:)?/', 1, 0)",
+    "in_url": "if(before rlike '://[^/@\\\\s]*:$' and after rlike '^@', 1, 0)",
     "word_sum": "if(before rlike '(?i)(commit|sha[0-9]*|md5|checksum|digest|hash|uuid|etag|integrity|revision|serial|isbn|phone|tel|card|iban)[^\\n]{0,16}$', 1, 0)",
     "assigned": "if(before rlike '[=:]\\\\s*[\"\\']?$', 1, 0)",
     "quoted": "if(before rlike '[\"\\']$' and after rlike '^[\"\\']', 1, 0)",
@@ -57,6 +70,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     key = "element_at(array('token', 'api_key', 'secret', 'access_token', 'password', 'auth', 'client_secret'), cast(id % 7 as int) + 1)"
     summed = "element_at(array('commit', 'sha1', 'checksum', 'digest', 'revision', 'md5', 'hash'), cast(id % 7 as int) + 1)"
     place = "element_at(array('', 'src7', 'app/settings.py', 'deploy/env', 'README'), cast(id % 5 as int) + 1)"
+    letters = f"translate({base}, '0123456789', 'aQxTmKvBzR')"
+    mixed = f"translate({base}, 'bdfhjlnprtBDF', '!@$.:#%&*?~^,')"
+    prose = "element_at(array('international', 'required', 'something', 'Schraubenzieher', 'developpement', 'important', 'undefined', 'mandatory', 'disabled', 'management', 'administrator', 'incorrect', 'forgotten'), cast(id % 13 as int) + 1)"
+    code = "element_at(array('os.environ[TOKEN]', 'getpass.getpass()', '${PASSWORD}', '<your-password>', 'self.password', 'request.form.password', 'settings.SECRET_KEY', '{{ secrets.API }}', 'process.env.API_KEY', 'https://example.org/reset', 'read_password(prompt)', '********', 'xxxxxxxxxxxx'), cast(id % 13 as int) + 1)"
+    phrase = f"translate({hexes}, '0123456789', 'ghijklmnop')"
+    passes = "element_at(array('password', 'passwd', 'pwd', 'secret', 'db_password', 'passphrase', 'credential'), cast(id % 7 as int) + 1)"
+    camel = "concat('get', initcap({0}), 'From', initcap({0}), element_at(array('Factory', 'Handler', 'Manager', 'Provider'), cast(id % 4 as int) + 1))".format(word)
     kinds = [
         (f"substr({hexes}, 1, 40)", f"concat({key}, ' = \"')", "'\"'", place, 1),
         (f"substr({hexes}, 1, 32 + cast(id % 3 as int) * 16)", f"concat({key}, ': ')", "''", place, 1),
@@ -78,6 +98,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (f"concat('en_US_', {word}, '_release_', id)", "'locale='", "' '", place, 0),
         (f"substr({hexes}, 1, 40)", f"concat({key}, ' = \"')", "'\"'", "concat('tests/fixtures/', id, '.py')", 0),
         ("concat(repeat('-', 16 + cast(id % 30 as int)), id)", "''", "''", place, 0),
+        (f"substr({letters}, 1, 20 + cast(id % 8 as int))", f"concat({key}, ' = \"')", "'\"'", place, 1),
+        (f"substr({letters}, 1, 16 + cast(id % 9 as int))", f"concat({key}, '=')", "''", place, 1),
+        (f"substr({base}, 1, 8 + cast(id % 8 as int))", f"concat({passes}, ' = \"')", "'\"'", place, 1),
+        (f"substr({base}, 1, 8 + cast(id % 8 as int))", f"concat({passes}, ': ')", "''", place, 1),
+        (f"concat(substr({mixed}, 1, 8 + cast(id % 9 as int)), 'x')", f"concat({passes}, '=')", "''", place, 1),
+        (f"substr({mixed}, 1, 10 + cast(id % 12 as int))", f"concat({key}, ' = \"')", "'\"'", place, 1),
+        (f"concat('eyJ', substr({base}, 1, 16), '.eyJ', substr({base}, 4, 20), '.', substr({base}, 2, 24))", "'Authorization: Bearer '", "''", place, 1),
+        (f"concat('postgres://', {word}, ':', substr({base}, 1, 9), '@db.', {word}, '.org/main')", f"concat({key}, '=')", "''", place, 1),
+        (f"substr({base}, 1, 5 + cast(id % 9 as int))", f"concat('https://', {word}, ':')", "'@host.org/a'", place, 1),
+        (f"concat_ws('-', substr({phrase}, 1, 5), substr({phrase}, 7, 4), substr({phrase}, 13, 6), substr({phrase}, 21, 5))", f"concat({passes}, ' = \"')", "'\"'", place, 1),
+        (f"substr({phrase}, 1, 18 + cast(id % 9 as int))", f"concat({passes}, ' = \"')", "'\"'", place, 1),
+        (prose, f"concat({key}, ': ')", "' '", place, 0),
+        (f"concat({prose}, '-', {word})", f"concat({passes}, ': ')", "' '", place, 0),
+        (code, f"concat({passes}, ' = ')", "''", place, 0),
+        (code, f"concat({key}, ': \"')", "'\"'", place, 0),
+        (f"concat({word}, {prose}, {word})", "''", "' '", place, 0),
+        (f"concat('/', {word}, '/', {prose}, '-', {word})", "'href=\"'", "'\"'", place, 0),
+        (camel, "''", "'('", place, 0),
+        (f"concat('my_', {word}, '_', {key}, '_setting')", "''", "' = '", place, 0),
+        (prose, "'the bearer '", "' '", place, 0),
+        ("repeat(element_at(array('-', '_', '/', '+'), cast(id % 4 as int) + 1), 16 + cast(id % 30 as int))", "''", "''", place, 0),
+        ("repeat(element_at(array('x', 'A', 'ha', '-='), cast(id % 4 as int) + 1), 16 + cast(id % 30 as int))", "''", "''", place, 0),
+        (f"concat({word}, {prose}, upper({word}), '/', {prose})", "''", "' '", place, 0),
     ]
     case = lambda k: "case " + " ".join(f"when id % {len(kinds)} = {i} then {row[k]}" for i, row in enumerate(kinds)) + " end"
     rows = spark.range(0, n, 1, 4)
@@ -116,7 +159,7 @@ def scan(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame:
     gaps = F.when(F.size("_c") > 0, F.split(F.expr(text), CANDIDATE, -1))
     found = found.withColumn("_gaps", gaps)
     at = f"`{path}`" if path else "''"
-    candidates = f"transform(_c, (c, i) -> struct(c as c, right(_gaps[i], {NEAR}) as before, left(_gaps[i + 1], {NEAR}) as after, coalesce(cast({at} as string), '') as path))"
+    candidates = f"transform(_c, (c, i) -> struct(c as c, right(concat(if(i = 0, '', _c[i - 1]), _gaps[i]), {NEAR}) as before, left(_gaps[i + 1], {NEAR}) as after, coalesce(cast({at} as string), '') as path))"
     found = found.withColumn("_seen", F.expr(f"case when size(_c) > 0 then {candidates} end"))
     import re
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import duckdb
@@ -183,6 +185,27 @@ def test_secrets(spark):
     assert right >= 0.95 * sum(r["count"] for r in judged)
 
 
+def test_secrets_without_digits_short_or_with_punctuation(spark):
+    rng = random.Random(7)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    low, letters = string.ascii_lowercase, string.ascii_letters
+    strong = lambda n: "a" + some(letters + string.digits + ".@!:$", n - 2) + "7"
+    secrets, others = [], []
+    for k in range(40):
+        secrets += [(f'api_key = "{v}"', v) for v in [some(letters, 20), some(letters, 24)]]
+        secrets += [(f"{w}{v}", v) for w, v in [("password = ", some(letters + string.digits, 8 + k % 8)), ("passwd: ", strong(8 + k % 8)), ("token=", strong(20))]]
+        secrets += [(f'"password":"{v}"', v) for v in ["-".join(some(low, 5) for _ in range(4))]]
+        secrets += [(f"https://user:{v}@host.org/x", v) for v in [some(letters + string.digits, 9)]]
+        others += [f"the key: {some(low, 9)} is here", f"{some(low, 18)} word", f"password = os.environ[{some(low, 5)}]", f"see /{some(low, 7)}/{some(low, 6)}-{some(low, 6)} now"]
+    rows = [(k, t) for k, t in enumerate([f"Er said {t} and left" for t, _ in secrets] + others)]
+    found = {r.doc_id: r for r in secret_scans.scan(docs(spark, rows), secret_scans.train(secret_scans.labelled_findings(spark)), "source").collect()}
+    assert all(v in [x.c for x in found[k]._findings] for k, (_, v) in enumerate(secrets))
+    struck = [found[k]._redacted == rows[k][1].replace(v, "[SECRET]") for k, (_, v) in enumerate(secrets)]
+    assert all(sum(struck[k::7]) >= 34 for k in range(7)), [sum(struck[k::7]) for k in range(7)]
+    wrong = [t for k, t in enumerate(others, len(secrets)) if any(found[k]._secret)]
+    assert len(wrong) <= 0.05 * len(others), wrong
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small_ = "é" * 600, "x"
     rows = [(1, "http://a/1", big), (2, "http://a/2\n", big), (3, None, None), (4, "http://a/4", small_), (5, "u", small_), (6, "v", big + "1")]
