@@ -94,12 +94,17 @@ def pcm_decode(v) -> DataFrame:
         return "concat(" + ", ".join(f"substr({h}, {k}, 2)" for k in range(15, 0, -2)) + ")"
 
     offset = turned("lpad(hex(l_orderkey * 160), 16, '0')")
-    packets = v.lineitem.where("l_linenumber <= 3").selectExpr("l_orderkey", "l_linenumber", f"concat(unhex({offset}), unhex(repeat('D204', cast(l_linenumber * 10 as int))), if(l_linenumber = 3, X'00', X'')) as p")
+    packets = v.lineitem.selectExpr("l_orderkey", "l_linenumber", f"concat(unhex({offset}), unhex(repeat('D204', cast(l_linenumber * 10 as int))), if(l_linenumber = 3, X'00', X'')) as p")
     good = packets.where("length(p) >= 10 and length(p) % 2 = 0").withColumn("h", F.expr("hex(substring(p, 1, 8))"))
     return good.selectExpr("l_orderkey", "l_linenumber", f"cast(conv({turned('h')}, 16, 10) as bigint) as sample_offset", "cast((length(p) - 8) / 2 as bigint) as samples")
 
 
-@book.frame("heartbeat_stream")
+@book.frame(
+    "heartbeat_stream",
+    """, steps AS (SELECT session_id, event_id, ts, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS before FROM v_heartbeats WHERE ts IS NOT NULL),
+runs AS (SELECT session_id, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM steps)
+SELECT session_id AS user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_heartbeat, count(*) AS beats FROM runs GROUP BY session_id, run""",
+)
 def heartbeat_stream(v) -> DataFrame:
     return heartbeat_sessions(v.spark, v.sf_dir)
 

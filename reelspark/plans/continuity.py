@@ -34,8 +34,8 @@ FROM v_sessions s LEFT JOIN lost ON s.session_id = lost.session_id""",
 SELECT s.session_id, coalesce(last, 0) > final_sequence AS excludes_audio, final_sequence * 2000 < coalesce(end_ms, 0) AS ends_early
 FROM v_sessions s LEFT JOIN ends ON s.session_id = ends.session_id
 WHERE coalesce(last, 0) > final_sequence OR final_sequence * 2000 < coalesce(end_ms, 0)""",
-    session_chunks="SELECT session_id, sequence, byte_length FROM v_chunks WHERE session_id IN (1, 2, 3, 7, 32, 64)",
-    session_gaps="SELECT session_id, gap_id, lo, hi, reason FROM v_gaps WHERE session_id IN (2, 4, 6, 32, 64)",
+    session_chunks="SELECT session_id, sequence, byte_length FROM v_chunks",
+    session_gaps="SELECT session_id, gap_id, lo, hi, reason FROM v_gaps",
     chunk_dedupe_conflict=""", ranked AS (SELECT *, row_number() OVER w AS rn, first_value(writer_id) OVER w AS w0, first_value(byte_length) OVER w AS b0
   FROM v_chunks WINDOW w AS (PARTITION BY session_id, sequence ORDER BY l_shipdate, l_partkey, writer_id, l_extendedprice, byte_length, l_discount, l_tax))
 SELECT session_id, sequence, CAST(count(CASE WHEN rn = 1 THEN 1 END) AS BIGINT) AS accepted,

@@ -42,7 +42,7 @@ WHERE j.eligible ORDER BY coalesce(j.next_attempt, 0), j.attempts, j.created_at,
     jobs_false_success="SELECT utterance_id, 'pending' AS after FROM v_jobs j WHERE state = 'succeeded' AND NOT EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = j.utterance_id)",
     jobs_backfill="SELECT u.utterance_id, CASE WHEN c.utterance_id IS NOT NULL THEN 'succeeded' ELSE 'pending' END AS state FROM v_raw_jobs u LEFT JOIN v_canonical c ON c.utterance_id = u.utterance_id",
     jobs_state_counts=f", sessions AS (SELECT DISTINCT session_id FROM v_jobs), n AS (SELECT session_id, state, count(*) AS c FROM v_jobs GROUP BY session_id, state) SELECT t.session_id, s AS state, coalesce(c, 0) AS n FROM sessions t CROSS JOIN {STATES} LEFT JOIN n ON n.session_id = t.session_id AND n.state = s",
-    jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait') AND session_id IN (1, 2, 3, 5, 8)) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
+    jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait')) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
     retry_backoff="""SELECT utterance_id, CASE WHEN k % 9 = 0 THEN 300.0 ELSE least(60.0, 2.0 * power(2, attempts)) END AS stt_delay, 5.0 * power(2, attempts) AS media_delay, 250.0 * power(2, least(attempts, 3)) AS client_ms,
   CAST(floor(least(15000, 500 * power(2, least(30, greatest(0, attempts)))) / 2 * (1 + k / 100.0) + 0.5) AS BIGINT) AS reconnect_ms, greatest(60, 20 + k + 10) AS lease FROM v_jobs""",
     error_category="""SELECT utterance_id, code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'configuration' WHEN code IN (408, 425) OR code >= 500 THEN 'transient' ELSE 'permanent' END AS category,

@@ -1,9 +1,11 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reelspark.operators.endpoint import Detector, Settings, dbfs
 from reelspark.sources.adapters import TABLES
+from reelspark.streaming.sessions import heartbeat_sessions
 from tests.conftest import SMALL
 
 OWN = [q for b in entry._BOOKS for q in b.queries]
@@ -32,6 +34,34 @@ def test_query_equals_its_oracle(spark, duck, name):
         assert plain(rows) == plain(want)
 
 
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("session_chunks", "select count(*) from lineitem"),
+        ("session_gaps", "select count(*) from orders where o_orderkey % 2 = 0"),
+        ("jobs_recent_failures", "select sum(least(n, 10)) from (select count(*) n from v_jobs where state in ('failed', 'retry_wait') group by session_id) q"),
+        ("pcm_decode", "select count(*) from lineitem where l_linenumber <> 3"),
+        ("heartbeat_stream", "select count(*) from (select ts > lag(ts) over (partition by user_id order by ts) + interval 6 hour as apart from events) q where apart or apart is null"),
+    ],
+)
+def test_query_returns_the_whole_table(spark, duck, name, want):
+    if "v_jobs" in want:
+        want = entry.oracle_sql()["jobs_eligible"].split("SELECT session_id % 2")[0] + want
+    assert entry.queries()[name](spark, SMALL).count() == duck.execute(want).fetchone()[0]
+
+
+def test_stream_closes_all_sessions(spark, tmp_path):
+    times = ["2024-01-01 00:00:00", "2024-01-01 06:00:00", "2024-01-01 12:00:01", "2024-01-03 00:00:00"]
+    rows = [(k, t, u) for u in (1, 2, None) for k, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id")
+    events.repartition(3).write.parquet(f"{tmp_path}/a/events.parquet")
+    events.limit(0).write.parquet(f"{tmp_path}/b/events.parquet")
+    got = [(r.user_id, r.beats) for r in heartbeat_sessions(spark, f"{tmp_path}/a").collect()]
+    window = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", "6 hours")).count().collect()
+    assert sorted(got, key=repr) == sorted(((r.user_id, r["count"]) for r in window), key=repr)
+    assert sum(n for _, n in got) == len(rows) and heartbeat_sessions(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
