@@ -1,0 +1,40 @@
+"""Folds over the ordered rows of a key that hold one state, not the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+
+def carry(df: DataFrame, order: list[str], ddl: str, start: Callable[[], Any], step: Callable[[Any, tuple], Iterable[tuple]], finish: Callable[[Any, Any], Iterable[tuple]]) -> DataFrame:
+    """Rows of ``ddl`` that ``step(state, row)`` and, at a key's end, ``finish(key, state)`` return.
+
+    The first column of ``df`` is the key. A key's rows pass through one task, sorted on disk if need
+    be and read batch by batch; ``start()`` makes the state, which ``step`` changes in place.
+    """
+    key = df.columns[0]
+    names = StructType.fromDDL(ddl).names
+    types = [{"bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in StructType.fromDDL(ddl)]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or row[0] != at:
+                    if state is not None:
+                        out += finish(at, state)
+                    at, state = row[0], start()
+                out += step(state, row)
+            yield packed(out)
+        if state is not None:
+            yield packed(list(finish(at, state)))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)

@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.carry import carry
+
 
 @dataclass
 class Settings:
@@ -84,22 +85,33 @@ SEGMENTS = "stream_id bigint, ordinal bigint, start_sample bigint, end_sample bi
 
 
 def segments(frames: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``frames``: stream_id, frame_no, sample_offset, size, level. A stream's frames are one
-    task's, in order; a jump of the offset drops what is in flight."""
+    """``frames``: stream_id, frame_no, sample_offset, size, level. A stream's frames pass through one
+    task in order, which holds the detector only; a jump of the offset drops what is in flight."""
     settings = settings or Settings()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        detector, end = Detector(settings), None
-        for row in pdf.sort_values("frame_no").itertuples():
-            if end is not None and row.sample_offset != end:
-                detector.reset()
-            detector.frame(int(row.sample_offset), int(row.size), float(row.level))
-            end = row.sample_offset + row.size
-        if end is not None:
-            detector.finish(int(end))
-        return pd.DataFrame([(int(pdf.stream_id.iloc[0]), k + 1, *x) for k, x in enumerate(detector.out)], columns=[c.split()[0] for c in SEGMENTS.split(", ")])
-
-    return frames.groupBy("stream_id").applyInPandas(run, SEGMENTS)
+    class Stream:
+        def __init__(self) -> None:
+            self.detector, self.end, self.n = Detector(settings), None, 0
+
+        def found(self, stream: int) -> list[tuple]:
+            out = [(stream, self.n + k + 1, *x) for k, x in enumerate(self.detector.out)]
+            self.n += len(out)
+            self.detector.out.clear()
+            return out
+
+    def step(state: Stream, row: tuple) -> list[tuple]:
+        stream, _, offset, size, level = row
+        if state.end is not None and offset != state.end:
+            state.detector.reset()
+        state.detector.frame(int(offset), int(size), math.nan if level is None else float(level))
+        state.end = offset + size
+        return state.found(stream)
+
+    def finish(stream: int, state: Stream) -> list[tuple]:
+        state.detector.finish(int(state.end))
+        return state.found(stream)
+
+    return carry(frames.select("stream_id", "frame_no", "sample_offset", "size", "level"), ["frame_no"], SEGMENTS, Stream, step, finish)
 
 
 def dbfs(samples: str = "samples"):

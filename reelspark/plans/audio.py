@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.carry import carry
 from reelspark.operators.endpoint import Settings, dbfs, segments
 from reelspark.plans.book import Book
 from reelspark.streaming.sessions import heartbeat_sessions
@@ -52,9 +54,15 @@ fold AS (SELECT stream_id, rn, CASE WHEN level >= greatest(-50.0::DOUBLE, -65.0:
 SELECT stream_id, CAST(max(speech) AS BIGINT) AS speech_frames FROM fold GROUP BY stream_id""",
 )
 def noise_floor(v) -> DataFrame:
-    levels = frames(v).groupBy("stream_id").agg(F.expr("array_sort(collect_list(struct(frame_no, level)))").alias("f"))
-    fold = """aggregate(f, named_struct('noise', -65D, 'n', 0L), (s, x) -> if(x.level >= greatest(-50D, s.noise + 12), named_struct('noise', s.noise, 'n', s.n + 1), named_struct('noise', 0.95D * s.noise + (1 - 0.95D) * x.level, 'n', s.n)))"""
-    return levels.select("stream_id", F.expr(f"{fold}.n").alias("speech_frames"))
+    def step(state: list, row: tuple):
+        level = math.nan if row[2] is None else row[2]
+        if level >= max(-50.0, state[0] + 12):
+            state[1] += 1
+        else:
+            state[0] = 0.95 * state[0] + (1 - 0.95) * level
+        return []
+
+    return carry(frames(v).select("stream_id", "frame_no", "level"), ["frame_no"], "stream_id bigint, speech_frames bigint", lambda: [-65.0, 0], step, lambda key, state: [(key, state[1])])
 
 
 @book.frame(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.carry import carry
 from reelspark.operators.ranges import compress_ranges, highest_contiguous
 from reelspark.plans.book import Book
 
@@ -135,12 +136,18 @@ SELECT event_id, CAST(epoch AS BIGINT) AS epoch, outcome FROM fold""",
 )
 def capture_epoch_fence(v) -> DataFrame:
     """Claims of a session in order: one that expects the current epoch (modulo 5 here) advances it,
-    the same writer's repeated claim is a replay, any other is stale. A session's state is folded
-    over its own ordered claims."""
-    claims = v.v_raw_jobs.selectExpr("session_id", "struct(utterance_id as event_id, k % 3 as writer, k % 5 as expected) as a")
-    ordered = claims.groupBy("session_id").agg(F.array_sort(F.collect_list("a")).alias("claims"))
-    fold = """aggregate(claims, named_struct('epoch', 0L, 'writer', -1L, 'out', cast(array() as array<struct<event_id: bigint, epoch: bigint, outcome: string>>)),
-      (s, a) -> named_struct('epoch', s.epoch + if(a.expected = s.epoch % 5, 1L, 0L), 'writer', if(a.expected = s.epoch % 5, a.writer, s.writer),
-        'out', concat(s.out, array(named_struct('event_id', a.event_id, 'epoch', s.epoch + if(a.expected = s.epoch % 5, 1L, 0L),
-          'outcome', case when a.expected = s.epoch % 5 then 'valid' when (a.expected + 1) % 5 = s.epoch % 5 and a.writer = s.writer then 'replay' else 'stale' end)))), s -> s.out)"""
-    return ordered.select(F.explode(F.expr(fold)).alias("x")).select("x.*")
+    the same writer's repeated claim is a replay, any other is stale. Only a session's epoch and
+    writer are held while its ordered claims pass."""
+
+    def step(state: list, row: tuple):
+        _, event, writer, expected = row
+        outcome = "stale"
+        if expected == state[0] % 5:
+            state[:] = [state[0] + 1, writer]
+            outcome = "valid"
+        elif expected is not None and (expected + 1) % 5 == state[0] % 5 and writer == state[1]:
+            outcome = "replay"
+        return [(event, state[0], outcome)]
+
+    claims = v.v_raw_jobs.selectExpr("session_id", "utterance_id as event_id", "k % 3 as writer", "k % 5 as expected")
+    return carry(claims, ["event_id", "writer", "expected"], "event_id bigint, epoch bigint, outcome string", lambda: [0, -1], step, lambda key, state: [])

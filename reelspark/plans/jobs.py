@@ -75,8 +75,9 @@ ends AS (SELECT session_id, max(rn) AS rn FROM fold GROUP BY session_id)
 SELECT f.session_id, f.state, CAST(f.attempts AS BIGINT) AS attempts FROM fold f JOIN ends e ON e.session_id = f.session_id AND e.rn = f.rn""",
 )
 def job_replay(v) -> DataFrame:
-    """Final state of a job from its ordered attempts: permanent errors and the fifth attempt end it."""
-    tries = v.v_raw_jobs.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("utterance_id", "k"))).alias("tries"))
-    fold = """aggregate(tries, named_struct('state', 'pending', 'attempts', 0L), (s, a) -> if(s.state in ('failed', 'succeeded'), s, named_struct(
-      'state', case when a.k % 10 = 0 or s.attempts >= 4 then 'failed' when a.k % 3 = 0 then 'succeeded' else 'retry_wait' end, 'attempts', s.attempts + 1)))"""
-    return tries.select("session_id", F.expr(fold).alias("s")).select("session_id", "s.state", "s.attempts")
+    """Final state of a job from its ordered attempts: permanent errors and the fifth attempt end it,
+    so no more than five attempts are read."""
+    tries = v.v_raw_jobs.selectExpr("session_id", "k", "row_number() over (partition by session_id order by utterance_id, k) as rn").where("rn <= 5")
+    ending = "min(case when k % 10 = 0 or k % 3 = 0 or rn = 5 then struct(rn, if(k % 10 = 0 or rn = 5, 'failed', 'succeeded') as state) end) as e"
+    ends = tries.groupBy("session_id").agg(F.expr(ending), F.max("rn").alias("n"))
+    return ends.selectExpr("session_id", "coalesce(e.state, 'retry_wait') as state", "cast(coalesce(e.rn, n) as bigint) as attempts")

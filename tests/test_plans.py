@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from reelspark.operators.endpoint import Detector, Settings, dbfs
+from reelspark.operators.endpoint import Detector, Settings, dbfs, segments
 from reelspark.sources.adapters import TABLES
 from reelspark.streaming.sessions import heartbeat_sessions
 from tests.conftest import SMALL
@@ -62,6 +62,33 @@ def test_stream_closes_all_sessions(spark, tmp_path):
     assert sum(n for _, n in got) == len(rows) and heartbeat_sessions(spark, f"{tmp_path}/b").count() == 0
 
 
+@pytest.mark.parametrize("name", ["capture_epoch_fence", "job_replay", "noise_floor", "vad_endpoint"])
+def test_no_task_holds_a_whole_session(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsIn" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_state_is_carried_over_batches(spark, duck, size):
+    rows = [(s, n, n * 320, 320, float(-90 + (n * 37 + s * 11 + n // 9 * 50) % 100)) for s in (1, 2) for n in range(300)]
+    want = []
+    for stream in (1, 2):
+        detector = Detector(Settings(pre_roll=40, min_voiced=40, silence=60, hard_max=2000))
+        for _, _, *frame in rows[300 * (stream - 1) : 300 * stream]:
+            detector.frame(*frame)
+        detector.finish(300 * 320)
+        want += [(stream, k + 1, *x) for k, x in enumerate(detector.out)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        frames = spark.createDataFrame(rows[::-1], "stream_id bigint, frame_no bigint, sample_offset bigint, size bigint, level double")
+        got = segments(frames, Settings(pre_roll=40, min_voiced=40, silence=60, hard_max=2000)).collect()
+        assert len(want) > 4 and sorted(map(tuple, got)) == want
+        for name in ("capture_epoch_fence", "noise_floor"):
+            test_query_equals_its_oracle(spark, duck, name)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
