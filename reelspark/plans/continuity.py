@@ -57,7 +57,7 @@ FROM v_segments s JOIN again a ON s.session_id = a.session_id AND s.producer_key
 SELECT session_id, sequence, writer_id, byte_length FROM ranked WHERE rn = 1""",
     upload_progress_max=""", steps AS (SELECT session_id, event_id, (event_id * 7919) % 100000 AS offset_bytes, 1 + (session_id * 104729) % 100000 AS declared FROM v_heartbeats)
 SELECT event_id, max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS received,
-       CAST(floor(100.0 * max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / declared) AS BIGINT) AS percent
+       least(99, greatest(0, CAST(floor(100.0 * max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / declared) AS BIGINT))) AS percent
 FROM steps""",
     chunk_validate="""SELECT CASE WHEN c.byte_length <= 0 THEN 'empty' WHEN c.byte_length > 45 THEN 'too_large' WHEN c.end_ms < c.start_ms THEN 'bad_time'
        WHEN s.state = 'complete' THEN 'closed' WHEN s.state = 'finalizing' AND c.sequence > s.final_sequence THEN 'beyond_boundary' ELSE 'accepted' END AS outcome, count(*) AS n

@@ -67,7 +67,8 @@ FROM (SELECT DISTINCT 'v' || CAST(p_size AS VARCHAR(20)) || '.' || CAST(p_partke
     version_latest=""", p AS (SELECT p_size AS major, p_partkey % 9 AS minor, CASE p_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'rc' ELSE 'stable' END AS channel, p_partkey % 13 AS pre FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY major DESC, minor DESC, pre DESC) AS rn FROM p)
 SELECT channel, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(pre AS BIGINT) AS pre FROM r WHERE rn = 1""",
-    duration_label="""SELECT session_id, sequence, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR(20)) || ' h ' ELSE '' END || CAST((s // 60) % 60 AS VARCHAR(20)) || ' min' AS label FROM (SELECT session_id, sequence, end_ms // 1000 AS s FROM v_segments) d""".replace("s // 3600", "CAST(floor(s / 3600) AS BIGINT)").replace("(s // 60)", "CAST(floor(s / 60) AS BIGINT)").replace("end_ms // 1000", "CAST(floor(end_ms / 1000) AS BIGINT)"),
+    duration_label="""SELECT session_id, sequence, CASE WHEN h < 10 THEN '0' ELSE '' END || CAST(h AS VARCHAR(20)) || ':' || lpad(CAST(m AS VARCHAR(20)), 2, '0') || ':' || lpad(CAST(s AS VARCHAR(20)), 2, '0') AS label
+FROM (SELECT session_id, sequence, CAST(floor(end_ms / 3600000) AS BIGINT) AS h, CAST(floor(end_ms / 60000) AS BIGINT) % 60 AS m, CAST(floor(end_ms / 1000) AS BIGINT) % 60 AS s FROM v_segments) d""",
     discontinuities=""", d AS (SELECT session_id, event_id, lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id) AS before FROM v_heartbeats)
 SELECT session_id, count(CASE WHEN before IS NOT NULL AND event_id <> before + 1 THEN 1 END) AS jumps, count(CASE WHEN before IS NULL OR event_id <> before + 1 THEN 1 END) AS episodes FROM d GROUP BY session_id""",
 )

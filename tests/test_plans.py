@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reelspark.operators.endpoint import Detector, Settings, dbfs, segments
-from reelspark.sources.adapters import TABLES
+from reelspark.sources.adapters import TABLES, Views
 from reelspark.streaming.sessions import heartbeat_sessions
 from tests.conftest import SMALL
 
@@ -89,6 +89,13 @@ def test_state_is_carried_over_batches(spark, duck, size):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_labels_of_duration_and_progress(spark):
+    ends = {(r.session_id, r.sequence): r.end_ms // 1000 for r in Views(spark, SMALL).v_segments.collect()}
+    got = {(r.session_id, r.sequence): r.label for r in entry.queries()["duration_label"](spark, SMALL).collect()}
+    assert got == {k: f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}" for k, s in ends.items()}
+    assert max(r.percent for r in entry.queries()["upload_progress_max"](spark, SMALL).collect()) == 99
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
