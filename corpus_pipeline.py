@@ -31,7 +31,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of other domains than clean, good ones are thinned to the target weights."""
+    """Documents of other domains than clean, good ones are thinned or repeated to the target weights."""
     return thin(docs, table(spark, sf_dir, "labels"))
 
 

@@ -9,6 +9,7 @@ from its posteriors and the list of the steps.
 
 from __future__ import annotations
 
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +28,8 @@ DECAY = 1e-5
 #: Steps at most, and the largest miss of a target, as a share of all tokens, that ends them.
 ROUNDS = 20
 MISS = 1e-4
+#: Rows of a batch of copies at most.
+COPIED_ROWS = 256
 
 #: Target weights of the domains of the registered query: quality and toxic of the labelled table.
 TARGETS = {"q1t0": 0.86, "q0t0": 0.10, "q1t1": 0.03, "q0t1": 0.01}
@@ -122,7 +125,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
 
     Projected gradient of the squared misses, scaled by each document's tokens and by the inverse of
     the domains' second moments among documents with a positive rate. A step after which the misses
-    are larger is halved.
+    are larger is halved. What is missed at the end beyond MISS is told by a warning.
     """
     k = len(targets)
     kind = ", ".join(f"v{i} double" for i in range(k + k * k + 1))
@@ -160,6 +163,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
             break
         steps, total, square = [*steps, step], after, square_after
         miss = np.abs(total - targets).max()
+    if miss > MISS * n:
+        warnings.warn(f"rates miss their targets by {miss / n:.4f} of all tokens at most", stacklevel=2)
     return steps
 
 
@@ -205,10 +210,11 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, targets: dict[
 
 
 def thin(docs: DataFrame, labels: DataFrame, whole: str = "q1t0", domain: str = DOMAIN, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, all columns, that the fitted rates keep, once each.
+    """The rows of ``docs``, all columns, each as often as the fitted rates say (copies of a row stand
+    one after the other).
 
-    The targets sum to what leaves the domain ``whole`` its present tokens, so others are thinned to
-    their weights beside it. Rows keep as :func:`mix`'s copies say. Without labelled rows, or none in ``whole``,
+    The targets sum to what leaves the domain ``whole`` its present tokens, so others are thinned,
+    or repeated where they are too scarce, to their weights beside it. Without labelled rows, or none in ``whole``,
     all stay. Posteriors are taken anew beside the texts, so that no text is shuffled.
     """
     model = fit_classifier(docs, labels, domain)
@@ -225,7 +231,9 @@ def thin(docs: DataFrame, labels: DataFrame, whole: str = "q1t0", domain: str =
             model, fit = shared.value
             rate = rates(members(batch, model)[1], fit)
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy()
-            yield batch.filter(pa.array(copies_of(ids, rate) > 0))
+            at = np.repeat(np.arange(batch.num_rows), copies_of(ids, rate))
+            for k in range(0, len(at), COPIED_ROWS):
+                yield batch.take(pa.array(at[k : k + COPIED_ROWS]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -172,6 +172,23 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS), none).count() == 0
 
 
+def test_mixing_stage_meets_targets_by_rows(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    targets = {"q1t0": 0.5, "q0t0": 0.4, "q1t1": 0.06, "q0t1": 0.04}
+    model = mixing.fit_classifier(d, labels, mixing.DOMAIN)
+    got = mixing.thin(d, labels, targets=targets).cache()
+    total = np.sum([r.n_tokens * np.array(r.posteriors) for r in mixing.posteriors(got, model).collect()], axis=0)
+    want = np.array([targets[x] for x in model.domains])
+    assert np.abs(total / total.sum() - want / want.sum()).max() < 0.03, (model.domains, total / total.sum())
+    assert got.exceptAll(d).count() > 0 and got.select("doc_id").subtract(d.select("doc_id")).count() == 0
+
+
+def test_rates_that_miss_are_told(spark):
+    known = spark.createDataFrame([(k, 100, [1.0, 0.0]) for k in range(5)], "doc_id bigint, n_tokens bigint, posteriors array<double>")
+    with pytest.warns(UserWarning, match="miss their targets by 0.5"):
+        mixing.fit_rates(known, np.array([250.0, 250.0]))
+
+
 def test_secrets(spark):
     forest = secret_scans.train(secret_scans.labelled_findings(spark))
     key = hashlib.sha256(b"k").hexdigest()[:40]
