@@ -1,16 +1,19 @@
 """N-gram Jaccard join (operator 9): rare-first prefix filtering with length, positional and
 suffix filters, joined on prefix n-grams, each pair verified once.
 
-Documents are sets of word shingles. Two sets with Jaccard similarity >= t share an n-gram
-among the first ``n - ceil(t n) + 1`` of each, in any order common to all documents; rare
-n-grams come first here, by a count sketch of fixed size over all documents, so an n-gram
-that very many documents have is in few prefixes.
-
-A group of G similar documents would make G * G / 2 pairs. Only classes of equal texts enter,
-each prefix n-gram's documents are compared with one pivot, and what that leaves in different
-components is compared with several further pivots a round while there are many such pairs and a round halves
-them, then pair by pair.
-No link between components is lost, and rows stay in proportion to the prefixes.
+Documents are sets of word shingles. Two sets with Jaccard similarity >= t share an n-gram among the
+first ``n - ceil(t n) + 1`` of each, in any order common to all sets. The order here is by the exact
+number of different texts that have an n-gram, so those that no other text has come first and join
+with nothing: a text that has too many of them leaves at once. What two sets can still share behind
+a common n-gram is bounded by their sizes (length), by how many shared n-grams stand before and
+after it (positional), and by all their shared n-grams (suffix).
+
+A group of G similar texts would make G * G / 2 pairs. Only one of equal texts enters, and where more
+than FEW of them meet at an n-gram, each is compared with one pivot, the text with the fewest n-grams
+of its own. Two texts of which one does not link with the pivot can only link if they share an n-gram
+outside the pivot, or if their overlap lies in the pivot whole; either way they meet again in a
+smaller group, whose pivot is another one (:func:`links_of`). No link between components is lost,
+and rows stay in proportion to the prefixes.
 """
 
 from __future__ import annotations
@@ -18,31 +21,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import Words, column, cut, digest, id_bitmap, kept_by, partitions, small_batches, table, window_hashes, word_table
+from reelspark.llm.common import Words, column, cut, digest, mix, partitions, small_batches, table, window_hashes, word_table
 from reelspark.llm.components import connected_components
-from reelspark.llm.substring_dedup import pack, pack_sorted, unpack, unpack_sorted
+from reelspark.llm.substring_dedup import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 #: Shingle size in words, and the similarity as a percentage.
 SHINGLE_WORDS = 5
 PERCENT = 75
-#: Counters of the frequency sketch (2 MB), in blocks of 4096 for the sum over tasks.
-SKETCH = 1 << 18
-BLOCK = 4096
-#: Documents of one n-gram that go to a group; an n-gram that the sketch counts oftener is salted.
-HOT = 50_000
-#: Further pivots of an n-gram in one round, such rounds at most, and pairs for each posting up to
-#: which the rest is compared pair by pair.
-PIVOTS = 4
-PIVOT_ROUNDS = 4
-PAIRS_PER_POSTING = 4
-#: Postings that meet in one bucket.
-BUCKET_POSTINGS = 1_000_000
+#: N-grams that meet in one bucket, and that a task gathers before it sends them.
+BUCKET_GRAMS = 3_000_000
+FLUSH_GRAMS = 2_500_000
+#: N-grams that tasks report as frequent have this count there at least; of those, at most MOST_HOT
+#: are in HOT_LEAST texts or more and go by document, not by n-gram (24 MB at most are broadcast).
+REPORT = 8
+HOT_LEAST = 1000
+MOST_HOT = 2_000_000
+#: Texts at one n-gram that are compared with each other, at first and in later levels; levels of
+#: pivots, after which what is left is compared pair by pair.
+FEW = 8
+FEW_LATER = 32
+LEVELS = 8
+
+_BLOB = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def grams_of(words: Words, k: int, size: int) -> np.ndarray:
@@ -50,201 +55,292 @@ def grams_of(words: Words, k: int, size: int) -> np.ndarray:
     own = words.of(k)
     if not len(own):
         return np.empty(0, np.uint64)
-    grams = np.sort(window_hashes(own, min(size, len(own))))
+    grams = np.sort(window_hashes(own, min(size, len(own))) >> np.uint64(8))
     new = np.ones(len(grams), bool)
     np.not_equal(grams[1:], grams[:-1], out=new[1:])
     return grams[new]
 
 
-class Sketch:
-    """Counts of documents by n-gram hash modulo SKETCH, in blocks for the sum over the tasks."""
+def changes(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the arrays; the first row does."""
+    new = np.ones(len(sorted_arrays[0]), bool)
+    if len(new):
+        new[1:] = np.any([a[1:] != a[:-1] for a in sorted_arrays], axis=0)
+    return new
+
+
+class Frequent:
+    """N-grams that a task's texts have REPORT times or more within a stretch of FLUSH_GRAMS."""
 
     def __init__(self) -> None:
-        self.counts = np.zeros(SKETCH, np.int64)
         self.held: list[np.ndarray] = []
         self.n = 0
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, grams: np.ndarray) -> None:
-        self.held.append(slots(grams))
+        self.held.append(grams)
         self.n += len(grams)
-        if self.n > SKETCH:
+        if self.n > FLUSH_GRAMS:
             self.settle()
 
     def settle(self) -> None:
         if self.held:
-            self.counts += np.bincount(np.concatenate(self.held), minlength=SKETCH)
+            grams = np.sort(np.concatenate(self.held))
+            start = np.flatnonzero(changes(grams))
+            count = np.diff(np.append(start, len(grams)))
+            often = count >= REPORT
+            self.found.append((grams[start[often]], count[often]))
         self.held, self.n = [], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows of the facts' kind: null doc_id, the n-gram as ``rep``, its count as ``n_words``."""
         self.settle()
-        blocks = SKETCH // BLOCK
-        payload = [self.counts[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32 if self.counts.max() < 1 << 32 else np.uint64).tobytes() for b in range(blocks)]
-        none = pa.nulls(blocks, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(range(blocks), pa.int64()), pa.nulls(blocks, pa.binary()), none, none, pa.array(payload, pa.binary()), pa.nulls(blocks, pa.string())], schema=copies.SCHEMA)
+        for grams, count in self.found:
+            null = lambda kind, n=len(grams): pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([null(pa.int64()), pa.array(grams.view(np.int64)), null(pa.binary()), pa.array(count, pa.int64()), null(pa.int64()), null(pa.binary()), null(pa.string())], schema=copies.SCHEMA)
 
 
-def slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(8)).astype(np.int64) & (SKETCH - 1)
+def short_digest(data: bytes) -> int:
+    """The first 64 bits of a digest, by which texts go through the shuffles."""
+    return int.from_bytes(data[:8], "little", signed=True)
 
 
 def document_facts(size: int):
-    """Facts of each document and, with null doc_id, the task's sketch of n-gram counts."""
+    """Facts of each document and, with null doc_id, the task's frequent n-grams."""
 
     def run(batches):
-        counts = Sketch()
+        frequent = Frequent()
 
         def extra(words, k):
             grams = grams_of(words, k, size)
-            if not len(grams):
-                return 0, None
-            counts.add(grams)
-            places = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
-            return len(grams), np.minimum(places, 255).astype(np.uint8).tobytes()
+            frequent.add(grams)
+            return len(grams), None
 
-        yield from copies.facts(True, extra, more=counts.rows)(batches)
+        for batch in copies.facts(True, extra, more=frequent.rows)(batches):
+            keys = [None if d is None else short_digest(d) for d in column(batch, "digest")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "fp"])
 
     return run
 
 
-def summed_sketch(rows: DataFrame) -> np.ndarray:
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for counts in t["sig"].to_pylist():
-            total += np.frombuffer(counts, np.uint32 if len(counts) == 4 * BLOCK else np.uint64).astype(np.int64)
-        return pa.table({"block": t["rep"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    blocks = rows.where("doc_id is null").select("rep", "sig").groupBy("rep").applyInArrow(add, "block bigint, counts binary").collect()
-    out = np.zeros(SKETCH, np.int64)
-    for r in blocks:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.counts), np.int64)
-    return out
-
-
-def planes(values: np.ndarray) -> np.ndarray:
-    """Bytes of the values, all first ones, all second ones...: those that are alike compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).reshape(-1)
-
-
-def unplanes(data: np.ndarray, kind: type) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(data.reshape(wide, -1).T).reshape(-1).view(kind)
+def gram_blobs(docs: DataFrame, hot: np.ndarray, size: int, buckets: int) -> DataFrame:
+    """Blobs of (n-gram, text) by ranges of the n-gram, one for each bucket and FLUSH_GRAMS of a task.
 
-
-def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, buckets: int) -> DataFrame:
-    """Blobs of (n-gram, document, its set's size, position) of the prefixes of each task's first copies.
-
-    An n-gram that the sketch counts more than HOT times is dealt to several buckets.
+    A text is named by 64 bits of its digest. Its set's size, and which hot n-grams it has, go to
+    the bucket of that name instead.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    noise = float(counts.mean() + 6 * counts.mean() ** 0.5)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        known, held, n_held, seen = shared.value, [], 0, set()
+        hot, held, names, n_held, seen = shared.value, [], [], 0, set()
 
         def flush():
-            grams, salt, doc, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            bucket = (bucket + np.maximum(salt, 0)) % buckets
-            order = np.lexsort((grams, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            sizes = np.array([len(g) for g in held])
+            grams, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+            fps = np.array(names, np.int64)
+            own_bucket = home_of(fps, buckets)
+            is_hot = numbered(hot, grams) >= 0
+            hot_gram, hot_owner = grams[is_hot], owner[is_hot]
+            grams, owner = grams[~is_hot], owner[~is_hot]
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            edges = bucket_edges(grams, buckets, 56)
+            hot_bucket = own_bucket[hot_owner]
             for b in range(buckets):
-                own = order[edges[b] : edges[b + 1]]
-                for part, hot in ((own[salt[own] < 0], 0), (own[salt[own] >= 0], 1)):
-                    if len(part):
-                        blob = pack(planes(doc[part]), planes(n[part]), planes(pos[part]), *pack_sorted(grams[part] >> np.uint64(8)))
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([hot], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "hot", "payload"])
+                lo, hi = edges[b], edges[b + 1]
+                own, at = np.flatnonzero(own_bucket == b), np.flatnonzero(hot_bucket == b)
+                if lo == hi and not len(own):
+                    continue
+                there = np.zeros(len(fps), bool)
+                there[owner[lo:hi]] = True
+                place = (np.cumsum(there) - 1).astype(np.uint16 if len(fps) < 1 << 16 else np.uint32)
+                payload = pack(fps[there], place[owner[lo:hi]], fps[own], sizes[own].astype(np.int32), fps[hot_owner[at]], hot_gram[at], *pack_sorted(grams[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], schema=_BLOB)
 
         for batch in small_batches(batches):
             words = word_table(batch, lower=True)
-            for k, doc in enumerate(column(batch, "doc_id")):
+            for k in range(batch.num_rows):
                 if (key := digest(words.of(k))) in seen:
                     continue
                 seen.add(key)
                 grams = grams_of(words, k, size)
-                if not (n := len(grams)):
+                if not len(grams):
                     continue
-                often = known[slots(grams)]
-                prefix = n + (-percent * n) // 100 + 1
-                first = np.lexsort((grams, often))[:prefix]
-                salts = np.maximum(1, (often[first] - noise) / HOT).astype(np.int64)
-                held.append((grams[first], np.where(salts > 1, doc % salts, -1), np.full(len(first), doc, np.int64), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-                n_held += len(first)
-            if n_held > 1_000_000:
-                yield from flush()
-                held, n_held = [], 0
+                held.append(grams)
+                names.append(short_digest(key))
+                n_held += len(grams)
+                if n_held > FLUSH_GRAMS:
+                    yield from flush()
+                    held, names, n_held = [], [], 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "bucket int, hot int, payload binary")
-
-
-def shared_grams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the n-grams of several documents (of any, if dealt to several buckets), each
-    document beside the n-gram's first one there, its pivot."""
-    parts = [unpack(p) for p in pdf["payload"]]
-    grams = [unpack_sorted(p[3:]) for p in parts]
-    hot = np.repeat(pdf["hot"].to_numpy() > 0, [len(g) for g in grams])
-    gram, doc = np.concatenate(grams), np.concatenate([unplanes(p[0], np.int64) for p in parts])
-    n, pos = (np.concatenate([unplanes(p[k], np.int32) for p in parts]) for k in (1, 2))
-    order = np.argsort(gram, kind="stable")
-    same = gram[order][1:] == gram[order][:-1]
-    several = np.zeros(len(gram), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    keep = order[several | hot[order]]
-    keep = keep[np.lexsort((doc[keep], gram[keep]))]
-    gram, doc, n, pos = gram[keep], doc[keep], n[keep], pos[keep]
-    new = np.ones(len(gram), bool)
-    new[1:] = gram[1:] != gram[:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-    return pd.DataFrame({"gram": gram.view(np.int64), "doc": doc, "n": n, "pos": pos, "pdoc": doc[lead], "pn": n[lead], "ppos": pos[lead]})
-
-
-def may_link(n: str, pos: str, m: str, at: str, percent: int) -> str:
-    """Length and positional filter for a shared n-gram at ``pos`` of ``n`` and ``at`` of ``m``."""
-    most = f"(least({pos}, {at}) + least({n} - {pos}, {m} - {at}))"
-    return f"100L * least({n}, {m}) >= {percent}L * greatest({n}, {m}) and {100 + percent}L * {most} >= {percent}L * ({n} + {m})"
-
-
-def verified(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link. The suffix filter comes first: by counts of
-    the n-grams in 256 ranges of their hash, how many two sets can share at most (255: unknown);
-    what passes is judged once by the whole sets."""
-
-    def may_share(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(column(batch, c)), np.uint8).reshape(-1, 256).astype(np.int64) for c in ("x", "y"))
-            full = ((x == 255) | (y == 255)).any(axis=1)
-            n = np.array(column(batch, "n")) + np.array(column(batch, "m"))
-            keep = full | ((100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * n)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda d, x, n: sigs.select(F.col("doc").alias(d), F.col("sig").alias(x), F.col("n").alias(n))
-    near = pairs.join(side("a", "x", "n"), "a").join(side("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-    near = cut(near.mapInArrow(may_share, "a bigint, b bigint"))
-    ids = near.select(F.col("a").alias("doc")).union(near.select("b"))
-    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc"))
-
-    def sets(batches):
-        for batch in kept_by(bits.value)(batches):
-            for part in small_batches([batch]):
-                words = word_table(part, lower=True)
-                grams = [grams_of(words, k, size).tobytes() for k in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(column(part, "doc_id"), pa.int64()), pa.array(grams, pa.binary())], names=["doc", "grams"])
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                keep.append((100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([pa.array(column(batch, n), pa.int64()).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")], names=["u", "v"])
-
-    grams = cut(docs.mapInArrow(sets, "doc bigint, grams binary"))
-    with_y = near.join(grams.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
-    both = with_y.join(grams.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "u bigint, v bigint")
+    return docs.mapInArrow(run, "bucket int, payload binary")
+
+
+def home_of(fps: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(fps.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+
+def numbered(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value among the sorted ones, or -1."""
+    if not len(sorted_values):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == values, at, -1)
+
+
+def several_texts(hot_frame, homes: int):
+    """A function over one bucket: the n-grams that several texts have, with how many, packed by the
+    home of the texts; what goes by text passes through."""
+
+    def run(t: pa.Table) -> pa.Table:
+        hot_grams, hot_counts = hot_frame.value
+        parts = [unpack(p.as_py()) for p in t["payload"]]
+        grams = [unpack_sorted(p[6:]) for p in parts]
+        fp = np.concatenate([p[0][p[1]] for p in parts])
+        gram = np.concatenate(grams)
+        order = np.lexsort((fp, gram))
+        gram, fp = gram[order], fp[order]
+        keep = changes(gram, fp)  # equal texts come from several tasks
+        gram, fp = gram[keep], fp[keep]
+        start = np.flatnonzero(changes(gram))
+        count = np.diff(np.append(start, len(gram)))
+        df = np.repeat(count, count)
+        keep = df > 1
+        own_fp, own_n, hot_fp, hot_gram = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+        fp, gram = np.concatenate([fp[keep], hot_fp]), np.concatenate([gram[keep], hot_gram])
+        df = np.concatenate([df[keep], hot_counts[numbered(hot_grams, hot_gram)] if len(hot_gram) else np.empty(0, np.int64)])
+        df = np.minimum(df, (1 << 32) - 1).astype(np.uint32)
+        home, own_home = home_of(fp, homes), home_of(own_fp, homes)
+        order, own_order = np.lexsort((fp, home)), np.argsort(own_home, kind="stable")
+        edges, own_edges = (np.searchsorted(h[o], np.arange(homes + 1)) for h, o in ((home, order), (own_home, own_order)))
+        out: list[tuple[int, bytes]] = []
+        for h in range(homes):
+            at, own = order[edges[h] : edges[h + 1]], own_order[own_edges[h] : own_edges[h + 1]]
+            if len(at) or len(own):
+                begin = np.flatnonzero(changes(fp[at]))
+                runs = np.diff(np.append(begin, len(at))).astype(np.int32)
+                out.append((h, pack(fp[at][begin], runs, gram[at], df[at], own_fp[own], own_n[own])))
+        return pa.table([pa.array([h for h, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["home", "payload"])
+
+    return run
+
+
+def candidates(percent: int):
+    """A function over one home: the texts of which others have enough n-grams, each with its set's
+    size and the shared n-grams, rarest first."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unpack(p.as_py()) for p in t["payload"]]
+        fp = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        gram, df = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        own_fp, own_n = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])
+        own_fp, first = np.unique(own_fp, return_index=True)
+        own_n = own_n[first].astype(np.int64)
+        order = np.lexsort((gram, df, fp))
+        fp, gram = fp[order], gram[order]
+        keep = changes(fp, gram)
+        fp, gram = fp[keep], gram[keep]
+        begin = np.flatnonzero(changes(fp))
+        shared = np.diff(np.append(begin, len(fp)))
+        n = own_n[numbered(own_fp, fp[begin])]
+        alive = 100 * shared >= percent * n
+        rows = np.repeat(alive, shared)
+        offsets = np.concatenate([[0], np.cumsum(shared[alive])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(gram[rows].view(np.int64)))
+        return pa.table([pa.array(fp[begin][alive]), pa.array(n[alive]), lists], names=["fp", "n", "grams"])
+
+    return run
+
+
+def candidate_sets(docs: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cls, n, s, k, grams) of the texts that may link with another: the least doc_id with that
+    text, the set's size, the number of its n-grams that other texts have too, how many of these
+    are in the prefix, and they themselves, rarest first. ``texts`` has fp and first."""
+    spark = docs.sparkSession
+    total = facts.where("digest is not null").agg(F.sum("n_extra")).first()[0] or 0
+    reported = facts.where("doc_id is null").groupBy(F.col("rep").alias("gram")).agg(F.sum("n_words").alias("n"))
+    hot = reported.where(F.col("n") >= max(HOT_LEAST, total // MOST_HOT + 1)).toArrow()
+    hot_grams, counts = hot["gram"].to_numpy().view(np.uint64), hot["n"].to_numpy()
+    order = np.argsort(hot_grams)
+    shared = spark.sparkContext.broadcast((hot_grams[order], counts[order]))
+    buckets = partitions(spark, total, BUCKET_GRAMS)
+    blobs = gram_blobs(docs, hot_grams[order], size, buckets)
+    found = blobs.groupBy("bucket").applyInArrow(several_texts(shared, buckets), "home int, payload binary")
+    sets = found.groupBy("home").applyInArrow(candidates(percent), "fp bigint, n bigint, grams array<bigint>")
+    own = sets.join(texts, "fp").select(F.col("first").alias("cls"), "n", F.size("grams").cast("bigint").alias("s"), "grams")
+    return cut(own.select("cls", "n", "s", F.expr(f"s - ({percent} * n + 99) div 100 + 1").alias("k"), "grams"))
+
+
+def may_share(n: str, m: str, most: str, percent: int) -> str:
+    """Whether sets of ``n`` and ``m`` n-grams that share ``most`` at most can link."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * ({most}) >= {percent} * ({n} + {m})"
+
+
+def links_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between the classes of ``sets`` that connect all that are connected.
+
+    Level by level, postings (key, class) meet at their key, at first a prefix n-gram. A small group's
+    pairs are verified. In a larger one each class x is compared with the pivot p. Be E the n-grams of
+    the pivots on the way here and e how many x has in E. Pairs that both link with p are done. Any
+    other that links shares
+    - an n-gram outside E: at least ceil(t n) - e of them, so it is among the first of x's n-grams
+      outside E, as many as its prefix has, and these are x's postings of the next level, or
+    - n-grams of E alone: then its overlap is e at most, and those whose e suffices for some size of
+      partner meet in one group with another pivot. At the first level the partner of a class that
+      does not link with p must be smaller than p.
+    After LEVELS levels groups of any size are compared pair by pair.
+    """
+    spark = sets.sparkSession
+    whole = sets.select("cls", "n", "s", "k", "grams")
+    side = lambda name, *more: sets.select(F.col("cls").alias(name), *(F.col(a).alias(b) for a, b in more))
+    links: list[DataFrame] = []
+    posts = whole.select(F.lit(0).cast("bigint").alias("chain"), "cls", "n", "s", "k", F.lit(False).alias("linked"), F.posexplode(F.expr("slice(grams, 1, cast(k as int))")).alias("i", "key"))
+    rest = None
+    for level in range(LEVELS + 1):
+        few = FEW if level == 0 else FEW_LATER
+        best = F.min(F.struct(F.col("linked"), (F.col("n") - F.col("s")) / F.col("n"), F.xxhash64("cls", F.lit(level)).alias("h"), F.col("cls")))
+        heads = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("linked").alias("done"), best.alias("best"))
+        heads = heads.where("c > 1 and not done").select("key", "c", F.col("best.cls").alias("pivot"))
+        met = cut(posts.join(heads, "key"))
+        if not met.limit(1).count():
+            break
+        last = level == LEVELS
+        likely = may_share("x.n", "y.n", "least(x.i, y.i) + least(x.s - x.i, y.s - y.i)" if level == 0 else "least(x.s, y.s)", percent)
+        own = F.struct("cls", "n", "s", "i", "linked")
+        small = met if last else met.where(f"c <= {few}")
+        if last:
+            one, two = small.select("key", own.alias("x")), small.select("key", own.alias("y"))
+            pairs = one.join(two, "key").where(f"x.cls < y.cls and not (x.linked and y.linked) and {likely}").select("x", "y")
+        else:
+            groups = small.groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("g"))
+            two = F.expr(f"filter(flatten(transform(g, (x, j) -> transform(slice(g, j + 2, size(g)), y -> struct(x as x, y as y)))), p -> (not (p.x.linked and p.y.linked)) and {likely.replace('x.', 'p.x.').replace('y.', 'p.y.')})")
+            pairs = groups.select(F.explode(two).alias("p")).select("p.x", "p.y")
+        pairs = pairs.select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct()
+        both = pairs.join(side("u", ("n", "n"), ("grams", "x")), "u").join(side("v", ("n", "m"), ("grams", "y")), "v")
+        links.append(cut(both.where(f"{100 + percent} * size(array_intersect(x, y)) >= {percent} * (n + m)").select("u", "v")))
+        if last:
+            break
+        star = met.where(f"c > {few} and cls <> pivot").select("chain", "cls", "pivot").distinct()
+        star = star.join(whole, "cls")
+        star = star.withColumn("rest", F.col("grams")) if rest is None else star.join(rest, ["chain", "cls"])
+        star = star.join(side("pivot", ("n", "m"), ("grams", "p")), "pivot")
+        star = star.withColumn("linked", F.expr(f"{100 + percent} * size(array_intersect(grams, p)) >= {percent} * (n + m)"))
+        star = cut(star.select(F.xxhash64("chain", "pivot").alias("chain"), "cls", "pivot", "n", "s", "k", "m", "linked", F.array_except("rest", "p").alias("rest")))
+        links.append(star.where("linked").select(F.col("cls").alias("u"), F.col("pivot").alias("v")))
+        sizes = star.groupBy("chain").agg(F.min("n").alias("least"), F.min(F.expr("case when not linked then n end")).alias("least_open"))
+        star = star.join(sizes.where("least_open is not null"), "chain").withColumn("e", F.expr("s - size(rest)"))
+        kept = ["chain", "cls", "n", "s", "k", "linked"]
+        outside = star.select(*kept, F.explode(F.expr("slice(rest, 1, cast(k as int))")).alias("gram")).select(*kept, F.lit(0).alias("i"), F.xxhash64("chain", "gram").alias("key"))
+        reach = f"{100 + percent} * e >= {percent} * (n + if(linked, least_open, least))" + (" and (not linked or n < m)" if level == 0 else "")
+        inside = star.where(reach).select(*kept, F.lit(0).alias("i"), F.xxhash64("chain", F.lit("inside")).alias("key"))
+        posts = cut(outside.unionByName(inside))
+        rest = star.select("chain", "cls", "rest")
+    out = spark.createDataFrame([], "u bigint, v bigint") if not links else links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -254,69 +350,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
     shingles; fewer words make one shingle of them all. ``component_id`` is the least doc_id
     reachable by links, itself included; a document without words (null, empty, white space)
     links with nothing and is its own component, though its equals are many. Rows
-    that repeat a doc_id give as many rows, a null doc_id none; other columns are not read.
-    An empty table gives no rows.
+    that repeat a doc_id give as many rows, all in the least of their components; a null doc_id gives
+    none; other columns are not read. An empty table gives no rows. Shingles are compared by 56 bits of a hash and texts told apart by
+    64: two different shingles fall together with a chance of 1.4e-17.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-
-    facts = cut(docs.mapInArrow(document_facts(size), copies.FACTS))
+    facts = cut(docs.mapInArrow(document_facts(size), copies.FACTS + ", fp bigint"))
     rows = facts.where("doc_id is not null")
-    classes = cut(copies.classes(rows.where("n_words > 0")))
-    named = cut(rows.where("n_words > 0").select(F.col("doc_id").alias("doc"), "rep").join(classes, "rep").select("doc", F.col("first").alias("cls")))
-    sigs = rows.where("sig is not null").select(F.col("doc_id").alias("doc"), "sig", F.col("n_extra").alias("n")).dropDuplicates(["doc"])
-
-    total = rows.agg(F.sum("n_extra")).first()[0] or 0
-    buckets = partitions(docs.sparkSession, total * (100 - percent) // 100, BUCKET_POSTINGS)
-    blobs = postings(docs, summed_sketch(facts), size, percent, buckets)
-    grams = cut(blobs.groupBy("bucket").applyInPandas(shared_grams, "gram bigint, doc bigint, n int, pos int, pdoc bigint, pn int, ppos int"))
-    many = grams.count()
-
-    likely = may_link("n", "pos", "pn", "ppos", percent)
-
-    def pairs_of(df: DataFrame) -> DataFrame:
-        """Distinct pairs of classes (x, y), which take the documents' place: of copies in other
-        tasks only one is compared."""
-        return cut(df.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-
-    near = grams.where("doc <> pdoc and " + likely).select("doc", "pdoc").distinct()
-    near = near.join(named.select("doc", F.col("cls").alias("x")), "doc").join(named.select(F.col("doc").alias("pdoc"), F.col("cls").alias("y")), "pdoc")
-    links = cut(verified(docs, pairs_of(near), sigs, size, percent))
-    merged = connected_components(links)
-    of_doc = cut(named.join(merged.select(F.col("v").alias("cls"), "label"), "cls", "left").select("doc", "cls", F.coalesce("label", "cls").alias("label")))
-    tagged = grams.select("gram", "doc", "n", "pos").join(of_doc, "doc")
-    before = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        # n-grams whose documents are in several components, and their pairs across
-        ends = tagged.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        tagged = tagged.join(ends.where("lo <> hi").select("gram"), "gram")
-        tagged = cut(tagged if turn else tagged.dropDuplicates(["gram", "cls"]))
-        by_label = tagged.groupBy("gram", "label").agg(F.count("*").alias("c"))
-        across = by_label.groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.count("*"), F.sum("p")).first()
-        if not across[0]:
-            break
-        last = turn == PIVOT_ROUNDS or across[1] <= PAIRS_PER_POSTING * many or (before is not None and 2 * across[1] > before)
-        before = across[1]
-        other = tagged
-        if not last:
-            picks = [F.min_by(F.struct("cls", "n", "pos", "label"), F.xxhash64("cls", F.lit(PIVOTS * turn + k))) for k in range(PIVOTS)]
-            other = tagged.groupBy("gram").agg(F.array_distinct(F.array(*picks)).alias("p")).select("gram", F.explode("p").alias("p")).select("gram", "p.*")
-        other = other.select("gram", F.col("cls").alias("y"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("label").alias("plabel"))
-        side = "label < plabel" if last else "label <> plabel"
-        more = pairs_of(tagged.withColumnRenamed("cls", "x").join(other, "gram").where(f"{side} and {likely}"))
-        links = cut(verified(docs, more, sigs, size, percent))
-        # new links join components: labels take the vertices' place
-        label_of = of_doc.select("cls", "label").distinct()
-        ends_of = links.join(label_of.select(F.col("cls").alias("u"), F.col("label").alias("lu")), "u").join(label_of.select(F.col("cls").alias("v"), F.col("label").alias("lv")), "v")
-        merged = connected_components(ends_of.select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
-        moved = merged.select(F.col("v").alias("label"), F.col("label").alias("to"))
-        of_doc = cut(of_doc.join(moved, "label", "left").select("doc", "cls", F.coalesce("to", "label").alias("label")))
-        if last:
-            break
-        tagged = tagged.join(moved, "label", "left").select("gram", "doc", "n", "pos", "cls", F.coalesce("to", "label").alias("label"))
-
-    label_of = of_doc.select(F.col("cls").alias("first"), F.col("label").alias("component_id")).distinct()
-    roots = classes.join(label_of, "first").select("rep", "component_id")
-    out = rows.join(roots, "rep", "left")
+    reps = rows.where("n_words > 0 and digest is not null").select("rep", "fp")
+    texts = cut(reps.groupBy("fp").agg(F.min("rep").alias("first")))
+    links = links_of(candidate_sets(docs, facts, texts, size, percent), percent)
+    roots = texts.join(connected_components(links).select(F.col("v").alias("first"), "label"), "first", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
+    of_rep = reps.join(roots, "fp").groupBy("rep").agg(F.min("component_id").alias("component_id"))
+    out = rows.join(of_rep, "rep", "left")
     return out.select("doc_id", F.col("n_extra").alias("n_shingles"), F.when(F.col("n_words") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

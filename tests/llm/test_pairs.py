@@ -5,6 +5,7 @@ import re
 import pytest
 
 from reelspark.llm import jaccard_join
+from reelspark.llm.components import connected_components
 from reelspark.llm.jaccard_join import jaccard_components
 from reelspark.llm.substring_dedup import remove_repeats
 from tests.conftest import SMALL
@@ -78,14 +79,66 @@ def test_empty(spark):
     assert remove_repeats(none).count() == 0
 
 
-def test_jaccard_rounds_of_several_pivots(spark, monkeypatch):
-    """Near copies in many components, with the pairwise comparison put off as long as it may be."""
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_POSTING", 0)
-    pick, rows = random.Random(3), []
-    for i in range(150):
-        words = [f"w{k}" for k in range(60)]
-        for _ in range(pick.randint(0, 6)):
-            words[pick.randrange(60)] = f"x{pick.randrange(400)}"
-        rows.append((i, " ".join(words)))
+def varied(seed, n, words, edits, own, copies=1):
+    """Texts made from one by up to ``edits`` changes of words."""
+    pick, out = random.Random(seed), []
+    for _ in range(n):
+        text = [f"{own}{k}" for k in range(words)]
+        for _ in range(pick.randint(0, edits)):
+            text[pick.randrange(words)] = f"x{pick.randrange(400)}"
+        out += [" ".join(text)] * pick.randint(1, copies)
+    return out
+
+
+def families():
+    long = [f"t{k}" for k in range(300)]
+    return {
+        "near copies": varied(3, 150, 60, 6, "w", 3),
+        "two families with a common half": [f"{a} {' '.join(f'c{k}' for k in range(40))}" for own in "uv" for a in varied(5, 60, 40, 3, own)],
+        "beginnings of one text": [" ".join(long[:k]) for k in range(20, 300, 3)],
+        "passage in many texts": [" ".join([f"p{i}_{k}" for k in range(i % 40)] + long[:30]) for i in range(200)],
+        "revisions": [" ".join(f"r{k}" for k in range(i, i + 40)) for i in [*range(1, 400), 0]],
+    }
+
+
+@pytest.mark.parametrize("few", [None, 2])
+def test_jaccard_families(spark, monkeypatch, few):
+    """Large groups, with all n-grams of more than three texts counted as frequent if ``few``."""
+    if few:
+        for name, value in {"FEW": few, "FEW_LATER": few, "REPORT": 1, "HOT_LEAST": 4, "LEVELS": 3}.items():
+            monkeypatch.setattr(jaccard_join, name, value)
+    texts = [t for own in families().values() for t in own]
+    ids = random.Random(1).sample(range(10 * len(texts)), len(texts))
+    rows = list(zip(ids, texts, strict=True))
     got = jaccard_components(docs(spark, rows).repartition(3))
     assert sorted(tuple(r) for r in got.collect()) == brute_jaccard(rows)
+
+
+def test_jaccard_repeated_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (3, "z")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(docs(spark, rows).repartition(2)).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def brute_components(edges):
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_components(spark):
+    """A path, a path in mixed order, a star and random edges, beside one another."""
+    pick = random.Random(2)
+    mixed = pick.sample(range(1000, 1500), 500)
+    edges = [(k, k + 1) for k in range(1, 400)] + [(399, 0)] + list(zip(mixed, mixed[1:], strict=False)) + [(2250, k) for k in range(2000, 2500) if k != 2250] * 2
+    edges += [(pick.randrange(3000, 3600), pick.randrange(3000, 3600)) for _ in range(400)]
+    df = spark.createDataFrame([*edges, (7, 7), (None, 3), (3, None)], "u bigint, v bigint")
+    got = {r.v: r.label for r in connected_components(df).collect()}
+    assert got == brute_components([e for e in edges if e[0] != e[1]])
+    assert connected_components(df.limit(0)).count() == 0
