@@ -46,6 +46,10 @@ MOST_HOT = 2_000_000
 FEW = 8
 FEW_LATER = 32
 LEVELS = 8
+#: Pairs for each posting of the first level up to which what later levels leave is compared.
+PAIRS_PER_POSTING = 1
+#: Classes whose ids are broadcast (0.8 MB) to pick their sets.
+FEW_IDS = 100_000
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
@@ -278,6 +282,13 @@ def may_share(n: str, m: str, most: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * ({most}) >= {percent} * ({n} + {m})"
 
 
+def named_by(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``sets`` of these classes; only where they are few, the others are left out before
+    a shuffle."""
+    own = cut(ids.distinct())
+    return sets.join(F.broadcast(own), "cls", "left_semi") if own.count() <= FEW_IDS else sets
+
+
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between the classes of ``sets`` that connect all that are connected.
 
@@ -290,54 +301,56 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame:
     - n-grams of E alone: then its overlap is e at most, and those whose e suffices for some size of
       partner meet in one group with another pivot. At the first level the partner of a class that
       does not link with p must be smaller than p.
-    After LEVELS levels groups of any size are compared pair by pair.
+    Once the pairs that are left are no more than PAIRS_PER_POSTING for each posting of the first
+    level, or after LEVELS levels, they are compared one by one.
     """
-    spark = sets.sparkSession
-    whole = sets.select("cls", "n", "s", "k", "grams")
-    side = lambda name, *more: sets.select(F.col("cls").alias(name), *(F.col(a).alias(b) for a, b in more))
     links: list[DataFrame] = []
-    posts = whole.select(F.lit(0).cast("bigint").alias("chain"), "cls", "n", "s", "k", F.lit(False).alias("linked"), F.posexplode(F.expr("slice(grams, 1, cast(k as int))")).alias("i", "key"))
-    rest = None
+    kinds = ["chain", "cls", "n", "s", "k", "linked"]
+    posts = sets.select(F.lit(0).cast("bigint").alias("chain"), "cls", "n", "s", "k", F.lit(False).alias("linked"), F.posexplode(F.expr("slice(grams, 1, cast(k as int))")).alias("i", "key"))
+    rest, budget = None, 0
     for level in range(LEVELS + 1):
         few = FEW if level == 0 else FEW_LATER
         best = F.min(F.struct(F.col("linked"), (F.col("n") - F.col("s")) / F.col("n"), F.xxhash64("cls", F.lit(level)).alias("h"), F.col("cls")))
         heads = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("linked").alias("done"), best.alias("best"))
-        heads = heads.where("c > 1 and not done").select("key", "c", F.col("best.cls").alias("pivot"))
-        met = cut(posts.join(heads, "key"))
-        if not met.limit(1).count():
+        heads = cut(heads.where("c > 1 and not done").select("key", "c", F.col("best.cls").alias("pivot")))
+        total, pairs = heads.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) div 2"))).first()
+        if not total:
             break
-        last = level == LEVELS
-        likely = may_share("x.n", "y.n", "least(x.i, y.i) + least(x.s - x.i, y.s - y.i)" if level == 0 else "least(x.s, y.s)", percent)
+        budget = budget or PAIRS_PER_POSTING * total
+        last = level == LEVELS or (level > 0 and pairs <= budget)
+        met = cut(posts.join(heads, "key"))
+        near = "least(x.i, y.i) + least(x.s - x.i, y.s - y.i)" if level == 0 else "least(x.s, y.s)"
+        likely = may_share("x.n", "y.n", near, percent)
         own = F.struct("cls", "n", "s", "i", "linked")
-        small = met if last else met.where(f"c <= {few}")
         if last:
-            one, two = small.select("key", own.alias("x")), small.select("key", own.alias("y"))
+            one, two = met.select("key", own.alias("x")), met.select("key", own.alias("y"))
             pairs = one.join(two, "key").where(f"x.cls < y.cls and not (x.linked and y.linked) and {likely}").select("x", "y")
         else:
-            groups = small.groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("g"))
-            two = F.expr(f"filter(flatten(transform(g, (x, j) -> transform(slice(g, j + 2, size(g)), y -> struct(x as x, y as y)))), p -> (not (p.x.linked and p.y.linked)) and {likely.replace('x.', 'p.x.').replace('y.', 'p.y.')})")
+            groups = met.where(f"c <= {few}").groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("g"))
+            two = F.expr(f"filter(flatten(transform(g, (x, j) -> transform(slice(g, j + 2, size(g)), y -> struct(x as x, y as y)))), p -> not (p.x.linked and p.y.linked) and {likely.replace('x.', 'p.x.').replace('y.', 'p.y.')})")
             pairs = groups.select(F.explode(two).alias("p")).select("p.x", "p.y")
-        pairs = pairs.select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct()
-        both = pairs.join(side("u", ("n", "n"), ("grams", "x")), "u").join(side("v", ("n", "m"), ("grams", "y")), "v")
+        pairs = cut(pairs.select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct())
+        own = named_by(sets, pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")))
+        both = pairs.join(own.selectExpr("cls as u", "n", "grams as x"), "u").join(own.selectExpr("cls as v", "n as m", "grams as y"), "v")
         links.append(cut(both.where(f"{100 + percent} * size(array_intersect(x, y)) >= {percent} * (n + m)").select("u", "v")))
         if last:
             break
-        star = met.where(f"c > {few} and cls <> pivot").select("chain", "cls", "pivot").distinct()
-        star = star.join(whole, "cls")
-        star = star.withColumn("rest", F.col("grams")) if rest is None else star.join(rest, ["chain", "cls"])
-        star = star.join(side("pivot", ("n", "m"), ("grams", "p")), "pivot")
+        star = cut(met.where(f"c > {few} and cls <> pivot").select("chain", "cls", "pivot").distinct())
+        own = named_by(sets, star.select("cls").unionAll(star.select("pivot")))
+        star = star.join(own, "cls")
+        star = star if rest is None else star.join(rest, ["chain", "cls"])
+        star = star.join(own.selectExpr("cls as pivot", "n as m", "grams as p"), "pivot")
         star = star.withColumn("linked", F.expr(f"{100 + percent} * size(array_intersect(grams, p)) >= {percent} * (n + m)"))
-        star = cut(star.select(F.xxhash64("chain", "pivot").alias("chain"), "cls", "pivot", "n", "s", "k", "m", "linked", F.array_except("rest", "p").alias("rest")))
+        star = cut(star.select(F.xxhash64("chain", "pivot").alias("chain"), "cls", "pivot", "n", "s", "k", "m", "linked", F.array_except("grams" if rest is None else "rest", "p").alias("rest")))
         links.append(star.where("linked").select(F.col("cls").alias("u"), F.col("pivot").alias("v")))
         sizes = star.groupBy("chain").agg(F.min("n").alias("least"), F.min(F.expr("case when not linked then n end")).alias("least_open"))
         star = star.join(sizes.where("least_open is not null"), "chain").withColumn("e", F.expr("s - size(rest)"))
-        kept = ["chain", "cls", "n", "s", "k", "linked"]
-        outside = star.select(*kept, F.explode(F.expr("slice(rest, 1, cast(k as int))")).alias("gram")).select(*kept, F.lit(0).alias("i"), F.xxhash64("chain", "gram").alias("key"))
+        outside = star.select(*kinds, F.explode(F.expr("slice(rest, 1, cast(k as int))")).alias("gram")).select(*kinds, F.lit(0).alias("i"), F.xxhash64("chain", "gram").alias("key"))
         reach = f"{100 + percent} * e >= {percent} * (n + if(linked, least_open, least))" + (" and (not linked or n < m)" if level == 0 else "")
-        inside = star.where(reach).select(*kept, F.lit(0).alias("i"), F.xxhash64("chain", F.lit("inside")).alias("key"))
+        inside = star.where(reach).select(*kinds, F.lit(0).alias("i"), F.xxhash64("chain", F.lit("inside")).alias("key"))
         posts = cut(outside.unionByName(inside))
         rest = star.select("chain", "cls", "rest")
-    out = spark.createDataFrame([], "u bigint, v bigint") if not links else links[0]
+    out = links[0] if links else sets.selectExpr("cls as u", "cls as v").limit(0)
     for more in links[1:]:
         out = out.unionByName(more)
     return out

@@ -101,11 +101,12 @@ def families():
     }
 
 
-@pytest.mark.parametrize("few", [None, 2])
-def test_jaccard_families(spark, monkeypatch, few):
-    """Large groups, with all n-grams of more than three texts counted as frequent if ``few``."""
-    if few:
-        for name, value in {"FEW": few, "FEW_LATER": few, "REPORT": 1, "HOT_LEAST": 4, "LEVELS": 3}.items():
+@pytest.mark.parametrize("levels", [0, 3])
+def test_jaccard_families(spark, monkeypatch, levels):
+    """Large groups; with ``levels``, that many before pairs are compared, all n-grams of more than three
+    texts are frequent, and all classes are too many to broadcast."""
+    if levels:
+        for name, value in {"FEW": 2, "FEW_LATER": 2, "REPORT": 1, "HOT_LEAST": 4, "LEVELS": levels, "FEW_IDS": -1, "PAIRS_PER_POSTING": -1}.items():
             monkeypatch.setattr(jaccard_join, name, value)
     texts = [t for own in families().values() for t in own]
     ids = random.Random(1).sample(range(10 * len(texts)), len(texts))
