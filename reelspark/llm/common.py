@@ -5,7 +5,11 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``, which is what ``bytes.split()``
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,6 +25,8 @@ _OWN_FOLDER: dict[str, str] = {}
 
 #: Bits of the fixed-size map of document ids that prunes a later scan of the texts (1 MB).
 ID_BITS = 1 << 23
+#: Logarithm of the bits of the largest such map (16 MB).
+MOST_BITS = 27
 #: Odd multiplier of the polynomial over word hashes, and a second one for wider keys.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIER_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -33,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent (single-machine sessions such as tests), a temporary folder serves.
+    Where that setting is absent on a local master (as in tests), a temporary folder serves; on a
+    cluster, whose machines do not share one, its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         root = _OWN_FOLDER.setdefault(key, "") or tempfile.mkdtemp(prefix="reelspark-")
         _OWN_FOLDER[key] = root
@@ -188,36 +197,57 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, so that memory is bounded."""
+def small_batches(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 2 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text and ``most_rows`` rows each at most, so
+    that memory is bounded by either."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(name))
         sizes = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float))
         slots = (np.cumsum(sizes) // limit).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1), batch.num_rows]
+        ends = np.union1d(np.flatnonzero(np.diff(slots)) + 1, np.arange(most_rows, batch.num_rows, most_rows))
+        cuts = [0, *ends.tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
 
 
-def id_bitmap(ids: DataFrame, name: str) -> bytes:
-    """Map of ``ids`` modulo ID_BITS as bits: a set that may hold more, never less, of fixed size."""
-    place = ids.select(F.pmod(F.col(name), F.lit(ID_BITS)).cast("bigint").alias("p"))
+def id_bitmap(ids: DataFrame, name: str, bits: int = ID_BITS) -> bytes:
+    """Map of ``ids`` modulo ``bits`` as bits: a set that may hold more, never less, of fixed size."""
+    place = ids.select(F.pmod(F.col(name), F.lit(bits)).cast("bigint").alias("p"))
     rows = place.groupBy(F.expr("cast(p div 32768 as int)").alias("b")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-    out = bytearray(ID_BITS // 8)
+    out = bytearray(bits // 8)
     for b, bits in rows.collect():
         out[b * 4096 : (b + 1) * 4096] = bytes(bits)
     return bytes(out)
 
 
+def hash_below(n: int, size: int) -> int:
+    """Bound of a 62-bit hash below which about ``n`` of ``size`` rows lie: never 0, whatever the size."""
+    return max(1, min(1 << 62, (n << 62) // max(1, size)))
+
+
+def hashed(name: str):
+    """A column's hash of 62 bits."""
+    return F.shiftrightunsigned(F.xxhash64(name), 2)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark uses a Python worker for many tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_bitmap(bits: bytes, ids: list[int]) -> np.ndarray:
-    place = np.asarray(ids, np.int64) % ID_BITS
+    place = np.asarray(ids, np.int64) % (8 * len(bits))
     return (np.frombuffer(bits, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def kept_by(bits: bytes, name: str = "doc_id") -> Callable:
-    """A mapInArrow function: the rows whose id is in the map; ids that are null go."""
+def kept_by(bits: bytes, name: str = "doc_id", inside: bool = True) -> Callable:
+    """A mapInArrow function: the rows whose id is in the map, or with ``inside`` false the others;
+    null ids are not in it."""
 
     def run(batches):
         for batch in batches:
@@ -225,11 +255,25 @@ def kept_by(bits: bytes, name: str = "doc_id") -> Callable:
             mask = np.zeros(batch.num_rows, bool)
             there = ids.is_valid().to_numpy(zero_copy_only=False)
             mask[there] = in_bitmap(bits, ids.drop_null().to_pylist())
-            yield batch.filter(pa.array(mask))
+            yield batch.filter(pa.array(mask == inside))
 
     return run
 
 
+def without(rows: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``rows`` less those whose id ``ids`` (one column, ``name``) holds; a null id stays.
+
+    Only rows whose id is in a map of bits of the ids meet them in a join, so texts that surely stay
+    are not shuffled. The map has 16 bits for each id, MOST_BITS at most.
+    """
+    ids = cut(ids.select(F.col(name).cast("bigint").alias(name)).where(f"`{name}` is not null").distinct())
+    bits = 1 << min(MOST_BITS, max(20, (16 * ids.count()).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(id_bitmap(ids, name, bits))
+    stay = rows.mapInArrow(lambda b: kept_by(shared.value, name, False)(b), rows.schema)
+    perhaps = rows.mapInArrow(lambda b: kept_by(shared.value, name)(b), rows.schema)
+    return stay.unionByName(perhaps.join(ids, name, "left_anti").select(*(f"`{c}`" for c in rows.columns)))
+
+
 def digest(hashes: np.ndarray) -> bytes:
     """128 bits of a sequence of word hashes."""
     return hashlib.blake2b(np.ascontiguousarray(hashes), digest_size=16).digest()

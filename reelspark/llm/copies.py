@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import Words, column, digest, small_batches, word_table, words_of
+from reelspark.llm.common import Words, column, digest, give_back, small_batches, word_table, words_of
 
 FACTS = "doc_id bigint, rep bigint, digest binary, n_words bigint, n_extra bigint, sig binary, sha256 string"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("n_extra", pa.int64()), ("sig", pa.binary()), ("sha256", pa.string())])
@@ -71,6 +71,8 @@ def facts(lower: bool, extra: Callable | None = None, sha: bool = False, more: C
             )
         if more:
             yield from more()
+        del rows, least
+        give_back()
 
     return run
 

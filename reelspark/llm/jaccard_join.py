@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import Words, column, cut, digest, mix, partitions, small_batches, table, window_hashes, word_table
+from reelspark.llm.common import Words, column, cut, digest, give_back, mix, partitions, small_batches, table, window_hashes, word_table
 from reelspark.llm.components import connected_components
 from reelspark.llm.substring_dedup import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
@@ -178,6 +178,8 @@ def gram_blobs(docs: DataFrame, hot: np.ndarray, size: int, buckets: int) -> Dat
                     held, names, n_held = [], [], 0
         if held:
             yield from flush()
+        del held, names, seen
+        give_back()
 
     return docs.mapInArrow(run, "bucket int, payload binary")
 
@@ -226,6 +228,7 @@ def several_texts(hot_frame, homes: int):
                 begin = np.flatnonzero(changes(fp[at]))
                 runs = np.diff(np.append(begin, len(at))).astype(np.int32)
                 out.append((h, pack(fp[at][begin], runs, gram[at], df[at], own_fp[own], own_n[own])))
+        give_back()
         return pa.table([pa.array([h for h, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["home", "payload"])
 
     return run

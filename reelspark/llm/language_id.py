@@ -10,6 +10,7 @@ the algorithm together as arrays, and a task remembers the words that it has sco
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,14 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import column, cut, small_batches, table, word_table
+from reelspark.llm.common import column, cut, hash_below, hashed, small_batches, table, word_table, words_of
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Labelled texts of each language that the model is fitted on, about; languages at most.
+#: Labelled texts of each language that the model is fitted on, about.
 SAMPLE_TEXTS = 1500
-MOST_LANGUAGES = 500
-#: Characters of a piece at most, rounds of expectation maximisation, and each piece's own count.
-PIECE_CHARS = 8
+#: Rounds of expectation maximisation, and each piece's own count.
 ROUNDS = 2
 PRIOR = 0.05
 #: Probability of a character that no piece has, and words that a task remembers.
@@ -34,6 +33,10 @@ UNKNOWN = 1e-7
 KNOWN_WORDS = 600_000
 #: Pieces whose expected counts cross the shuffle in one row.
 BLOCK = 4096
+#: Words times characters (with the beginning) times languages that go through the algorithm at once.
+CELLS = 400_000
+#: Bits of the hash by which most runs of characters are known not to be pieces.
+SIEVE_BITS = 20
 
 _LETTER = regex.compile(r"\p{L}")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -44,16 +47,18 @@ class Model(NamedTuple):
     #: Sorted hashes of pieces, and by piece (the last: none) and language the probability.
     hashes: np.ndarray
     probability: np.ndarray
+    #: Characters of the longest piece.
+    longest: int = 16
 
 
-def pieces(path: str) -> np.ndarray:
-    """Sorted hashes of the vocabulary's pieces of at most PIECE_CHARS characters, lower-cased; a
+def pieces(path: str) -> tuple[np.ndarray, int]:
+    """Sorted hashes of all the vocabulary's pieces, lower-cased, and the characters of the longest; a
     word's beginning counts as a character of its own."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    own = {p.lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)) and 0 < len(p := model.id_to_piece(k)) <= PIECE_CHARS}
-    return np.unique(np.array([hash_of(p) for p in own], np.uint64))
+    own = {p.lower() for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)) and (p := model.id_to_piece(k))}
+    return np.unique(np.array([hash_of(p) for p in own], np.uint64)), max(map(len, own))
 
 
 def hash_of(piece: str) -> int:
@@ -65,11 +70,17 @@ def hash_of(piece: str) -> int:
 
 def numbered(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Number of the piece with each hash, or len(hashes)."""
-    at = np.searchsorted(hashes, h)
-    return np.where(hashes[np.minimum(at, len(hashes) - 1)] == h, at, len(hashes))
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    low = np.uint64((1 << SIEVE_BITS) - 1)
+    sieve[hashes & low] = True
+    out = np.full(h.shape, len(hashes), np.int32)
+    maybe = np.nonzero(sieve[h & low])
+    at = np.searchsorted(hashes, h[maybe])
+    out[maybe] = np.where(hashes[np.minimum(at, len(hashes) - 1)] == h[maybe], at, len(hashes))
+    return out
 
 
-def lattice(words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lattice(words: list[str], hashes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words of any lengths: lengths; (word, end, size - 1) -> piece number, and whether a
     character stands alone without being a piece."""
     sizes = np.array([len(w) + 1 for w in words])
@@ -77,10 +88,10 @@ def lattice(words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     chars = np.zeros((len(words), wide), np.uint32)
     flat = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     chars[np.arange(wide) < sizes[:, None]] = flat
-    numbers = np.full((len(words), wide, PIECE_CHARS), len(hashes), np.int32)
+    numbers = np.full((len(words), wide, min(longest, wide)), len(hashes), np.int32)
     h = np.zeros((len(words), wide), np.uint64)
     code = chars.astype(np.uint64) + np.uint64(1)
-    for size in range(1, min(PIECE_CHARS, wide) + 1):
+    for size in range(1, min(longest, wide) + 1):
         # hash of the `size` characters from each place on
         h = h[:, : wide - size + 1] * _FACTOR + code[:, size - 1 :]
         numbers[:, size - 1 :, size - 1] = numbered(hashes, h)
@@ -113,20 +124,26 @@ def forward(sizes: np.ndarray, numbers: np.ndarray, alone: np.ndarray, probabili
     return out, alpha, scale
 
 
-def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """Log probability of each word in each language."""
-    out = np.zeros((len(words), len(model.languages)))
+def alike(words: list[str], depth: int) -> Iterator[np.ndarray]:
+    """Places of the words in groups of like length, each of at most CELLS words times characters
+    times ``depth``, or of one word."""
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
     a = 0
     while a < len(order):
         wide = int(sizes[order[a]])
         b = a + 1
-        while b < len(order) and sizes[order[b]] <= wide + 3 and (b - a) * (int(sizes[order[b]]) + 1) * (1 + len(model.languages)) < 400_000:
+        while b < len(order) and sizes[order[b]] <= wide + 3 and (b - a + 1) * (int(sizes[order[b]]) + 1) * depth <= CELLS:
             b += 1
-        own = order[a:b]
-        out[own] = forward(*lattice([words[i] for i in own], model.hashes), model.probability)[0]
+        yield order[a:b]
         a = b
+
+
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """Log probability of each word in each language."""
+    out = np.zeros((len(words), len(model.languages)))
+    for own in alike(words, 1 + len(model.languages)):
+        out[own] = forward(*lattice([words[i] for i in own], model.hashes, model.longest), model.probability)[0]
     return out
 
 
@@ -136,10 +153,8 @@ def expected(words: list[str], counts: np.ndarray, model: Model, language: int)
     p = model.probability[:, language : language + 1]
     with np.errstate(divide="ignore"):
         log_p = np.log(p[:, 0])
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for a in range(0, len(order), 4000):
-        own = order[a : a + 4000]
-        sizes, numbers, alone = lattice([words[i] for i in own], model.hashes)
+    for own in alike(words, 4):
+        sizes, numbers, alone = lattice([words[i] for i in own], model.hashes, model.longest)
         logs, _, scale = forward(sizes, numbers, alone, p)
         n, wide, most = numbers.shape
         # beta: log of the sum over segmentations of what follows a place
@@ -161,36 +176,38 @@ def expected(words: list[str], counts: np.ndarray, model: Model, language: int)
     return total
 
 
-def words_with_letters(text: str) -> list[str]:
-    return text.lower().split()
+def lower_words(text: str) -> list[str]:
+    """A text's words as :func:`predict` takes them."""
+    return [w.decode("utf-8", "replace").lower() for w in words_of(text.encode("utf-8", "replace"))]
 
 
 def fit(labelled: DataFrame, vocabulary: str = VOCABULARY) -> Model | None:
     """Model on about SAMPLE_TEXTS rows of (doc_id, text, lang) for each language, chosen by a hash
-    of doc_id; None without rows. Their words are counted in tasks, and each round's expected
-    pieces are summed in tasks by language."""
+    of doc_id; None without rows. Every value of lang is learned: the model has a number for each
+    piece and language, so the languages must be few enough for that. Their words are counted in
+    tasks, and each round's expected pieces are summed in tasks by language."""
     spark = labelled.sparkSession
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    shares = F.create_map(*(x for la in languages for x in (F.lit(la), F.lit(int(min(1.0, SAMPLE_TEXTS / sizes[la]) * (1 << 20))))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(shares[F.col("lang")], F.lit(0)))
+    bounds = spark.createDataFrame([(la, hash_below(SAMPLE_TEXTS, n)) for la, n in sizes.items()], "lang string, bound bigint")
+    sample = labelled.join(F.broadcast(bounds), "lang").where(hashed("doc_id") < F.col("bound"))
 
     def count(batches):
         found: dict[str, Counter] = {}
         for batch in small_batches(batches):
             for text, lang in zip(column(batch, "text"), column(batch, "lang"), strict=True):
-                found.setdefault(lang, Counter()).update(words_with_letters(text))
+                found.setdefault(lang, Counter()).update(lower_words(text))
         for lang, own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = cut(counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word"))
-    hashes = pieces(vocabulary)
+    hashes, longest = pieces(vocabulary)
     probability = np.full((len(hashes) + 1, len(languages)), 1 / len(hashes))
     probability[-1] = 0
-    model = Model(languages, hashes, probability)
+    model = Model(languages, hashes, probability, longest)
     place = {la: k for k, la in enumerate(languages)}
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
@@ -219,7 +236,7 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY) -> Model | None:
             own = np.frombuffer(bytes(r.total))
             probability[r.block * BLOCK : r.block * BLOCK + len(own), r.k] += own
         probability[-1] = 0
-        model = Model(languages, hashes, probability / probability.sum(axis=0))
+        model = Model(languages, hashes, probability / probability.sum(axis=0), longest)
     return model
 
 

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import Words, column, cut, small_batches, table, word_table
+from reelspark.llm.common import Words, column, cut, give_back, small_batches, table, word_table
+from reelspark.llm.common import mix as mix_bits
 
 #: Labelled rows that the classifier is fitted on at most, and places that words hash to.
 LABELLED_ROWS = 4000
@@ -28,8 +29,9 @@ DECAY = 1e-5
 #: Steps at most, and the largest miss of a target, as a share of all tokens, that ends them.
 ROUNDS = 20
 MISS = 1e-4
-#: Rows of a batch of copies at most.
+#: Rows of a batch of copies at most, and of texts whose words are counted at once (16 MB of counts).
 COPIED_ROWS = 256
+COUNTED_ROWS = 500
 
 #: Target weights of the domains of the registered query: quality and toxic of the labelled table.
 TARGETS = {"q1t0": 0.86, "q0t0": 0.10, "q1t1": 0.03, "q0t1": 0.01}
@@ -58,7 +60,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str) -> Classifie
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_rows=COUNTED_ROWS):
             x = word_places(word_table(batch, lower=True))
             rows = []
             for row in x:
@@ -103,7 +105,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_rows=COUNTED_ROWS):
             n, p = members(batch, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "posteriors"])
 
@@ -168,6 +170,13 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
     return steps
 
 
+def keys_of(ids: pa.Array, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What the decision on copies is drawn from: doc_id, or where it is null the text's facts."""
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    facts = mix_bits(np.ascontiguousarray(p[:, 0], np.float64).view(np.uint64) + n.astype(np.uint64)).view(np.int64)
+    return np.where(there, ids.cast(pa.int64()).fill_null(0).to_numpy(), facts)
+
+
 def copies_of(doc_id: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """Whole copies: the rate rounded up or down by a hash of doc_id, right in expectation."""
     with np.errstate(over="ignore"):
@@ -202,8 +211,9 @@ def mix(docs: DataFrame, labels: DataFrame, domain: str = DOMAIN, targets: dict[
 
     def run(batches):
         for batch in batches:
-            rate = rates(batch.column(2).flatten().to_numpy().reshape(-1, k), shared.value)
-            ids = batch.column(0).fill_null(0).to_numpy()
+            p = batch.column(2).flatten().to_numpy().reshape(-1, k)
+            rate = rates(p, shared.value)
+            ids = keys_of(batch.column(0), batch.column(1).to_numpy(), p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(copies_of(ids, rate))], names=[*batch.schema.names, "rate", "copies"])
 
     return known.mapInArrow(run, "doc_id bigint, n_tokens bigint, posteriors array<double>, rate double, copies bigint")
@@ -227,13 +237,14 @@ def thin(docs: DataFrame, labels: DataFrame, whole: str = "q1t0", domain: str =
     shared = docs.sparkSession.sparkContext.broadcast((model, fit))
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most_rows=COUNTED_ROWS):
             model, fit = shared.value
-            rate = rates(members(batch, model)[1], fit)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(0).to_numpy()
-            at = np.repeat(np.arange(batch.num_rows), copies_of(ids, rate))
+            n, p = members(batch, model)
+            ids = keys_of(batch.column(batch.schema.get_field_index("doc_id")), n, p)
+            at = np.repeat(np.arange(batch.num_rows), copies_of(ids, rates(p, fit)))
             for k in range(0, len(at), COPIED_ROWS):
                 yield batch.take(pa.array(at[k : k + COPIED_ROWS]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

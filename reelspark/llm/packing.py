@@ -9,6 +9,8 @@ sequence of a task is short, and nothing is shuffled.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import column, small_batches, table, word_table
+from reelspark.llm.common import column, give_back, small_batches, table, word_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Appended to each text's ids.
@@ -28,21 +30,28 @@ END_ID = 1
 TOKENS = 2048
 SEGMENTS = 256
 #: Tokens that a task gathers before it packs, and distinct words whose ids it remembers.
-GROUP_TOKENS = 4_000_000
-KNOWN_WORDS = 1_000_000
+GROUP_TOKENS = 1_000_000
+KNOWN_WORDS = 200_000
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
     """Ids of texts by the tokenizer, word by word: its rules never reach over white space or from
-    ASCII letters to punctuation, and do not tell A-Z from a-z."""
+    ASCII letters to punctuation, and do not tell A-Z from a-z.
 
-    def __init__(self, path: str) -> None:
+    A text with the literal of one of its added tokens goes through the tokenizer whole and gets that
+    token's id there, or, with ``plain``, ordinary ids.
+    """
+
+    def __init__(self, path: str, plain: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -83,6 +92,12 @@ class WordIds:
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.at[slots] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         edges = np.concatenate([[0], ends])[words.first]
+        whole = [k for k in range(len(edges) - 1) if self.added.search(words.text(k))] if self.added and self.added.search(words.data.tobytes()) else []
+        if whole:
+            parts = np.split(ids, edges[1:-1])
+            for k in whole:
+                parts[k] = np.array(self.tokenizer.encode(words.text(k).decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            ids, edges = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         if end_id is not None:
             ids = np.insert(ids, edges[1:], end_id)
             edges = edges + np.arange(len(edges))
@@ -162,9 +177,12 @@ class Packer:
         return placed, left
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TOKENS, segments: int = SEGMENTS, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TOKENS, segments: int = SEGMENTS, with_ids: bool = True, plain: bool = False) -> DataFrame:
     """Pieces of each row's ids (its text's and END_ID) in sequences of at most ``tokens``.
 
+    The literal of an added token, such as <|endoftext|>, in a text gets that token's id, as the
+    tokenizer does it; with ``plain`` it is ordinary text.
+
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``,
     ids. All ids bear loss. A null or empty text is END_ID alone; repeated rows and null ids are
     packed like others; other columns are not read; an empty table gives no rows.
@@ -172,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TO
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordIds(tokenizer), Packer(tokens, segments, tokens, True)
+        encoder, packer = WordIds(tokenizer, plain), Packer(tokens, segments, tokens, True)
         base = TaskContext.get().partitionId() << 32
         doc: dict[int, tuple] = {}  # by row: doc_id, ids
         pieces: list[tuple] = []
@@ -208,6 +226,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TO
             if n_tokens > GROUP_TOKENS:
                 yield from flush(False)
         yield from flush(True)
+        del encoder, doc, pieces
+        give_back()
 
     return docs.mapInArrow(run, _PIECES + (", ids array<int>" if with_ids else ""))
 
@@ -215,7 +235,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TO
 def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS) -> DataFrame:
     """Whole instruction examples (example_id bigint, n_tokens, n_loss) in sequences under all three
     limits: (example_id, sequence_id, offset). Rows with nulls or without tokens are left out; an
-    example beyond a limit raises. An empty table gives no rows."""
+    example beyond a limit has neither sequence nor offset. An empty table gives no rows."""
     examples = examples.selectExpr("cast(example_id as bigint) example_id", "cast(n_tokens as bigint) n_tokens", "cast(n_loss as bigint) n_loss").where("example_id is not null and n_loss is not null and n_tokens > 0")
 
     def run(batches):
@@ -236,7 +256,9 @@ def pack_examples(examples: DataFrame, tokens: int = TOKENS, segments: int = SEG
                 yield from rows(False)
         yield from rows(True)
 
-    return examples.mapInArrow(run, "example_id bigint, sequence_id bigint, offset bigint")
+    fits = f"n_tokens <= {tokens} and n_loss <= {loss}"
+    beyond = examples.where(f"not ({fits})").selectExpr("example_id", "cast(null as bigint) sequence_id", "cast(null as bigint) offset")
+    return examples.where(fits).mapInArrow(run, "example_id bigint, sequence_id bigint, offset bigint").unionByName(beyond)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

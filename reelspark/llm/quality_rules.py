@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import Words, column, cut, small_batches, table, window_hashes, word_table
+from reelspark.llm.common import Words, cut, hash_below, hashed, small_batches, table, window_hashes, word_table
 
 MIN_WORDS = 50
 REPEAT_WORDS = 3
@@ -183,8 +183,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest:
     doc_id; threshold from all labelled rows (doc_id, quality) that pass it, of both values, by
     counts in BINS bins of the score."""
     passed = stats.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= 50 * n_words")
-    share = min(1.0, SAMPLE_ROWS / max(1, passed.count()))
-    rows = passed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("doc_id", *STATS).collect()
+    rows = passed.where(hashed("doc_id") < hash_below(SAMPLE_ROWS, passed.count())).orderBy("doc_id", *STATS).collect()
     if not rows:
         return grow(np.zeros((1, len(STATS))))
     forest = grow(features([np.array([r[c] for r in rows], np.int64) for c in STATS]))

@@ -10,6 +10,8 @@ candidates are found, judged and struck out in its own row, without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,41 +149,65 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
     return "(" + " + ".join(expression(t._java_obj.rootNode()) for t in model.trees) + f") / {float(trees)}D"
 
 
-def scan(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame:
-    """``docs`` with three more columns, read from ``text`` and, if given, the column ``path``.
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
-    ``_findings``: array of (c, before, after, path, score) of every candidate in order; ``_secret``:
-    whether each is one; ``_redacted``: the text with MARK in each secret's place. A null text has
-    neither findings nor redacted text. Rows stay as they are, repeated ones too.
-    """
+
+def scanned(docs: DataFrame, forest: str, path: str | None, names: list[str]) -> DataFrame:
+    """``docs`` with its findings, which are secrets, and the redacted text, as columns ``names``."""
+    findings, secret, redacted = names
+    c, gaps, seen, scores = free_names([*docs.columns, *names], "_c", "_gaps", "_seen", "_scores")
     text = "cast(text as string)"
-    found = docs.withColumn("_c", F.regexp_extract_all(F.expr(text), F.lit(CANDIDATE), 0))
-    gaps = F.when(F.size("_c") > 0, F.split(F.expr(text), CANDIDATE, -1))
-    found = found.withColumn("_gaps", gaps)
+    found = docs.withColumn(c, F.regexp_extract_all(F.expr(text), F.lit(CANDIDATE), 0))
+    found = found.withColumn(gaps, F.when(F.size(c) > 0, F.split(F.expr(text), CANDIDATE, -1)))
     at = f"`{path}`" if path else "''"
-    candidates = f"transform(_c, (c, i) -> struct(c as c, right(concat(if(i = 0, '', _c[i - 1]), _gaps[i]), {NEAR}) as before, left(_gaps[i + 1], {NEAR}) as after, coalesce(cast({at} as string), '') as path))"
-    found = found.withColumn("_seen", F.expr(f"case when size(_c) > 0 then {candidates} end"))
-    import re
+    candidates = f"transform({c}, (c, i) -> struct(c as c, right(concat(if(i = 0, '', {c}[i - 1]), {gaps}[i]), {NEAR}) as before, left({gaps}[i + 1], {NEAR}) as after, coalesce(cast({at} as string), '') as path))"
+    found = found.withColumn(seen, F.expr(f"case when size({c}) > 0 then {candidates} end"))
 
     def of(sql: str) -> str:
         parts = re.split(r"('(?:[^'\\]|\\.)*')", sql)
         return "".join(p if k % 2 else re.sub(r"\b(c|before|after|path)\b", r"x.\1", p) for k, p in enumerate(parts))
 
     struct = "named_struct(" + ", ".join(f"'{name}', cast({of(sql)} as double)" for name, sql in FEATURES.items()) + ")"
-    found = found.withColumn("_scores", F.expr(f"transform(transform(_seen, x -> {struct}), f -> {forest})"))
-    found = found.withColumn("_findings", F.expr("case when text is not null then coalesce(zip_with(_seen, _scores, (x, s) -> struct(x.c as c, x.before as before, x.after as after, x.path as path, s as score)), cast(array() as array<struct<c: string, before: string, after: string, path: string, score: double>>)) end"))
-    found = found.withColumn("_secret", F.expr(f"transform(_findings, x -> x.score >= {THRESHOLD})"))
-    struck = f"concat(_gaps[0], array_join(transform(_findings, (x, i) -> concat(if(_secret[i], '{MARK}', x.c), _gaps[i + 1])), ''))"
-    found = found.withColumn("_redacted", F.expr(f"case when exists(_secret, s -> s) then {struck} else {text} end"))
-    return found.drop("_c", "_gaps", "_seen", "_scores")
+    found = found.withColumn(scores, F.expr(f"transform(transform({seen}, x -> {struct}), f -> {forest})"))
+    found = found.withColumn(findings, F.expr(f"case when text is not null then coalesce(zip_with({seen}, {scores}, (x, s) -> struct(x.c as c, x.before as before, x.after as after, x.path as path, s as score)), cast(array() as array<struct<c: string, before: string, after: string, path: string, score: double>>)) end"))
+    found = found.withColumn(secret, F.expr(f"transform({findings}, x -> x.score >= {THRESHOLD})"))
+    struck = f"concat({gaps}[0], array_join(transform({findings}, (x, i) -> concat(if({secret}[i], '{MARK}', x.c), {gaps}[i + 1])), ''))"
+    found = found.withColumn(redacted, F.expr(f"case when exists({secret}, s -> s) then {struck} else {text} end"))
+    return found.drop(c, gaps, seen, scores)
+
+
+def scan(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame:
+    """``docs`` with three more columns, read from ``text`` and, if given, the column ``path``.
+
+    ``_findings``: array of (c, before, after, path, score) of every candidate in order; ``_secret``:
+    whether each is one; ``_redacted``: the text with MARK in each secret's place. A null text has
+    neither findings nor redacted text, an empty one no findings; a null path counts as empty. Rows
+    stay as they are, repeated ones too; columns of those three names raise ValueError, all others
+    stay; an empty table gives no rows.
+    """
+    names = ["_findings", "_secret", "_redacted"]
+    if {x.lower() for x in docs.columns} & set(names):
+        raise ValueError(f"the input has columns named {names}")
+    return scanned(docs, forest, path, names)
 
 
 def redact(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame:
-    """``docs``, same columns, with secrets struck out of ``text`` and ``n_chars``, if there, counted anew."""
-    out = scan(docs, forest, path)
-    changed = {"text": F.col("_redacted")}
+    """``docs``, same columns whatever their names, with secrets struck out of ``text`` and ``n_chars``,
+    if there, counted anew. Nulls, empty texts, repeated rows and an empty table as in :func:`scan`."""
+    names = free_names(docs.columns, "_findings", "_secret", "_redacted")
+    out = scanned(docs, forest, path, names)
+    _, secret, redacted = names
+    changed = {"text": F.col(redacted)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.exists("_secret", lambda s: s), F.length("_redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.exists(secret, lambda s: s), F.length(redacted).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -3,17 +3,21 @@ import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from reelspark.llm import fingerprints, language_id, mixing, packing, quality_rules, secret_scans, url_filters, warc
+from reelspark.llm.common import hash_below, small_batches
 from tests.conftest import SMALL
 from tests.llm.data import DOCS, docs, hard_cases
+from tests.llm.test_pairs import brute_jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -51,7 +55,8 @@ def test_quality_statistics(spark):
         w = WORD.findall(t or "")
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        twice = {x for x in windows if windows.count(x) > 1} if len(w) < 3000 else {x for x in set(windows)}
+        times = Counter(windows)
+        twice = {x for x in windows if times[x] > 1}
         inside = {k + d for k, x in enumerate(windows) if x in twice for d in range(3)}
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside))
         r = got[i]
@@ -98,8 +103,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    rows = small(spark) + [(20_000, "Don't \"s' <|endoftext|> x.y/z it's é. É,a \u0301 e\u0301")]
+    rows = small(spark) + [(20_000, "Don't \"s' <|endoftext|> x.y/z it's é. É,a \u0301 e\u0301"), (20_001, "<|startoftext|>A <|EndOfText|>b<|endoftext|>"), (20_002, "w" * 100_000)]
     got = packing.pack_documents(docs(spark, rows, clash=True).repartition(2)).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -116,6 +120,10 @@ def test_packing(spark):
         assert sum(r.length for r in own) <= 2048 and len(own) <= packing.SEGMENTS
     assert sum(sum(r.length for r in own) < 2048 for own in by_sequence.values()) <= 4
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
+    plain = packing.pack_documents(docs(spark, rows[-3:]), plain=True).collect()
+    tokenizer.encode_special_tokens = True
+    for i, t in rows[-3:]:
+        assert [x for r in sorted((r for r in plain if r.doc_id == i), key=lambda r: r.start) for x in r.ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
 def test_packing_examples_under_three_limits(spark):
@@ -127,6 +135,8 @@ def test_packing_examples_under_three_limits(spark):
     for s in {r.sequence_id for r in placed}:
         own = [rows[r.example_id] for r in placed if r.sequence_id == s]
         assert sum(x[1] for x in own) <= 1000 and len(own) <= 4 and sum(x[2] for x in own) <= 600
+    beyond = spark.createDataFrame([(1, 2000, 5), (2, 900, 700), (3, None, 1), (4, 10, 10)], df.schema)
+    assert sorted((r.example_id, r.sequence_id is None) for r in packing.pack_examples(beyond, 1000, 4, 600).collect()) == [(1, True), (2, True), (4, False)]
 
 
 def test_language_on_held_out_rows(spark):
@@ -158,6 +168,32 @@ def test_language_edges(spark):
     assert language_id.predict(docs(spark, rows), None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_samples_and_batches_at_any_size():
+    assert 0 < hash_below(8192, 10**11) < 1 << 62 and hash_below(8192, 10) == 1 << 62 and hash_below(1500, 10**17) > 0
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 50_000)], names=["text"])
+    parts = [b.num_rows for b in small_batches([batch], most_rows=500)]
+    assert sum(parts) == 50_000 and max(parts) <= 500
+
+
+def test_language_of_a_very_long_word(spark):
+    rows = [(1, "the word " * 30 + "ab" * 10_000), (2, "das wort " * 30), (3, "x" * 5_000)]
+    labelled = spark.createDataFrame([(1, rows[0][1], "en"), (2, rows[1][1], "de")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs(spark, rows), language_id.fit(labelled)).collect()}
+    assert got[1] == "en" and got[2] == "de" and got[3] in ("en", "de")
+
+
+def test_language_learns_every_value(spark):
+    labelled = spark.createDataFrame([(k, f"only{k} words{k} here{k} " * 5, f"l{k:03d}") for k in range(520)], "doc_id bigint, text string, lang string")
+    assert len(language_id.fit(labelled).languages) == 520
+
+
+def test_mixing_many_short_texts_and_null_ids(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], LABELS)
+    texts = spark.createDataFrame([(k if k < 20_000 else None, f"{'good' if k % 2 else 'bad'} w{k % 50}") for k in range(21_000)], "doc_id bigint, text string")
+    rows = mixing.mix(texts, labels, targets={"q0t0": 0.25, "q1t0": 0.75}).collect()
+    assert len(rows) == 21_000 and len({r.copies for r in rows if r.doc_id is None and 0.2 < r.rate % 1 < 0.8}) > 1
+
+
 def test_mixing_meets_targets(spark):
     d, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing.mix(d, labels).collect()
@@ -196,6 +232,13 @@ def test_secrets(spark):
     found = {r.doc_id: r for r in secret_scans.scan(docs(spark, rows, clash=True), forest, "source").collect()}
     assert found[30]._redacted == rows[-2][1].replace(f'"{key}"', '"[SECRET]"') and len(found[30]._findings) == 3
     assert found[2]._findings is None and found[2]._redacted is None and all(found[i]._redacted == t for i, t in rows if i not in (2, 30))
+    clash = docs(spark, rows).selectExpr("*", "1 as _c", "2 as _findings", "3 as _secret", "4 as _redacted", "5 as _gaps", "6 as __c")
+    again = secret_scans.redact(clash, forest, "source")
+    assert again.columns == clash.columns and {r.doc_id: r.text for r in again.collect()} == {i: r._redacted for i, r in found.items()}
+    assert {tuple(r[5:]) for r in again.collect()} == {(1, 2, 3, 4, 5, 6)}
+    assert secret_scans.scan(docs(spark, rows).limit(0), forest).count() == secret_scans.redact(clash.limit(0), forest).count() == 0
+    with pytest.raises(ValueError, match="_secret"):
+        secret_scans.scan(clash, forest)
     held = secret_scans.labelled_findings(spark, 9000).where("abs(hash(c)) % 3 = 0").selectExpr("c", "concat('aa ', before, c, after, ' bb') as text", "path", "label")
     judged = secret_scans.scan(held, forest, "path").selectExpr("label", "exists(_secret, s -> s) as said").groupBy("label", "said").count().collect()
     right = sum(r["count"] for r in judged if bool(r.label) == bool(r.said))
@@ -237,13 +280,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(warc.write_archives(pages.limit(0), folder), folder).count() == 0
 
 
-def test_pipeline_stages(spark):
-    df = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        after = stage(spark, df, SMALL).cache()
-        assert after.columns == df.columns and 0 < after.count() <= df.count()
-        if k == 0:
-            kept = {r.doc_id for r in entry.queries()["op6_quality_rules"](spark, SMALL).where("kept").collect()}
-            assert {r.doc_id for r in after.collect()} == kept
-        df = after
-    assert {r.doc_id for r in corpus_pipeline.packing(spark, df, SMALL).collect()} == {r.doc_id for r in df.collect()}
+def awkward(spark, rows):
+    """Documents with repeated rows, null ids and columns whose names the operators might use."""
+    rows = [(i, t, "en", "src", None if t is None else len(t)) for i, t in rows]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, rows[0][1], "en", "src", 3)], DOCS)
+    return df.selectExpr("*", *(f"'x' as `{n}`" for n in ("n", "cls", "fp", "first", "label", "kept", "_c", "_secret", "_findings", "score", "copies", "rate")))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages(spark, tmp_path, empty):
+    """Each stage on its predecessor's rows: near duplicates and packing by brute force, quality and
+    secrets by their operators' rows, mixing by whole rows (its totals have a test of their own)."""
+    rows = small(spark) + [(20_000, f"A key: password = \"{hashlib.sha256(b'q').hexdigest()[:24]}\" " + " ".join(f"v{k}" for k in range(80)))]
+    df = awkward(spark, rows).limit(0 if empty else 10**6)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages, all_rows = dict(corpus_pipeline.STAGES), lambda d: Counter(map(tuple, d.collect()))
+    at = df.columns.index("text")
+
+    good = stages["quality"](spark, df, str(tmp_path)).cache()
+    kept = {(r.doc_id, r.n_words) for r in quality_rules.quality(df, labels).where("kept").collect()}
+    assert good.columns == df.columns and not all_rows(good) - all_rows(df)
+    assert {(r.doc_id, len(WORD.findall(r.text or ""))) for r in good.collect()} == kept
+
+    unique = stages["near_duplicates"](spark, df, str(tmp_path)).cache()
+    label = {i: c for i, _, c in brute_jaccard({r.doc_id: r.text for r in df.collect() if r.doc_id is not None}.items())}
+    assert unique.columns == df.columns and all_rows(unique) == Counter({r: n for r, n in all_rows(df).items() if r[0] is None or label[r[0]] == r[0]})
+
+    clean = stages["secrets"](spark, good, str(tmp_path)).cache()
+    found = secret_scans.scan(good.select("doc_id", "text", "source"), secret_scans.train(secret_scans.labelled_findings(spark)), "source")
+    assert clean.columns == df.columns and Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((r.doc_id, r._redacted) for r in found.collect())
+    assert all(r.n_chars == len(r.text) for r in clean.where("doc_id is not null").collect()) and (empty or any("[SECRET]" in r.text for r in clean.collect()))
+
+    mixed = stages["mixing"](spark, clean, str(tmp_path)).cache()
+    assert mixed.columns == df.columns and set(all_rows(mixed)) <= set(all_rows(clean))
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    pieces: dict = {}
+    for r in stages["packing"](spark, mixed, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, Counter())[r.start, tuple(r.ids)] += 1
+    want: dict = {}
+    for r in mixed.collect():
+        want.setdefault(r.doc_id, Counter()).update(Counter([*tokenizer.encode(r[at] or "", add_special_tokens=False).ids, 1]))
+    assert {i: sum((Counter({x: n * c.count(x) for x in set(c)}) for (_, c), n in own.items()), Counter()) for i, own in pieces.items()} == want
