@@ -14,3 +14,26 @@ def clock(ms: str, separator: str) -> Column:
 
 def line_feeds(text: str) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def one_decimal(value: str) -> Column:
+    """``value`` rounded half up to one decimal, always shown."""
+    tenths = f"cast(floor({value} * 10 + 0.5) as bigint)"
+    return F.concat(F.expr(f"{tenths} div 10").cast("string"), F.lit("."), F.expr(f"{tenths} % 10").cast("string"))
+
+
+def bytes_label(n: str, whole_mb: bool) -> Column:
+    """KB, MB or GB of a number of bytes; ``whole_mb``: unknown for null, MB without a decimal, and 0 KB
+    may be shown."""
+    kb = F.expr(f"cast(floor({n} / 1024 + 0.5) as bigint)")
+    kb = kb if whole_mb else F.greatest(F.lit(1).cast("bigint"), kb)
+    mb = F.expr(f"cast(floor({n} / 1048576 + 0.5) as bigint)").cast("string") if whole_mb else one_decimal(f"({n} / 1048576)")
+    label = F.when(F.col(n) < 1 << 20, F.concat(kb.cast("string"), F.lit(" KB"))).when(F.col(n) < 1 << 30, F.concat(mb, F.lit(" MB"))).otherwise(F.concat(one_decimal(f"({n} / 1073741824)"), F.lit(" GB")))
+    return F.coalesce(label, F.lit("unknown")) if whole_mb else label
+
+
+def content_evidence(data: Column, sample: int = 256 << 10) -> Column:
+    """SHA-256 of a binary's size (64 bits, big end first), its first and its last ``sample`` bytes."""
+    size = F.octet_length(data)
+    tail = F.substring(data, F.greatest(F.lit(1), size - sample + 1), F.lit(sample))
+    return F.sha2(F.concat(F.unhex(F.lpad(F.hex(size), 16, "0")), F.substring(data, F.lit(1), F.lit(sample)), tail), 256)

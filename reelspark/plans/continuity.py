@@ -5,32 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators import coverage
 from reelspark.operators.carry import carry
 from reelspark.operators.ranges import compress_ranges, highest_contiguous
 from reelspark.plans.book import Book
 
 book = Book()
 
-NUMBERS = "(VALUES (1), (2), (3), (4), (5), (6), (7)) AS numbers(i)"
-
-#: Accepted, covered and missing sequences of each session.
-COVER = f"""
+#: The oracle of coverage: accepted, covered and missing sequences of each session.
+COVER = """
 , accepted AS (SELECT DISTINCT session_id, sequence FROM v_chunks WHERE sequence >= 1),
-covered AS (SELECT DISTINCT s.session_id, CAST(i AS BIGINT) AS sequence FROM v_gaps g JOIN v_sessions s ON g.session_id = s.session_id
-            JOIN {NUMBERS} ON i >= greatest(1, lo) AND i <= least(hi, final_sequence)),
-missing AS (SELECT s.session_id, CAST(i AS BIGINT) AS sequence FROM v_sessions s JOIN {NUMBERS} ON i <= final_sequence
+covered AS (SELECT DISTINCT s.session_id, i AS sequence FROM v_gaps g JOIN v_sessions s ON g.session_id = s.session_id, unnest(range(greatest(1, lo), least(hi, final_sequence) + 1)) AS u(i)),
+missing AS (SELECT s.session_id, i AS sequence FROM v_sessions s, unnest(range(1, final_sequence + 1)) AS u(i)
             WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = s.session_id AND a.sequence = i)
               AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.session_id = s.session_id AND c.sequence = i))
 """
 
 book.both(
-    audio_completeness=COVER
-    + """, lost AS (SELECT c.session_id, count(*) AS n FROM covered c
-         WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = c.session_id AND a.sequence = c.sequence) GROUP BY c.session_id)
-SELECT s.session_id, CASE WHEN final_sequence = 0 THEN 'empty' WHEN n > 0 THEN 'partial' ELSE 'full' END AS audio_completeness
-FROM v_sessions s LEFT JOIN lost ON s.session_id = lost.session_id""",
-    missing_sequences=COVER + "SELECT session_id, sequence FROM missing",
-    gap_coverage_expand=COVER + "SELECT session_id, sequence FROM covered",
     boundary_validation=""", ends AS (SELECT session_id, max(sequence) AS last, max(end_ms) AS end_ms FROM v_chunks GROUP BY session_id)
 SELECT s.session_id, coalesce(last, 0) > final_sequence AS excludes_audio, final_sequence * 2000 < coalesce(end_ms, 0) AS ends_early
 FROM v_sessions s LEFT JOIN ends ON s.session_id = ends.session_id
@@ -80,6 +71,28 @@ SELECT owner_id, session_id FROM ranked WHERE rn = 1""",
 )
 
 
+@book.frame(
+    "audio_completeness",
+    COVER
+    + """, lost AS (SELECT c.session_id, count(*) AS n FROM covered c
+         WHERE NOT EXISTS (SELECT 1 FROM accepted a WHERE a.session_id = c.session_id AND a.sequence = c.sequence) GROUP BY c.session_id)
+SELECT s.session_id, CASE WHEN final_sequence = 0 THEN 'empty' WHEN n > 0 THEN 'partial' ELSE 'full' END AS audio_completeness
+FROM v_sessions s LEFT JOIN lost ON s.session_id = lost.session_id""",
+)
+def audio_completeness(v) -> DataFrame:
+    return coverage.completeness(v.v_chunks, v.v_gaps, v.v_sessions)
+
+
+@book.frame("missing_sequences", COVER + "SELECT session_id, sequence FROM missing")
+def missing_sequences(v) -> DataFrame:
+    return coverage.missing(v.v_chunks, v.v_gaps, v.v_sessions)
+
+
+@book.frame("gap_coverage_expand", COVER + "SELECT session_id, sequence FROM covered")
+def gap_coverage_expand(v) -> DataFrame:
+    return coverage.covered(v.v_gaps, v.v_sessions)
+
+
 @book.frame(
     "seq_range_compress",
     """, d AS (SELECT DISTINCT session_id, sequence FROM v_chunks), k AS (SELECT *, sequence - row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS island FROM d)
@@ -106,7 +119,7 @@ r AS (SELECT session_id, min(sequence) AS a, max(sequence) AS b FROM k GROUP BY
 SELECT session_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || '–' || CAST(b AS VARCHAR) END, ', ' ORDER BY a) AS label FROM r GROUP BY session_id""",
 )
 def missing_label(v) -> DataFrame:
-    missing = book.queries["missing_sequences"](v.spark, v.sf_dir)
+    missing = missing_sequences(v)
     ranges = compress_ranges(missing, "session_id", "sequence")
     label = F.when(F.col("range_start") == F.col("range_end"), F.col("range_start").cast("string")).otherwise(F.concat_ws("–", "range_start", "range_end"))
     return ranges.withColumn("label", label).groupBy("session_id").agg(F.expr("listagg(label, ', ') WITHIN GROUP (ORDER BY range_start)").alias("label"))
@@ -119,7 +132,7 @@ def missing_label(v) -> DataFrame:
 SELECT session_id, min(sequence) AS range_start, max(sequence) AS range_end, count(*) AS n FROM k GROUP BY session_id, island""",
 )
 def gap_autodeclare_group(v) -> DataFrame:
-    missing = book.queries["missing_sequences"](v.spark, v.sf_dir)
+    missing = missing_sequences(v)
     return compress_ranges(missing.where("sequence % 2 = 0 or session_id % 3 = 0"), "session_id", "sequence")
 
 

@@ -5,61 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.operators.admission import Limits, claim_next, ready, reserve
 from reelspark.plans.book import Book
-from reelspark.sources.adapters import NOW
+from reelspark.sources.adapters import COOLDOWN, NOW
 
 book = Book()
 
-#: Jobs that one pass admits, and outstanding jobs of a session.
-ADMIT = 2500
-PER_SESSION = 16
+#: Outstanding jobs of each class, and of a session in it.
+LIMITS = {"live": Limits(15_000, 24, COOLDOWN), "upload": Limits(12_000, 24, COOLDOWN)}
+STATES = "(VALUES ('pending'), ('claimed'), ('retry_wait'), ('succeeded'), ('no_speech'), ('failed')) AS states(s)"
 
-#: Admitted jobs in fair order: by rank in the session, then by who was served longest ago.
+#: The oracle of the admission: jobs in fair order, as many of a class as its limit leaves.
+_TOTALS = " UNION ALL ".join(f"SELECT '{c}' AS workload, {x.total} AS total, {x.per_session} AS most" for c, x in LIMITS.items())
 FAIR = f"""
-, outstanding AS (SELECT session_id, count(*) AS busy FROM v_ready WHERE active OR reserved GROUP BY session_id),
-history AS (SELECT session_id, max(last_delivery) AS last_served, min(created_at) AS oldest FROM v_ready GROUP BY session_id),
-ranked AS (SELECT utterance_id, session_id, last_delivery, row_number() OVER (PARTITION BY session_id ORDER BY created_at, utterance_id) AS r FROM v_ready WHERE eligible),
-admitted AS (
-  SELECT j.utterance_id, j.session_id, j.r, j.last_delivery, h.last_served, h.oldest FROM ranked j LEFT JOIN outstanding o ON o.session_id = j.session_id LEFT JOIN history h ON h.session_id = j.session_id
-  WHERE j.r <= {PER_SESSION} AND j.r <= {PER_SESSION} - coalesce(o.busy, 0)
-  ORDER BY j.r, h.last_served NULLS FIRST, h.oldest, j.session_id, j.utterance_id LIMIT {ADMIT})
+, limits AS ({_TOTALS}),
+own AS (SELECT CASE WHEN s.kind = 'upload' THEN 'upload' ELSE 'live' END AS workload, j.* FROM v_ready j JOIN v_sessions s ON s.session_id = j.session_id),
+free AS (SELECT l.workload, most, greatest(0, total - coalesce((SELECT count(*) FROM own o WHERE o.workload = l.workload AND (o.active OR o.reserved)), 0)) AS places FROM limits l),
+served AS (SELECT session_id, count(*) FILTER (WHERE active OR reserved) AS busy, coalesce(max(last_delivery), min(created)) AS turn FROM own GROUP BY session_id),
+line AS (SELECT workload, utterance_id, session_id, last_delivery, row_number() OVER (PARTITION BY session_id ORDER BY sequence, created, utterance_id) AS r FROM own WHERE eligible),
+placed AS (SELECT l.*, f.places, row_number() OVER (PARTITION BY l.workload ORDER BY l.r, s.turn, l.session_id, l.utterance_id) AS place
+  FROM line l JOIN served s ON s.session_id = l.session_id JOIN free f ON f.workload = l.workload WHERE l.r + s.busy <= f.most),
+admitted AS (SELECT * FROM placed WHERE place <= places),
+target AS (SELECT f.workload, (SELECT count(*) FROM admitted a WHERE a.workload = f.workload) + (SELECT count(*) FROM own o WHERE o.workload = f.workload AND o.reserved) AS target FROM free f)
 """
-STATES = "(VALUES ('pending'), ('claimed'), ('retry_wait'), ('succeeded'), ('no_speech'), ('failed')) AS states(s)"
 
 book.both(
     workload_class="SELECT CASE WHEN kind = 'upload' THEN 'upload' ELSE 'live' END AS workload, count(*) AS n FROM v_sessions GROUP BY CASE WHEN kind = 'upload' THEN 'upload' ELSE 'live' END",
     jobs_eligible="SELECT session_id % 2 AS class, state, recent, count(*) AS n FROM v_ready WHERE eligible GROUP BY session_id % 2, state, recent",
     jobs_reserved="SELECT state, count(*) AS n FROM v_ready WHERE reserved GROUP BY state",
     jobs_outstanding="SELECT session_id, count(*) AS n FROM v_ready WHERE active OR reserved GROUP BY session_id",
-    jobs_history="SELECT session_id, CAST(max(last_delivery) AS BIGINT) AS last_delivery, min(utterance_id) AS oldest FROM v_jobs GROUP BY session_id",
-    jobs_fair_reserve=FAIR + f"SELECT utterance_id, session_id, CAST(r AS BIGINT) AS rank_in_session, CAST(greatest(coalesce(last_delivery, 0), {NOW}) AS BIGINT) AS new_delivery FROM admitted",
-    jobs_claim_next="""SELECT j.utterance_id, j.session_id FROM v_ready j JOIN v_raw_jobs u ON u.utterance_id = j.utterance_id JOIN (SELECT DISTINCT owner_id FROM v_sessions) s ON s.owner_id = j.session_id
-WHERE j.eligible ORDER BY coalesce(j.next_attempt, 0), j.attempts, j.created_at, u.k, j.utterance_id LIMIT 1""",
-    jobs_wake_target=FAIR + "SELECT (SELECT count(*) FROM admitted) + (SELECT count(*) FROM v_ready WHERE reserved) AS target",
-    wake_deficit=FAIR + ", t AS (SELECT (SELECT count(*) FROM admitted) + (SELECT count(*) FROM v_ready WHERE reserved) AS target) SELECT queued, greatest(0, target - queued) AS to_publish FROM t CROSS JOIN (VALUES (0), (100), (100000)) AS q(queued)",
-    jobs_missing="SELECT utterance_id FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)",
-    jobs_converge="SELECT utterance_id, state AS before, CASE WHEN EXISTS (SELECT 1) THEN 'succeeded' END AS after FROM v_jobs j WHERE state NOT IN ('succeeded', 'no_speech') AND EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = j.utterance_id)".replace("CASE WHEN EXISTS (SELECT 1) THEN 'succeeded' END", "'succeeded'"),
-    jobs_false_success="SELECT utterance_id, 'pending' AS after FROM v_jobs j WHERE state = 'succeeded' AND NOT EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = j.utterance_id)",
-    jobs_backfill="SELECT u.utterance_id, CASE WHEN c.utterance_id IS NOT NULL THEN 'succeeded' ELSE 'pending' END AS state FROM v_raw_jobs u LEFT JOIN v_canonical c ON c.utterance_id = u.utterance_id",
     jobs_state_counts=f", sessions AS (SELECT DISTINCT session_id FROM v_jobs), n AS (SELECT session_id, state, count(*) AS c FROM v_jobs GROUP BY session_id, state) SELECT t.session_id, s AS state, coalesce(c, 0) AS n FROM sessions t CROSS JOIN {STATES} LEFT JOIN n ON n.session_id = t.session_id AND n.state = s",
     jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait')) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
-    retry_backoff="""SELECT utterance_id, CASE WHEN k % 9 = 0 THEN 300.0 ELSE least(60.0, 2.0 * power(2, attempts)) END AS stt_delay, 5.0 * power(2, attempts) AS media_delay, 250.0 * power(2, least(attempts, 3)) AS client_ms,
-  CAST(floor(least(15000, 500 * power(2, least(30, greatest(0, attempts)))) / 2 * (1 + k / 100.0) + 0.5) AS BIGINT) AS reconnect_ms, greatest(60, 20 + k + 10) AS lease FROM v_jobs""",
     error_category="""SELECT utterance_id, code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'configuration' WHEN code IN (408, 425) OR code >= 500 THEN 'transient' ELSE 'permanent' END AS category,
   code IN (408, 429) OR code >= 500 AS client_retry FROM (SELECT utterance_id, CASE WHEN k < 10 THEN 429 WHEN k < 20 THEN 401 WHEN k < 30 THEN 403 WHEN k < 40 THEN 408 WHEN k < 50 THEN 425 ELSE 350 + k * 3 END AS code FROM v_jobs) e""",
-    reconcile_report=FAIR
-    + """SELECT (SELECT count(*) FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)) AS created,
-  (SELECT count(*) FROM v_jobs j WHERE state NOT IN ('succeeded', 'no_speech') AND EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = j.utterance_id)) AS converged,
-  (SELECT count(*) FROM admitted) AS reserved, (SELECT count(*) FROM admitted) + (SELECT count(*) FROM v_ready WHERE reserved) AS wake_target""",
     media_claimable=f", c AS (SELECT utterance_id, session_id, created_at FROM v_jobs WHERE state = 'pending' OR (state = 'retry_wait' AND next_attempt <= {NOW}) OR (state = 'claimed' AND claim_expires <= {NOW})) SELECT session_id, count(*) AS n, least(1, count(*)) AS wake, min(utterance_id) AS next_id FROM c GROUP BY session_id",
-    media_missing_rows="SELECT session_id FROM v_uploads u WHERE sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = u.session_id)",
-    media_waiting_converge="""SELECT u.session_id, CASE WHEN count(*) > 60 THEN 'failed' WHEN bool_or(j.state = 'failed' AND c.utterance_id IS NULL) THEN 'failed'
-  WHEN count(*) >= 40 AND bool_and(j.state IN ('succeeded', 'no_speech') OR c.utterance_id IS NOT NULL) THEN 'succeeded' ELSE 'waiting' END AS outcome
-FROM v_raw_jobs u JOIN v_jobs j ON j.utterance_id = u.utterance_id LEFT JOIN v_canonical c ON c.utterance_id = u.utterance_id GROUP BY u.session_id""",
-    check_shapes="""SELECT sum(CASE WHEN (state = 'claimed') <> (claim_expires IS NOT NULL) THEN 1 ELSE 0 END) + 0 AS claim_shape, sum(CASE WHEN (state = 'retry_wait') <> (next_attempt IS NOT NULL AND k % 11 <> 0) THEN 1 ELSE 0 END) + 0 AS retry_shape, count(*) AS n FROM v_jobs""".replace("sum(", "count(").replace("THEN 1 ELSE 0 END) + 0", "THEN 1 END)"),
-    probe_classify="""SELECT utterance_id, CASE WHEN k % 4 = 0 THEN 'no_audio' WHEN k % 4 = 3 THEN 'several_audio' WHEN codec NOT IN ('aac', 'mp3', 'opus', 'pcm_s16le') THEN 'codec' WHEN greatest(d1, d2) < 0 OR greatest(d1, d2) IS NULL THEN 'duration' ELSE 'accepted' END AS outcome, greatest(d1, d2) AS duration
-FROM (SELECT utterance_id, k, CASE k % 6 WHEN 0 THEN 'aac' WHEN 1 THEN 'mp3' WHEN 2 THEN 'opus' WHEN 3 THEN 'pcm_s16le' ELSE 'flv1' END AS codec, CASE WHEN k % 7 <> 0 THEN k * 10 - 50 END AS d1, CASE WHEN k % 5 <> 0 THEN k * 9 - 20 END AS d2 FROM v_raw_jobs) p""",
-    notice_decode="""SELECT utterance_id, CASE WHEN event_type <> 'error' AND k >= 1 AND k % 10 <> 9 THEN k END AS sequence FROM v_raw_jobs""",
     upload_hooks="""SELECT event_type, CASE event_type WHEN 'view' THEN 'pre-create' WHEN 'click' THEN 'post-create' WHEN 'purchase' THEN 'post-receive' WHEN 'signup' THEN 'pre-finish' ELSE 'other' END AS hook,
   CASE event_type WHEN 'view' THEN 'validate' WHEN 'click' THEN 'bind' WHEN 'purchase' THEN 'progress' WHEN 'signup' THEN 'verify' ELSE 'none' END AS action, count(*) AS n FROM v_raw_jobs GROUP BY event_type""",
 )
@@ -81,3 +60,238 @@ def job_replay(v) -> DataFrame:
     ending = "min(case when k % 10 = 0 or k % 3 = 0 or rn = 5 then struct(rn, if(k % 10 = 0 or rn = 5, 'failed', 'succeeded') as state) end) as e"
     ends = tries.groupBy("session_id").agg(F.expr(ending), F.max("rn").alias("n"))
     return ends.selectExpr("session_id", "coalesce(e.state, 'retry_wait') as state", "cast(coalesce(e.rn, n) as bigint) as attempts")
+
+
+def of_class(v, workload: str) -> DataFrame:
+    """The jobs of the sessions of a class: uploads, or all others."""
+    kind = F.when(F.col("kind") == "upload", "upload").otherwise("live")
+    return v.v_jobs.join(v.v_sessions.where(kind == workload).select("session_id"), "session_id")
+
+
+def each_class(v, make) -> DataFrame:
+    """``make(workload, limits, jobs)`` of every class, one after the other."""
+    live, upload = (make(c, x, of_class(v, c)).select(F.lit(c).alias("workload"), "*") for c, x in LIMITS.items())
+    return live.unionByName(upload)
+
+
+@book.frame("jobs_history", "SELECT session_id, CAST(max(last_delivery) AS BIGINT) AS last_delivery, CAST(min(created) AS BIGINT) AS oldest FROM v_jobs GROUP BY session_id")
+def jobs_history(v) -> DataFrame:
+    return v.v_jobs.groupBy("session_id").agg(F.max("last_delivery").cast("bigint").alias("last_delivery"), F.min("created").alias("oldest"))
+
+
+@book.frame("jobs_fair_reserve", FAIR + f"SELECT workload, utterance_id, session_id, CAST(r AS BIGINT) AS rank_in_session, CAST(place AS BIGINT) AS place, CAST(greatest(coalesce(last_delivery, 0), {NOW}) AS BIGINT) AS new_delivery FROM admitted")
+def jobs_fair_reserve(v) -> DataFrame:
+    """The admitted jobs with their place in the fair order, which the limit of their class bounds."""
+
+    def make(workload: str, limits: Limits, jobs: DataFrame) -> DataFrame:
+        turn = ready(jobs, NOW, limits.cooldown).groupBy("session_id").agg(F.coalesce(F.max("last_delivery"), F.min("created")).alias("turn"))
+        admitted = reserve(jobs, NOW, limits).join(turn, "session_id")
+        return admitted.selectExpr("utterance_id", "session_id", "rank as rank_in_session", "cast(row_number() over (order by rank, turn, session_id, utterance_id) as bigint) as place", "new_delivery")
+
+    return each_class(v, make)
+
+
+@book.frame(
+    "jobs_claim_next",
+    FAIR + """, c AS (SELECT workload, utterance_id, session_id, row_number() OVER (PARTITION BY workload ORDER BY last_delivery, created, session_id, sequence, utterance_id) AS n FROM own WHERE reserved)
+SELECT workload, utterance_id, session_id FROM c WHERE n = 1""",
+)
+def jobs_claim_next(v) -> DataFrame:
+    return each_class(v, lambda workload, limits, jobs: claim_next(jobs, NOW, limits.cooldown).select("utterance_id", "session_id"))
+
+
+@book.frame("jobs_wake_target", FAIR + "SELECT workload, CAST(target AS BIGINT) AS target FROM target")
+def jobs_wake_target(v) -> DataFrame:
+    """Reserved jobs of each class once the admitted ones are reserved too."""
+
+    def make(workload: str, limits: Limits, jobs: DataFrame) -> DataFrame:
+        held = ready(jobs, NOW, limits.cooldown).where("reserved").select("utterance_id")
+        return held.unionAll(reserve(jobs, NOW, limits).select("utterance_id")).agg(F.count("*").alias("target"))
+
+    return each_class(v, make)
+
+
+@book.frame("wake_deficit", FAIR + "SELECT workload, queued, CAST(greatest(0, target - queued) AS BIGINT) AS to_publish FROM target CROSS JOIN (VALUES (0), (100), (100000)) AS q(queued)")
+def wake_deficit(v) -> DataFrame:
+    """Wakes to publish, given how many are queued."""
+    queued = F.explode(F.array(F.lit(0), F.lit(100), F.lit(100_000)))
+    return jobs_wake_target(v).select("workload", "target", queued.alias("queued")).selectExpr("workload", "queued", "greatest(0L, target - queued) as to_publish")
+
+
+def with_job(v) -> DataFrame:
+    """Four of five jobs; the utterances of the others lack one."""
+    return v.v_jobs.where("k % 5 <> 0").select("utterance_id")
+
+
+@book.frame("jobs_missing", "SELECT utterance_id FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)")
+def jobs_missing(v) -> DataFrame:
+    return v.v_raw_jobs.join(with_job(v), "utterance_id", "left_anti").select("utterance_id")
+
+
+def with_evidence(v, how: str) -> DataFrame:
+    """Jobs with (semi) or without (anti) a canonical segment of their session and producer key."""
+    jobs = v.v_jobs.withColumn("producer_key", F.concat(F.lit("utterance:"), F.col("utterance_id").cast("string")))
+    return jobs.join(v.v_canonical.select("session_id", "producer_key"), ["session_id", "producer_key"], how)
+
+
+_EVIDENCE = "EXISTS (SELECT 1 FROM v_canonical c WHERE c.session_id = j.session_id AND c.producer_key = 'utterance:' || CAST(j.utterance_id AS VARCHAR))"
+
+
+@book.frame("jobs_converge", f"SELECT utterance_id, state AS before, 'succeeded' AS after FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE}")
+def jobs_converge(v) -> DataFrame:
+    """Jobs in any other state whose canonical segment exists have succeeded."""
+    return with_evidence(v, "left_semi").where("state <> 'succeeded'").select("utterance_id", F.col("state").alias("before"), F.lit("succeeded").alias("after"))
+
+
+@book.frame("jobs_false_success", f"SELECT utterance_id, 'pending' AS after FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE}")
+def jobs_false_success(v) -> DataFrame:
+    return with_evidence(v, "left_anti").where("state = 'succeeded'").select("utterance_id", F.lit("pending").alias("after"))
+
+
+@book.frame("jobs_backfill", f"SELECT utterance_id, CASE WHEN {_EVIDENCE} THEN 'succeeded' ELSE 'pending' END AS state, 0 AS attempts FROM v_raw_jobs j")
+def jobs_backfill(v) -> DataFrame:
+    found = v.v_canonical.select("session_id", "producer_key", F.lit(True).alias("there"))
+    jobs = v.v_raw_jobs.withColumn("producer_key", F.concat(F.lit("utterance:"), F.col("utterance_id").cast("string"))).join(found, ["session_id", "producer_key"], "left")
+    return jobs.select("utterance_id", F.when(F.col("there"), "succeeded").otherwise("pending").alias("state"), F.lit(0).alias("attempts"))
+
+
+@book.frame(
+    "reconcile_report",
+    FAIR + f""", n AS (SELECT (SELECT count(*) FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)) AS created,
+  (SELECT count(*) FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE}) AS converged, (SELECT count(*) FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE}) AS repaired)
+SELECT t.workload, created, converged, repaired, (SELECT count(*) FROM admitted a WHERE a.workload = t.workload) AS reserved, CAST(target AS BIGINT) AS wake_target FROM target t CROSS JOIN n""",
+)
+def reconcile_report(v) -> DataFrame:
+    counts = jobs_missing(v).agg(F.count("*").alias("created")).crossJoin(jobs_converge(v).agg(F.count("*").alias("converged"))).crossJoin(jobs_false_success(v).agg(F.count("*").alias("repaired")))
+    reserved = each_class(v, lambda workload, limits, jobs: reserve(jobs, NOW, limits).agg(F.count("*").alias("reserved")))
+    return reserved.join(jobs_wake_target(v).withColumnRenamed("target", "wake_target"), "workload").crossJoin(counts)
+
+
+def backoff(base: float, attempts: str, most: float | None = None):
+    """Seconds before the attempt after the n-th: doubled each time, up to ``most``."""
+    delay = F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.lit(0).cast("bigint"), F.col(attempts) - 1))
+    return delay if most is None else F.least(F.lit(most), delay)
+
+
+@book.frame(
+    "retry_backoff",
+    """SELECT utterance_id, CASE WHEN k % 9 = 0 THEN 300.0::DOUBLE ELSE least(60.0, 2.0 * power(2, greatest(0, attempts - 1)))::DOUBLE END AS stt_delay, (5.0 * power(2, greatest(0, attempts - 1)))::DOUBLE AS media_delay, (250.0 * power(2, least(attempts, 3)))::DOUBLE AS client_ms,
+  CAST(floor(least(15000, 500 * power(2, least(30, greatest(0, attempts)))) / 2 * (1 + k / 100.0) + 0.5) AS BIGINT) AS reconnect_ms, greatest(60, 20 + k + 10) AS lease FROM v_jobs""",
+)
+def retry_backoff(v) -> DataFrame:
+    """Delays after ``attempts``: a configuration error waits a fixed time, media retries have no ceiling,
+    the client doubles four times, its reconnect takes half of the ceiling and up to as much by chance
+    (``k`` stands for it), and a lease outlasts the provider's time limit."""
+    stt = F.when(F.col("k") % 9 == 0, 300.0).otherwise(backoff(2.0, "attempts", 60.0))
+    ceiling = F.least(F.lit(15_000.0), 500 * F.pow(F.lit(2.0), F.least(F.lit(30), F.greatest(F.lit(0), F.col("attempts")))))
+    reconnect = F.floor(ceiling / 2 * (1 + F.col("k") / 100) + 0.5).cast("bigint")
+    client = 250 * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(3)))
+    return v.v_jobs.select("utterance_id", stt.alias("stt_delay"), backoff(5.0, "attempts").alias("media_delay"), client.alias("client_ms"), reconnect.alias("reconnect_ms"), F.greatest(F.lit(60).cast("bigint"), F.col("k") + 30).alias("lease"))
+
+
+@book.frame("media_missing_rows", "SELECT session_id FROM v_uploads u WHERE sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = u.session_id)")
+def media_missing_rows(v) -> DataFrame:
+    return v.v_uploads.where("sha256 is not null").join(v.v_canonical.select(F.col("utterance_id").alias("session_id")), "session_id", "left_anti").select("session_id")
+
+
+@book.frame(
+    "media_waiting_converge",
+    f""", e AS (SELECT session_id, count(*) - CASE session_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS expected FROM v_raw_jobs GROUP BY session_id),
+x AS (SELECT j.session_id, j.state, {_EVIDENCE} AS canonical FROM v_jobs j WHERE NOT (j.session_id % 3 = 0 AND j.state IN ('failed', 'pending', 'claimed', 'retry_wait')))
+SELECT x.session_id, CASE WHEN count(*) > any_value(expected) OR bool_or(state = 'failed' AND NOT canonical) THEN 'failed' WHEN count(*) = any_value(expected) AND bool_and(canonical OR state = 'no_speech') THEN 'succeeded' ELSE 'waiting' END AS outcome
+FROM x JOIN e ON e.session_id = x.session_id GROUP BY x.session_id""",
+)
+def media_waiting_converge(v) -> DataFrame:
+    """Outcome of each upload from its utterances' jobs: more of them than the media pass counted, or a
+    failed one without a canonical segment, fail it; all of them settled complete it."""
+    expected = v.v_raw_jobs.groupBy("session_id").agg((F.count("*") - F.expr("case session_id % 4 when 0 then 1 when 1 then -1 else 0 end")).alias("expected"))
+    jobs = with_evidence(v, "left_semi").select("utterance_id", F.lit(True).alias("canonical"))
+    jobs = v.v_jobs.join(jobs, "utterance_id", "left").where("not (session_id % 3 = 0 and state in ('failed', 'pending', 'claimed', 'retry_wait'))").withColumn("canonical", F.coalesce("canonical", F.lit(False)))
+    seen = jobs.groupBy("session_id").agg(F.count("*").alias("n"), F.bool_or(F.expr("state = 'failed' and not canonical")).alias("failed"), F.bool_and(F.expr("canonical or state = 'no_speech'")).alias("settled")).join(expected, "session_id")
+    return seen.select("session_id", F.when((F.col("n") > F.col("expected")) | F.col("failed"), "failed").when((F.col("n") == F.col("expected")) & F.col("settled"), "succeeded").otherwise("waiting").alias("outcome"))
+
+
+@book.frame(
+    "check_shapes",
+    """, j AS (SELECT utterance_id, state, claim_expires, next_attempt, CASE WHEN k % 11 <> 0 THEN next_attempt END AS shown, sha256(CAST(utterance_id AS VARCHAR)) AS h, k FROM v_jobs),
+d AS (SELECT *, CASE WHEN k % 13 = 0 THEN upper(h) WHEN k % 17 = 0 THEN substr(h, 1, 63) ELSE h END AS hash, CASE WHEN k % 19 = 0 THEN 'Bad Queue' ELSE 'stt.live-' || k END AS queue, CASE WHEN k % 7 = 0 THEN substr(h, 1, 20) ELSE h END AS capability,
+  CASE WHEN k % 5 <> 0 THEN 1 END AS byte_length FROM j)
+SELECT count(*) FILTER (WHERE (state = 'claimed') <> (claim_expires IS NOT NULL)) AS claim_shape, count(*) FILTER (WHERE (state = 'retry_wait') <> (shown IS NOT NULL)) AS retry_shape, count(*) FILTER (WHERE NOT regexp_full_match(hash, '[0-9a-f]{64}')) AS hash_shape,
+  count(*) FILTER (WHERE NOT regexp_full_match(queue, '[A-Za-z0-9_.-]{1,64}')) AS queue_shape, count(*) FILTER (WHERE NOT regexp_full_match(capability, '[A-Za-z0-9_-]{43,128}')) AS capability_shape, count(*) FILTER (WHERE (byte_length IS NULL) <> (k % 10 = 0)) AS completion_shape, count(*) AS n FROM d""",
+)
+def check_shapes(v) -> DataFrame:
+    """Violations of the shapes that rows must have: claim and retry columns set in their states alone,
+    completion evidence whole or absent, and the patterns of hashes, queue names and capabilities."""
+    h = F.sha2(F.col("utterance_id").cast("string"), 256)
+    k = F.col("k")
+    rows = v.v_jobs.select("state", "claim_expires", "k", F.when(k % 11 != 0, F.col("next_attempt")).alias("shown"), F.when(k % 13 == 0, F.upper(h)).when(k % 17 == 0, F.substring(h, 1, 63)).otherwise(h).alias("hash"),
+        F.when(k % 19 == 0, "Bad Queue").otherwise(F.concat(F.lit("stt.live-"), k.cast("string"))).alias("queue"), F.when(k % 7 == 0, F.substring(h, 1, 20)).otherwise(h).alias("capability"), F.when(k % 5 != 0, 1).alias("byte_length"), F.when(k % 10 != 0, h).alias("evidence"))
+    wrong = {
+        "claim_shape": (F.col("state") == "claimed") != F.col("claim_expires").isNotNull(),
+        "retry_shape": (F.col("state") == "retry_wait") != F.col("shown").isNotNull(),
+        "hash_shape": ~F.col("hash").rlike("^[0-9a-f]{64}$"),
+        "queue_shape": ~F.col("queue").rlike("^[A-Za-z0-9_.-]{1,64}$"),
+        "capability_shape": ~F.col("capability").rlike("^[A-Za-z0-9_-]{43,128}$"),
+        "completion_shape": F.col("byte_length").isNull() != F.col("evidence").isNull(),
+    }
+    return rows.agg(*(F.count_if(c).alias(n) for n, c in wrong.items()), F.count("*").alias("n"))
+
+
+#: What the media probe accepts besides codecs that begin with pcm_.
+CODECS = ("mp3", "aac", "alac", "opus", "vorbis", "flac")
+CONTAINERS = ("wav", "mp3", "mov", "mp4", "m4a", "3gp", "3g2", "mj2", "ogg", "matroska", "webm", "flac")
+MOST_SECONDS = 12 * 3600
+
+
+@book.frame(
+    "notice_decode",
+    """, r AS (SELECT n.utterance_id, n.session_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM v_notices n)
+SELECT utterance_id, CASE WHEN json_type(j) = 'OBJECT' AND json_extract_string(j, '$.type') = 'transcript_available' AND json_type(j, '$.session_id') = 'VARCHAR' AND json_extract_string(j, '$.session_id') = CAST(session_id AS VARCHAR)
+  AND json_type(j, '$.sequence') IN ('BIGINT', 'UBIGINT') AND CAST(json_extract_string(j, '$.sequence') AS BIGINT) >= 1 THEN CAST(json_extract_string(j, '$.sequence') AS BIGINT) END AS sequence FROM r""",
+)
+def notice_decode(v) -> DataFrame:
+    """The sequence of a valid notice of the session: an object of the right type and session with a
+    whole number from 1 on; anything else is null."""
+    kind = F.regexp_extract("payload", r'"sequence"\s*:\s*(-?[0-9]+)\s*[,}]', 1)
+    fields = F.from_json("payload", "type string, session_id string, sequence string", {"mode": "PERMISSIVE"})
+    read = v.v_notices.select("utterance_id", "session_id", "payload", fields.alias("f"), kind.alias("digits"))
+    good = "f.type = 'transcript_available' and f.session_id = cast(session_id as string) and payload rlike '\"session_id\"\\\\s*:\\\\s*\"' and f.sequence = digits and try_cast(digits as bigint) >= 1"
+    return read.selectExpr("utterance_id", f"case when {good} then cast(digits as bigint) end as sequence")
+
+
+_DUCK_SECONDS = "CASE WHEN json_type({0}) = 'VARCHAR' AND isfinite(try_cast(json_extract_string({0}, '$') AS DOUBLE)) AND try_cast(json_extract_string({0}, '$') AS DOUBLE) >= 0 THEN try_cast(json_extract_string({0}, '$') AS DOUBLE) END"
+
+
+@book.frame(
+    "probe_classify",
+    f""", r AS (SELECT utterance_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM v_probes),
+s AS (SELECT utterance_id, j, list_filter(CAST(json_extract(j, '$.streams') AS JSON[]), lambda x: json_extract_string(x, '$.codec_type') = 'audio') AS audio FROM r WHERE json_type(j, '$.streams') = 'ARRAY'),
+d AS (SELECT utterance_id, len(audio) AS n, json_type(audio[1], '$.index') IN ('BIGINT', 'UBIGINT') AND CAST(json_extract_string(audio[1], '$.index') AS BIGINT) >= 0 AND json_type(audio[1], '$.codec_name') = 'VARCHAR' AS whole, lower(trim(json_extract_string(audio[1], '$.codec_name'))) AS codec,
+  json_type(j, '$.format.format_name') = 'VARCHAR' AS named, list_transform(string_split(json_extract_string(j, '$.format.format_name'), ','), lambda x: lower(trim(x))) AS names,
+  greatest({_DUCK_SECONDS.format("json_extract(j, '$.format.duration')")}, {_DUCK_SECONDS.format("json_extract(audio[1], '$.duration')")}) AS duration FROM s)
+SELECT p.utterance_id, CASE WHEN d.utterance_id IS NULL THEN 'probe_malformed' WHEN n = 0 THEN 'no_audio' WHEN n > 1 THEN 'multiple_audio_streams' WHEN NOT coalesce(whole, false) THEN 'probe_malformed'
+  WHEN NOT (starts_with(codec, 'pcm_') OR codec IN {CODECS}) THEN 'unsupported_codec' WHEN NOT coalesce(named, false) THEN 'probe_malformed' WHEN NOT list_has_any(names, {list(CONTAINERS)}) THEN 'unsupported_container'
+  WHEN duration > {MOST_SECONDS} THEN 'duration_limit' ELSE 'accepted' END AS outcome, CASE WHEN n = 1 THEN duration END AS duration FROM v_probes p LEFT JOIN d ON d.utterance_id = p.utterance_id""",
+)
+def probe_classify(v) -> DataFrame:
+    """What the media probe's answer leads to: exactly one audio stream, of a known codec, in a known
+    container, within the time limit; durations are decimal texts, finite and not negative."""
+    shape = "streams array<struct<index: string, codec_type: string, codec_name: string, duration: string>>, format struct<format_name: string, duration: string>"
+    read = v.v_probes.select("utterance_id", "payload", F.from_json("payload", shape).alias("j"))
+    read = read.withColumn("audio", F.filter("j.streams", lambda x: x["codec_type"] == "audio")).withColumn("one", F.get("audio", F.lit(0)))
+
+    def seconds(x: str):
+        value = F.expr(f"try_cast({x} as double)")
+        return F.when((value >= 0) & (value < float("inf")), value)
+
+    codec = F.lower(F.trim("one.codec_name"))
+    names = F.transform(F.split("j.format.format_name", ","), lambda x: F.lower(F.trim(x)))
+    known = F.arrays_overlap(names, F.array(*map(F.lit, CONTAINERS)))
+    length = F.greatest(seconds("j.format.duration"), seconds("one.duration"))
+    outcome = (
+        F.when(F.col("j.streams").isNull(), "probe_malformed").when(F.size("audio") == 0, "no_audio").when(F.size("audio") > 1, "multiple_audio_streams")
+        .when(~F.coalesce(F.expr("one.index rlike '^[0-9]+$'"), F.lit(False)) | F.col("one.codec_name").isNull(), "probe_malformed")
+        .when(~(codec.startswith("pcm_") | codec.isin(*CODECS)), "unsupported_codec").when(F.col("j.format.format_name").isNull(), "probe_malformed")
+        .when(~known, "unsupported_container").when(length > MOST_SECONDS, "duration_limit").otherwise("accepted")
+    )
+    return read.select("utterance_id", outcome.alias("outcome"), F.when(F.size("audio") == 1, length).alias("duration"))

@@ -10,6 +10,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 NOW = 1_000_000
 COOLDOWN = 15
 
+#: JSON texts of notices and of media probes, right and wrong ones.
+NOTICES = """v_notices AS (
+  SELECT utterance_id, session_id, CASE WHEN k % 13 = 0 THEN '{"type": "transcript_avail' WHEN k % 17 = 0 THEN '[1, 2]' ELSE
+    '{"type": "' || CASE WHEN event_type = 'error' THEN 'ping' ELSE 'transcript_available' END || '", "session_id": ' || CASE WHEN k % 7 = 0 THEN CAST(session_id AS VARCHAR(20)) ELSE '"' || CAST(CASE WHEN k % 5 = 0 THEN session_id + 1 ELSE session_id END AS VARCHAR(20)) || '"' END
+    || ', "sequence": ' || CASE WHEN k % 11 = 0 THEN 'true' WHEN k % 10 = 1 THEN '"' || CAST(k AS VARCHAR(20)) || '"' WHEN k % 10 = 2 THEN CAST(k AS VARCHAR(20)) || '.5' WHEN k % 10 = 3 THEN CAST(2 - k AS VARCHAR(20)) WHEN k % 10 = 4 THEN 'null' ELSE CAST(k AS VARCHAR(20)) END || '}' END AS payload
+  FROM v_raw_jobs)"""
+PROBES = """v_probes AS (
+  SELECT utterance_id, CASE WHEN k % 23 = 0 THEN '{"streams": [' WHEN k % 19 = 0 THEN '{"streams": {}}' ELSE
+    '{"streams": [{"index": 0, "codec_type": "video", "codec_name": "h264"}' || CASE WHEN k % 8 = 0 THEN '' ELSE
+      ', {"index": ' || CASE WHEN k % 29 = 0 THEN '-1' ELSE '1' END || ', "codec_type": "audio", "codec_name": "' || CASE k % 6 WHEN 0 THEN ' AAC ' WHEN 1 THEN 'mp3' WHEN 2 THEN 'opus' WHEN 3 THEN 'pcm_s16le' WHEN 4 THEN 'wmav2' ELSE 'vorbis' END || '"' || CASE WHEN k % 4 = 1 THEN ', "duration": "' || CAST(k * 9 - 20 AS VARCHAR(20)) || '.25"' ELSE '' END || '}' END
+      || CASE WHEN k % 8 = 3 THEN ', {"index": 2, "codec_type": "audio", "codec_name": "aac"}' ELSE '' END || ']'
+      || CASE WHEN k % 9 = 0 THEN '' ELSE ', "format": {"format_name": "' || CASE k % 5 WHEN 0 THEN 'mov,mp4, M4A' WHEN 1 THEN 'ogg' WHEN 2 THEN 'avi' ELSE 'matroska,webm' END || '", "duration": "' || CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '-3' WHEN 2 THEN '50000' ELSE CAST(k * 10 AS VARCHAR(20)) || '.5' END || '"}' END || '}' END AS payload
+  FROM v_raw_jobs)"""
+
 #: Common table expressions that both Spark and DuckDB read.
 ADAPTERS = f"""
 WITH v_sessions AS (
@@ -31,6 +45,7 @@ v_raw_jobs AS (
   SELECT event_id AS utterance_id, user_id AS session_id, event_type, ts AS created_at, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
 v_jobs AS (
   SELECT utterance_id, session_id, k, created_at, value, CAST(k % 6 AS BIGINT) AS attempts, state,
+         CAST((utterance_id * 7919) % 10007 AS BIGINT) AS sequence, CAST({NOW} - 5000 + (utterance_id * 31) % 4000 AS BIGINT) AS created,
          CASE WHEN utterance_id % 7 = 0 THEN NULL ELSE {NOW} - utterance_id % 30 END AS last_delivery,
          CASE WHEN state = 'retry_wait' THEN {NOW} - 10 + k % 20 END AS next_attempt,
          CASE WHEN state = 'claimed' THEN {NOW} - 10 + k % 25 END AS claim_expires
@@ -55,12 +70,16 @@ v_segments AS (
   SELECT session_id, sequence, 'utterance:' || CAST(sequence AS VARCHAR(20)) AS producer_key, 40 * (upto - n) AS start_ms, 40 * upto + 1 AS end_ms, text,
          CASE role WHEN 'user' THEN 'en' WHEN 'assistant' THEN 'de' END AS language
   FROM v_lines),
-v_canonical AS (SELECT d.doc_id AS utterance_id, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+v_canonical AS (
+  SELECT j.utterance_id, CASE WHEN l.doc_id % 11 = 0 THEN j.session_id + 1 ELSE j.session_id END AS session_id, 'utterance:' || CAST(l.doc_id AS VARCHAR(20)) AS producer_key, l.quality, l.toxic
+  FROM labels l JOIN v_raw_jobs j ON j.utterance_id = l.doc_id),
+{NOTICES},
+{PROBES},
 v_uploads AS (
   SELECT page_id AS session_id, url, CAST(1000 + (page_id * 7919) % 100000 AS BIGINT) AS declared, CAST((page_id * 104729) % 120000 AS BIGINT) AS sent,
-         CASE WHEN page_id % 3 = 0 THEN @sha(url) END AS sha256, CAST(page_id % 50 AS BIGINT) AS expires_in
+         CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR(20)) END AS sha256, CAST(page_id % 50 AS BIGINT) AS expires_in
   FROM pages)
-""".replace("@sha(url)", "CAST(page_id AS VARCHAR(20))")
+"""
 
 
 _REGISTERED: list[tuple] = []
