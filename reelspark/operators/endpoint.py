@@ -9,6 +9,7 @@ silence or at a hard maximum, and only with enough voiced frames is it kept.
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ class Detector:
     start: int | None = None
     voiced: int = 0
     quiet: int = 0
-    lead: list[tuple[int, int]] = field(default_factory=list)
+    lead: deque[tuple[int, int]] = field(default_factory=deque)
     out: list[tuple[int, int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -50,7 +51,7 @@ class Detector:
             self.noise = self.settings.noise
 
     def reset(self) -> None:
-        self.start, self.voiced, self.quiet, self.lead = None, 0, 0, []
+        self.start, self.voiced, self.quiet, self.lead = None, 0, 0, deque()
 
     def _close(self, end: int) -> None:
         if self.voiced >= self.settings.samples(self.settings.min_voiced):
@@ -65,11 +66,11 @@ class Detector:
         if self.start is None:
             if speech:
                 self.start = self.lead[0][0] if self.lead else offset
-                self.voiced, self.quiet, self.lead = size, 0, []
+                self.voiced, self.quiet, self.lead = size, 0, deque()
             else:
                 self.lead.append((offset, size))
-                while self.lead and sum(n for _, n in self.lead) > s.samples(s.pre_roll):
-                    self.lead.pop(0)
+                while self.lead and offset + size - self.lead[0][0] > s.samples(s.pre_roll):
+                    self.lead.popleft()
             return
         self.voiced += size if speech else 0
         self.quiet = 0 if speech else self.quiet + size

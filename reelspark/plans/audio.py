@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from reelspark.operators.carry import carry
 from reelspark.operators.endpoint import Settings, dbfs, segments
 from reelspark.plans.book import Book
+from reelspark.sources import blobs as blob_source
+from reelspark.sources.blobs import write_blobs
+from reelspark.sources.shared import shared_folder
+from reelspark.streaming.endpoint import run_in_batches
 from reelspark.streaming.sessions import heartbeat_sessions
 
 book = Book()
@@ -46,6 +50,12 @@ def vad_endpoint(v) -> DataFrame:
     return segments(frames(v), SHORT)
 
 
+@book.frame("vad_stream")
+def vad_stream(v) -> DataFrame:
+    """The segments of :func:`vad_endpoint`, found by a stream in three micro-batches."""
+    return run_in_batches(v.spark, frames(v), SHORT, shared_folder(v.spark, "vad"), 3)
+
+
 @book.frame(
     "noise_floor",
     """, f AS (SELECT session_id AS stream_id, -90.0::DOUBLE + k AS level, row_number() OVER (PARTITION BY session_id ORDER BY utterance_id) AS rn FROM v_raw_jobs),
@@ -95,6 +105,39 @@ def wav_encode(v) -> DataFrame:
     return v.embeddings.selectExpr("vec_id", f"{QUANTISE} as s").select("vec_id", encoded("s").alias("sha256"))
 
 
+def recordings(v) -> DataFrame:
+    """(vec_id, key, content): WAV files of the embeddings' samples, repeated to several frames."""
+
+    @F.pandas_udf("binary")
+    def encoded(samples: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series([wav(struct.pack(f"<{len(s)}h", *s) * int(n)) for s, n in zip(samples, times, strict=True)])
+
+    rows = v.embeddings.selectExpr("vec_id", f"{QUANTISE} as s", "1 + vec_id % 30 as times")
+    return rows.select("vec_id", F.format_string("media/%02d/%08d.wav", F.col("vec_id") % 16, "vec_id").alias("key"), encoded("s", "times").alias("content"))
+
+
+@book.frame("wav_frames", "SELECT vec_id, CAST(i AS BIGINT) AS frame_no, CAST(least(320, n - 320 * i) AS BIGINT) AS samples FROM (SELECT vec_id, len(embedding) * (1 + vec_id % 30) AS n FROM embeddings WHERE vec_id % 11 <> 0) e, unnest(range(0, (n + 319) // 320)) AS u(i)")
+def wav_frames(v) -> DataFrame:
+    """Frames of the WAV files of a folder; files of another format give none."""
+    folder = shared_folder(v.spark, "media")
+    broken = F.when(F.col("vec_id") % 11 == 0, F.concat(F.expr("X'00'"), "content")).otherwise(F.col("content"))
+    write_blobs(recordings(v).withColumn("content", broken), folder)
+    found = blob_source.wav_frames(blob_source.blobs(v.spark, folder))
+    return found.select(F.regexp_extract("key", "([0-9]+)[.]wav$", 1).cast("bigint").alias("vec_id"), "frame_no", "samples")
+
+
+@book.frame("blob_verify", "SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'key' WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 5 = 0 THEN 'length' WHEN vec_id % 3 = 0 THEN 'sha256' ELSE 'verified' END AS outcome FROM embeddings")
+def blob_verify(v) -> DataFrame:
+    """Objects of a manifest against the files themselves: some keys climb out, some files are absent,
+    some manifest rows have another length or digest."""
+    folder, rows = shared_folder(v.spark, "blobs"), recordings(v)
+    write_blobs(rows.where("vec_id % 7 <> 0"), folder)
+    key = F.when(F.col("vec_id") % 13 == 0, F.concat(F.lit("media/../"), "key")).otherwise(F.col("key"))
+    digest = F.when(F.col("vec_id") % 3 == 0, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.sha2("content", 256))
+    manifest = rows.select("vec_id", key.alias("key"), digest.alias("sha256"), (F.octet_length("content") + F.when(F.col("vec_id") % 5 == 0, 1).otherwise(0)).cast("bigint").alias("byte_length"))
+    return blob_source.verify(manifest, blob_source.blobs(v.spark, folder)).select("vec_id", "outcome")
+
+
 @book.frame("pcm_decode")
 def pcm_decode(v) -> DataFrame:
     """Packets of a little-endian offset and samples; offsets beyond 63 bits and odd payloads go."""

@@ -6,19 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.sources.adapters import ADAPTERS, Views
-
-
-def spark_text(sql: str) -> str:
-    """``@sha(x)`` as sha2(x, 256): the length goes before the parenthesis that closes it."""
-    while "@sha(" in sql:
-        head, _, rest = sql.partition("@sha(")
-        depth, end = 1, 0
-        while depth:
-            depth += {"(": 1, ")": -1}.get(rest[end], 0)
-            end += 1
-        sql = f"{head}sha2({rest[: end - 1]}, 256){rest[end:]}"
-    return sql
+from reelspark.sources.adapters import ADAPTERS, Views, spark_text
 
 
 def duck_text(sql: str) -> str:
@@ -37,7 +25,7 @@ class Book:
             self.pair(name, sql, sql)
 
     def pair(self, name: str, spark_sql: str, duck_sql: str) -> None:
-        def run(spark: SparkSession, sf_dir: str, text: str = ADAPTERS + spark_text(spark_sql)) -> DataFrame:
+        def run(spark: SparkSession, sf_dir: str, text: str = spark_text(ADAPTERS + spark_sql)) -> DataFrame:
             Views(spark, sf_dir).register()
             return spark.sql(text)
 

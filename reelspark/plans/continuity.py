@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.operators import coverage
@@ -28,16 +28,6 @@ FROM v_sessions s LEFT JOIN ends ON s.session_id = ends.session_id
 WHERE coalesce(last, 0) > final_sequence OR final_sequence * 2000 < coalesce(end_ms, 0)""",
     session_chunks="SELECT session_id, sequence, byte_length FROM v_chunks",
     session_gaps="SELECT session_id, gap_id, lo, hi, reason FROM v_gaps",
-    chunk_dedupe_conflict=""", ranked AS (SELECT *, row_number() OVER w AS rn, first_value(writer_id) OVER w AS w0, first_value(byte_length) OVER w AS b0
-  FROM v_chunks WINDOW w AS (PARTITION BY session_id, sequence ORDER BY l_shipdate, l_partkey, writer_id, l_extendedprice, byte_length, l_discount, l_tax))
-SELECT session_id, sequence, CAST(count(CASE WHEN rn = 1 THEN 1 END) AS BIGINT) AS accepted,
-       CAST(count(CASE WHEN rn > 1 AND writer_id = w0 AND byte_length = b0 THEN 1 END) AS BIGINT) AS idempotent,
-       CAST(count(CASE WHEN rn > 1 AND NOT (writer_id = w0 AND byte_length = b0) THEN 1 END) AS BIGINT) AS conflict
-FROM ranked GROUP BY session_id, sequence""",
-    gap_dedupe_conflict=""", offered AS (SELECT 0 AS batch, gap_id, session_id, lo, hi, reason FROM v_gaps
-  UNION ALL SELECT 1, gap_id, session_id, lo, CASE WHEN gap_id % 7 = 0 THEN hi + 1 ELSE hi END, reason FROM v_gaps)
-SELECT b.gap_id, CASE WHEN a.lo IS NOT DISTINCT FROM b.lo AND a.hi IS NOT DISTINCT FROM b.hi AND a.reason IS NOT DISTINCT FROM b.reason THEN 'idempotent' ELSE 'conflict' END AS outcome
-FROM offered a JOIN offered b ON a.gap_id = b.gap_id AND a.batch = 0 AND b.batch = 1""",
     session_dedupe=""", again AS (SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'other' ELSE kind END AS kind, owner_id FROM v_sessions)
 SELECT CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END AS outcome, count(*) AS n
 FROM v_sessions s JOIN again a ON s.session_id = a.session_id GROUP BY CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END""",
@@ -60,8 +50,6 @@ FROM v_chunks c JOIN v_sessions s ON c.session_id = s.session_id
 GROUP BY c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND c.sequence BETWEEN 1 AND s.final_sequence THEN 'removed' ELSE 'retained' END""",
     spool_validate=""", steps AS (SELECT session_id, sequence, lag(sequence) OVER (PARTITION BY session_id ORDER BY sequence) AS before FROM (SELECT DISTINCT session_id, sequence FROM v_chunks) d)
 SELECT session_id, sequence, before AS previous FROM steps WHERE sequence <> coalesce(before, 0) + 1""",
-    heartbeat_interruptions=""", beats AS (SELECT session_id, event_id, ts, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS after FROM v_heartbeats)
-SELECT session_id, event_id AS last_heartbeat_event FROM beats WHERE after > ts + INTERVAL '6' HOUR""",
     local_fence="""SELECT a.session_id, CASE WHEN a.state = 'complete' AND b.state = 'complete' AND a.epoch = b.epoch THEN 'matching_completion' WHEN b.epoch = a.epoch + 1 AND b.owner_id = a.owner_id THEN 'advanced'
        WHEN b.state = 'complete' OR b.epoch <> a.epoch OR b.owner_id <> a.owner_id THEN 'fenced' ELSE 'open' END AS fence,
        CASE WHEN b.epoch = a.epoch + 1 THEN 'adopt' WHEN b.epoch = a.epoch THEN 'drop' ELSE 'conflict' END AS pending_claim
@@ -164,3 +152,55 @@ def capture_epoch_fence(v) -> DataFrame:
 
     claims = v.v_raw_jobs.selectExpr("session_id", "utterance_id as event_id", "k % 3 as writer", "k % 5 as expected")
     return carry(claims, ["event_id", "writer", "expected"], "event_id bigint, epoch bigint, outcome string", lambda: [0, -1], step, lambda key, state: [])
+
+
+#: The fields by which a repeated chunk or gap is known to be the same.
+CHUNK = ("writer_id", "epoch", "start_ms", "end_ms", "content_type", "sha256", "byte_length")
+GAP = ("writer_id", "epoch", "lo", "hi", "wall_started_at", "wall_ended_at", "reason")
+
+
+def offered(df: DataFrame, key: list[str], order: list[str], identity: tuple[str, ...]) -> DataFrame:
+    """How many rows of each key were accepted (the first), repeat it in all of ``identity``, or conflict."""
+    by = Window.partitionBy(*key).orderBy(*order)
+    rows = df.withColumn("me", F.struct(*identity)).withColumns({"rn": F.row_number().over(by), "first": F.first("me").over(by)})
+    same = F.col("me").eqNullSafe(F.col("first"))
+    return rows.groupBy(*key).agg(F.count_if(F.col("rn") == 1).alias("accepted"), F.count_if((F.col("rn") > 1) & same).alias("idempotent"), F.count_if((F.col("rn") > 1) & ~same).alias("conflict"))
+
+
+def _duck_offered(view: str, key: str, order: str, identity: tuple[str, ...]) -> str:
+    same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM f.{c}" for c in identity)
+    on = " AND ".join(f"o.{c} = f.{c}" for c in key.split(", "))
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {view}), f AS (SELECT * FROM o WHERE rn = 1)
+SELECT {", ".join(f"o.{c}" for c in key.split(", "))}, count(*) FILTER (WHERE o.rn = 1) AS accepted, count(*) FILTER (WHERE o.rn > 1 AND {same}) AS idempotent, count(*) FILTER (WHERE o.rn > 1 AND NOT ({same})) AS conflict
+FROM o JOIN f ON {on} GROUP BY {", ".join(f"o.{c}" for c in key.split(", "))}"""
+
+
+@book.frame("chunk_dedupe_conflict", _duck_offered("v_chunk_offers", "session_id, sequence", "arrival", CHUNK))
+def chunk_dedupe_conflict(v) -> DataFrame:
+    return offered(v.v_chunk_offers, ["session_id", "sequence"], ["arrival"], CHUNK)
+
+
+@book.frame("gap_dedupe_conflict", _duck_offered("v_gap_offers", "session_id, gap_id", "arrival", GAP))
+def gap_dedupe_conflict(v) -> DataFrame:
+    return offered(v.v_gap_offers, ["session_id", "gap_id"], ["arrival"], GAP)
+
+
+TIMEOUT = 20
+
+
+@book.frame(
+    "heartbeat_interruptions",
+    f""", b AS (SELECT user_id AS session_id, event_id, ts FROM events), m AS (SELECT max(ts) + INTERVAL {TIMEOUT} SECOND AS now FROM b),
+n AS (SELECT session_id, event_id, ts, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next FROM b), s AS (SELECT session_id, state FROM v_sessions)
+SELECT n.session_id, n.event_id AS last_heartbeat_event, CAST(floor(epoch(ts)) AS BIGINT) AS interrupted_at, CASE WHEN next IS NULL THEN 'open' ELSE 'recovered' END AS outcome FROM n JOIN s ON s.session_id = n.session_id CROSS JOIN m
+WHERE (next IS NOT NULL AND next > ts + INTERVAL {TIMEOUT} SECOND) OR (next IS NULL AND s.state = 'recording' AND now > ts + INTERVAL {TIMEOUT} SECOND)""",
+)
+def heartbeat_interruptions(v) -> DataFrame:
+    """Holes of more than TIMEOUT seconds after a heartbeat, which is when the session counts as
+    interrupted; at the end only a session that still records is."""
+    beats = v.v_heartbeats.withColumn("next", F.lead("ts").over(Window.partitionBy("session_id").orderBy("ts", "event_id")))
+    now = beats.agg(F.expr(f"max(ts) + interval '{TIMEOUT}' second").alias("now"))
+    seen = beats.join(v.v_sessions.select("session_id", "state"), "session_id").crossJoin(F.broadcast(now))
+    late = F.expr(f"ts + interval '{TIMEOUT}' second")
+    holes = seen.where((F.col("next") > late) | (F.col("next").isNull() & (F.col("state") == "recording") & (F.col("now") > late)))
+    return holes.select("session_id", F.col("event_id").alias("last_heartbeat_event"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("interrupted_at"), F.when(F.col("next").isNull(), "open").otherwise("recovered").alias("outcome"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions import formats, versions
 from reelspark.functions.formats import clock, line_feeds
 from reelspark.plans.book import Book
+from reelspark.sources.adapters import ADAPTERS, spark_text
 
 book = Book()
 
@@ -40,33 +42,15 @@ SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
     result_status=""", c AS (SELECT session_id, count(*) AS n FROM v_segments WHERE session_id % 4 <> 0 GROUP BY session_id)
 SELECT u.session_id, CASE WHEN u.session_id % 11 = 0 THEN 'failed' WHEN sha256 IS NULL THEN 'uploading' WHEN u.session_id % 5 = 0 THEN 'preparing' WHEN u.session_id % 7 = 0 THEN 'transcribing' WHEN coalesce(n, 0) > 0 THEN 'complete' ELSE 'no_speech' END AS status,
   u.session_id % 11 <> 0 AND sha256 IS NOT NULL AND u.session_id % 5 <> 0 AND u.session_id % 7 <> 0 AND coalesce(n, 0) > 0 AS can_export FROM v_uploads u LEFT JOIN c ON c.session_id = u.session_id""",
-    identity_drift="""SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'declared' WHEN session_id % 7 = 0 THEN 'sha256' END AS first_drift FROM v_uploads WHERE session_id % 5 = 0 OR session_id % 7 = 0""",
-    capability_state="""SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 'invalid' WHEN @sha('t' || CAST(session_id AS VARCHAR(20))) <> @sha('t' || CAST(session_id - session_id % 9 % 2 AS VARCHAR(20))) THEN 'invalid' WHEN expires_in <= 10 THEN 'expired' ELSE 'valid' END AS state FROM v_uploads""",
-    upload_policy=""", f AS (SELECT session_id, declared, CASE session_id % 6 WHEN 0 THEN 'mp3' WHEN 1 THEN 'wav' WHEN 2 THEN 'm4a' WHEN 3 THEN 'exe' WHEN 4 THEN 'ogg' ELSE '' END AS ext, CASE session_id % 5 WHEN 0 THEN 'audio/mpeg; q=1' WHEN 1 THEN 'audio/wav' WHEN 2 THEN 'AUDIO/MP4' WHEN 3 THEN 'text/plain' ELSE 'audio/ogg' END AS ct FROM v_uploads),
-m AS (SELECT *, lower(trim(regexp_replace(ct, ';.*', ''))) AS base FROM f)
-SELECT session_id, CASE WHEN ext NOT IN ('mp3', 'wav', 'm4a', 'ogg') THEN 'extension' WHEN NOT ((ext = 'mp3' AND base = 'audio/mpeg') OR (ext = 'wav' AND base = 'audio/wav') OR (ext = 'm4a' AND base = 'audio/mp4') OR (ext = 'ogg' AND base = 'audio/ogg')) THEN 'content_type' WHEN declared > 90000 THEN 'size' ELSE 'accepted' END AS outcome FROM m""",
     mime_normalize="""SELECT doc_id, base, CASE base WHEN 'audio/webm' THEN '.webm' WHEN 'audio/mp4' THEN '.m4a' WHEN 'audio/ogg' THEN '.ogg' ELSE '.bin' END AS suffix
 FROM (SELECT doc_id, coalesce(nullif(lower(trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN 'Audio/WebM; codecs=opus' WHEN 1 THEN ' audio/mp4 ' WHEN 2 THEN '' WHEN 3 THEN 'AUDIO/OGG;x' ELSE NULL END, ';.*', ''))), ''), 'application/octet-stream') AS base FROM documents) b""",
-    manifest_check="SELECT p_partkey, CASE WHEN p_name IS NULL OR length(p_name) = 0 THEN 'name' WHEN p_size % 7 = 0 THEN 'format' WHEN p_size % 5 = 0 THEN 'digest' ELSE 'accepted' END AS outcome FROM part",
     prefix_count="SELECT count(*) AS n FROM part WHERE p_name LIKE 'a%'",
     pk_lookup="SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7",
     ux_rules="""SELECT session_id, CASE WHEN state = 'complete' AND final_sequence = 0 THEN 'nothing recorded' WHEN state = 'complete' THEN 'finished' WHEN state = 'finalizing' THEN 'finishing' WHEN epoch > 2 THEN 'recovering' ELSE 'recording' END AS label,
   CASE WHEN state = 'complete' THEN 'new' WHEN state = 'finalizing' THEN 'wait' WHEN epoch > 2 THEN 'resume,discard' ELSE 'pause,stop' END AS actions FROM v_sessions""",
     storage_level="""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'unknown' WHEN c_custkey % 3 = 0 AND greatest(0, quota - used) >= 67108864 THEN 'safe' ELSE 'warning' END AS level FROM (SELECT c_custkey, CAST(c_custkey % 100 * 2000000 AS BIGINT) AS quota, CAST(c_custkey % 37 * 1000000 AS BIGINT) AS used FROM customer) q""",
-    recovery_match="""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'metadata_changed' WHEN doc_id % 5 = 0 THEN 'no_evidence' WHEN @sha(text) = @sha(CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END) THEN 'match' ELSE 'content_changed' END AS outcome,
-  CASE doc_id % 4 WHEN 0 THEN 'drop' WHEN 1 THEN 'drop_and_recreate' WHEN 2 THEN 'rethrow' ELSE 'continue' END AS reaction FROM documents""",
-    release_admission="""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'not_empty' WHEN p_size <= p_partkey % 30 THEN 'not_newer' WHEN p_size % 3 = 0 THEN 'format' WHEN p_size % 5 = 0 THEN 'checkpoint' ELSE 'accepted' END AS outcome, p_size % 2 = 0 AND p_partkey % 3 = 0 AS may_roll_back FROM part""",
-    path_keys="SELECT o_orderkey, 'sessions/' || lpad(CAST(o_orderkey AS VARCHAR(20)), greatest(8, length(CAST(o_orderkey AS VARCHAR(20)))), '0') AS path FROM orders".replace("lpad(CAST(o_orderkey AS VARCHAR(20)), greatest(8, length(CAST(o_orderkey AS VARCHAR(20)))), '0')", "lpad(CAST(o_orderkey AS VARCHAR(20)), CAST(greatest(8, length(CAST(o_orderkey AS VARCHAR(20)))) AS INT), '0')"),
     sha256_evidence="SELECT doc_id, @sha(text) AS sha256 FROM documents",
-    bytes_label="""SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR(20)) || ' B' WHEN n < 1048576 THEN CAST(CAST(floor(n / 1024.0 * 10 + 0.5) AS BIGINT) AS VARCHAR(20)) || '/10 KiB' ELSE CAST(CAST(floor(n / 1048576.0 * 10 + 0.5) AS BIGINT) AS VARCHAR(20)) || '/10 MiB' END AS label FROM (SELECT doc_id, n_chars * (1 + doc_id % 1000) AS n FROM documents) b""",
     request_projection="SELECT o_orderkey, CAST(ceil(ms / 180000.0) AS BIGINT) AS upload_requests, CAST(ceil(ms / 8000.0) AS BIGINT) AS live_requests FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 10 AS ms FROM orders) d",
-    timeline_ms="""SELECT s, CAST(floor(s * 1000 / 16000) AS BIGINT) AS start_ms, CAST(floor((e * 1000 + 15999) / 16000) AS BIGINT) AS end_ms, greatest(CAST(floor(s * 1000 / 16000) AS BIGINT) + 1, CAST(floor(e * 1000 / 16000) AS BIGINT)) AS live_end_ms
-FROM (SELECT DISTINCT CAST(l_partkey * 37 AS BIGINT) AS s, CAST(l_partkey * 37 + l_linenumber * 640 AS BIGINT) AS e FROM lineitem) x""",
-    version_channel="""SELECT v, CASE WHEN v LIKE '%-alpha%' THEN 'alpha' WHEN v LIKE '%-beta%' THEN 'beta' WHEN v LIKE '%-rc%' THEN 'rc' WHEN v LIKE '%-%' THEN 'unknown' ELSE 'stable' END AS channel
-FROM (SELECT DISTINCT 'v' || CAST(p_size AS VARCHAR(20)) || '.' || CAST(p_partkey % 9 AS VARCHAR(20)) || '.0' || CASE p_partkey % 5 WHEN 0 THEN '-alpha.1' WHEN 1 THEN '-beta.2' WHEN 2 THEN '-rc.1' WHEN 3 THEN '' ELSE '-x' END AS v FROM part) p""",
-    version_latest=""", p AS (SELECT p_size AS major, p_partkey % 9 AS minor, CASE p_partkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'rc' ELSE 'stable' END AS channel, p_partkey % 13 AS pre FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY major DESC, minor DESC, pre DESC) AS rn FROM p)
-SELECT channel, CAST(major AS BIGINT) AS major, CAST(minor AS BIGINT) AS minor, CAST(pre AS BIGINT) AS pre FROM r WHERE rn = 1""",
     duration_label="""SELECT session_id, sequence, CASE WHEN h < 10 THEN '0' ELSE '' END || CAST(h AS VARCHAR(20)) || ':' || lpad(CAST(m AS VARCHAR(20)), 2, '0') || ':' || lpad(CAST(s AS VARCHAR(20)), 2, '0') AS label
 FROM (SELECT session_id, sequence, CAST(floor(end_ms / 3600000) AS BIGINT) AS h, CAST(floor(end_ms / 60000) AS BIGINT) % 60 AS m, CAST(floor(end_ms / 1000) AS BIGINT) % 60 AS s FROM v_segments) d""",
     discontinuities=""", d AS (SELECT session_id, event_id, lag(event_id) OVER (PARTITION BY session_id ORDER BY event_id) AS before FROM v_heartbeats)
@@ -125,7 +109,190 @@ def uuid5_work_id(v) -> DataFrame:
     return h.selectExpr("o_orderkey", f"concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', {variant}, substr(h, 18, 3), '-', substr(h, 21, 12)) as work_id")
 
 
-@book.frame("content_evidence", "SELECT doc_id, sha256(unhex(lpad(to_hex(strlen(text)), 16, '0')) || encode(left(text, 64)) || encode(right(text, 64))) AS evidence FROM documents")
+_DUCK_EVIDENCE = "sha256(unhex(lpad(to_hex(octet_length({b})), 16, '0')) || {b}[1:262144] || {b}[greatest(1, octet_length({b}) - 262143):octet_length({b})])"
+
+
+@book.frame("content_evidence", f"SELECT doc_id, {_DUCK_EVIDENCE.format(b='b')} AS evidence FROM (SELECT doc_id, encode(text) AS b FROM documents) d")
 def content_evidence(v) -> DataFrame:
-    """SHA-256 of the size as 64 bits and of bounded head and tail."""
-    return v.documents.selectExpr("doc_id", "sha2(concat(unhex(lpad(hex(octet_length(text)), 16, '0')), encode(left(text, 64), 'UTF-8'), encode(right(text, 64), 'UTF-8')), 256) as evidence")
+    return v.documents.select("doc_id", formats.content_evidence(F.encode("text", "UTF-8")).alias("evidence"))
+
+
+@book.frame("path_keys", "SELECT o_orderkey, printf('sessions/%08d', o_orderkey) AS path FROM orders")
+def path_keys(v) -> DataFrame:
+    return v.orders.select("o_orderkey", F.format_string("sessions/%08d", "o_orderkey").alias("path"))
+
+
+@book.frame(
+    "timeline_ms",
+    """SELECT s, s * 1000 // 16000 AS start_ms, (e * 1000 + 15999) // 16000 AS end_ms, CAST(round_even(s / 16.0, 0) AS BIGINT) AS live_start_ms, greatest(CAST(round_even(s / 16.0, 0) AS BIGINT) + 1, CAST(round_even(e / 16.0, 0) AS BIGINT)) AS live_end_ms,
+  greatest(1, CAST(round_even((e - s) * 11025 / 1000.0, 0) AS BIGINT)) AS samples FROM (SELECT DISTINCT CAST(l_partkey * 37 AS BIGINT) AS s, CAST(l_partkey * 37 + l_linenumber * 648 AS BIGINT) AS e FROM lineitem) x""",
+)
+def timeline_ms(v) -> DataFrame:
+    """Samples at 16 kHz as milliseconds, rounded outwards for uploads and half to even for live audio,
+    whose end is later than its start; and milliseconds as samples at 11025 Hz, one at least."""
+    spans = v.lineitem.selectExpr("cast(l_partkey * 37 as bigint) as s", "cast(l_partkey * 37 + l_linenumber * 648 as bigint) as e").distinct()
+    live = lambda c: F.rint(F.col(c) * 1000 / 16000).cast("bigint")
+    return spans.select("s", F.expr("s * 1000 div 16000").alias("start_ms"), F.expr("(e * 1000 + 15999) div 16000").alias("end_ms"), live("s").alias("live_start_ms"), F.greatest(live("s") + 1, live("e")).alias("live_end_ms"), F.greatest(F.lit(1).cast("bigint"), F.rint((F.col("e") - F.col("s")) * 11025 / 1000).cast("bigint")).alias("samples"))
+
+
+@book.frame(
+    "bytes_label",
+    """, b AS (SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN n_chars * power(7, doc_id % 9)::BIGINT END AS n FROM documents),
+t AS (SELECT *, floor(n / 1048576 * 10 + 0.5)::BIGINT AS mb, floor(n / 1073741824 * 10 + 0.5)::BIGINT AS gb FROM b)
+SELECT doc_id, CASE WHEN n < 1048576 THEN greatest(1, floor(n / 1024 + 0.5)::BIGINT) || ' KB' WHEN n < 1073741824 THEN mb // 10 || '.' || mb % 10 || ' MB' ELSE gb // 10 || '.' || gb % 10 || ' GB' END AS upload_label,
+  CASE WHEN n IS NULL THEN 'unknown' WHEN n < 1048576 THEN floor(n / 1024 + 0.5)::BIGINT || ' KB' WHEN n < 1073741824 THEN floor(n / 1048576 + 0.5)::BIGINT || ' MB' ELSE gb // 10 || '.' || gb % 10 || ' GB' END AS storage_label FROM t""",
+)
+def bytes_label(v) -> DataFrame:
+    sizes = v.documents.selectExpr("doc_id", "case when doc_id % 50 <> 0 then n_chars * cast(power(7, doc_id % 9) as bigint) end as n")
+    return sizes.select("doc_id", formats.bytes_label("n", False).alias("upload_label"), formats.bytes_label("n", True).alias("storage_label"))
+
+
+#: Versions of many forms, unsupported ones too.
+_VERSIONS = ", forms AS (SELECT DISTINCT 'v' || CAST(p_size % 12 AS VARCHAR(20)) || '.' || CAST(p_partkey % 11 AS VARCHAR(20)) || '.0' || CASE p_partkey % 9 WHEN 0 THEN '-alpha.' || CAST(p_partkey % 13 AS VARCHAR(20)) WHEN 1 THEN '-beta.' || CAST(p_partkey % 13 AS VARCHAR(20)) WHEN 2 THEN '-rc.1' WHEN 3 THEN '' WHEN 4 THEN '-alpha' WHEN 5 THEN '-alpha.x1' WHEN 6 THEN '-beta.2.' || CAST(p_partkey % 5 AS VARCHAR(20)) WHEN 7 THEN '-rc.a.10' ELSE '-x' END AS v FROM part)"
+_DUCK_CHANNEL = "CASE WHEN regexp_full_match(v, 'v[0-9]+[.][0-9]+[.][0-9]+') THEN 'stable' WHEN regexp_full_match(v, 'v[0-9]+[.][0-9]+[.][0-9]+-alpha([.][0-9A-Za-z-]+)*') THEN 'alpha' WHEN regexp_full_match(v, 'v[0-9]+[.][0-9]+[.][0-9]+-(beta|rc)([.][0-9A-Za-z-]+)*') THEN 'beta' END"
+
+
+def _forms(v) -> DataFrame:
+    v.register()
+    return v.spark.sql(spark_text(f"{ADAPTERS}{_VERSIONS} SELECT v FROM forms"))
+
+
+@book.frame("version_channel", f"{_VERSIONS} SELECT v, coalesce({_DUCK_CHANNEL}, 'unsupported') AS channel FROM forms")
+def version_channel(v) -> DataFrame:
+    return _forms(v).select("v", F.coalesce(versions.channel(F.col("v")), F.lit("unsupported")).alias("channel"))
+
+
+@book.frame(
+    "version_latest",
+    f"""{_VERSIONS}, c AS (SELECT v, {_DUCK_CHANNEL} AS channel FROM forms),
+k AS (SELECT *, list_transform(string_split(regexp_replace(substr(v, 2), '-.*', ''), '.'), lambda x: CAST(x AS BIGINT)) AS core, CASE WHEN contains(v, '-') THEN 0 ELSE 1 END AS final,
+  list_transform(string_split(regexp_extract(v, '-(.*)$', 1), '.'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' || lpad(x, 18, '0') ELSE '1' || x END) AS pre FROM c WHERE channel IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY core DESC, final DESC, pre DESC) AS rn FROM k) SELECT channel, v FROM r WHERE rn = 1""",
+)
+def version_latest(v) -> DataFrame:
+    """The latest version of each channel in semantic order."""
+    named = _forms(v).select("v", versions.channel(F.col("v")).alias("channel")).where("channel is not null")
+    return named.groupBy("channel").agg(F.max_by("v", versions.order_key(F.col("v"))).alias("v"))
+
+
+#: The media types that each extension allows.
+TYPES = {
+    ".wav": ["audio/wav", "audio/x-wav", "audio/vnd.wave", "application/octet-stream"],
+    ".mp3": ["audio/mpeg", "audio/mp3", "application/octet-stream"],
+    ".m4a": ["audio/mp4", "audio/x-m4a", "application/octet-stream"],
+    ".ogg": ["audio/ogg", "application/ogg", "application/octet-stream"],
+    ".webm": ["audio/webm", "video/webm", "application/octet-stream"],
+    ".mp4": ["video/mp4", "audio/mp4", "application/octet-stream"],
+}
+MOST_BYTES, MOST_MS = 5 << 30, 12 * 3_600_000
+
+
+@book.frame(
+    "upload_policy",
+    f""", r AS (SELECT session_id, trim(regexp_extract(replace(file_name, chr(92), '/'), '[^/]*$')) AS name, coalesce(nullif(lower(trim(string_split(content_type, ';')[1])), ''), 'application/octet-stream') AS kind, declared_bytes, declared_ms FROM v_requests),
+x AS (SELECT *, lower(regexp_extract(name, '.([.][^.]*[^.])$', 1)) AS ext FROM r), t AS (SELECT * FROM (VALUES {", ".join(f"('{e}', {k})" for e, k in TYPES.items())}) AS t(e, kinds))
+SELECT session_id, CASE WHEN name IN ('', '.', '..') THEN 'file_name' WHEN kinds IS NULL THEN 'extension' WHEN NOT list_contains(kinds, kind) THEN 'content_type' WHEN declared_bytes <= 0 THEN 'empty' WHEN declared_bytes > {MOST_BYTES} THEN 'size'
+  WHEN declared_ms <= 0 THEN 'duration' WHEN declared_ms > {MOST_MS} THEN 'duration_limit' ELSE 'accepted' END AS outcome, name, kind FROM x LEFT JOIN t ON e = ext""",
+)
+def upload_policy(v) -> DataFrame:
+    """Why an upload is refused: its base name, extension, media type for that extension, size, duration."""
+    name = F.trim(F.substring_index(F.translate("file_name", "\\", "/"), "/", -1))
+    kind = F.coalesce(F.nullif(F.lower(F.trim(F.substring_index("content_type", ";", 1))), F.lit("")), F.lit("application/octet-stream"))
+    rows = v.v_requests.select("session_id", name.alias("name"), kind.alias("kind"), "declared_bytes", "declared_ms")
+    extension = F.lower(F.regexp_extract("name", r".(\.[^.]*[^.])$", 1))
+    kinds = F.create_map(*(x for e, k in TYPES.items() for x in (F.lit(e), F.array(*map(F.lit, k)))))[extension]
+    outcome = (
+        F.when(F.col("name").isin("", ".", ".."), "file_name").when(kinds.isNull(), "extension").when(~F.array_contains(kinds, F.col("kind")), "content_type")
+        .when(F.col("declared_bytes") <= 0, "empty").when(F.col("declared_bytes") > MOST_BYTES, "size").when(F.col("declared_ms") <= 0, "duration").when(F.col("declared_ms") > MOST_MS, "duration_limit").otherwise("accepted")
+    )
+    return rows.select("session_id", outcome.alias("outcome"), "name", "kind")
+
+
+#: The columns of a source's identity, in the order in which they are compared.
+IDENTITY = ("source_storage_key", "source_sha256", "source_byte_length", "source_completed_at", "normalization_spec_id", "segmentation_spec_id", "segmentation_params_json")
+
+
+@book.frame("identity_drift", ", d AS (SELECT a.session_id, [" + ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in IDENTITY) + "] AS found FROM v_sources a JOIN v_processed b ON a.session_id = b.session_id) SELECT session_id, list_filter(found, lambda x: x IS NOT NULL)[1] AS first_drift, len(list_filter(found, lambda x: x IS NOT NULL)) AS n FROM d WHERE len(list_filter(found, lambda x: x IS NOT NULL)) > 0")
+def identity_drift(v) -> DataFrame:
+    """Sources whose processing was begun for another identity: the first column that differs, and how
+    many do."""
+    both = v.v_sources.alias("a").join(v.v_processed.alias("b"), "session_id")
+    found = F.array_compact(F.array(*(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in IDENTITY)))
+    return both.select("session_id", found.alias("found")).where(F.size("found") > 0).select("session_id", F.col("found")[0].alias("first_drift"), F.size("found").cast("bigint").alias("n"))
+
+
+@book.frame("capability_state", "SELECT session_id, CASE WHEN token IS NULL OR sha256(token) <> token_hash THEN 'invalid' WHEN now_s >= expires_at THEN 'expired' ELSE 'valid' END AS state FROM v_capabilities")
+def capability_state(v) -> DataFrame:
+    same = F.coalesce(F.sha2("token", 256) == F.col("token_hash"), F.lit(False))
+    return v.v_capabilities.select("session_id", F.when(~same, "invalid").when(F.col("now_s") >= F.col("expires_at"), "expired").otherwise("valid").alias("state"))
+
+
+@book.frame(
+    "recovery_match",
+    f"""SELECT doc_id, CASE WHEN name || ':' || size || ':' || mtime || ':' || coalesce(nullif(type, ''), 'application/octet-stream') <> fingerprint THEN 'metadata_changed' WHEN evidence IS NULL THEN 'no_evidence' WHEN {_DUCK_EVIDENCE.format(b="encode(text)")} = evidence THEN 'match' ELSE 'content_changed' END AS outcome,
+  CASE WHEN status = 410 THEN 'drop' WHEN status IN (403, 404) THEN 'drop_and_recreate' WHEN status <> 200 THEN 'rethrow' ELSE 'continue' END AS reaction
+FROM (SELECT *, {_DUCK_EVIDENCE.format(b="encode(kept_text)")} AS kept_evidence, CASE WHEN has_evidence THEN {_DUCK_EVIDENCE.format(b="encode(kept_text)")} END AS evidence FROM v_recovery) r""",
+)
+def recovery_match(v) -> DataFrame:
+    """A chosen file against the saved upload: name, size, time and type first, then the evidence of its
+    content; and what the answer to the saved upload's lookup leads to."""
+    saved = F.when(F.col("has_evidence"), formats.content_evidence(F.encode("kept_text", "UTF-8")))
+    rows = v.v_recovery.withColumns({"evidence": saved, "now": formats.content_evidence(F.encode("text", "UTF-8")), "file": F.concat_ws(":", "name", "size", "mtime", F.coalesce(F.nullif("type", F.lit("")), F.lit("application/octet-stream")))})
+    outcome = F.when(F.col("file") != F.col("fingerprint"), "metadata_changed").when(F.col("evidence").isNull(), "no_evidence").when(F.col("evidence") == F.col("now"), "match").otherwise("content_changed")
+    reaction = F.when(F.col("status") == 410, "drop").when(F.col("status").isin(403, 404), "drop_and_recreate").when(F.col("status") != 200, "rethrow").otherwise("continue")
+    return rows.select("doc_id", outcome.alias("outcome"), reaction.alias("reaction"))
+
+
+@book.frame(
+    "release_admission",
+    f""", s AS (SELECT p_partkey, mode, current_v, candidate_v, format, backup, checkpoint, safe, schema_safe, list_transform(string_split(substr(current_v, 2), '.'), lambda x: CAST(x AS BIGINT)) AS cur, list_transform(string_split(substr(candidate_v, 2), '.'), lambda x: CAST(x AS BIGINT)) AS cand FROM v_releases)
+SELECT p_partkey, CASE WHEN mode = 'install' AND current_v IS NOT NULL THEN 'installed' WHEN mode = 'update' AND current_v IS NULL THEN 'not_installed' WHEN mode = 'update' AND format <> 2 THEN 'format' WHEN current_v = candidate_v THEN 'current' WHEN mode = 'update' AND cand <= cur THEN 'not_newer'
+  WHEN format = 2 AND backup AND NOT checkpoint THEN 'checkpoint' ELSE 'accepted' END AS outcome, current_v IS NOT NULL AND list_contains(string_split(safe, ','), current_v) AS may_return, current_v IS NOT NULL AND list_contains(string_split(safe, ','), current_v) AND list_contains(string_split(schema_safe, ','), current_v) AS may_roll_back FROM s""",
+)
+def release_admission(v) -> DataFrame:
+    """Whether a release may be installed or updated to, and whether one may go back from it: by itself
+    if it lists the version before, by hand if the applied schema lists it too."""
+    current, candidate = F.col("current_v"), F.col("candidate_v")
+    update = F.col("mode") == "update"
+    outcome = (
+        F.when((F.col("mode") == "install") & current.isNotNull(), "installed").when(update & current.isNull(), "not_installed").when(update & (F.col("format") != 2), "format").when(current == candidate, "current")
+        .when(update & (versions.order_key(candidate) <= versions.order_key(current)), "not_newer").when((F.col("format") == 2) & F.col("backup") & ~F.col("checkpoint"), "checkpoint").otherwise("accepted")
+    )
+    lists = lambda c: F.coalesce(F.array_contains(F.split(c, ","), current), F.lit(False))
+    return v.v_releases.select("p_partkey", outcome.alias("outcome"), lists("safe").alias("may_return"), (lists("safe") & lists("schema_safe")).alias("may_roll_back"))
+
+
+#: The registry that each image of a manifest comes from.
+IMAGES = {"api": "registry.example/api"}
+_DUCK_IMAGES = " ".join(f"WHEN json_extract_string(j, '$.images.{role}.repository') IS DISTINCT FROM '{at}' OR NOT coalesce(regexp_full_match(json_extract_string(j, '$.images.{role}.digest'), 'sha256:[0-9a-f]{{64}}'), false) OR json_extract_string(j, '$.images.{role}.reference') IS DISTINCT FROM '{at}@' || json_extract_string(j, '$.images.{role}.digest') THEN 'image'" for role, at in IMAGES.items())
+
+
+@book.frame(
+    "manifest_check",
+    f""", r AS (SELECT p_partkey, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM v_manifests),
+m AS (SELECT *, CASE WHEN json_type(j, '$.version') = 'VARCHAR' THEN json_extract_string(j, '$.version') END AS v, CAST(json_extract(j, '$.compatibility.application_rollback_safe_to_versions') AS VARCHAR[]) AS back FROM r),
+c AS (SELECT *, {_DUCK_CHANNEL} AS named, len(list_filter(back, lambda v: {_DUCK_CHANNEL} IS NULL)) AS strange FROM m)
+SELECT p_partkey, CASE WHEN j IS NULL THEN 'json' WHEN json_extract_string(j, '$.format_version') NOT IN ('1', '2') THEN 'format_version' WHEN named IS NULL THEN 'version' WHEN json_extract_string(j, '$.channel') IS DISTINCT FROM named THEN 'channel'
+  WHEN NOT regexp_full_match(json_extract_string(j, '$.source.revision'), '[0-9a-f]{{40}}') THEN 'revision' {_DUCK_IMAGES} WHEN json_array_length(j, '$.compatibility.platforms') = 0 THEN 'platforms' WHEN trim(json_extract_string(j, '$.compatibility.schema_head')) = '' THEN 'schema_head'
+  WHEN json_extract_string(j, '$.compatibility.automatic_database_downgrade') <> 'false' THEN 'downgrade' WHEN json_extract_string(j, '$.format_version') = '1' THEN 'accepted' WHEN len(list_distinct(back)) <> len(back) OR strange > 0 THEN 'rollback_versions'
+  WHEN json_type(j, '$.compatibility.backup_required') <> 'BOOLEAN' THEN 'backup_required' ELSE 'accepted' END AS outcome FROM c""",
+)
+def manifest_check(v) -> DataFrame:
+    """The first rule that a release manifest breaks; format 1 says nothing of going back."""
+    image = "struct<repository: string, digest: string, reference: string>"
+    shape = f"format_version string, version string, channel string, source struct<revision: string>, images struct<{', '.join(f'{r}: {image}' for r in IMAGES)}>, compatibility struct<platforms: array<string>, schema_head: string, automatic_database_downgrade: string, application_rollback_safe_to_versions: array<string>, backup_required: string>, broken string"
+    rows = v.v_manifests.select("p_partkey", "payload", F.from_json("payload", shape, {"columnNameOfCorruptRecord": "broken"}).alias("j"))
+    text = lambda path, pattern: F.coalesce(F.col(path).rlike(pattern), F.lit(False))
+    images = F.lit(True)
+    for role, at in IMAGES.items():
+        own = f"j.images.{role}"
+        images = images & (F.col(f"{own}.repository") == at) & text(f"{own}.digest", "^sha256:[0-9a-f]{64}$") & (F.col(f"{own}.reference") == F.concat(F.lit(f"{at}@"), F.col(f"{own}.digest")))
+    own, back = "j.compatibility", F.col("j.compatibility.application_rollback_safe_to_versions")
+    channel = versions.channel(F.col("j.version"))
+    outcome = (
+        F.when(F.col("j.broken").isNotNull(), "json").when(~text("j.format_version", "^[12]$"), "format_version").when(channel.isNull(), "version").when(~F.coalesce(F.col("j.channel") == channel, F.lit(False)), "channel")
+        .when(~text("j.source.revision", "^[0-9a-f]{40}$"), "revision").when(~F.coalesce(images, F.lit(False)), "image").when(F.coalesce(F.size(f"{own}.platforms"), F.lit(0)) <= 0, "platforms").when(~text(f"{own}.schema_head", r"\S"), "schema_head")
+        .when(~text(f"{own}.automatic_database_downgrade", "^false$"), "downgrade").when(F.col("j.format_version") == "1", "accepted").when((F.size(F.array_distinct(back)) != F.size(back)) | F.exists(back, lambda x: versions.channel(x).isNull()), "rollback_versions")
+        .when(~F.col("payload").rlike(r'"backup_required"\s*:\s*(true|false)\s*[,}]'), "backup_required").otherwise("accepted")
+    )
+    return rows.select("p_partkey", outcome.alias("outcome"))

@@ -16,6 +16,14 @@ NOTICES = """v_notices AS (
     '{"type": "' || CASE WHEN event_type = 'error' THEN 'ping' ELSE 'transcript_available' END || '", "session_id": ' || CASE WHEN k % 7 = 0 THEN CAST(session_id AS VARCHAR(20)) ELSE '"' || CAST(CASE WHEN k % 5 = 0 THEN session_id + 1 ELSE session_id END AS VARCHAR(20)) || '"' END
     || ', "sequence": ' || CASE WHEN k % 11 = 0 THEN 'true' WHEN k % 10 = 1 THEN '"' || CAST(k AS VARCHAR(20)) || '"' WHEN k % 10 = 2 THEN CAST(k AS VARCHAR(20)) || '.5' WHEN k % 10 = 3 THEN CAST(2 - k AS VARCHAR(20)) WHEN k % 10 = 4 THEN 'null' ELSE CAST(k AS VARCHAR(20)) END || '}' END AS payload
   FROM v_raw_jobs)"""
+MANIFESTS = """v_manifests AS (
+  SELECT p_partkey, CASE WHEN k = 1 THEN '{"version": ' ELSE
+    '{"format_version": ' || CASE WHEN k = 2 THEN '3' WHEN p_partkey % 6 = 0 THEN '1' ELSE '2' END || ', "version": ' || CASE WHEN k = 3 THEN '7' WHEN k = 4 THEN '"v1.2"' ELSE '"v1.2.' || CAST(p_size AS VARCHAR(20)) || '-rc.1"' END || ', "channel": "' || CASE k WHEN 5 THEN 'nightly' WHEN 6 THEN 'stable' ELSE 'beta' END || '"'
+    || ', "source": {"revision": "' || CASE WHEN k = 7 THEN 'ABC' ELSE substr(@sha(CAST(p_partkey AS VARCHAR(20))), 1, 40) END || '"}'
+    || ', "images": {"api": {"repository": "registry.example/api", "digest": "sha256:' || CASE WHEN k = 8 THEN 'x' ELSE @sha('a') END || '", "reference": "registry.example/api@sha256:' || CASE WHEN k = 9 THEN 'y' ELSE @sha('a') END || '"}}'
+    || ', "compatibility": {"platforms": ' || CASE WHEN k = 10 THEN '[]' ELSE '["linux/amd64"]' END || ', "schema_head": "' || CASE WHEN k = 11 THEN '  ' ELSE '0009' END || '", "automatic_database_downgrade": ' || CASE WHEN k = 12 THEN 'true' ELSE 'false' END
+    || ', "application_rollback_safe_to_versions": ' || CASE k WHEN 13 THEN '["v1.0.0", "v1.0.0"]' WHEN 14 THEN '["one"]' ELSE '["v1.0.0", "v1.1.0-alpha"]' END || ', "backup_required": ' || CASE WHEN k = 15 THEN '"no"' ELSE 'true' END || '}}' END AS payload
+  FROM (SELECT p_partkey, p_size, p_partkey % 23 AS k FROM part) m)"""
 PROBES = """v_probes AS (
   SELECT utterance_id, CASE WHEN k % 23 = 0 THEN '{"streams": [' WHEN k % 19 = 0 THEN '{"streams": {}}' ELSE
     '{"streams": [{"index": 0, "codec_type": "video", "codec_name": "h264"}' || CASE WHEN k % 8 = 0 THEN '' ELSE
@@ -40,6 +48,14 @@ v_chunks AS (
 v_gaps AS (
   SELECT o_orderkey AS session_id, o_orderkey AS gap_id, CAST(2 AS BIGINT) AS lo, CAST(2 + o_orderkey % 3 AS BIGINT) AS hi, o_orderpriority AS reason, o_orderdate AS created_at
   FROM orders WHERE o_orderkey % 2 = 0),
+v_chunk_offers AS (
+  SELECT session_id, sequence, 2 * l_partkey + b AS arrival, writer_id, epoch, start_ms, end_ms + CASE WHEN b = 1 AND l_partkey % 7 = 0 THEN 1 ELSE 0 END AS end_ms, CASE WHEN b = 1 AND l_partkey % 11 = 0 THEN 'audio/ogg' ELSE 'audio/webm' END AS content_type,
+         'h' || CAST(l_partkey + CASE WHEN b = 1 AND l_partkey % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) AS sha256, CASE WHEN l_partkey % 13 <> 0 THEN byte_length END AS byte_length
+  FROM (SELECT session_id, sequence, max(l_partkey) AS l_partkey, max(writer_id) AS writer_id, max(epoch) AS epoch, max(start_ms) AS start_ms, max(end_ms) AS end_ms, max(byte_length) AS byte_length FROM v_chunks GROUP BY session_id, sequence) c CROSS JOIN (VALUES (0), (1)) AS t(b)),
+v_gap_offers AS (
+  SELECT session_id, gap_id, b AS arrival, gap_id % 5 AS writer_id, gap_id % 3 + CASE WHEN b = 1 AND gap_id % 11 = 0 THEN 1 ELSE 0 END AS epoch, lo, CASE WHEN b = 1 AND gap_id % 7 = 0 THEN hi + 1 ELSE hi END AS hi, CASE WHEN gap_id % 4 = 0 THEN created_at END AS wall_started_at,
+         CASE WHEN gap_id % 4 = 0 AND NOT (b = 1 AND gap_id % 9 = 0) THEN created_at END AS wall_ended_at, CASE WHEN b = 1 AND gap_id % 13 = 0 THEN 'other' ELSE reason END AS reason
+  FROM v_gaps CROSS JOIN (VALUES (0), (1)) AS t(b)),
 v_heartbeats AS (SELECT user_id AS session_id, event_id, ts FROM events),
 v_raw_jobs AS (
   SELECT event_id AS utterance_id, user_id AS session_id, event_type, ts AS created_at, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
@@ -75,13 +91,46 @@ v_canonical AS (
   FROM labels l JOIN v_raw_jobs j ON j.utterance_id = l.doc_id),
 {NOTICES},
 {PROBES},
+{MANIFESTS},
 v_uploads AS (
   SELECT page_id AS session_id, url, CAST(1000 + (page_id * 7919) % 100000 AS BIGINT) AS declared, CAST((page_id * 104729) % 120000 AS BIGINT) AS sent,
          CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR(20)) END AS sha256, CAST(page_id % 50 AS BIGINT) AS expires_in
-  FROM pages)
+  FROM pages),
+v_requests AS (
+  SELECT page_id AS session_id, CASE page_id % 9 WHEN 0 THEN 'C:' || chr(92) || 'music' || chr(92) || 'Take ' || CAST(page_id AS VARCHAR(20)) || '.MP3' WHEN 1 THEN 'a/b/talk.wav' WHEN 2 THEN 'notes.txt' WHEN 3 THEN ' x.m4a ' WHEN 4 THEN '..' WHEN 5 THEN 'clip.tar.ogg' WHEN 6 THEN '.mp3' WHEN 7 THEN 'show.webm' ELSE 'dir/' END AS file_name,
+         CASE page_id % 7 WHEN 0 THEN 'audio/mpeg; q=1' WHEN 1 THEN ' Audio/WAV' WHEN 2 THEN 'AUDIO/MP4' WHEN 3 THEN '' WHEN 4 THEN 'audio/ogg;codecs=opus' WHEN 5 THEN 'video/webm' ELSE ';x' END AS content_type,
+         CAST(CASE page_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 6000000000 ELSE page_id * 1000 END AS BIGINT) AS declared_bytes, CAST(CASE page_id % 13 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 50000000 ELSE page_id + 1 END AS BIGINT) AS declared_ms
+  FROM pages),
+v_sources AS (
+  SELECT page_id AS session_id, 'uploads/' || CAST(page_id AS VARCHAR(20)) AS source_storage_key, CASE WHEN page_id % 3 <> 0 THEN 'h' || CAST(page_id * 7 AS VARCHAR(20)) END AS source_sha256, CAST(page_id * 11 AS BIGINT) AS source_byte_length, CAST(1000 + page_id AS BIGINT) AS source_completed_at,
+         'norm-1' AS normalization_spec_id, 'seg-1' AS segmentation_spec_id, '[20, 200, 160]' AS segmentation_params_json FROM pages),
+v_processed AS (
+  SELECT session_id, CASE WHEN session_id % 17 = 0 THEN source_storage_key || 'x' ELSE source_storage_key END AS source_storage_key, CASE WHEN session_id % 7 = 0 THEN 'h1' ELSE source_sha256 END AS source_sha256, source_byte_length + CASE WHEN session_id % 11 = 0 THEN 1 ELSE 0 END AS source_byte_length,
+         CASE WHEN session_id % 13 <> 0 THEN source_completed_at END AS source_completed_at, normalization_spec_id, CASE WHEN session_id % 5 = 0 THEN 'seg-2' ELSE segmentation_spec_id END AS segmentation_spec_id, CASE WHEN session_id % 19 = 0 THEN '[20, 200]' ELSE segmentation_params_json END AS segmentation_params_json FROM v_sources),
+v_capabilities AS (
+  SELECT page_id AS session_id, CASE WHEN page_id % 8 <> 0 THEN 't' || CAST(page_id AS VARCHAR(20)) END AS token, @sha('t' || CAST(CASE WHEN page_id % 9 = 0 THEN page_id + 1 ELSE page_id END AS VARCHAR(20))) AS token_hash, CAST({NOW} AS BIGINT) AS now_s, CAST({NOW} - 10 + page_id % 50 AS BIGINT) AS expires_at FROM pages),
+v_recovery AS (
+  SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END AS kept_text, 'f' || CAST(doc_id AS VARCHAR(20)) || '.wav' AS name, CAST(n_chars AS VARCHAR(20)) AS size, CAST(doc_id * 3 AS VARCHAR(20)) AS mtime, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'audio/wav' END AS type,
+         'f' || CAST(doc_id AS VARCHAR(20)) || '.wav:' || CAST(n_chars AS VARCHAR(20)) || ':' || CAST(doc_id * 3 + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) || ':' || CASE WHEN doc_id % 2 = 0 THEN 'application/octet-stream' ELSE 'audio/wav' END AS fingerprint,
+         doc_id % 5 <> 0 AS has_evidence, CASE doc_id % 7 WHEN 0 THEN 410 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END AS status FROM documents),
+v_releases AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'install' ELSE 'update' END AS mode, CASE WHEN p_partkey % 7 <> 0 THEN 'v1.' || CAST(p_partkey % 12 AS VARCHAR(20)) || '.0' END AS current_v, 'v1.' || CAST(p_size % 13 AS VARCHAR(20)) || '.0' AS candidate_v, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 2 END AS format,
+         p_partkey % 3 = 0 AS backup, p_partkey % 2 = 0 AS checkpoint, 'v1.' || CAST(p_partkey % 12 - p_size % 2 AS VARCHAR(20)) || '.0,v0.9.0' AS safe, 'v0.9.0,v1.' || CAST(p_partkey % 12 - p_size % 3 AS VARCHAR(20)) || '.0' AS schema_safe FROM part)
 """
 
 
+def spark_text(sql: str) -> str:
+    """``@sha(x)`` as sha2(x, 256): the length goes before the parenthesis that closes it."""
+    while "@sha(" in sql:
+        head, _, rest = sql.partition("@sha(")
+        depth, end = 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        sql = f"{head}sha2({rest[: end - 1]}, 256){rest[end:]}"
+    return sql
+
+
 _REGISTERED: list[tuple] = []
 
 
@@ -106,4 +155,4 @@ class Views:
         if not name.startswith("v_"):
             raise AttributeError(name)
         self.register()
-        return self.spark.sql(f"{ADAPTERS} SELECT * FROM {name}")
+        return self.spark.sql(spark_text(f"{ADAPTERS} SELECT * FROM {name}"))

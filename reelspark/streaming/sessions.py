@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.sources.shared import shared_folder
+
 
 DELAY = "1 hour"
 
@@ -17,11 +16,7 @@ def heartbeat_sessions(spark: SparkSession, sf_dir: str, gap: str = "6 hours") -
     session window with a watermark. The stream is run to its end and then goes on with one end
     marker, an event so late that the watermark passes every session; only the marker's own session
     stays open."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="reelspark-")
-    folder = f"{root.rstrip('/')}/heartbeats-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "heartbeats")
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     last = batch.select(F.max(F.col("ts").cast("timestamp")).alias("ts"))
     marker = last.where("ts is not null").selectExpr("cast(null as bigint) as user_id", f"ts + interval '{gap}' + 2 * interval '{DELAY}' as ts")
