@@ -66,6 +66,12 @@ def partitions(spark: SparkSession, units: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(units) // per_partition))
 
 
+def dealt(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``df`` by its bucket column: where there are more buckets than shuffle partitions, in as many
+    partitions as buckets."""
+    return df.repartition(buckets, name) if buckets > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 

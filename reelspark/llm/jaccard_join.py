@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import Words, column, cut, digest, give_back, mix, partitions, small_batches, table, window_hashes, word_table
+from reelspark.llm.common import Words, column, cut, dealt, digest, give_back, mix, partitions, small_batches, table, window_hashes, word_table
 from reelspark.llm.components import connected_components
 from reelspark.llm.substring_dedup import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
@@ -274,8 +274,8 @@ def candidate_sets(docs: DataFrame, facts: DataFrame, texts: DataFrame, size: in
     shared = spark.sparkContext.broadcast((hot_grams[order], counts[order]))
     buckets = partitions(spark, total, BUCKET_GRAMS)
     blobs = gram_blobs(docs, hot_grams[order], size, buckets)
-    found = blobs.groupBy("bucket").applyInArrow(several_texts(shared, buckets), "home int, payload binary")
-    sets = found.groupBy("home").applyInArrow(candidates(percent), "fp bigint, n bigint, grams array<bigint>")
+    found = dealt(blobs, "bucket", buckets).groupBy("bucket").applyInArrow(several_texts(shared, buckets), "home int, payload binary")
+    sets = dealt(found, "home", buckets).groupBy("home").applyInArrow(candidates(percent), "fp bigint, n bigint, grams array<bigint>")
     own = sets.join(texts, "fp").select(F.col("first").alias("cls"), "n", F.size("grams").cast("bigint").alias("s"), "grams")
     return cut(own.select("cls", "n", "s", F.expr(f"s - ({percent} * n + 99) div 100 + 1").alias("k"), "grams"))
 

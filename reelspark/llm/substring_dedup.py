@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
-from reelspark.llm.common import MULTIPLIER_2, column, cut, digest, id_bitmap, kept_by, mix, partitions, small_batches, table, text_bytes, window_hashes, word_table, words_of
+from reelspark.llm.common import MULTIPLIER_2, column, cut, dealt, digest, id_bitmap, kept_by, mix, partitions, small_batches, table, text_bytes, window_hashes, word_table, words_of
 
 #: Words of a window whose repeats go; blocks have (WINDOW_WORDS + 1) // 2.
 WINDOW_WORDS = 13
@@ -255,8 +255,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     buckets = partitions(spark, rows.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS)
 
     blobs = docs.mapInArrow(lambda b: anchors(b, block, buckets), _BLOB)
-    found = blobs.groupBy("bucket").applyInPandas(lambda pdf: hit_blocks(pdf, buckets), "home int, payload binary")
-    hits = found.groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary")
+    found = dealt(blobs, "bucket", buckets).groupBy("bucket").applyInPandas(lambda pdf: hit_blocks(pdf, buckets), "home int, payload binary")
+    hits = dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary")
     # a task reads one copy of its own; hits count for the class, whose first document stands for it
     member = rows.select("doc_id", "rep").distinct().join(classes, "rep").select("doc_id", "first")
     hits = cut(hits.join(member, "doc_id").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("starts").alias("hits")))
@@ -264,8 +264,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     bits = spark.sparkContext.broadcast(id_bitmap(hits, "doc_id"))
     near = docs.mapInArrow(lambda b: kept_by(bits.value)(b), "doc_id bigint, text string").join(hits, "doc_id")
     blobs = near.mapInArrow(lambda b: windows(b, size, buckets), _BLOB)
-    found = blobs.groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf, buckets), "home int, payload binary")
-    late = cut(found.groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary"))
+    found = dealt(blobs, "bucket", buckets).groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf, buckets), "home int, payload binary")
+    late = cut(dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary"))
 
     late_bits = spark.sparkContext.broadcast(id_bitmap(late, "doc_id"))
 

@@ -27,12 +27,14 @@ RULES = [
 ]
 #: Shares of pages for each shuffle partition.
 SHARES = 4
+#: Rows of shares by label up to which they are broadcast (about 4 MB).
+FOLDED_ROWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as rules(host, path, verdict)")
 
 
 def host_of(url: str = "url"):
@@ -82,7 +84,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     probes = with_top.withColumn("draw", page_salt)
     folded = counts.select("top", "n_salts", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("draw")).select("top", "draw", (F.col("draw") % F.col("n_salts")).alias("salt"))
     starts = nodes.withColumn("top", top).join(counts, "top").select("top", F.explode(F.expr("sequence(0, n_salts - 1)")).alias("salt"), "key", "depth", "paths", "sizes")
-    probes = probes.join(F.broadcast(folded) if len(depths) and _small(counts) else folded, ["top", "draw"], "left")
+    probes = probes.join(F.broadcast(folded) if len(depths) and _small(counts, FOLDED_ROWS // shares) else folded, ["top", "draw"], "left")
     probes = probes.select("top", F.coalesce("salt", "draw").alias("salt"), "key", "page_id", "host", "path")
     both = starts.select("top", "salt", "key", F.struct("key", "paths", "sizes").alias("node"), "depth", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"))
     both = both.unionByName(probes.withColumns({"node": F.lit(None).cast(both.schema["node"].dataType), "depth": F.lit(None).cast("int")}))
@@ -97,7 +99,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
-def _small(counts: DataFrame, most: int = 256) -> bool:
+def _small(counts: DataFrame, most: int) -> bool:
     return counts.limit(most + 1).count() <= most
 
 

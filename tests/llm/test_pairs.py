@@ -143,3 +143,14 @@ def test_components(spark):
     got = {r.v: r.label for r in connected_components(df).collect()}
     assert got == brute_components([e for e in edges if e[0] != e[1]])
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    """What is dealt to many buckets gives the same rows."""
+    from reelspark.llm import substring_dedup
+
+    monkeypatch.setattr(jaccard_join, "BUCKET_GRAMS", 5_000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", 5_000)
+    rows = hard_cases()
+    assert sorted(tuple(r) for r in jaccard_components(docs(spark, rows).repartition(3)).collect()) == brute_jaccard(rows)
+    assert sorted(tuple(r) for r in remove_repeats(docs(spark, rows).repartition(3)).drop("kept_text").collect()) == brute_repeats(rows)
