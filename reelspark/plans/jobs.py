@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.operators.admission import Limits, claim_next, ready, reserve
+from reelspark.operators.replay import release_outcome, replay
 from reelspark.plans.book import Book
 from reelspark.sources.adapters import COOLDOWN, NOW
 
@@ -38,28 +39,57 @@ book.both(
     jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait')) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
     error_category="""SELECT utterance_id, code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'configuration' WHEN code IN (408, 425) OR code >= 500 THEN 'transient' ELSE 'permanent' END AS category,
   code IN (408, 429) OR code >= 500 AS client_retry FROM (SELECT utterance_id, CASE WHEN k < 10 THEN 429 WHEN k < 20 THEN 401 WHEN k < 30 THEN 403 WHEN k < 40 THEN 408 WHEN k < 50 THEN 425 ELSE 350 + k * 3 END AS code FROM v_jobs) e""",
-    media_claimable=f", c AS (SELECT utterance_id, session_id, created_at FROM v_jobs WHERE state = 'pending' OR (state = 'retry_wait' AND next_attempt <= {NOW}) OR (state = 'claimed' AND claim_expires <= {NOW})) SELECT session_id, count(*) AS n, least(1, count(*)) AS wake, min(utterance_id) AS next_id FROM c GROUP BY session_id",
     upload_hooks="""SELECT event_type, CASE event_type WHEN 'view' THEN 'pre-create' WHEN 'click' THEN 'post-create' WHEN 'purchase' THEN 'post-receive' WHEN 'signup' THEN 'pre-finish' ELSE 'other' END AS hook,
   CASE event_type WHEN 'view' THEN 'validate' WHEN 'click' THEN 'bind' WHEN 'purchase' THEN 'progress' WHEN 'signup' THEN 'verify' ELSE 'none' END AS action, count(*) AS n FROM v_raw_jobs GROUP BY event_type""",
 )
 
 
+def _duck_replay(outcome: str, most: int) -> str:
+    """The oracle of a replay: attempt by attempt."""
+    return f""", a AS (SELECT session_id, {outcome} AS outcome, row_number() OVER (PARTITION BY session_id ORDER BY utterance_id) AS rn FROM v_raw_jobs),
+fold AS (SELECT session_id, 0::BIGINT AS rn, 'pending' AS state, 0::BIGINT AS attempts FROM (SELECT DISTINCT session_id FROM a) s
+  UNION ALL SELECT a.session_id, a.rn, CASE WHEN a.outcome = 'permanent' OR (a.outcome = 'retry' AND f.attempts + 1 = {most}) THEN 'failed' WHEN a.outcome = 'retry' THEN 'retry_wait' ELSE a.outcome END, f.attempts + 1
+  FROM fold f JOIN a ON a.session_id = f.session_id AND a.rn = f.rn + 1 WHERE f.state IN ('pending', 'retry_wait')),
+ends AS (SELECT session_id, max(rn) AS rn FROM fold GROUP BY session_id), final AS (SELECT f.* FROM fold f JOIN ends e ON e.session_id = f.session_id AND e.rn = f.rn)
+"""
+
+
+#: What an attempt at a transcript, and one at a media file, came to.
+STT = "CASE WHEN k % 10 = 0 THEN 'permanent' WHEN k % 9 = 4 THEN 'succeeded' WHEN k % 14 = 3 THEN 'no_speech' ELSE 'retry' END"
+MEDIA = "CASE WHEN k % 8 = 0 THEN 'permanent' WHEN k % 5 = 0 THEN 'waiting_stt' WHEN k % 9 = 1 THEN 'succeeded' ELSE 'retry' END"
+
+
 @book.frame(
     "job_replay",
-    """, a AS (SELECT session_id, k, row_number() OVER (PARTITION BY session_id ORDER BY utterance_id) AS rn FROM v_raw_jobs),
-fold AS (SELECT session_id, rn, CASE WHEN k % 10 = 0 THEN 'failed' WHEN k % 3 = 0 THEN 'succeeded' ELSE 'retry_wait' END AS state, 1 AS attempts FROM a WHERE rn = 1
-  UNION ALL SELECT a.session_id, a.rn, CASE WHEN f.state IN ('failed', 'succeeded') THEN f.state WHEN a.k % 10 = 0 OR f.attempts >= 4 THEN 'failed' WHEN a.k % 3 = 0 THEN 'succeeded' ELSE 'retry_wait' END,
-    CASE WHEN f.state IN ('failed', 'succeeded') THEN f.attempts ELSE f.attempts + 1 END FROM fold f JOIN a ON a.session_id = f.session_id AND a.rn = f.rn + 1),
-ends AS (SELECT session_id, max(rn) AS rn FROM fold GROUP BY session_id)
-SELECT f.session_id, f.state, CAST(f.attempts AS BIGINT) AS attempts FROM fold f JOIN ends e ON e.session_id = f.session_id AND e.rn = f.rn""",
+    _duck_replay(STT, 5) + "SELECT session_id, CASE WHEN session_id IN (SELECT session_id FROM v_canonical WHERE quality = 0) THEN 'succeeded' ELSE state END AS state, attempts, state = 'retry_wait' AND session_id NOT IN (SELECT session_id FROM v_canonical WHERE quality = 0) AS waits FROM final",
 )
 def job_replay(v) -> DataFrame:
-    """Final state of a job from its ordered attempts: permanent errors and the fifth attempt end it,
-    so no more than five attempts are read."""
-    tries = v.v_raw_jobs.selectExpr("session_id", "k", "row_number() over (partition by session_id order by utterance_id, k) as rn").where("rn <= 5")
-    ending = "min(case when k % 10 = 0 or k % 3 = 0 or rn = 5 then struct(rn, if(k % 10 = 0 or rn = 5, 'failed', 'succeeded') as state) end) as e"
-    ends = tries.groupBy("session_id").agg(F.expr(ending), F.max("rn").alias("n"))
-    return ends.selectExpr("session_id", "coalesce(e.state, 'retry_wait') as state", "cast(coalesce(e.rn, n) as bigint) as attempts")
+    """Final state of each job from its attempts; canonical evidence makes it succeeded whatever they say."""
+    canonical = v.v_canonical.where("quality = 0").select(F.col("session_id").alias("key"), F.lit(True).alias("canonical")).distinct()
+    ends = replay(v.v_raw_jobs.selectExpr("session_id as key", "utterance_id as at", f"{STT} as outcome"), 5).join(canonical, "key", "left")
+    return ends.selectExpr("key as session_id", "if(canonical, 'succeeded', state) as state", "attempts", "state = 'retry_wait' and canonical is null as waits")
+
+
+@book.frame("media_replay", _duck_replay(MEDIA, 3) + "SELECT session_id, state, attempts, CASE WHEN state = 'retry_wait' THEN (5.0 * power(2, attempts - 1))::DOUBLE END AS next_delay, CASE WHEN state = 'succeeded' THEN 'no_speech' END AS outcome_code FROM final")
+def media_replay(v) -> DataFrame:
+    """Final state of each media file: waiting for its transcripts, done without any, waiting or failed."""
+    ends = replay(v.v_raw_jobs.selectExpr("session_id as key", "utterance_id as at", f"{MEDIA} as outcome"), 3)
+    waits = F.when(F.col("state") == "retry_wait", backoff(5.0, "attempts"))
+    return ends.select(F.col("key").alias("session_id"), "state", "attempts", waits.alias("next_delay"), F.when(F.col("state") == "succeeded", "no_speech").alias("outcome_code"))
+
+
+@book.frame(
+    "release_replay",
+    """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'migration_failed_manual_recovery' WHEN p_partkey % 4 <> 1 THEN 'success' WHEN current_v IS NULL THEN 'install_failed_manual_recovery' WHEN NOT list_contains(string_split(safe, ','), current_v) THEN 'rollback_refused_unsafe'
+  WHEN p_partkey % 5 = 0 THEN 'rollback_failed_manual_recovery' ELSE 'rolled_back_to_previous_known_good' END AS result, CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 4 <> 1 THEN candidate_v ELSE current_v END AS current_v, CASE WHEN p_partkey % 9 <> 0 THEN candidate_v END AS schema_authority FROM v_releases""",
+)
+def release_replay(v) -> DataFrame:
+    """What applying each release came to, which version is current then, and whose schema is applied."""
+    safe = F.coalesce(F.array_contains(F.split("safe", ","), F.col("current_v")), F.lit(False))
+    n = F.col("p_partkey")
+    result = release_outcome(F.col("current_v").isNotNull(), safe, n % 9 != 0, n % 4 != 1, n % 5 != 0)
+    rows = v.v_releases.withColumn("result", result)
+    return rows.select("p_partkey", "result", F.when(F.col("result") == "success", F.col("candidate_v")).otherwise(F.col("current_v")).alias("current_v"), F.when(F.col("result") != "migration_failed_manual_recovery", F.col("candidate_v")).alias("schema_authority"))
 
 
 def of_class(v, workload: str) -> DataFrame:
@@ -295,3 +325,15 @@ def probe_classify(v) -> DataFrame:
         .when(~known, "unsupported_container").when(length > MOST_SECONDS, "duration_limit").otherwise("accepted")
     )
     return read.select("utterance_id", outcome.alias("outcome"), F.when(F.size("audio") == 1, length).alias("duration"))
+
+
+@book.frame(
+    "media_claimable",
+    f""", c AS (SELECT *, row_number() OVER (PARTITION BY session_id % 20 ORDER BY created, session_id, utterance_id) AS n FROM v_jobs WHERE state = 'pending' OR (state = 'retry_wait' AND next_attempt <= {NOW}) OR (state = 'claimed' AND claim_expires <= {NOW}))
+SELECT session_id % 20 AS queue, count(*) AS runnable, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS wake, max(CASE WHEN n = 1 THEN utterance_id END) AS next_id FROM c GROUP BY session_id % 20""",
+)
+def media_claimable(v) -> DataFrame:
+    """Runnable files of each queue, whether its worker is woken, and the oldest, which it claims next."""
+    due = (F.col("state") == "pending") | ((F.col("state") == "retry_wait") & (F.col("next_attempt") <= NOW)) | ((F.col("state") == "claimed") & (F.col("claim_expires") <= NOW))
+    runnable = v.v_jobs.where(due).withColumn("queue", F.expr("session_id % 20"))
+    return runnable.groupBy("queue").agg(F.count("*").alias("runnable"), F.least(F.lit(1), F.count("*").cast("int")).alias("wake"), F.min_by("utterance_id", F.struct("created", "session_id", "utterance_id")).alias("next_id"))

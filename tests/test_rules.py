@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from reelspark.functions import formats, versions
 from reelspark.operators import coverage
 from reelspark.operators.admission import Limits, claim_next, reserve
+from reelspark.operators.replay import replay
 from reelspark.plans.jobs import backoff
 from reelspark.sources.blobs import verify, wav_format
 from tests.conftest import SMALL
@@ -105,3 +106,17 @@ def test_objects(spark):
 def test_stream_equals_batch(spark):
     got, want = ({tuple(r) for r in entry.queries()[name](spark, SMALL).collect()} for name in ("vad_stream", "vad_endpoint"))
     assert got == want and all(len(list(own)) for _, own in itertools.groupby(sorted(want), lambda r: r[0]))
+
+
+def test_replay(spark):
+    cases = {
+        "a": (["retry", "retry", "succeeded", "permanent"], ("succeeded", 3)),
+        "b": (["retry"] * 9, ("failed", 3)),
+        "c": (["retry", "permanent"], ("failed", 2)),
+        "d": (["no_speech", "retry"], ("no_speech", 1)),
+        "e": (["retry"], ("retry_wait", 1)),
+        "f": (["retry", "waiting_stt"], ("waiting_stt", 2)),
+    }
+    rows = [(key, at, outcome) for key, (own, _) in cases.items() for at, outcome in enumerate(own)]
+    got = {r.key: (r.state, r.attempts) for r in replay(spark.createDataFrame(rows, "key string, at bigint, outcome string"), 3).collect()}
+    assert got == {key: want for key, (_, want) in cases.items()}
