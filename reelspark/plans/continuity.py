@@ -31,29 +31,17 @@ WHERE coalesce(last, 0) > final_sequence OR final_sequence * 2000 < coalesce(end
     session_dedupe=""", again AS (SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'other' ELSE kind END AS kind, owner_id FROM v_sessions)
 SELECT CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END AS outcome, count(*) AS n
 FROM v_sessions s JOIN again a ON s.session_id = a.session_id GROUP BY CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END""",
-    producer_key_dedupe=""", again AS (SELECT session_id, producer_key, start_ms, end_ms, CASE WHEN sequence % 3 = 0 THEN text || '.' ELSE text END AS text, language FROM v_segments)
-SELECT s.session_id, s.producer_key, CASE WHEN s.start_ms = a.start_ms AND s.end_ms = a.end_ms AND s.text = a.text AND s.language IS NOT DISTINCT FROM a.language THEN 'idempotent' ELSE 'conflict' END AS outcome
-FROM v_segments s JOIN again a ON s.session_id = a.session_id AND s.producer_key = a.producer_key""",
     first_wins=""", ranked AS (SELECT session_id, sequence, writer_id, byte_length, row_number() OVER (PARTITION BY session_id, sequence ORDER BY l_shipdate, l_partkey, writer_id, l_extendedprice, byte_length, l_discount, l_tax) AS rn FROM v_chunks)
 SELECT session_id, sequence, writer_id, byte_length FROM ranked WHERE rn = 1""",
     upload_progress_max=""", steps AS (SELECT session_id, event_id, (event_id * 7919) % 100000 AS offset_bytes, 1 + (session_id * 104729) % 100000 AS declared FROM v_heartbeats)
 SELECT event_id, max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS received,
        least(99, greatest(0, CAST(floor(100.0 * max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / declared) AS BIGINT))) AS percent
 FROM steps""",
-    chunk_validate="""SELECT CASE WHEN c.byte_length <= 0 THEN 'empty' WHEN c.byte_length > 45 THEN 'too_large' WHEN c.end_ms < c.start_ms THEN 'bad_time'
-       WHEN s.state = 'complete' THEN 'closed' WHEN s.state = 'finalizing' AND c.sequence > s.final_sequence THEN 'beyond_boundary' ELSE 'accepted' END AS outcome, count(*) AS n
-FROM v_chunks c JOIN v_sessions s ON c.session_id = s.session_id
-GROUP BY CASE WHEN c.byte_length <= 0 THEN 'empty' WHEN c.byte_length > 45 THEN 'too_large' WHEN c.end_ms < c.start_ms THEN 'bad_time'
-       WHEN s.state = 'complete' THEN 'closed' WHEN s.state = 'finalizing' AND c.sequence > s.final_sequence THEN 'beyond_boundary' ELSE 'accepted' END""",
     spool_reconcile="""SELECT c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND c.sequence BETWEEN 1 AND s.final_sequence THEN 'removed' ELSE 'retained' END AS outcome, count(*) AS n
 FROM v_chunks c JOIN v_sessions s ON c.session_id = s.session_id
 GROUP BY c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND c.sequence BETWEEN 1 AND s.final_sequence THEN 'removed' ELSE 'retained' END""",
     spool_validate=""", steps AS (SELECT session_id, sequence, lag(sequence) OVER (PARTITION BY session_id ORDER BY sequence) AS before FROM (SELECT DISTINCT session_id, sequence FROM v_chunks) d)
 SELECT session_id, sequence, before AS previous FROM steps WHERE sequence <> coalesce(before, 0) + 1""",
-    local_fence="""SELECT a.session_id, CASE WHEN a.state = 'complete' AND b.state = 'complete' AND a.epoch = b.epoch THEN 'matching_completion' WHEN b.epoch = a.epoch + 1 AND b.owner_id = a.owner_id THEN 'advanced'
-       WHEN b.state = 'complete' OR b.epoch <> a.epoch OR b.owner_id <> a.owner_id THEN 'fenced' ELSE 'open' END AS fence,
-       CASE WHEN b.epoch = a.epoch + 1 THEN 'adopt' WHEN b.epoch = a.epoch THEN 'drop' ELSE 'conflict' END AS pending_claim
-FROM v_sessions a JOIN v_sessions b ON b.session_id = a.session_id + 1""",
     latest_session=""", ranked AS (SELECT session_id, owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, session_id DESC) AS rn FROM v_sessions)
 SELECT owner_id, session_id FROM ranked WHERE rn = 1""",
 )
@@ -167,7 +155,7 @@ def offered(df: DataFrame, key: list[str], order: list[str], identity: tuple[str
     return rows.groupBy(*key).agg(F.count_if(F.col("rn") == 1).alias("accepted"), F.count_if((F.col("rn") > 1) & same).alias("idempotent"), F.count_if((F.col("rn") > 1) & ~same).alias("conflict"))
 
 
-def _duck_offered(view: str, key: str, order: str, identity: tuple[str, ...]) -> str:
+def duck_offered(view: str, key: str, order: str, identity: tuple[str, ...]) -> str:
     same = " AND ".join(f"o.{c} IS NOT DISTINCT FROM f.{c}" for c in identity)
     on = " AND ".join(f"o.{c} = f.{c}" for c in key.split(", "))
     return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {view}), f AS (SELECT * FROM o WHERE rn = 1)
@@ -175,12 +163,12 @@ SELECT {", ".join(f"o.{c}" for c in key.split(", "))}, count(*) FILTER (WHERE o.
 FROM o JOIN f ON {on} GROUP BY {", ".join(f"o.{c}" for c in key.split(", "))}"""
 
 
-@book.frame("chunk_dedupe_conflict", _duck_offered("v_chunk_offers", "session_id, sequence", "arrival", CHUNK))
+@book.frame("chunk_dedupe_conflict", duck_offered("v_chunk_offers", "session_id, sequence", "arrival", CHUNK))
 def chunk_dedupe_conflict(v) -> DataFrame:
     return offered(v.v_chunk_offers, ["session_id", "sequence"], ["arrival"], CHUNK)
 
 
-@book.frame("gap_dedupe_conflict", _duck_offered("v_gap_offers", "session_id, gap_id", "arrival", GAP))
+@book.frame("gap_dedupe_conflict", duck_offered("v_gap_offers", "session_id, gap_id", "arrival", GAP))
 def gap_dedupe_conflict(v) -> DataFrame:
     return offered(v.v_gap_offers, ["session_id", "gap_id"], ["arrival"], GAP)
 

@@ -39,8 +39,6 @@ book.both(
     jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait')) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
     error_category="""SELECT utterance_id, code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'configuration' WHEN code IN (408, 425) OR code >= 500 THEN 'transient' ELSE 'permanent' END AS category,
   code IN (408, 429) OR code >= 500 AS client_retry FROM (SELECT utterance_id, CASE WHEN k < 10 THEN 429 WHEN k < 20 THEN 401 WHEN k < 30 THEN 403 WHEN k < 40 THEN 408 WHEN k < 50 THEN 425 ELSE 350 + k * 3 END AS code FROM v_jobs) e""",
-    upload_hooks="""SELECT event_type, CASE event_type WHEN 'view' THEN 'pre-create' WHEN 'click' THEN 'post-create' WHEN 'purchase' THEN 'post-receive' WHEN 'signup' THEN 'pre-finish' ELSE 'other' END AS hook,
-  CASE event_type WHEN 'view' THEN 'validate' WHEN 'click' THEN 'bind' WHEN 'purchase' THEN 'progress' WHEN 'signup' THEN 'verify' ELSE 'none' END AS action, count(*) AS n FROM v_raw_jobs GROUP BY event_type""",
 )
 
 

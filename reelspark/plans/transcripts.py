@@ -35,19 +35,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY session_id, sequence ORDER BY ba
     segment_validate=""", d AS (SELECT session_id, sequence, CASE WHEN sequence % 5 = 0 THEN '  ' ELSE producer_key END AS producer_key, start_ms, CASE WHEN sequence % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms, CASE WHEN session_id % 6 = 0 THEN ' ' ELSE text END AS text, language FROM v_segments),
 j AS (SELECT CASE WHEN length(trim(producer_key)) NOT BETWEEN 1 AND 160 THEN 'producer_key' WHEN start_ms < 0 OR end_ms <= start_ms THEN 'time' WHEN length(trim(text)) = 0 THEN 'text' WHEN length(language) > 32 THEN 'language' ELSE 'accepted' END AS outcome FROM d)
 SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
-    utterance_validate=""", j AS (SELECT CASE WHEN utterance_id % 17 = 0 THEN 'producer_key' WHEN k % 13 = 0 THEN 'time' WHEN value <= 1 THEN 'payload' WHEN length(event_type) > 128 THEN 'content_type' ELSE 'accepted' END AS outcome FROM v_raw_jobs) SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
     gap_validate=""", d AS (SELECT CASE WHEN gap_id % 6 = 0 THEN NULL ELSE lo END AS lo, CASE WHEN gap_id % 10 = 0 THEN NULL WHEN gap_id % 14 = 0 THEN lo - 1 ELSE hi END AS hi, CASE WHEN gap_id % 4 = 0 THEN gap_id * 37 % 3000 END AS wall_ms FROM v_gaps),
 j AS (SELECT CASE WHEN (lo IS NULL) <> (hi IS NULL) THEN 'incomplete_range' WHEN lo IS NULL AND wall_ms IS NULL THEN 'nothing' WHEN hi < lo THEN 'order' WHEN lo IS NULL AND wall_ms < 1000 THEN 'short_wall' ELSE 'accepted' END AS outcome FROM d)
 SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
-    result_status=""", c AS (SELECT session_id, count(*) AS n FROM v_segments WHERE session_id % 4 <> 0 GROUP BY session_id)
-SELECT u.session_id, CASE WHEN u.session_id % 11 = 0 THEN 'failed' WHEN sha256 IS NULL THEN 'uploading' WHEN u.session_id % 5 = 0 THEN 'preparing' WHEN u.session_id % 7 = 0 THEN 'transcribing' WHEN coalesce(n, 0) > 0 THEN 'complete' ELSE 'no_speech' END AS status,
-  u.session_id % 11 <> 0 AND sha256 IS NOT NULL AND u.session_id % 5 <> 0 AND u.session_id % 7 <> 0 AND coalesce(n, 0) > 0 AS can_export FROM v_uploads u LEFT JOIN c ON c.session_id = u.session_id""",
     mime_normalize="""SELECT doc_id, base, CASE base WHEN 'audio/webm' THEN '.webm' WHEN 'audio/mp4' THEN '.m4a' WHEN 'audio/ogg' THEN '.ogg' ELSE '.bin' END AS suffix
 FROM (SELECT doc_id, coalesce(nullif(lower(trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN 'Audio/WebM; codecs=opus' WHEN 1 THEN ' audio/mp4 ' WHEN 2 THEN '' WHEN 3 THEN 'AUDIO/OGG;x' ELSE NULL END, ';.*', ''))), ''), 'application/octet-stream') AS base FROM documents) b""",
     prefix_count="SELECT count(*) AS n FROM part WHERE p_name LIKE 'a%'",
     pk_lookup="SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7",
-    ux_rules="""SELECT session_id, CASE WHEN state = 'complete' AND final_sequence = 0 THEN 'nothing recorded' WHEN state = 'complete' THEN 'finished' WHEN state = 'finalizing' THEN 'finishing' WHEN epoch > 2 THEN 'recovering' ELSE 'recording' END AS label,
-  CASE WHEN state = 'complete' THEN 'new' WHEN state = 'finalizing' THEN 'wait' WHEN epoch > 2 THEN 'resume,discard' ELSE 'pause,stop' END AS actions FROM v_sessions""",
     storage_level="""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'unknown' WHEN c_custkey % 3 = 0 AND greatest(0, quota - used) >= 67108864 THEN 'safe' ELSE 'warning' END AS level FROM (SELECT c_custkey, CAST(c_custkey % 100 * 2000000 AS BIGINT) AS quota, CAST(c_custkey % 37 * 1000000 AS BIGINT) AS used FROM customer) q""",
     sha256_evidence="SELECT doc_id, @sha(text) AS sha256 FROM documents",
     request_projection="SELECT o_orderkey, CAST(ceil(ms / 180000.0) AS BIGINT) AS upload_requests, CAST(ceil(ms / 8000.0) AS BIGINT) AS live_requests FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 10 AS ms FROM orders) d",

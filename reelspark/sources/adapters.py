@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reelspark.sources.rule_inputs import RULE_INPUTS
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
 
 #: All job predicates are taken at this instant, in seconds; retries and claims lie around it.
@@ -92,6 +94,7 @@ v_canonical AS (
 {NOTICES},
 {PROBES},
 {MANIFESTS},
+{RULE_INPUTS},
 v_uploads AS (
   SELECT page_id AS session_id, url, CAST(1000 + (page_id * 7919) % 100000 AS BIGINT) AS declared, CAST((page_id * 104729) % 120000 AS BIGINT) AS sent,
          CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR(20)) END AS sha256, CAST(page_id % 50 AS BIGINT) AS expires_in
