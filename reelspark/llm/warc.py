@@ -37,22 +37,31 @@ DATE = datetime(2026, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 INDEX = "archive string, offset bigint, length bigint, page_id bigint, url string, digest string"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
-    body = b"" if refers_to is not None else payload
+def urn(page_id: int) -> str:
+    """The record's identifier, the same for a page at every run."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+
+
+def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """A response with its HTTP head and payload, or a revisit with the head alone. Identifiers are not
+    to be turned back, so the pages' numbers have fields of their own. A null URL has no field."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = head if refers_to is not None else head + payload
     lines = [
         "WARC/1.1",
         "WARC-Type: " + ("response" if refers_to is None else "revisit"),
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
-        f"Content-Length: {len(body)}",
+        f"X-Page-ID: {page_id}",
+        f"Content-Length: {len(block)}",
     ]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(data: bytes) -> bytes:
@@ -60,11 +69,17 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and body of a record."""
+def fields_of(head: bytes) -> dict[str, str]:
+    """Named fields after the first line of a head."""
+    return dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
+
+
+def parse(data: bytes) -> tuple[dict[str, str], int, bytes]:
+    """A record's fields, the size of the payload that its HTTP head tells, and the payload that it holds."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = fields_of(head)
+    http, _, body = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, int(fields_of(http)["Content-Length"]), body
 
 
 def digests(pages: DataFrame) -> DataFrame:
@@ -98,7 +113,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of ``pages`` (page_id, url, html) in ``folder``, a URI that all tasks reach; the index.
 
-    A null html is an empty payload. page_id is taken as a key (rows with none are left out); rows
+    A null html is an empty payload, a null URL stays null. page_id is taken as a key (rows with none are left out); rows
     that repeat one are records of their own, and equal payloads among them are responses all. Other
     columns are not read; an empty table gives an empty index.
     """
@@ -149,8 +164,6 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     A response's payload is checked against its digest; a mismatch raises. A revisit's payload is
     null, its payload_bytes are those of the payload that it refers to.
     """
-    number = lambda uri: int(uri.rstrip(">").rsplit(":", 1)[1])
-
     def run(batches):
         fs, root = pa.fs.FileSystem.from_uri(folder)
         opened: tuple[str, object] = ("", None)
@@ -164,13 +177,13 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                 data = opened[1].read_at(end - begin, begin)
                 rows = []
                 for offset, length in spans:
-                    fields, body = parse(zlib.decompress(data[offset - begin : offset - begin + length], 31))
+                    fields, size, body = parse(zlib.decompress(data[offset - begin : offset - begin + length], 31))
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     response = fields["WARC-Type"] == "response"
                     if response and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"{archive} at {offset}: the payload does not have its digest")
-                    refers = fields.get("WARC-Refers-To")
-                    rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], int(fields["X-Payload-Length"]), digest, number(refers) if refers else None, body if response and with_payload else None))
+                    refers = fields.get("X-Refers-To-Page-ID")
+                    rows.append((int(fields["X-Page-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], size, digest, int(refers) if refers else None, body if response and with_payload else None))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RECORDS.split(", ")])
 

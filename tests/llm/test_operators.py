@@ -275,11 +275,42 @@ def test_warc_round_trip(spark, tmp_path):
     got = {r.page_id: r for r in warc.read_records(index, folder).collect()}
     assert (got[1].record_type, got[1].refers_to, got[1].payload_bytes, got[1].payload) == ("revisit", 2, 1200, None)
     assert bytes(got[2].payload) == big.encode() and got[2].record_type == "response" and got[2].url == "http://a/2%0A"
-    assert bytes(got[3].payload) == b"" and {got[4].record_type, got[5].record_type, got[6].record_type} == {"response"}
+    assert bytes(got[3].payload) == b"" and got[3].url is None and {got[4].record_type, got[5].record_type, got[6].record_type} == {"response"}
     assert [r.page_id for r in warc.read_records(index.where("page_id = 6"), folder).collect()] == [6]
     assert warc.read_records(warc.write_archives(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_archives_are_valid(spark, tmp_path):
+    rows = [(1, "http://a/1", "é" * 600), (2, "http://a/2", "é" * 600), (3, "", ""), (3, "http://a/3", "y" * 2000), (3, "http://a/3", "y" * 2000), (4, "http://a/4: x", None)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), f"file://{tmp_path}")
+    members = {(r.archive, r.offset): r for r in index.collect()}
+    kinds, ids = [], {}
+    for path in tmp_path.glob("*.warc.gz"):
+        data = path.read_bytes()
+        at = 0
+        while at < len(data):  # gzip members one after the other, as the index says
+            z = zlib.decompressobj(31)
+            text = z.decompress(data[at:])
+            size = len(data) - at - len(z.unused_data)
+            assert members[path.name, at].length == size
+            at += size
+            head, rest = text.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+            assert lines[0] == "WARC/1.1" and len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+            http, body = rest[:-4].split(b"\r\n\r\n", 1)
+            assert http.startswith(b"HTTP/1.1 200") and fields["WARC-Record-ID"].startswith("<urn:uuid:") and fields["Content-Type"].startswith("application/http")
+            kinds.append((int(fields["X-Page-ID"]), fields["WARC-Type"]))
+            ids[kinds[-1][0]] = fields["WARC-Record-ID"]
+            if fields["WARC-Type"] == "response":
+                assert hashlib.sha1(body).hexdigest() == fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            else:
+                assert body == b"" and fields["WARC-Refers-To"] == ids.get(2, fields["WARC-Refers-To"])
+    assert sorted(kinds) == [(1, "revisit"), (2, "response"), (3, "response"), (3, "response"), (3, "response"), (4, "response")]
+    got = warc.read_records(index, f"file://{tmp_path}").collect()
+    assert sorted((r.page_id, r.url, r.payload_bytes) for r in got if r.page_id > 2) == [(3, "", 0), (3, "http://a/3", 2000), (3, "http://a/3", 2000), (4, "http://a/4: x", 0)]
+
+
 def awkward(spark, rows):
     """Documents with repeated rows, null ids and columns whose names the operators might use."""
     rows = [(i, t, "en", "src", None if t is None else len(t)) for i, t in rows]
