@@ -31,6 +31,26 @@ def pcm_quantize(v) -> DataFrame:
     return v.embeddings.selectExpr("vec_id", f"aggregate({QUANTISE}, 0L, (a, x) -> a + x) as total")
 
 
+#: Two channels of a vector's halves, a null sample as silence, and frames of 20 ms at RATE.
+RATE = 250
+_FRAME = max(1, round(RATE * 0.02))
+
+
+@book.frame(
+    "pcm_downmix",
+    f""", m AS (SELECT vec_id, list_transform(range(1, 33), lambda i: CAST((coalesce(embedding[i], 0)::DOUBLE + coalesce(embedding[i + 32], 0)::DOUBLE) / 2 AS FLOAT)) AS mixed FROM embeddings)
+SELECT vec_id, CAST(o AS BIGINT) AS sample_offset, CAST(list_sum({DUCK_QUANTISE.replace("embedding", f"mixed[o + 1:o + {_FRAME}]")}) AS BIGINT) AS total FROM m, unnest(range(0, 32 - {_FRAME} + 1, {_FRAME})) AS u(o)""",
+)
+def pcm_downmix(v) -> DataFrame:
+    """The mean of the channels, as frames with the place of their first sample; what is left at the end
+    waits for more samples and is no frame."""
+    channels = v.embeddings.selectExpr("vec_id", "array(slice(embedding, 1, 32), slice(embedding, 33, 32)) as channels")
+    mean = "cast(aggregate(channels, 0D, (a, channel) -> a + coalesce(cast(channel[i] as double), 0D)) / size(channels) as float)"
+    mixed = channels.selectExpr("vec_id", f"transform(sequence(0, size(channels[0]) - 1), i -> {mean}) as mixed")
+    frames = mixed.selectExpr("vec_id", "mixed", f"explode(sequence(0, size(mixed) div {_FRAME} - 1)) as frame").selectExpr("vec_id", f"cast(frame * {_FRAME} as bigint) as sample_offset", f"slice(mixed, frame * {_FRAME} + 1, {_FRAME}) as embedding")
+    return frames.selectExpr("vec_id", "sample_offset", f"aggregate({QUANTISE}, 0L, (a, x) -> a + x) as total")
+
+
 @book.frame("frame_dbfs", f"SELECT vec_id, round(greatest(-120, 20 * log10(sqrt(list_sum(list_transform({DUCK_QUANTISE}, lambda x: CAST(x * x AS DOUBLE))) / len(embedding)) / 32768)), 6) AS level FROM embeddings")
 def frame_dbfs(v) -> DataFrame:
     return v.embeddings.selectExpr("vec_id", f"{QUANTISE} as samples").select("vec_id", F.round(dbfs(), 6).alias("level"))

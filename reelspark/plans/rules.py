@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import rules
@@ -121,3 +121,75 @@ def upload_hooks(v) -> DataFrame:
         F.col("page").alias("page_id"), "hook", "status", F.coalesce(failed & (kind == "pre-create"), F.lit(False)).alias("reject_upload"), F.coalesce(failed & (kind == "post-receive"), F.lit(False)).alias("stop_upload"),
         F.when(taken, F.coalesce("bound_id", "j.Event.Upload.ID")).alias("bound_id"), F.when(taken, F.greatest("received", F.least(F.coalesce("j.Event.Upload.Offset", F.lit(0)), "declared"))).alias("received"),
     )
+
+
+@book.frame(
+    "recovery_gap",
+    """, g AS (SELECT session_id, server_state, coalesce(last_wall_end_ms, recording_started_ms) AS wall_started_ms, now_ms AS wall_ended_ms, CASE WHEN write_failed THEN 'browser_local_spool_failure' ELSE 'browser_interruption_before_recovery' END AS reason FROM v_recoveries)
+SELECT session_id, wall_started_ms, wall_ended_ms, reason FROM g WHERE NOT (wall_ended_ms - wall_started_ms < 1000 OR server_state = 'finalizing')""",
+)
+def recovery_gap(v) -> DataFrame:
+    """The gap by the wall clock that a recovered recording declares: of a second at least, and none once
+    its end is being settled."""
+    start = F.coalesce("last_wall_end_ms", "recording_started_ms")
+    due = v.v_recoveries.where((F.col("now_ms") - start >= 1000) & (F.col("server_state") != "finalizing"))
+    reason = F.when(F.col("write_failed"), "browser_local_spool_failure").otherwise("browser_interruption_before_recovery")
+    return due.select("session_id", start.alias("wall_started_ms"), F.col("now_ms").alias("wall_ended_ms"), reason.alias("reason"))
+
+
+@book.frame(
+    "local_high_water",
+    """, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS n FROM v_captures),
+fold AS (SELECT session_id, n, 0::BIGINT AS start_ms, greatest(1, measured_ms) AS end_ms FROM o WHERE n = 1
+  UNION ALL SELECT o.session_id, o.n, f.end_ms, greatest(f.end_ms + 1, o.measured_ms) FROM fold f JOIN o ON o.session_id = f.session_id AND o.n = f.n + 1)
+SELECT session_id, n AS sequence, start_ms, end_ms FROM fold""",
+)
+def local_high_water(v) -> DataFrame:
+    """Each captured piece takes the next sequence, begins where the last ended, and ends at the measured
+    time or a millisecond after its begin, whichever is later.
+
+    end(n) = max(end(n - 1) + 1, measured(n)) is n plus the running maximum of measured - n, which a
+    window gives without a fold."""
+    own = Window.partitionBy("session_id").orderBy("sequence")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = v.v_captures.withColumn("n", F.row_number().over(own).cast("bigint"))
+    rows = rows.withColumn("end_ms", F.col("n") + F.greatest(F.lit(0).cast("bigint"), F.max(F.col("measured_ms") - F.col("n")).over(so_far)))
+    start = F.coalesce(F.lag("end_ms").over(own), F.lit(0).cast("bigint"))
+    return rows.select("session_id", F.col("n").alias("sequence"), start.alias("start_ms"), "end_ms")
+
+
+@book.frame(
+    "upload_percent",
+    """, d AS (SELECT session_id, min(event_id) AS since FROM v_progress WHERE durable GROUP BY session_id)
+SELECT p.session_id, event_id, CAST(CASE WHEN event_id >= since THEN 100 WHEN bytes_total <= 0 THEN 0 WHEN bytes_sent < 0 THEN 0 WHEN bytes_sent >= bytes_total THEN 99 ELSE bytes_sent * 100 // bytes_total END AS BIGINT) AS percent FROM v_progress p LEFT JOIN d ON d.session_id = p.session_id""",
+)
+def upload_percent(v) -> DataFrame:
+    """Percent that an upload shows: 0 to 99 until its durable copy is confirmed, 100 from then on."""
+    so_far = Window.partitionBy("session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sent = F.when(F.col("bytes_total") > 0, F.floor(F.col("bytes_sent") * 100 / F.col("bytes_total"))).otherwise(0)
+    percent = F.when(F.max("durable").over(so_far), 100).otherwise(F.least(F.lit(99), F.greatest(F.lit(0), sent)))
+    return v.v_progress.select("session_id", "event_id", percent.cast("bigint").alias("percent"))
+
+
+_SAVED = ("fingerprint", "clientRequestId", "capabilityToken", "sessionId")
+
+
+@book.frame(
+    "latest_saved_upload",
+    f""", m AS (SELECT c_custkey, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM v_saved_uploads),
+e AS (SELECT c_custkey, key, json_extract(j, '$."' || key || '"') AS r FROM (SELECT c_custkey, j, unnest(json_keys(j)) AS key FROM m WHERE json_type(j) = 'OBJECT') k),
+u AS (SELECT c_custkey, key, json_extract_string(r, '$.sessionId') AS session_id, CASE WHEN json_type(r, '$.updatedAt') = 'VARCHAR' THEN json_extract_string(r, '$.updatedAt') WHEN json_type(r, '$.expiresAt') = 'VARCHAR' THEN json_extract_string(r, '$.expiresAt') ELSE '1970-01-01T00:00:00.000Z' END AS updated_at
+  FROM e WHERE {" AND ".join(f"json_type(r, '$.{f}') = 'VARCHAR'" for f in _SAVED)})
+SELECT c_custkey, session_id, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY updated_at DESC, key) AS rn FROM u) r WHERE rn = 1""",
+)
+def latest_saved_upload(v) -> DataFrame:
+    """The newest saved upload with a session, by the time of its update, else of its expiry, else 1970.
+    Records whose fields are not texts do not count, nor does what is not a JSON object; of equal times
+    the first key's record is taken."""
+    text = lambda f: F.expr(f"case when schema_of_variant(variant_get(r, '$.{f}', 'variant')) = 'STRING' then variant_get(r, '$.{f}', 'string') end")
+    saved = v.v_saved_uploads.select("c_custkey", F.try_parse_json("payload").alias("j")).where("schema_of_variant(j) like 'OBJECT<%'")
+    records = saved.select("c_custkey", F.explode(F.expr("cast(j as map<string, variant>)")).alias("key", "r"))
+    fields = records.where("schema_of_variant(r) like 'OBJECT<%'").select("c_custkey", "key", *(text(f).alias(f) for f in (*_SAVED, "updatedAt", "expiresAt")))
+    whole = fields.dropna(subset=list(_SAVED)).withColumn("updated_at", F.coalesce("updatedAt", "expiresAt", F.lit("1970-01-01T00:00:00.000Z")))
+    first = Window.partitionBy("c_custkey").orderBy(F.desc("updated_at"), "key")
+    return whole.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("c_custkey", F.col("sessionId").alias("session_id"), "updated_at")

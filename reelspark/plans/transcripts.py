@@ -76,7 +76,7 @@ def export_srt(v) -> DataFrame:
     return _document(v, F.concat(F.col("cue").cast("string"), F.lit("\n"), clock("start_ms", ","), F.lit(" --> "), clock("end_ms", ","), F.lit("\n"), F.col("text"), F.lit("\n\n")))
 
 
-@book.frame("export_json")
+@book.frame("export_json", "SELECT session_id, CAST(to_json({'session_id': session_id, 'segments': list({'sequence': sequence, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text, 'language': language} ORDER BY start_ms, end_ms, sequence)}) AS VARCHAR) || chr(10) AS document FROM v_segments GROUP BY session_id")
 def export_json(v) -> DataFrame:
     segments = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "sequence", "text", "language")))
     own = v.v_segments.groupBy("session_id").agg(segments.alias("s"))

@@ -52,4 +52,18 @@ v_hooks AS (
       || CASE WHEN h % 11 = 0 THEN '' ELSE ', "filetype": " Audio/WAV; x=1"' END || '}}}}, "HTTPRequest": {{"Method": "PATCH", "Header": {{"Host": ["a"], ' || CASE WHEN h % 7 = 0 THEN '"X-UPLOAD-CAPABILITY"' ELSE '"X-Upload-Capability"' END || ': [' || CASE WHEN h % 67 = 0 THEN '' ELSE '"t' || CAST(page_id + CASE WHEN h % 71 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) || '"' END || ']}}}}}}}}' END AS payload
   FROM (SELECT page_id, hook, page_id * 6 + b + 1 AS h FROM pages CROSS JOIN (VALUES (0, 'pre-create'), (1, 'post-create'), (2, 'post-receive'), (3, 'pre-finish'), (4, 'post-finish'), (5, 'post-terminate')) AS t(b, hook)) x)"""
 
-RULE_INPUTS = ",\n".join((POSTS, UTTERANCES, RESULTS, SNAPSHOTS, CLAIMS, HOOKS))
+#: What a recorder knows when it finishes a recording again, when it captures a piece, and what an upload reports.
+CAPTURES = """v_recoveries AS (
+  SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'interrupted' WHEN 'O' THEN 'recording' ELSE 'finalizing' END AS server_state, CAST(o_orderkey * 10000 AS BIGINT) AS recording_started_ms, CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_orderkey * 10000 + 4000 AS BIGINT) END AS last_wall_end_ms,
+         CAST(o_orderkey * 10000 + 4000 + o_custkey % 5 * 500 - CASE WHEN o_orderkey % 9 = 0 THEN 9000 ELSE 0 END AS BIGINT) AS now_ms, o_orderkey % 4 = 0 AS write_failed FROM orders),
+v_captures AS (SELECT session_id, sequence, CAST(min(l_partkey) * 31 % 9000 AS BIGINT) AS measured_ms FROM v_chunks GROUP BY session_id, sequence),
+v_progress AS (SELECT session_id, utterance_id AS event_id, CAST(k * 1000 - 500 AS BIGINT) AS bytes_sent, CAST(session_id % 60 * 1000 AS BIGINT) AS bytes_total, event_type = 'signup' AND k % 4 = 0 AS durable FROM v_raw_jobs)"""
+
+#: A browser's saved uploads: a JSON object of records, old, broken and foreign ones among them.
+SAVED = """v_saved_uploads AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 29 = 0 THEN '{"a": ' WHEN c_custkey % 31 = 0 THEN '[1]' ELSE '{"a' || n || '": {"fingerprint": "f' || n || '", "clientRequestId": "r1", "capabilityToken": "t1", "sessionId": ' || CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE '"s1-' || n || '"' END || ', "expiresAt": "2026-01-0' || CAST(1 + c_custkey % 8 AS VARCHAR(20)) || 'T00:00:00.000Z"}'
+    || ', "b' || n || '": {"fingerprint": ' || CASE WHEN c_custkey % 7 = 0 THEN '7' ELSE '"g"' END || ', "clientRequestId": "r2", "capabilityToken": "t2", "sessionId": ' || CASE WHEN c_custkey % 11 = 0 THEN '5' ELSE '"s2-' || n || '"' END || ', "updatedAt": ' || CASE WHEN c_custkey % 3 = 0 THEN '12' ELSE '"2026-01-0' || CAST(1 + c_custkey % 6 AS VARCHAR(20)) || 'T00:00:00.000Z"' END || '}'
+    || CASE WHEN c_custkey % 13 = 0 THEN ', "c": null' WHEN c_custkey % 17 = 0 THEN ', "c": {"fingerprint": "h", "clientRequestId": "r3", "sessionId": "s3", "updatedAt": "2027"}' ELSE '' END || '}' END AS payload
+  FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR(20)) AS n FROM customer) c)"""
+
+RULE_INPUTS = ",\n".join((POSTS, UTTERANCES, RESULTS, SNAPSHOTS, CLAIMS, HOOKS, CAPTURES, SAVED))
