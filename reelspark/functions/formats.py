@@ -37,3 +37,25 @@ def content_evidence(data: Column, sample: int = 256 << 10) -> Column:
     size = F.octet_length(data)
     tail = F.substring(data, F.greatest(F.lit(1), size - sample + 1), F.lit(sample))
     return F.sha2(F.concat(F.unhex(F.lpad(F.hex(size), 16, "0")), F.substring(data, F.lit(1), F.lit(sample)), tail), 256)
+
+
+def _turned(h: str, digits: int) -> str:
+    """The bytes of a hexadecimal text in reverse, as SQL."""
+    return "concat(" + ", ".join(f"substr({h}, {k}, 2)" for k in range(digits - 1, 0, -2)) + ")"
+
+
+def packet_fault(payload: str, most: int) -> Column:
+    """Why a packet (64-bit offset, then 16-bit samples, small end first) is refused; null if it is not."""
+    size = F.coalesce(F.octet_length(payload), F.lit(0))
+    far = F.expr(f"hex(substring({payload}, 8, 1)) >= '80'")
+    return F.when(size < 10, "short").when(size > most, "oversize").when(size % 2 != 0, "odd").when(far, "offset")
+
+
+def packet_offset(payload: str) -> Column:
+    return F.expr(f"cast(conv({_turned(f'hex(substring({payload}, 1, 8))', 16)}, 16, 10) as bigint)")
+
+
+def packet_samples(payload: str) -> Column:
+    """The signed samples of a packet."""
+    word = f"cast(conv({_turned(f'hex(substring({payload}, 9 + 2 * i, 2))', 4)}, 16, 10) as bigint)"
+    return F.expr(f"transform(transform(sequence(0, (octet_length({payload}) - 8) div 2 - 1), i -> {word}), x -> if(x >= 32768, x - 65536, x))")

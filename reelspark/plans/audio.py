@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions import formats
 from reelspark.operators.carry import carry
 from reelspark.operators.endpoint import Settings, dbfs, segments
+from reelspark.operators.transcribe import ProviderError, transcribe
 from reelspark.plans.book import Book
 from reelspark.sources import blobs as blob_source
 from reelspark.sources.blobs import write_blobs
@@ -65,12 +67,28 @@ def frames(v) -> DataFrame:
 SHORT = Settings(pre_roll=40, min_voiced=40, silence=60, hard_max=2000)
 
 
-@book.frame("vad_endpoint")
+#: The oracle of the detector with SHORT's settings: its state after each frame, frame by frame.
+_ENDS = """
+, f AS (SELECT session_id AS stream_id, -90.0::DOUBLE + k AS level, row_number() OVER (PARTITION BY session_id ORDER BY utterance_id) AS rn FROM v_raw_jobs),
+fold AS (
+  SELECT stream_id, 0::BIGINT AS rn, -65.0::DOUBLE AS noise, NULL::BIGINT AS start, 0::BIGINT AS voiced, 0::BIGINT AS quiet, 0::BIGINT AS lead, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BIGINT AS n FROM (SELECT DISTINCT stream_id FROM f) d
+  UNION ALL
+  SELECT stream_id, rn, noise, CASE WHEN NOT closes THEN start END, CASE WHEN closes THEN 0 ELSE voiced END, CASE WHEN closes THEN 0 ELSE quiet END, lead, CASE WHEN closes AND voiced >= 640 THEN start END, CASE WHEN closes AND voiced >= 640 THEN rn * 320 END, CASE WHEN closes AND voiced >= 640 THEN voiced END
+  FROM (SELECT *, inside AND (quiet >= 960 OR rn * 320 - start >= 32000) AS closes FROM (
+    SELECT stream_id, rn, start IS NOT NULL AS inside, CASE WHEN speech THEN noise ELSE 0.95::DOUBLE * noise + (1 - 0.95::DOUBLE) * level END AS noise, CASE WHEN start IS NULL AND speech THEN (rn - 1 - lead) * 320 ELSE start END AS start,
+           voiced + CASE WHEN speech THEN 320 ELSE 0 END AS voiced, CASE WHEN speech OR start IS NULL THEN 0 ELSE quiet + 320 END AS quiet, CASE WHEN speech OR start IS NOT NULL THEN 0 ELSE least(2, lead + 1) END AS lead
+    FROM (SELECT f.stream_id, f.rn, f.level, noise, start, voiced, quiet, lead, level >= greatest(-50.0::DOUBLE, noise + 12) AS speech FROM fold JOIN f ON f.stream_id = fold.stream_id AND f.rn = fold.rn + 1) x) y) z),
+ends AS (SELECT stream_id, s, e, n FROM fold WHERE s IS NOT NULL UNION ALL SELECT o.stream_id, start, rn * 320, voiced FROM fold o WHERE start IS NOT NULL AND voiced >= 640 AND rn = (SELECT max(rn) FROM f WHERE f.stream_id = o.stream_id))
+SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY s) AS ordinal, s AS start_sample, e AS end_sample, n AS voiced FROM ends
+"""
+
+
+@book.frame("vad_endpoint", _ENDS)
 def vad_endpoint(v) -> DataFrame:
     return segments(frames(v), SHORT)
 
 
-@book.frame("vad_stream")
+@book.frame("vad_stream", _ENDS)
 def vad_stream(v) -> DataFrame:
     """The segments of :func:`vad_endpoint`, found by a stream in three micro-batches."""
     return run_in_batches(v.spark, frames(v), SHORT, shared_folder(v.spark, "vad"), 3)
@@ -116,7 +134,19 @@ def wav(samples: bytes, rate: int = 16_000) -> bytes:
     return head + samples
 
 
-@book.frame("wav_encode")
+_LE = "substr(lpad(to_hex({0}), {1}, '0'), {2}, 2)"
+
+
+def _duck_le(value: str, size: int) -> str:
+    """The bytes of a whole number, small end first, in hexadecimal."""
+    return " || ".join(_LE.format(value, 2 * size, k) for k in range(2 * size - 1, 0, -2))
+
+
+@book.frame(
+    "wav_encode",
+    f""", q AS (SELECT vec_id, {DUCK_QUANTISE} AS s FROM embeddings), d AS (SELECT vec_id, 2 * len(s) AS n, list_aggregate(list_transform(s, lambda x: {_duck_le("(x + 65536) % 65536", 2)}), 'string_agg', '') AS data FROM q)
+SELECT vec_id, sha256(encode('RIFF') || unhex({_duck_le("36 + n", 4)}) || encode('WAVEfmt ') || unhex({_duck_le("16", 4)} || {_duck_le("1", 2)} || {_duck_le("1", 2)} || {_duck_le("16000", 4)} || {_duck_le("32000", 4)} || {_duck_le("2", 2)} || {_duck_le("16", 2)}) || encode('data') || unhex({_duck_le("n", 4)} || data)) AS sha256 FROM d""",
+)
 def wav_encode(v) -> DataFrame:
     @F.pandas_udf("string")
     def encoded(samples: pd.Series) -> pd.Series:
@@ -158,16 +188,24 @@ def blob_verify(v) -> DataFrame:
     return blob_source.verify(manifest, blob_source.blobs(v.spark, folder)).select("vec_id", "outcome")
 
 
-@book.frame("pcm_decode")
-def pcm_decode(v) -> DataFrame:
-    """Packets of a little-endian offset and samples; offsets beyond 63 bits and odd payloads go."""
-    def turned(h: str) -> str:
-        return "concat(" + ", ".join(f"substr({h}, {k}, 2)" for k in range(15, 0, -2)) + ")"
+#: Bytes of a packet at most: its offset and 2 000 samples less one.
+MOST_PACKET = 8 + 2 * 1999
+_NIBBLE = "(strpos('0123456789ABCDEF', h[{0}]) - 1)"
+_BYTE = f"({_NIBBLE.format('2 * i + 1')} * 16 + {_NIBBLE.format('2 * i + 2')})"
 
-    offset = turned("lpad(hex(l_orderkey * 160), 16, '0')")
-    packets = v.lineitem.selectExpr("l_orderkey", "l_linenumber", f"concat(unhex({offset}), unhex(repeat('D204', cast(l_linenumber * 10 as int))), if(l_linenumber = 3, X'00', X'')) as p")
-    good = packets.where("length(p) >= 10 and length(p) % 2 = 0").withColumn("h", F.expr("hex(substring(p, 1, 8))"))
-    return good.selectExpr("l_orderkey", "l_linenumber", f"cast(conv({turned('h')}, 16, 10) as bigint) as sample_offset", "cast((length(p) - 8) / 2 as bigint) as samples")
+
+@book.frame(
+    "pcm_decode",
+    f""", p AS (SELECT l_orderkey, l_linenumber, octet_length(payload) AS n, hex(payload) AS h FROM v_packets),
+b AS (SELECT *, list_transform(range(n), lambda i: CAST({_BYTE} AS HUGEINT)) AS b FROM p WHERE n BETWEEN 10 AND {MOST_PACKET} AND n % 2 = 0),
+w AS (SELECT *, list_sum(list_transform(range(8), lambda i: b[i + 1] * CAST(power(256, i) AS HUGEINT))) AS at, list_transform(range((n - 8) // 2), lambda i: CAST(b[2 * i + 9] + 256 * b[2 * i + 10] AS BIGINT)) AS s FROM b)
+SELECT l_orderkey, l_linenumber, CAST(w.at AS BIGINT) AS sample_offset, CAST(len(s) AS BIGINT) AS samples, CAST(list_sum(list_transform(s, lambda x: CASE WHEN x >= 32768 THEN x - 65536 ELSE x END)) AS BIGINT) AS total FROM w WHERE w.at < 9223372036854775808""",
+)
+def pcm_decode(v) -> DataFrame:
+    """Packets of a little-endian offset and samples; short, oversize and odd ones go, as do offsets
+    beyond 63 bits."""
+    good = v.v_packets.where(formats.packet_fault("payload", MOST_PACKET).isNull()).withColumn("s", formats.packet_samples("payload"))
+    return good.select("l_orderkey", "l_linenumber", formats.packet_offset("payload").alias("sample_offset"), F.size("s").cast("bigint").alias("samples"), F.expr("aggregate(s, 0L, (a, x) -> a + x)").alias("total"))
 
 
 @book.frame(
@@ -180,7 +218,21 @@ def heartbeat_stream(v) -> DataFrame:
     return heartbeat_sessions(v.spark, v.sf_dir)
 
 
-@book.frame("transcribe_map")
+def stand_in(payload: bytes, content_type: str) -> tuple[str | None, str | None]:
+    """A provider for tests: the payload is the text, ``!`` and a number an error of that status."""
+    text = payload.decode()
+    if text.startswith("!"):
+        raise ProviderError(int(text[1:]) if text[1:] else None)
+    return text, content_type.partition(";")[2] or None
+
+
+@book.frame(
+    "transcribe_map",
+    """, r AS (SELECT utterance_id, spoken, content_type, CASE WHEN spoken LIKE '!%' THEN coalesce(nullif(spoken[2:], ''), '599')::INT END AS status FROM v_speech),
+k AS (SELECT *, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (401, 403) THEN 'configuration' WHEN status IN (408, 425) OR status >= 500 THEN 'transient' WHEN status IS NOT NULL THEN 'permanent' END AS category FROM r)
+SELECT utterance_id, CASE WHEN category IS NULL THEN nullif(trim(spoken), '') END AS text, CASE WHEN category IS NULL AND trim(spoken) <> '' AND content_type LIKE '%;%' THEN string_split(content_type, ';')[2] END AS language,
+  CASE WHEN category IN ('transient', 'rate_limited') THEN 'retry' WHEN category IS NOT NULL THEN 'failed' WHEN trim(spoken) = '' THEN 'no_speech' ELSE 'succeeded' END AS outcome, category FROM k""",
+)
 def transcribe_map(v) -> DataFrame:
-    """A stand-in provider: text from the utterance's number, none for silent ones."""
-    return v.v_raw_jobs.selectExpr("utterance_id", "case when k % 10 = 0 then null else concat('utterance ', utterance_id) end as text", "if(k % 10 = 0, 'no_speech', 'succeeded') as outcome")
+    """Each utterance through a provider, here a stand-in."""
+    return transcribe(v.v_speech.select("utterance_id", F.encode("spoken", "UTF-8").alias("payload"), "content_type"), stand_in)

@@ -66,4 +66,11 @@ SAVED = """v_saved_uploads AS (
     || CASE WHEN c_custkey % 13 = 0 THEN ', "c": null' WHEN c_custkey % 17 = 0 THEN ', "c": {"fingerprint": "h", "clientRequestId": "r3", "sessionId": "s3", "updatedAt": "2027"}' ELSE '' END || '}' END AS payload
   FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR(20)) AS n FROM customer) c)"""
 
-RULE_INPUTS = ",\n".join((POSTS, UTTERANCES, RESULTS, SNAPSHOTS, CLAIMS, HOOKS, CAPTURES, SAVED))
+#: Packets of sound: a 64-bit offset and 16-bit samples, small end first; and what a provider is asked about.
+PACKETS = """v_packets AS (
+  SELECT l_orderkey, l_linenumber, unhex(substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || CASE WHEN f = 3 THEN 'FF' ELSE substr(h, 1, 2) END
+    || repeat('D204FEFF', CAST(CASE f WHEN 1 THEN 0 WHEN 2 THEN 1000 ELSE l_linenumber * 5 END AS INT)) || CASE WHEN f = 0 THEN '00' ELSE '' END) AS payload
+  FROM (SELECT l_orderkey, l_linenumber, lpad(hex(CAST(l_orderkey * 160 AS BIGINT)), 16, '0') AS h, CASE WHEN l_linenumber = 3 THEN l_orderkey % 4 ELSE 9 END AS f FROM lineitem) p),
+v_speech AS (SELECT utterance_id, k, CASE WHEN k % 10 = 0 THEN '  ' WHEN k % 21 = 1 THEN '!' || CAST(400 + k AS VARCHAR(20)) WHEN k % 21 = 2 THEN '!' ELSE 'utterance ' || CAST(utterance_id AS VARCHAR(20)) || ' ' END AS spoken, CASE WHEN k % 2 = 0 THEN 'audio/wav;en' ELSE 'audio/wav' END AS content_type FROM v_raw_jobs)"""
+
+RULE_INPUTS = ",\n".join((POSTS, UTTERANCES, RESULTS, SNAPSHOTS, CLAIMS, HOOKS, CAPTURES, SAVED, PACKETS))
