@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from reelspark.functions import formats, versions
+from reelspark.functions import formats, rules, versions
 from reelspark.operators import coverage
 from reelspark.operators.admission import Limits, claim_next, reserve
 from reelspark.operators.replay import replay
+from reelspark.operators.transcribe import ProviderError, transcribe
 from reelspark.plans.jobs import backoff
 from reelspark.sources.blobs import verify, wav_format
 from tests.conftest import SMALL
@@ -120,3 +121,74 @@ def test_replay(spark):
     rows = [(key, at, outcome) for key, (own, _) in cases.items() for at, outcome in enumerate(own)]
     got = {r.key: (r.state, r.attempts) for r in replay(spark.createDataFrame(rows, "key string, at bigint, outcome string"), 3).collect()}
     assert got == {key: want for key, (_, want) in cases.items()}
+
+
+def snapshot(spark, **changed):
+    base = {"session_id": "s", "phase": "recording", "fenced": False, "write_failed": False, "n_missing": 0, "n_pending": 0, "online": True, "persisted": True, "realtime": "live", "realtime_error": None, "n_gaps": 0, "acknowledged": 3, "message": "m"} | changed
+    kinds = "session_id string, phase string, fenced boolean, write_failed boolean, n_missing int, n_pending int, online boolean, persisted boolean, realtime string, realtime_error string, n_gaps int, acknowledged int, message string"
+    row = spark.createDataFrame([tuple(base.values())], kinds)
+    return row.select(*(c.alias(n) for n, c in rules.recorder_labels().items())).first()
+
+
+def test_recorder_labels_by_priority(spark):
+    assert snapshot(spark)[:6] == ("recording/positive", "Audio synced/positive", "Transcribing/positive", "stop", "", "")
+    lost = snapshot(spark, phase="recoverable", n_missing=1, n_pending=2, write_failed=True, realtime="degraded")
+    assert lost[:6] == ("Needs recovery/warning", "Unsafe audio storage/danger", "Transcription delayed/warning", "finish-recovered", "sync", "declare-missing-gaps")
+    shut = snapshot(spark, fenced=True, n_pending=1, n_missing=1)
+    assert shut[:6] == ("Needs attention/warning", "Orphaned local evidence — action blocked/danger", "Transcribing/positive", None, "", "")
+    assert snapshot(spark, n_pending=1, online=False, persisted=None).audio == "Audio saved locally/danger"
+    empty = snapshot(spark, phase="complete", acknowledged=0, realtime="off", session_id=None)
+    assert empty[1:3] == ("Audio ready/neutral", "Not started/neutral") and empty.message.startswith("Recording finalized with no")
+    assert snapshot(spark, phase="complete", acknowledged=0, n_gaps=1).message == "m"
+
+
+def test_local_fence_and_pending_claim(spark):
+    kinds = "epoch int, writer string, pending_writer string, recovery_token string, last_sequence int, last_end_ms int, server_state string, server_epoch int, server_writer string, final_sequence int, final_end_ms int"
+    cases = [
+        ((1, "w", None, "t", 4, 9, "complete", 1, None, 4, 9), ("matching_completion", "none")),
+        ((1, "w", None, "t", 4, 9, "complete", 1, None, None, 9), ("fenced", "none")),
+        ((1, "w", "p", "t", 4, 9, "recording", 2, "p", None, None), ("advanced", "adopt")),
+        ((1, "w", "p", None, 4, 9, "recording", 2, "p", None, None), ("advanced", "no_capability")),
+        ((1, "w", "p", "t", 4, 9, "finalizing", 1, "w", None, None), ("open", "drop")),
+        ((1, "w", "p", "t", 4, 9, "recording", 1, None, None, None), ("open", "conflict")),
+        ((1, "w", "p", "t", 4, 9, "recording", 3, "p", None, None), ("fenced", "conflict")),
+        ((1, "w", "", "t", 4, 9, "recording", 1, "x", None, None), ("fenced", "none")),
+    ]
+    for row, want in cases:
+        assert tuple(spark.createDataFrame([row], kinds).select(rules.local_fence(), rules.pending_claim()).first()) == want
+
+
+def test_chunk_and_utterance_outcomes(spark):
+    digest = hashlib.sha256(b"ab").hexdigest()
+    kinds = "start_ms int, end_ms int, payload binary, declared_sha256 string, writer_id string, epoch int, active_writer string, active_epoch int, state string, sequence int, final_sequence int"
+    good = (0, 0, b"ab", digest.upper(), "w", 1, "w", 1, "finalizing", 3, 3)
+    for at, value, want in [(0, 0, "accepted"), (1, -1, "time"), (2, b"", "empty"), (2, None, "empty"), (2, b"abcd", "too_large"), (3, None, "digest"), (6, None, "fenced"), (7, 2, "fenced"), (8, "failed", "closed"), (8, None, "closed"), (9, 4, "beyond_boundary"), (10, None, "accepted")]:
+        row = (*good[:at], value, *good[at + 1 :])
+        assert spark.createDataFrame([row], kinds).select(rules.chunk_outcome(3)).first()[0] == want
+    rows = [(" k\n", "T", 0, 1, b"x", "accepted"), (" ", "t", 0, 1, b"x", "blank_key"), ("k" * 161, "t", 0, 1, b"x", "long_key"), ("k", "t", None, 1, b"x", "time"), ("k", None, 0, 1, b"x", "blank_type"), ("k", "t", 0, 1, None, "payload")]
+    for key, kind, start, end, payload, want in rows:
+        df = spark.createDataFrame([(key, kind, start, end, payload)], "producer_key string, content_type string, start_ms int, end_ms int, payload binary")
+        assert df.select(rules.utterance_outcome(rules.strip("producer_key"), F.lower(rules.strip("content_type")))).first()[0] == want
+
+
+def test_packets(spark):
+    good = (7).to_bytes(8, "little") + (1234).to_bytes(2, "little") + (-2).to_bytes(2, "little", signed=True)
+    rows = [good, good[:8], good + b"x", b"\0" * 7 + b"\x80" + b"ab", None, good + b"1234"]
+    df = spark.createDataFrame([(r,) for r in rows], "p binary")
+    assert [r[0] for r in df.select(formats.packet_fault("p", 14)).collect()] == [None, "short", "odd", "offset", "short", "oversize"]
+    assert tuple(df.limit(1).select(formats.packet_offset("p"), formats.packet_samples("p")).first()) == (7, [1234, -2])
+
+
+def test_a_provider_fails_by_rows(spark):
+    def provider(payload, content_type):
+        if payload == b"!":
+            raise ProviderError(None)
+        if payload.isdigit():
+            raise ProviderError(int(payload))
+        return payload.decode(), content_type
+
+    work = spark.createDataFrame([(k, p, "t") for k, p in enumerate([b"a ", b" ", b"!", b"429", b"401", b"400", b"503", None])], "utterance_id bigint, payload binary, content_type string")
+    got = {r.utterance_id: (r.text, r.outcome, r.category) for r in transcribe(work.repartition(3), provider).collect()}
+    assert got[0] == ("a", "succeeded", None) and got[1] == (None, "no_speech", None)
+    assert [got[k][1:] for k in range(2, 8)] == [("retry", "transient"), ("retry", "rate_limited"), ("failed", "configuration"), ("failed", "permanent"), ("retry", "transient"), ("failed", "permanent")]
+    assert transcribe(work.limit(0), provider).count() == 0
