@@ -384,3 +384,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, as plain SQL can: for tables of some thousand documents.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, unnest(list_transform(g, lambda x: md5_number_lower(x))) AS g FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 75 * (len(a.g) + len(b.g) - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least AS component_id FROM s JOIN (SELECT doc_id, min(root) AS least FROM reach GROUP BY doc_id) m ON m.doc_id = s.doc_id
+"""

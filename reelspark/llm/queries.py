@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from reelspark.llm import url_filters, warc
+from reelspark.llm import jaccard_join, substring_dedup, url_filters, warc
 from reelspark.llm.fingerprints import op7_fingerprints
-from reelspark.llm.jaccard_join import op9_ngram_jaccard
 from reelspark.llm.language_id import op1_language_id
 from reelspark.llm.mixing import op2_mixing
 from reelspark.llm.packing import op8_packing
 from reelspark.llm.quality_rules import op6_quality_rules
 from reelspark.llm.secret_scans import op3_secret_scans
-from reelspark.llm.substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
     "op3_secret_scans": op3_secret_scans,
     "op4_url_filters": url_filters.op4_url_filters,
-    "op5_substring_dedup": op5_substring_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
-    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op9_ngram_jaccard": jaccard_join.ORACLE, "op10_warc": warc.ORACLE}
