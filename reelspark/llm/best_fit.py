@@ -4,7 +4,9 @@ Only lengths matter for packing, and there are no more than TOKENS of them: the
 length is all that the driver sees, at any size of the corpus. From these numbers a plan is made: for
 the longest pieces left, singles, pairs and triples whose lengths fill the gap exactly are looked
 up by their sum and consumed as often as all their lengths are available; what finds no complement is
-placed by best fit. A plan is a list of patterns with their number of copies, bounded by the lengths.
+placed by best fit. Short pieces fill what best fit leaves, so plans that spare them are made too, and
+the one with the fewest sequences is taken. A plan is a list of patterns with their number of copies,
+bounded by the lengths.
 Pieces of a length are numbered through, and a piece's number tells its pattern, copy and place.
 """
 
@@ -30,6 +32,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Appended to each text's ids.
 END_ID = 2
 TOKENS = 1024
+#: Plans that are tried: most pieces of an exact complement, and the shortest piece it may have.
+TRIED = ((3, 1), (3, 32), (3, 64), (3, 128), (1, 1))
 #: Distinct chunks, and bytes of them, whose ids a task remembers.
 KNOWN_CHUNKS = 400_000
 KNOWN_BYTES = 16 << 20
@@ -155,8 +159,8 @@ class Complements:
     """Singles, pairs and triples of available lengths by their sum. A combination found for a sum is
     kept until one of its lengths runs out."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.left = counts.copy()
+    def __init__(self, counts: np.ndarray, parts: int = 3, least: int = 1) -> None:
+        self.left, self.parts, self.least = counts.copy(), parts, least
         self.index: dict[tuple[int, int], tuple[int, ...]] = {}
 
     def available(self, lengths: tuple[int, ...]) -> bool:
@@ -165,14 +169,14 @@ class Complements:
     def find(self, parts: int, total: int, most: int) -> tuple[int, ...] | None:
         """Available lengths, ``parts`` of them and none above ``most``, that sum to ``total``; the
         longest first length is taken."""
-        if total < parts:
+        if total < parts * self.least:
             return None
         if parts == 1:
             return (total,) if total <= most and self.left[total] else None
         known = self.index.get((parts, total))
         if known and known[0] <= most and self.available(known):
             return known
-        first = np.flatnonzero(self.left[: min(most, total - parts + 1) + 1])[::-1]
+        first = np.flatnonzero(self.left[: min(most, total - (parts - 1) * self.least) + 1])[::-1]
         if parts == 2:
             first = first[self.left[total - first] > (first == total - first)]
         for a in first.tolist():
@@ -187,7 +191,7 @@ class Complements:
     def exact(self, length: int, gap: int) -> tuple[int, ...] | None:
         """What fills the gap beside one piece of ``length``, the fewest pieces first."""
         self.left[length] -= 1
-        found = next((c for parts in (1, 2, 3) if (c := self.find(parts, gap, gap))), None)
+        found = next((c for parts in range(1, self.parts + 1) if (c := self.find(parts, gap, gap))), None)
         self.left[length] += 1
         return found
 
@@ -195,8 +199,13 @@ class Complements:
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of the pieces of a sequence) and how often each is used, so that all pieces
     are placed: ``counts[n]`` pieces have length n, and sequences hold ``len(counts) - 1``."""
+    return min((one_plan(counts, *how) for how in TRIED), key=lambda p: sum(copies for _, copies in p))
+
+
+def one_plan(counts: np.ndarray, parts: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with complements of at most ``parts`` pieces, none shorter than ``least``."""
     size = len(counts) - 1
-    sums = Complements(counts)
+    sums = Complements(counts, parts, least)
     out: list[tuple[tuple[int, ...], int]] = []
     for length in range(size, 0, -1):
         while sums.left[length]:

@@ -6,7 +6,7 @@ WORDS = [f"w{i}" for i in range(400)]
 
 
 def docs(spark, texts, clash=False):
-    rows = [(i, t, ("en", "fr", None)[i % 3], "src", len(t or "")) for i, t in texts]
+    rows = [(i, t, ("en", "fr", None)[(i or 0) % 3], "src", len(t or "")) for i, t in texts]
     df = spark.createDataFrame(rows, DOCS)
     if clash:
         for name in ("rep", "first", "digest", "kept", "score", "bucket", "n", "pos", "label", "hits"):

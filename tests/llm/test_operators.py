@@ -27,10 +27,10 @@ def small(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(i + 10_000, t) for i, t in hard_cases()]
 
 
-@pytest.mark.parametrize("name", ["op4_url_filters", "op5_substring_dedup", "op9_ngram_jaccard", "op10_warc"])
+@pytest.mark.parametrize("name", ["op4_url_filters", "op5_substring_dedup", "op9_ngram_jaccard", "op10_warc", "op11_importance", "op13_source_audit"])
 def test_sql_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     df = entry.queries()[name](spark, SMALL)
     columns = sorted(df.columns)
