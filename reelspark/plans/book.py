@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.sources.adapters import ADAPTERS, Views, spark_text
+from reelspark.sources.adapters import ADAPTERS, Views, spark_text, with_views
 
 
 def duck_text(sql: str) -> str:
@@ -25,7 +25,7 @@ class Book:
             self.pair(name, sql, sql)
 
     def pair(self, name: str, spark_sql: str, duck_sql: str) -> None:
-        def run(spark: SparkSession, sf_dir: str, text: str = spark_text(ADAPTERS + spark_sql)) -> DataFrame:
+        def run(spark: SparkSession, sf_dir: str, text: str = spark_text(with_views(spark_sql))) -> DataFrame:
             Views(spark, sf_dir).register()
             return spark.sql(text)
 

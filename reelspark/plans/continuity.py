@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.operators import coverage
-from reelspark.operators.carry import carry
+from reelspark.operators import coverage, intervals
+from reelspark.operators.fence import EpochFence
+from reelspark.operators.prefix import scan
 from reelspark.operators.ranges import compress_ranges, highest_contiguous
 from reelspark.plans.book import Book
 
@@ -37,9 +38,6 @@ SELECT session_id, sequence, writer_id, byte_length FROM ranked WHERE rn = 1""",
 SELECT event_id, max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS received,
        least(99, greatest(0, CAST(floor(100.0 * max(least(offset_bytes, declared)) OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / declared) AS BIGINT))) AS percent
 FROM steps""",
-    spool_reconcile="""SELECT c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND c.sequence BETWEEN 1 AND s.final_sequence THEN 'removed' ELSE 'retained' END AS outcome, count(*) AS n
-FROM v_chunks c JOIN v_sessions s ON c.session_id = s.session_id
-GROUP BY c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND c.sequence BETWEEN 1 AND s.final_sequence THEN 'removed' ELSE 'retained' END""",
     spool_validate=""", steps AS (SELECT session_id, sequence, lag(sequence) OVER (PARTITION BY session_id ORDER BY sequence) AS before FROM (SELECT DISTINCT session_id, sequence FROM v_chunks) d)
 SELECT session_id, sequence, before AS previous FROM steps WHERE sequence <> coalesce(before, 0) + 1""",
     latest_session=""", ranked AS (SELECT session_id, owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, session_id DESC) AS rn FROM v_sessions)
@@ -59,14 +57,42 @@ def audio_completeness(v) -> DataFrame:
     return coverage.completeness(v.v_chunks, v.v_gaps, v.v_sessions)
 
 
-@book.frame("missing_sequences", COVER + "SELECT session_id, sequence FROM missing")
+def as_ranges(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id", F.col("lo").alias("range_start"), F.col("hi").alias("range_end"), (F.col("hi") - F.col("lo") + 1).alias("n"))
+
+
+#: Islands of single sequences, for the oracles.
+ISLANDS = """, k AS (SELECT *, sequence - row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS island FROM {rows})
+SELECT session_id, min(sequence) AS range_start, max(sequence) AS range_end, count(*) AS n FROM k GROUP BY session_id, island"""
+
+
+@book.frame("missing_sequences", COVER + ISLANDS.format(rows="missing"))
 def missing_sequences(v) -> DataFrame:
-    return coverage.missing(v.v_chunks, v.v_gaps, v.v_sessions)
+    return as_ranges(coverage.missing(v.v_chunks, v.v_gaps, v.v_sessions))
+
+
+@book.frame("gap_coverage_ranges", COVER + ISLANDS.format(rows="covered"))
+def gap_coverage_ranges(v) -> DataFrame:
+    return as_ranges(intervals.union("session_id", coverage.covered(v.v_gaps, v.v_sessions)))
 
 
 @book.frame("gap_coverage_expand", COVER + "SELECT session_id, sequence FROM covered")
 def gap_coverage_expand(v) -> DataFrame:
-    return coverage.covered(v.v_gaps, v.v_sessions)
+    """A row for each covered sequence is what this query is asked for."""
+    ranges = intervals.union("session_id", coverage.covered(v.v_gaps, v.v_sessions))
+    return ranges.select("session_id", F.explode(F.sequence("lo", "hi")).alias("sequence"))
+
+
+@book.frame(
+    "spool_reconcile",
+    """, arrived AS (SELECT session_id, sequence FROM v_chunks WHERE l_partkey % 3 <> 0 AND sequence >= 1)
+SELECT c.session_id, c.sequence, c.epoch, CASE WHEN c.epoch = s.epoch AND EXISTS (SELECT 1 FROM arrived a WHERE a.session_id = c.session_id AND a.sequence = c.sequence) THEN 'removed' ELSE 'retained' END AS outcome, count(*) AS n
+FROM v_chunks c JOIN v_sessions s ON c.session_id = s.session_id GROUP BY ALL""",
+)
+def spool_reconcile(v) -> DataFrame:
+    """The server has two of three chunks; a chunk in a hole of its ranges, or of another epoch, stays."""
+    found = coverage.reconcile(v.v_chunks.select("session_id", "sequence", "epoch"), v.v_sessions, v.v_chunks.where("l_partkey % 3 <> 0"))
+    return found.groupBy("session_id", "sequence", "epoch", "outcome").agg(F.count("*").alias("n"))
 
 
 @book.frame(
@@ -95,21 +121,17 @@ r AS (SELECT session_id, min(sequence) AS a, max(sequence) AS b FROM k GROUP BY
 SELECT session_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || '–' || CAST(b AS VARCHAR) END, ', ' ORDER BY a) AS label FROM r GROUP BY session_id""",
 )
 def missing_label(v) -> DataFrame:
-    missing = missing_sequences(v)
-    ranges = compress_ranges(missing, "session_id", "sequence")
+    ranges = missing_sequences(v)
     label = F.when(F.col("range_start") == F.col("range_end"), F.col("range_start").cast("string")).otherwise(F.concat_ws("–", "range_start", "range_end"))
     return ranges.withColumn("label", label).groupBy("session_id").agg(F.expr("listagg(label, ', ') WITHIN GROUP (ORDER BY range_start)").alias("label"))
 
 
-@book.frame(
-    "gap_autodeclare_group",
-    COVER
-    + """, asked AS (SELECT * FROM missing WHERE sequence % 2 = 0 OR session_id % 3 = 0), k AS (SELECT *, sequence - row_number() OVER (PARTITION BY session_id ORDER BY sequence) AS island FROM asked)
-SELECT session_id, min(sequence) AS range_start, max(sequence) AS range_end, count(*) AS n FROM k GROUP BY session_id, island""",
-)
+@book.frame("gap_autodeclare_group", COVER + ", asked AS (SELECT * FROM missing WHERE sequence % 2 = 0 OR session_id % 3 = 0)" + ISLANDS.format(rows="asked"))
 def gap_autodeclare_group(v) -> DataFrame:
-    missing = missing_sequences(v)
-    return compress_ranges(missing.where("sequence % 2 = 0 or session_id % 3 = 0"), "session_id", "sequence")
+    """Clients ask for every even sequence of a session, or for all of every third session."""
+    listed = v.v_sessions.where("final_sequence >= 1").select("session_id", F.explode(F.expr("sequence(1L, final_sequence)")).alias("sequence"))
+    missing = coverage.missing(v.v_chunks, v.v_gaps, v.v_sessions)
+    return as_ranges(coverage.declared(listed.where("sequence % 2 = 0 or session_id % 3 = 0"), missing))
 
 
 @book.frame(
@@ -124,22 +146,9 @@ fold AS (
 SELECT event_id, CAST(epoch AS BIGINT) AS epoch, outcome FROM fold""",
 )
 def capture_epoch_fence(v) -> DataFrame:
-    """Claims of a session in order: one that expects the current epoch (modulo 5 here) advances it,
-    the same writer's repeated claim is a replay, any other is stale. Only a session's epoch and
-    writer are held while its ordered claims pass."""
-
-    def step(state: list, row: tuple):
-        _, event, writer, expected = row
-        outcome = "stale"
-        if expected == state[0] % 5:
-            state[:] = [state[0] + 1, writer]
-            outcome = "valid"
-        elif expected is not None and (expected + 1) % 5 == state[0] % 5 and writer == state[1]:
-            outcome = "replay"
-        return [(event, state[0], outcome)]
-
+    """Claims of a session in order, which tell the epoch modulo 5 here."""
     claims = v.v_raw_jobs.selectExpr("session_id", "utterance_id as event_id", "k % 3 as writer", "k % 5 as expected")
-    return carry(claims, ["event_id", "writer", "expected"], "event_id bigint, epoch bigint, outcome string", lambda: [0, -1], step, lambda key, state: [])
+    return scan(claims, ["event_id"], EpochFence(5))
 
 
 #: The fields by which a repeated chunk or gap is known to be the same.

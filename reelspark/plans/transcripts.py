@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import formats, versions
 from reelspark.functions.formats import clock, line_feeds
 from reelspark.plans.book import Book
-from reelspark.sources.adapters import ADAPTERS, spark_text
+from reelspark.sources.adapters import spark_text, with_views
 
 book = Book()
 
@@ -148,7 +148,7 @@ _DUCK_CHANNEL = "CASE WHEN regexp_full_match(v, 'v[0-9]+[.][0-9]+[.][0-9]+') THE
 
 def _forms(v) -> DataFrame:
     v.register()
-    return v.spark.sql(spark_text(f"{ADAPTERS}{_VERSIONS} SELECT v FROM forms"))
+    return v.spark.sql(spark_text(with_views(f"{_VERSIONS} SELECT v FROM forms")))
 
 
 @book.frame("version_channel", f"{_VERSIONS} SELECT v, coalesce({_DUCK_CHANNEL}, 'unsupported') AS channel FROM forms")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.sources.rule_inputs import RULE_INPUTS
@@ -122,6 +124,23 @@ v_releases AS (
 """
 
 
+#: The views by name: each begins a line.
+VIEWS = {m[1]: m[0].removeprefix("WITH ").rstrip().rstrip(",") for m in re.finditer(r"^(?:WITH )?(v_\w+) AS \(.*?(?=^v_\w+ AS \(|\Z)", ADAPTERS, re.M | re.S)}
+
+
+def with_views(sql: str) -> str:
+    """``sql`` (SELECT, or further common table expressions after a comma) behind the views it needs, in
+    their order: Spark analyses every view that a statement has."""
+    needed: set[str] = set()
+    more = set(re.findall(r"\bv_\w+", sql)) & VIEWS.keys()
+    while more:
+        needed |= more
+        more = {n for own in more for n in re.findall(r"\bv_\w+", VIEWS[own]) if n in VIEWS} - needed
+    if not needed:
+        return sql.strip().replace(",", "WITH ", 1) if sql.strip().startswith(",") else sql
+    return "WITH " + ",\n".join(VIEWS[n] for n in VIEWS if n in needed) + "\n" + sql
+
+
 def spark_text(sql: str) -> str:
     """``@sha(x)`` as sha2(x, 256): the length goes before the parenthesis that closes it."""
     while "@sha(" in sql:
@@ -158,4 +177,4 @@ class Views:
         if not name.startswith("v_"):
             raise AttributeError(name)
         self.register()
-        return self.spark.sql(spark_text(f"{ADAPTERS} SELECT * FROM {name}"))
+        return self.spark.sql(spark_text(with_views(f"SELECT * FROM {name}")))

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset on a local master, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="reelspark-")
+    """A new folder below ``spark.checkpoint.dir``, as the session or its context has it; where that is
+    unset on a local master, below a temporary one. On a cluster its absence is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _OWN:
+            _OWN[key] = "file://" + tempfile.mkdtemp(prefix="reelspark-")
+        root = _OWN[key]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
