@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ class Limits:
     cooldown: int = 15
 
 
-def ready(jobs: DataFrame, now: int, cooldown: int) -> DataFrame:
+def ready(jobs: DataFrame, now: int, cooldown: int | Column) -> DataFrame:
     """``jobs`` with ``eligible``, ``reserved`` and ``outstanding``.
 
     Pending jobs, due retries and expired claims may be delivered when none was within the cooldown; the
@@ -36,21 +36,44 @@ def ready(jobs: DataFrame, now: int, cooldown: int) -> DataFrame:
     return jobs.withColumns({"eligible": waits & (~recent | anew), "reserved": waits & recent & ~anew}).withColumn("outstanding", F.col("reserved") | active)
 
 
-def reserve(jobs: DataFrame, now: int, limits: Limits) -> DataFrame:
-    """(utterance_id, session_id, rank, new_delivery) of the jobs of one class that are delivered next.
+def by_class(classes: dict[str, Limits], field: str) -> Column:
+    """A limit by the column ``workload``."""
+    out = F.lit(None).cast("bigint")
+    for name, limits in classes.items():
+        out = F.when(F.col("workload") == name, F.lit(getattr(limits, field)).cast("bigint")).otherwise(out)
+    return out
+
+
+def judge(jobs: DataFrame, now: int, classes: dict[str, Limits]) -> DataFrame:
+    """:func:`ready` for jobs of several classes (``workload``), each with its cooldown."""
+    return ready(jobs.where(F.col("workload").isin(*classes)), now, by_class(classes, "cooldown"))
+
+
+def admit(judged: DataFrame, now: int, classes: dict[str, Limits]) -> DataFrame:
+    """(workload, utterance_id, session_id, rank, place, new_delivery) of the jobs that are delivered next, of
+    all classes in one pass over ``judged``.
 
     The n-th eligible job of a session comes after every session's (n - 1)-th; among equals the session
     goes first that was served longest ago, one never served counting from its oldest job on. Free
-    places are what outstanding jobs leave of the limits.
+    places are what outstanding jobs leave of the limits. Ranks and places are cut at the classes' limits
+    before rows are shuffled, so no task holds a session or a class.
     """
-    judged = ready(jobs, now, limits.cooldown)
-    free = limits.total - judged.where("outstanding").count()
-    by_session = judged.groupBy("session_id").agg(F.count_if("outstanding").alias("busy"), F.coalesce(F.max("last_delivery"), F.min("created")).alias("turn"))
-    order = Window.partitionBy("session_id").orderBy("sequence", "created", "utterance_id")
-    ranked = judged.where("eligible").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limits.per_session)
-    open_ = ranked.join(by_session, "session_id").where(F.col("rank") <= limits.per_session - F.col("busy"))
-    first = open_.orderBy("rank", "turn", "session_id", "utterance_id").limit(max(0, free))
-    return first.select("utterance_id", "session_id", "rank", F.greatest("last_delivery", F.lit(now).cast("bigint")).alias("new_delivery"))
+    session = ["workload", "session_id"]
+    by_session = judged.groupBy(*session).agg(F.count_if("outstanding").alias("busy"), F.coalesce(F.max("last_delivery"), F.min("created")).alias("turn"))
+    used = by_session.groupBy("workload").agg(F.sum("busy").alias("used"))
+    order = Window.partitionBy(*session).orderBy("sequence", "created", "utterance_id")
+    ranked = judged.where("eligible").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= max(x.per_session for x in classes.values()))
+    open_ = ranked.join(by_session, session).where(F.col("rank") <= by_class(classes, "per_session") - F.col("busy"))
+    line = Window.partitionBy("workload").orderBy("rank", "turn", "session_id", "utterance_id")
+    first = open_.withColumn("place", F.row_number().over(line).cast("bigint")).where(F.col("place") <= max(x.total for x in classes.values()))
+    held = first.join(F.broadcast(used), "workload").where(F.col("place") <= by_class(classes, "total") - F.col("used"))  # a row for each class
+    return held.select("workload", "utterance_id", "session_id", "rank", "place", F.greatest("last_delivery", F.lit(now).cast("bigint")).alias("new_delivery"))
+
+
+def reserve(jobs: DataFrame, now: int, limits: Limits) -> DataFrame:
+    """(utterance_id, session_id, rank, new_delivery) that :func:`admit` finds for jobs of one class."""
+    classes = {"": limits}
+    return admit(judge(jobs.withColumn("workload", F.lit("")), now, classes), now, classes).select("utterance_id", "session_id", "rank", "new_delivery")
 
 
 def claim_next(jobs: DataFrame, now: int, cooldown: int) -> DataFrame:

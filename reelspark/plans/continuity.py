@@ -10,6 +10,8 @@ from reelspark.operators.fence import EpochFence
 from reelspark.operators.prefix import scan
 from reelspark.operators.ranges import compress_ranges, highest_contiguous
 from reelspark.plans.book import Book
+from reelspark.streaming.ingest import ingested
+from reelspark.streaming.leases import interruptions
 
 book = Book()
 
@@ -185,13 +187,13 @@ def gap_dedupe_conflict(v) -> DataFrame:
 TIMEOUT = 20
 
 
-@book.frame(
-    "heartbeat_interruptions",
-    f""", b AS (SELECT user_id AS session_id, event_id, ts FROM events), m AS (SELECT max(ts) + INTERVAL {TIMEOUT} SECOND AS now FROM b),
+HOLES = f""", b AS (SELECT user_id AS session_id, event_id, ts FROM events), m AS (SELECT max(ts) + INTERVAL {TIMEOUT} SECOND AS now FROM b),
 n AS (SELECT session_id, event_id, ts, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next FROM b), s AS (SELECT session_id, state FROM v_sessions)
 SELECT n.session_id, n.event_id AS last_heartbeat_event, CAST(floor(epoch(ts)) AS BIGINT) AS interrupted_at, CASE WHEN next IS NULL THEN 'open' ELSE 'recovered' END AS outcome FROM n JOIN s ON s.session_id = n.session_id CROSS JOIN m
-WHERE (next IS NOT NULL AND next > ts + INTERVAL {TIMEOUT} SECOND) OR (next IS NULL AND s.state = 'recording' AND now > ts + INTERVAL {TIMEOUT} SECOND)""",
-)
+WHERE (next IS NOT NULL AND next > ts + INTERVAL {TIMEOUT} SECOND) OR (next IS NULL AND s.state = 'recording' AND now > ts + INTERVAL {TIMEOUT} SECOND)"""
+
+
+@book.frame("heartbeat_interruptions", HOLES)
 def heartbeat_interruptions(v) -> DataFrame:
     """Holes of more than TIMEOUT seconds after a heartbeat, which is when the session counts as
     interrupted; at the end only a session that still records is."""
@@ -201,3 +203,18 @@ def heartbeat_interruptions(v) -> DataFrame:
     late = F.expr(f"ts + interval '{TIMEOUT}' second")
     holes = seen.where((F.col("next") > late) | (F.col("next").isNull() & (F.col("state") == "recording") & (F.col("now") > late)))
     return holes.select("session_id", F.col("event_id").alias("last_heartbeat_event"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("interrupted_at"), F.when(F.col("next").isNull(), "open").otherwise("recovered").alias("outcome"))
+
+
+@book.frame("heartbeat_timers", HOLES)
+def heartbeat_timers(v) -> DataFrame:
+    """The same holes, told by a stream's event-time timers over three micro-batches."""
+    found = interruptions(v.spark, v.v_heartbeats, TIMEOUT, 3).join(v.v_sessions.select("session_id", "state"), "session_id")
+    known = found.where((F.col("outcome") == "recovered") | (F.col("state") == "recording"))
+    return known.select("session_id", F.col("event_id").alias("last_heartbeat_event"), F.expr("at div 1000000").alias("interrupted_at"), "outcome")
+
+
+@book.frame("ingest_stream", duck_offered("v_chunk_offers", "session_id, sequence", "arrival", CHUNK))
+def ingest_stream(v) -> DataFrame:
+    """The decisions of a stream whose state outlives a restart before each of three micro-batches."""
+    found = ingested(v.spark, v.v_chunk_offers, CHUNK, 3)
+    return found.groupBy("session_id", "sequence").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "idempotent", "conflict")))

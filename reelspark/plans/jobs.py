@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.operators.admission import Limits, claim_next, ready, reserve
+from reelspark.operators.admission import Limits, admit, judge
+from reelspark.functions.errors import client_retries, provider_category
 from reelspark.operators.replay import release_outcome, replay
 from reelspark.plans.book import Book
 from reelspark.sources.adapters import COOLDOWN, NOW
+from reelspark.streaming.reconcile import JOBS, reconcile_loop
 
 book = Book()
 
@@ -32,13 +34,7 @@ target AS (SELECT f.workload, (SELECT count(*) FROM admitted a WHERE a.workload
 
 book.both(
     workload_class="SELECT CASE WHEN kind = 'upload' THEN 'upload' ELSE 'live' END AS workload, count(*) AS n FROM v_sessions GROUP BY CASE WHEN kind = 'upload' THEN 'upload' ELSE 'live' END",
-    jobs_eligible="SELECT session_id % 2 AS class, state, recent, count(*) AS n FROM v_ready WHERE eligible GROUP BY session_id % 2, state, recent",
-    jobs_reserved="SELECT state, count(*) AS n FROM v_ready WHERE reserved GROUP BY state",
-    jobs_outstanding="SELECT session_id, count(*) AS n FROM v_ready WHERE active OR reserved GROUP BY session_id",
     jobs_state_counts=f", sessions AS (SELECT DISTINCT session_id FROM v_jobs), n AS (SELECT session_id, state, count(*) AS c FROM v_jobs GROUP BY session_id, state) SELECT t.session_id, s AS state, coalesce(c, 0) AS n FROM sessions t CROSS JOIN {STATES} LEFT JOIN n ON n.session_id = t.session_id AND n.state = s",
-    jobs_recent_failures=", r AS (SELECT session_id, utterance_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, utterance_id) AS rn FROM v_jobs WHERE state IN ('failed', 'retry_wait')) SELECT session_id, utterance_id, CAST(rn AS BIGINT) AS place FROM r WHERE rn <= 10",
-    error_category="""SELECT utterance_id, code, CASE WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'configuration' WHEN code IN (408, 425) OR code >= 500 THEN 'transient' ELSE 'permanent' END AS category,
-  code IN (408, 429) OR code >= 500 AS client_retry FROM (SELECT utterance_id, CASE WHEN k < 10 THEN 429 WHEN k < 20 THEN 401 WHEN k < 30 THEN 403 WHEN k < 40 THEN 408 WHEN k < 50 THEN 425 ELSE 350 + k * 3 END AS code FROM v_jobs) e""",
 )
 
 
@@ -90,16 +86,59 @@ def release_replay(v) -> DataFrame:
     return rows.select("p_partkey", "result", F.when(F.col("result") == "success", F.col("candidate_v")).otherwise(F.col("current_v")).alias("current_v"), F.when(F.col("result") != "migration_failed_manual_recovery", F.col("candidate_v")).alias("schema_authority"))
 
 
-def of_class(v, workload: str) -> DataFrame:
-    """The jobs of the sessions of a class: uploads, or all others."""
+def classed(v) -> DataFrame:
+    """Jobs with the class of their session, uploads or all others, judged by its limits."""
     kind = F.when(F.col("kind") == "upload", "upload").otherwise("live")
-    return v.v_jobs.join(v.v_sessions.where(kind == workload).select("session_id"), "session_id")
+    return judge(v.v_jobs.join(v.v_sessions.select("session_id", kind.alias("workload")), "session_id"), NOW, LIMITS)
 
 
-def each_class(v, make) -> DataFrame:
-    """``make(workload, limits, jobs)`` of every class, one after the other."""
-    live, upload = (make(c, x, of_class(v, c)).select(F.lit(c).alias("workload"), "*") for c, x in LIMITS.items())
-    return live.unionByName(upload)
+@book.frame("jobs_eligible", FAIR + "SELECT workload, state, recent, count(*) AS n FROM own WHERE eligible GROUP BY workload, state, recent")
+def jobs_eligible(v) -> DataFrame:
+    recent = F.coalesce(F.col("last_delivery") > NOW - COOLDOWN, F.lit(False))
+    return classed(v).where("eligible").groupBy("workload", "state", recent.alias("recent")).agg(F.count("*").alias("n"))
+
+
+@book.frame("jobs_reserved", FAIR + "SELECT workload, state, count(*) AS n FROM own WHERE reserved GROUP BY workload, state")
+def jobs_reserved(v) -> DataFrame:
+    return classed(v).where("reserved").groupBy("workload", "state").agg(F.count("*").alias("n"))
+
+
+@book.frame("jobs_outstanding", FAIR + "SELECT session_id, count(*) AS n FROM own WHERE active OR reserved GROUP BY session_id")
+def jobs_outstanding(v) -> DataFrame:
+    return classed(v).where("outstanding").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+#: Failures that a session's diagnostics show.
+FAILURES = 10
+
+
+@book.frame("jobs_recent_failures", f", r AS (SELECT *, (SELECT count(*) FROM v_jobs o WHERE o.session_id = j.session_id AND o.last_error_category IS NOT NULL AND (o.updated > j.updated OR (o.updated = j.updated AND o.utterance_id < j.utterance_id))) AS newer FROM v_jobs j WHERE last_error_category IS NOT NULL) SELECT session_id, utterance_id, last_error_category, CAST(newer + 1 AS BIGINT) AS place FROM r WHERE newer < {FAILURES}")
+def jobs_recent_failures(v) -> DataFrame:
+    """A session's jobs that ended in an error at any time, in whatever state they are now, latest update first."""
+    order = Window.partitionBy("session_id").orderBy(F.col("updated").desc(), "utterance_id")
+    ranked = v.v_jobs.where("last_error_category is not null").withColumn("place", F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col("place") <= FAILURES).select("session_id", "utterance_id", "last_error_category", "place")
+
+
+#: How a provider's answer and a client's failed request are sorted.
+_DUCK_CATEGORY = {"rate_limited": [429], "configuration": [401, 403], "transient": [408, 425, *range(500, 700)]}
+
+
+@book.frame(
+    "error_category",
+    f""", e AS (SELECT utterance_id, k, CASE WHEN k < 10 THEN 429 WHEN k < 20 THEN 401 WHEN k < 30 THEN 403 WHEN k < 40 THEN 408 WHEN k < 50 THEN 425 WHEN k % 3 <> 0 THEN 350 + k * 3 END AS code,
+  CASE k % 6 WHEN 0 THEN 'network' WHEN 3 THEN CASE WHEN k % 12 = 3 THEN 'timeout' ELSE 'aborted' END ELSE 'http' END AS kind FROM v_jobs)
+SELECT utterance_id, code, kind, CASE {" ".join(f"WHEN list_contains({v}, code) THEN '{k}'" for k, v in _DUCK_CATEGORY.items())} WHEN code IS NULL THEN 'transient' ELSE 'permanent' END AS category,
+  CASE kind WHEN 'network' THEN true WHEN 'timeout' THEN true WHEN 'aborted' THEN false ELSE coalesce(list_contains([408, 429], code) OR code BETWEEN 500 AND 699, false) END AS client_retry FROM e""",
+)
+def error_category(v) -> DataFrame:
+    """The provider's category of an answer, none of which is transient, and whether the client asks again: after
+    network errors and timeouts, never once the caller has given up, else by the answer's status."""
+    k = F.col("k")
+    code = F.when(k < 10, 429).when(k < 20, 401).when(k < 30, 403).when(k < 40, 408).when(k < 50, 425).when(k % 3 != 0, (350 + k * 3).cast("int"))
+    kind = F.when(k % 6 == 0, "network").when(k % 12 == 3, "timeout").when(k % 6 == 3, "aborted").otherwise("http")
+    rows = v.v_jobs.select("utterance_id", code.alias("code"), kind.alias("kind"))
+    return rows.select("utterance_id", "code", "kind", provider_category(F.col("code")).alias("category"), client_retries(F.col("kind"), F.col("code")).alias("client_retry"))
 
 
 @book.frame("jobs_history", "SELECT session_id, CAST(max(last_delivery) AS BIGINT) AS last_delivery, CAST(min(created) AS BIGINT) AS oldest FROM v_jobs GROUP BY session_id")
@@ -110,13 +149,7 @@ def jobs_history(v) -> DataFrame:
 @book.frame("jobs_fair_reserve", FAIR + f"SELECT workload, utterance_id, session_id, CAST(r AS BIGINT) AS rank_in_session, CAST(place AS BIGINT) AS place, CAST(greatest(coalesce(last_delivery, 0), {NOW}) AS BIGINT) AS new_delivery FROM admitted")
 def jobs_fair_reserve(v) -> DataFrame:
     """The admitted jobs with their place in the fair order, which the limit of their class bounds."""
-
-    def make(workload: str, limits: Limits, jobs: DataFrame) -> DataFrame:
-        turn = ready(jobs, NOW, limits.cooldown).groupBy("session_id").agg(F.coalesce(F.max("last_delivery"), F.min("created")).alias("turn"))
-        admitted = reserve(jobs, NOW, limits).join(turn, "session_id")
-        return admitted.selectExpr("utterance_id", "session_id", "rank as rank_in_session", "cast(row_number() over (order by rank, turn, session_id, utterance_id) as bigint) as place", "new_delivery")
-
-    return each_class(v, make)
+    return admit(classed(v), NOW, LIMITS).withColumnRenamed("rank", "rank_in_session")
 
 
 @book.frame(
@@ -125,18 +158,19 @@ def jobs_fair_reserve(v) -> DataFrame:
 SELECT workload, utterance_id, session_id FROM c WHERE n = 1""",
 )
 def jobs_claim_next(v) -> DataFrame:
-    return each_class(v, lambda workload, limits, jobs: claim_next(jobs, NOW, limits.cooldown).select("utterance_id", "session_id"))
+    """The first reserved job of each class in delivery order."""
+    order = F.struct("last_delivery", "created", "session_id", "sequence", "utterance_id")
+    first = classed(v).where("reserved").groupBy("workload").agg(F.min(order).alias("j"))
+    return first.select("workload", "j.utterance_id", "j.session_id")
 
 
 @book.frame("jobs_wake_target", FAIR + "SELECT workload, CAST(target AS BIGINT) AS target FROM target")
 def jobs_wake_target(v) -> DataFrame:
     """Reserved jobs of each class once the admitted ones are reserved too."""
-
-    def make(workload: str, limits: Limits, jobs: DataFrame) -> DataFrame:
-        held = ready(jobs, NOW, limits.cooldown).where("reserved").select("utterance_id")
-        return held.unionAll(reserve(jobs, NOW, limits).select("utterance_id")).agg(F.count("*").alias("target"))
-
-    return each_class(v, make)
+    judged = classed(v)
+    held = judged.where("reserved").select("workload").unionAll(admit(judged, NOW, LIMITS).select("workload"))
+    none = v.spark.createDataFrame([(c, 0) for c in LIMITS], "workload string, n int")
+    return held.withColumn("n", F.lit(1)).unionAll(none).groupBy("workload").agg(F.sum("n").alias("target"))
 
 
 @book.frame("wake_deficit", FAIR + "SELECT workload, queued, CAST(greatest(0, target - queued) AS BIGINT) AS to_publish FROM target CROSS JOIN (VALUES (0), (100), (100000)) AS q(queued)")
@@ -165,15 +199,21 @@ def with_evidence(v, how: str) -> DataFrame:
 _EVIDENCE = "EXISTS (SELECT 1 FROM v_canonical c WHERE c.session_id = j.session_id AND c.producer_key = 'utterance:' || CAST(j.utterance_id AS VARCHAR))"
 
 
-@book.frame("jobs_converge", f"SELECT utterance_id, state AS before, 'succeeded' AS after FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE}")
+#: Rows that a pass repairs of each kind at most, those updated longest ago first.
+REPAIRS = 4 * LIMITS["live"].total
+
+
+@book.frame("jobs_converge", f"SELECT utterance_id, state AS before, 'succeeded' AS after FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE} ORDER BY updated, utterance_id LIMIT {REPAIRS}")
 def jobs_converge(v) -> DataFrame:
-    """Jobs in any other state whose canonical segment exists have succeeded."""
-    return with_evidence(v, "left_semi").where("state <> 'succeeded'").select("utterance_id", F.col("state").alias("before"), F.lit("succeeded").alias("after"))
+    """Jobs in any other state whose canonical segment exists have succeeded: as many as a pass takes."""
+    due = with_evidence(v, "left_semi").where("state <> 'succeeded'").orderBy("updated", "utterance_id").limit(REPAIRS)
+    return due.select("utterance_id", F.col("state").alias("before"), F.lit("succeeded").alias("after"))
 
 
-@book.frame("jobs_false_success", f"SELECT utterance_id, 'pending' AS after FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE}")
+@book.frame("jobs_false_success", f"SELECT utterance_id, 'pending' AS after FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE} ORDER BY updated, utterance_id LIMIT {REPAIRS}")
 def jobs_false_success(v) -> DataFrame:
-    return with_evidence(v, "left_anti").where("state = 'succeeded'").select("utterance_id", F.lit("pending").alias("after"))
+    due = with_evidence(v, "left_anti").where("state = 'succeeded'").orderBy("updated", "utterance_id").limit(REPAIRS)
+    return due.select("utterance_id", F.lit("pending").alias("after"))
 
 
 @book.frame("jobs_backfill", f"SELECT utterance_id, CASE WHEN {_EVIDENCE} THEN 'succeeded' ELSE 'pending' END AS state, 0 AS attempts FROM v_raw_jobs j")
@@ -185,14 +225,31 @@ def jobs_backfill(v) -> DataFrame:
 
 @book.frame(
     "reconcile_report",
-    FAIR + f""", n AS (SELECT (SELECT count(*) FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)) AS created,
-  (SELECT count(*) FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE}) AS converged, (SELECT count(*) FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE}) AS repaired)
+    FAIR + f""", n AS (SELECT (SELECT least({REPAIRS}, count(*)) FROM v_raw_jobs u WHERE NOT EXISTS (SELECT 1 FROM v_jobs j WHERE j.utterance_id = u.utterance_id AND j.k % 5 <> 0)) AS created,
+  (SELECT least({REPAIRS}, count(*)) FROM v_jobs j WHERE state <> 'succeeded' AND {_EVIDENCE}) AS converged, (SELECT least({REPAIRS}, count(*)) FROM v_jobs j WHERE state = 'succeeded' AND NOT {_EVIDENCE}) AS repaired)
 SELECT t.workload, created, converged, repaired, (SELECT count(*) FROM admitted a WHERE a.workload = t.workload) AS reserved, CAST(target AS BIGINT) AS wake_target FROM target t CROSS JOIN n""",
 )
 def reconcile_report(v) -> DataFrame:
-    counts = jobs_missing(v).agg(F.count("*").alias("created")).crossJoin(jobs_converge(v).agg(F.count("*").alias("converged"))).crossJoin(jobs_false_success(v).agg(F.count("*").alias("repaired")))
-    reserved = each_class(v, lambda workload, limits, jobs: reserve(jobs, NOW, limits).agg(F.count("*").alias("reserved")))
-    return reserved.join(jobs_wake_target(v).withColumnRenamed("target", "wake_target"), "workload").crossJoin(counts)
+    """What one pass over the jobs does: three counts of repairs, and by class what it reserves and wakes."""
+    judged = classed(v)
+    reserved = admit(judged, NOW, LIMITS).groupBy("workload").agg(F.count("*").alias("reserved"))
+    held = judged.groupBy("workload").agg(F.count_if("reserved").alias("held"))
+    counts = [rows.agg(F.count("*").alias(name)) for name, rows in (("created", jobs_missing(v).limit(REPAIRS)), ("converged", jobs_converge(v)), ("repaired", jobs_false_success(v)))]
+    each = v.spark.createDataFrame([(c,) for c in LIMITS], "workload string").join(reserved, "workload", "left").join(held, "workload", "left")
+    rows = each.crossJoin(counts[0]).crossJoin(counts[1]).crossJoin(counts[2])  # single rows
+    zero = F.coalesce("reserved", F.lit(0).cast("bigint"))
+    return rows.select("workload", "created", "converged", "repaired", zero.alias("reserved"), (zero + F.coalesce("held", F.lit(0))).alias("wake_target"))
+
+
+@book.frame("reconcile_ticks")
+def reconcile_ticks(v) -> DataFrame:
+    """Three ticks of the loop over one job in eight missing, with results that arrive between ticks."""
+    kind = F.when(F.col("kind") == "upload", "upload").otherwise("live")
+    sessions = v.v_sessions.select("session_id", kind.alias("workload"))
+    jobs = v.v_jobs.select(*(c.split()[0] for c in JOBS.split(", ")))
+    work = jobs.select("utterance_id", "session_id", "sequence", "created")
+    evidence = v.v_canonical.selectExpr("utterance_id", "session_id", f"{NOW - 1} + quality as at")
+    return reconcile_loop(v.spark, jobs.where("utterance_id % 8 <> 0"), work, evidence, sessions, [NOW, NOW + 1, NOW + COOLDOWN + 1], LIMITS, 500)
 
 
 def backoff(base: float, attempts: str, most: float | None = None):
@@ -217,9 +274,15 @@ def retry_backoff(v) -> DataFrame:
     return v.v_jobs.select("utterance_id", stt.alias("stt_delay"), backoff(5.0, "attempts").alias("media_delay"), client.alias("client_ms"), reconnect.alias("reconnect_ms"), F.greatest(F.lit(60).cast("bigint"), F.col("k") + 30).alias("lease"))
 
 
-@book.frame("media_missing_rows", "SELECT session_id FROM v_uploads u WHERE sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_canonical c WHERE c.utterance_id = u.session_id)")
+#: Uploads that get a processing row in a pass.
+MEDIA_BATCH = 100
+
+
+@book.frame("media_missing_rows", f"SELECT session_id, completed_at FROM v_finished u WHERE completed_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_processing p WHERE p.session_id = u.session_id) ORDER BY completed_at, session_id LIMIT {MEDIA_BATCH}")
 def media_missing_rows(v) -> DataFrame:
-    return v.v_uploads.where("sha256 is not null").join(v.v_canonical.select(F.col("utterance_id").alias("session_id")), "session_id", "left_anti").select("session_id")
+    """Completed uploads without a processing row, those completed first, as many as a pass takes."""
+    rows = v.v_finished.where("completed_at is not null").join(v.v_processing, "session_id", "left_anti")
+    return rows.orderBy("completed_at", "session_id").limit(MEDIA_BATCH).select("session_id", "completed_at")
 
 
 @book.frame(

@@ -68,7 +68,8 @@ v_jobs AS (
          CAST((utterance_id * 7919) % 10007 AS BIGINT) AS sequence, CAST({NOW} - 5000 + (utterance_id * 31) % 4000 AS BIGINT) AS created,
          CASE WHEN utterance_id % 7 = 0 THEN NULL ELSE {NOW} - utterance_id % 30 END AS last_delivery,
          CASE WHEN state = 'retry_wait' THEN {NOW} - 10 + k % 20 END AS next_attempt,
-         CASE WHEN state = 'claimed' THEN {NOW} - 10 + k % 25 END AS claim_expires
+         CASE WHEN state = 'claimed' THEN {NOW} - 10 + k % 25 END AS claim_expires, CAST({NOW} - 1000 + (utterance_id * 17) % 900 AS BIGINT) AS updated,
+         CASE WHEN state = 'failed' THEN 'permanent' WHEN state = 'retry_wait' THEN CASE WHEN k % 2 = 0 THEN 'transient' ELSE 'rate_limited' END WHEN state IN ('pending', 'claimed') AND k % 7 = 0 THEN 'transient' END AS last_error_category
   FROM (SELECT *, CASE WHEN event_type = 'view' THEN 'pending' WHEN event_type = 'click' THEN 'claimed' WHEN event_type = 'purchase' THEN 'succeeded'
                        WHEN event_type = 'signup' THEN 'no_speech' WHEN k >= 80 THEN 'failed' ELSE 'retry_wait' END AS state FROM v_raw_jobs) raw),
 v_ready AS (
@@ -112,6 +113,8 @@ v_sources AS (
 v_processed AS (
   SELECT session_id, CASE WHEN session_id % 17 = 0 THEN source_storage_key || 'x' ELSE source_storage_key END AS source_storage_key, CASE WHEN session_id % 7 = 0 THEN 'h1' ELSE source_sha256 END AS source_sha256, source_byte_length + CASE WHEN session_id % 11 = 0 THEN 1 ELSE 0 END AS source_byte_length,
          CASE WHEN session_id % 13 <> 0 THEN source_completed_at END AS source_completed_at, normalization_spec_id, CASE WHEN session_id % 5 = 0 THEN 'seg-2' ELSE segmentation_spec_id END AS segmentation_spec_id, CASE WHEN session_id % 19 = 0 THEN '[20, 200]' ELSE segmentation_params_json END AS segmentation_params_json FROM v_sources),
+v_finished AS (SELECT session_id, CASE WHEN session_id % 4 <> 0 THEN source_completed_at + session_id % 3 END AS completed_at FROM v_sources),
+v_processing AS (SELECT session_id FROM v_processed WHERE session_id % 5 <> 2),
 v_capabilities AS (
   SELECT page_id AS session_id, CASE WHEN page_id % 8 <> 0 THEN 't' || CAST(page_id AS VARCHAR(20)) END AS token, @sha('t' || CAST(CASE WHEN page_id % 9 = 0 THEN page_id + 1 ELSE page_id END AS VARCHAR(20))) AS token_hash, CAST({NOW} AS BIGINT) AS now_s, CAST({NOW} - 10 + page_id % 50 AS BIGINT) AS expires_at FROM pages),
 v_recovery AS (

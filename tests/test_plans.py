@@ -39,14 +39,14 @@ def test_query_equals_its_oracle(spark, duck, name):
     [
         ("session_chunks", "select count(*) from lineitem"),
         ("session_gaps", "select count(*) from orders where o_orderkey % 2 = 0"),
-        ("jobs_recent_failures", "select sum(least(n, 10)) from (select count(*) n from v_jobs where state in ('failed', 'retry_wait') group by session_id) q"),
+        ("jobs_recent_failures", "select sum(least(n, 10)) from (select count(*) n from v_jobs where last_error_category is not null group by session_id) q"),
         ("pcm_decode", "select count(*) from lineitem where l_linenumber <> 3"),
         ("heartbeat_stream", "select count(*) from (select ts > lag(ts) over (partition by user_id order by ts) + interval 6 hour as apart from events) q where apart or apart is null"),
     ],
 )
 def test_query_returns_the_whole_table(spark, duck, name, want):
     if "v_jobs" in want:
-        want = entry.oracle_sql()["jobs_eligible"].split("SELECT session_id % 2")[0] + want
+        want = entry.oracle_sql()["jobs_history"].split("SELECT session_id, CAST(max")[0] + want
     assert entry.queries()[name](spark, SMALL).count() == duck.execute(want).fetchone()[0]
 
 
