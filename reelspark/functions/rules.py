@@ -17,9 +17,40 @@ def first_of(cases: list[tuple[Column, str]], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+#: White space of Unicode, with the four information separators that count as such in texts.
+SPACE = r"[\s\x1c-\x1f]"
+
+
 def strip(column: str) -> Column:
-    """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.regexp_replace(column, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+
+
+def one_spaced(column: str) -> Column:
+    """Words parted by white space of any kind, joined by one space."""
+    return F.trim(F.regexp_replace(column, rf"(?U){SPACE}+", " "))
+
+
+def segment_outcome() -> Column:
+    """The first rule that a transcript segment breaks, by its stripped key, text and language."""
+    language = F.nullif(F.lower(strip("language")), F.lit(""))
+    return first_of(
+        [
+            (F.coalesce(F.length(strip("producer_key")), F.lit(0)) == 0, "producer_key_blank"),
+            (F.length(strip("producer_key")) > 160, "producer_key_length"),
+            ((c("start_ms") < 0) | (c("end_ms") <= c("start_ms")), "time"),
+            (F.coalesce(F.length(strip("text")), F.lit(0)) == 0, "text"),
+            (F.length(language) > 32, "language"),
+        ],
+        "accepted",
+    )
+
+
+def gap_outcome() -> Column:
+    """A gap has a sequence range, an interval of wall time or both, and each whole and in order."""
+    parts = lambda a, b: (c(a).isNotNull() | c(b).isNotNull(), c(a).isNull() | c(b).isNull() | (c(b) < c(a)))
+    (range_, bad_range), (wall, bad_wall) = parts("lo", "hi"), parts("wall_from", "wall_to")
+    return first_of([(~range_ & ~wall, "nothing"), (range_ & bad_range, "range"), (wall & bad_wall, "wall")], "accepted")
 
 
 #: Session states that take chunks.

@@ -29,8 +29,8 @@ book.both(
 SELECT s.session_id, coalesce(last, 0) > final_sequence AS excludes_audio, final_sequence * 2000 < coalesce(end_ms, 0) AS ends_early
 FROM v_sessions s LEFT JOIN ends ON s.session_id = ends.session_id
 WHERE coalesce(last, 0) > final_sequence OR final_sequence * 2000 < coalesce(end_ms, 0)""",
-    session_chunks="SELECT session_id, sequence, byte_length FROM v_chunks",
-    session_gaps="SELECT session_id, gap_id, lo, hi, reason FROM v_gaps",
+    session_chunks="SELECT session_id, sequence, byte_length FROM v_chunks ORDER BY session_id, sequence",
+    session_gaps="SELECT session_id, gap_id, lo, hi, reason FROM v_gaps ORDER BY session_id, created_at, gap_id",
     session_dedupe=""", again AS (SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'other' ELSE kind END AS kind, owner_id FROM v_sessions)
 SELECT CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END AS outcome, count(*) AS n
 FROM v_sessions s JOIN again a ON s.session_id = a.session_id GROUP BY CASE WHEN s.kind = a.kind AND s.owner_id = a.owner_id THEN 'idempotent' ELSE 'conflict' END""",

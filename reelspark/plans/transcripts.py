@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.functions import formats, versions
+from reelspark.functions import formats, rules, versions
 from reelspark.functions.formats import clock, line_feeds
 from reelspark.plans.book import Book
 from reelspark.sources.adapters import spark_text, with_views
@@ -32,14 +32,6 @@ r AS (SELECT g.session_id, sequence, start_ms, row_number() OVER (PARTITION BY g
 SELECT session_id, sequence, start_ms FROM r WHERE rn <= 3""",
     merge_last_write=""", b AS (SELECT 0 AS batch, session_id, sequence, text FROM v_segments UNION ALL SELECT 1, session_id, sequence, text || '!' FROM v_segments WHERE sequence % 3 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, sequence ORDER BY batch DESC) AS rn FROM b) SELECT session_id, sequence, text FROM r WHERE rn = 1""",
-    segment_validate=""", d AS (SELECT session_id, sequence, CASE WHEN sequence % 5 = 0 THEN '  ' ELSE producer_key END AS producer_key, start_ms, CASE WHEN sequence % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms, CASE WHEN session_id % 6 = 0 THEN ' ' ELSE text END AS text, language FROM v_segments),
-j AS (SELECT CASE WHEN length(trim(producer_key)) NOT BETWEEN 1 AND 160 THEN 'producer_key' WHEN start_ms < 0 OR end_ms <= start_ms THEN 'time' WHEN length(trim(text)) = 0 THEN 'text' WHEN length(language) > 32 THEN 'language' ELSE 'accepted' END AS outcome FROM d)
-SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
-    gap_validate=""", d AS (SELECT CASE WHEN gap_id % 6 = 0 THEN NULL ELSE lo END AS lo, CASE WHEN gap_id % 10 = 0 THEN NULL WHEN gap_id % 14 = 0 THEN lo - 1 ELSE hi END AS hi, CASE WHEN gap_id % 4 = 0 THEN gap_id * 37 % 3000 END AS wall_ms FROM v_gaps),
-j AS (SELECT CASE WHEN (lo IS NULL) <> (hi IS NULL) THEN 'incomplete_range' WHEN lo IS NULL AND wall_ms IS NULL THEN 'nothing' WHEN hi < lo THEN 'order' WHEN lo IS NULL AND wall_ms < 1000 THEN 'short_wall' ELSE 'accepted' END AS outcome FROM d)
-SELECT outcome, count(*) AS n FROM j GROUP BY outcome""",
-    mime_normalize="""SELECT doc_id, base, CASE base WHEN 'audio/webm' THEN '.webm' WHEN 'audio/mp4' THEN '.m4a' WHEN 'audio/ogg' THEN '.ogg' ELSE '.bin' END AS suffix
-FROM (SELECT doc_id, coalesce(nullif(lower(trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN 'Audio/WebM; codecs=opus' WHEN 1 THEN ' audio/mp4 ' WHEN 2 THEN '' WHEN 3 THEN 'AUDIO/OGG;x' ELSE NULL END, ';.*', ''))), ''), 'application/octet-stream') AS base FROM documents) b""",
     prefix_count="SELECT count(*) AS n FROM part WHERE p_name LIKE 'a%'",
     pk_lookup="SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 7",
     storage_level="""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'unknown' WHEN c_custkey % 3 = 0 AND greatest(0, quota - used) >= 67108864 THEN 'safe' ELSE 'warning' END AS level FROM (SELECT c_custkey, CAST(c_custkey % 100 * 2000000 AS BIGINT) AS quota, CAST(c_custkey % 37 * 1000000 AS BIGINT) AS used FROM customer) q""",
@@ -84,13 +76,84 @@ def export_json(v) -> DataFrame:
     return own.select("session_id", F.expr(f"concat(to_json(named_struct('session_id', session_id, 'segments', {body}), map('ignoreNullFields', 'false')), '\\n')").alias("document"))
 
 
-@book.frame("text_normalize", "SELECT doc_id, sha256(substr(coalesce(nullif(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ''), 'unknown'), 1, 512)) AS sha256 FROM documents")
+#: The oracles' white space: a class of characters of its own.
+_DUCK_SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DUCK_STRIP = "regexp_replace({x}, '^" + _DUCK_SPACE.replace("{", "{{").replace("}", "}}") + "+|" + _DUCK_SPACE.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+
+
+@book.frame("text_normalize", f"SELECT doc_id, sha256(substr(coalesce(nullif(trim(regexp_replace(text, '{_DUCK_SPACE}+', ' ', 'g')), ''), 'unknown'), 1, 512)) AS sha256 FROM documents")
 def text_normalize(v) -> DataFrame:
-    collapsed = F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))
-    cut = F.substring(F.coalesce(F.nullif(collapsed, F.lit("")), F.lit("unknown")), 1, 512)
+    cut = F.substring(F.coalesce(F.nullif(rules.one_spaced("text"), F.lit("")), F.lit("unknown")), 1, 512)
     return v.documents.select("doc_id", F.sha2(cut, 256).alias("sha256"))
 
 
+@book.frame(
+    "segment_validate",
+    f""", d AS (SELECT session_id, sequence, start_ms, end_ms, coalesce({_DUCK_STRIP.format(x="producer_key")}, '') AS k, coalesce({_DUCK_STRIP.format(x="text")}, '') AS t, nullif(lower({_DUCK_STRIP.format(x="language")}), '') AS l FROM v_segment_posts),
+j AS (SELECT *, CASE WHEN k = '' THEN 'producer_key_blank' WHEN len(k) > 160 THEN 'producer_key_length' WHEN NOT (0 <= start_ms AND start_ms < end_ms) THEN 'time' WHEN t = '' THEN 'text' WHEN len(l) > 32 THEN 'language' ELSE 'accepted' END AS outcome FROM d)
+SELECT session_id, sequence, outcome, CASE WHEN outcome = 'accepted' THEN l END AS language, CASE WHEN outcome = 'accepted' THEN sha256(k || chr(10) || t) END AS sha256 FROM j""",
+)
+def segment_validate(v) -> DataFrame:
+    """Each segment's outcome; accepted ones with their language and a digest of key and text as they are kept."""
+    rows = v.v_segment_posts.withColumn("outcome", rules.segment_outcome())
+    kept = lambda x: F.when(F.col("outcome") == "accepted", x)
+    language = F.nullif(F.lower(rules.strip("language")), F.lit(""))
+    return rows.select("session_id", "sequence", "outcome", kept(language).alias("language"), kept(F.sha2(F.concat_ws("\n", rules.strip("producer_key"), rules.strip("text")), 256)).alias("sha256"))
+
+
+@book.frame(
+    "gap_validate",
+    """SELECT gap_id, CASE WHEN lo IS NULL AND hi IS NULL AND wall_from IS NULL AND wall_to IS NULL THEN 'nothing' WHEN num_nulls(lo, hi) = 1 OR hi < lo THEN 'range' WHEN num_nulls(wall_from, wall_to) = 1 OR wall_to < wall_from THEN 'wall' ELSE 'accepted' END AS outcome FROM v_gap_posts""".replace("num_nulls(lo, hi)", "(lo IS NULL)::INT + (hi IS NULL)::INT").replace("num_nulls(wall_from, wall_to)", "(wall_from IS NULL)::INT + (wall_to IS NULL)::INT"),
+)
+def gap_validate(v) -> DataFrame:
+    return v.v_gap_posts.select("gap_id", rules.gap_outcome().alias("outcome"))
+
+
+#: Suffixes of stored objects, and of what the provider is sent.
+STORED = {"audio/webm": ".webm", "video/webm": ".webm", "audio/ogg": ".ogg", "audio/mp4": ".m4a", "video/mp4": ".mp4", "audio/wav": ".wav", "audio/x-wav": ".wav"}
+SENT = {"audio/flac": ".flac", "audio/mpeg": ".mp3", "audio/mp3": ".mp3", "audio/mp4": ".m4a", "audio/ogg": ".ogg", "audio/wav": ".wav", "audio/x-wav": ".wav", "audio/webm": ".webm"}
+
+
+def _suffixes(known: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{s}')" for k, s in known.items())
+
+
+@book.frame(
+    "mime_normalize",
+    f""", b AS (SELECT doc_id, coalesce(nullif(lower({_DUCK_STRIP.format(x="split_part(content_type, ';', 1)")}), ''), 'application/octet-stream') AS base FROM v_media_types),
+stored(base, s) AS (VALUES {_suffixes(STORED)}), sent(base, s) AS (VALUES {_suffixes(SENT)})
+SELECT doc_id, b.base, coalesce(stored.s, '.bin') AS suffix, sent.s AS provider_suffix FROM b LEFT JOIN stored ON stored.base = b.base LEFT JOIN sent ON sent.base = b.base""",
+)
+def mime_normalize(v) -> DataFrame:
+    """The bare type, the stored object's suffix and the provider's, which has none for other types."""
+    rows = v.v_media_types.withColumn("bare", F.substring_index("content_type", ";", 1))
+    base = F.coalesce(F.nullif(F.lower(rules.strip("bare")), F.lit("")), F.lit("application/octet-stream"))
+    suffix = lambda known: F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[base]
+    return rows.select("doc_id", base.alias("base"), F.coalesce(suffix(STORED), F.lit(".bin")).alias("suffix"), suffix(SENT).alias("provider_suffix"))
+
+
+#: An utterance's stored identity.
+MEMBERS = {"work_id": "bigint", "session_id": "bigint", "start_ms": "bigint", "end_ms": "bigint", "content_type": "string", "sha256": "string", "byte_length": "bigint"}
+
+
+@book.frame(
+    "utterance_manifest",
+    f"""SELECT work_id, CASE WHEN manifest IS NULL THEN 'missing' WHEN NOT json_valid(manifest) THEN 'unreadable' WHEN json_type(manifest) <> 'OBJECT' OR list_sort(json_keys(manifest)) <> {sorted(MEMBERS)}
+  OR {" OR ".join(f"json_extract(manifest, '$.{n}')::VARCHAR IS DISTINCT FROM " + (f"CAST({n} AS VARCHAR)" if t == "bigint" else f"'\"' || {n} || '\"'") for n, t in MEMBERS.items())} THEN 'different' ELSE 'verified' END AS outcome FROM v_utterance_manifests""",
+)
+def utterance_manifest(v) -> DataFrame:
+    """A stored manifest is the utterance's if it has the identity's members, no other, with equal values of
+    equal types; their order is free."""
+    j = F.try_parse_json("manifest")
+    same = F.array_sort(F.json_object_keys("manifest")) == F.array(*(F.lit(n) for n in sorted(MEMBERS)))
+    for name, kind in MEMBERS.items():
+        member = F.try_variant_get(j, f"$.{name}", "variant")
+        typed = F.schema_of_variant(member) == {"bigint": "BIGINT", "string": "STRING"}[kind]
+        same = same & typed & (F.try_variant_get(j, f"$.{name}", kind) == F.col(name))
+    outcome = F.when(F.col("manifest").isNull(), "missing").when(j.isNull(), "unreadable").when(F.coalesce(same, F.lit(False)), "verified").otherwise("different")
+    return v.v_utterance_manifests.select("work_id", outcome.alias("outcome"))
+
+
 @book.frame(
     "uuid5_work_id",
     """, h AS (SELECT o_orderkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('order:' || CAST(o_orderkey AS VARCHAR))) AS h FROM orders)
@@ -256,37 +319,43 @@ def release_admission(v) -> DataFrame:
     return v.v_releases.select("p_partkey", outcome.alias("outcome"), lists("safe").alias("may_return"), (lists("safe") & lists("schema_safe")).alias("may_roll_back"))
 
 
-#: The registry that each image of a manifest comes from.
-IMAGES = {"api": "registry.example/api"}
+#: Where a manifest's images, sources and services file come from.
+IMAGES = {"api": "registry.example/api", "web": "registry.example/web"}
+SOURCE = "https://git.example/audio"
+SERVICES = "deploy/release.yaml"
 _DUCK_IMAGES = " ".join(f"WHEN json_extract_string(j, '$.images.{role}.repository') IS DISTINCT FROM '{at}' OR NOT coalesce(regexp_full_match(json_extract_string(j, '$.images.{role}.digest'), 'sha256:[0-9a-f]{{64}}'), false) OR json_extract_string(j, '$.images.{role}.reference') IS DISTINCT FROM '{at}@' || json_extract_string(j, '$.images.{role}.digest') THEN 'image'" for role, at in IMAGES.items())
 
 
 @book.frame(
     "manifest_check",
     f""", r AS (SELECT p_partkey, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM v_manifests),
-m AS (SELECT *, CASE WHEN json_type(j, '$.version') = 'VARCHAR' THEN json_extract_string(j, '$.version') END AS v, CAST(json_extract(j, '$.compatibility.application_rollback_safe_to_versions') AS VARCHAR[]) AS back FROM r),
+m AS (SELECT *, CASE WHEN json_type(j, '$.version') = 'VARCHAR' THEN json_extract_string(j, '$.version') END AS v, json_extract(j, '$.compatibility.application_rollback_safe_to_versions') AS listed, json_extract_string(j, '$.compatibility.application_rollback_safe_to_versions[*]') AS back, json_extract(j, '$.compatibility.platforms[*]') AS platforms FROM r),
 c AS (SELECT *, {_DUCK_CHANNEL} AS named, len(list_filter(back, lambda v: {_DUCK_CHANNEL} IS NULL)) AS strange FROM m)
 SELECT p_partkey, CASE WHEN j IS NULL THEN 'json' WHEN json_extract_string(j, '$.format_version') NOT IN ('1', '2') THEN 'format_version' WHEN named IS NULL THEN 'version' WHEN json_extract_string(j, '$.channel') IS DISTINCT FROM named THEN 'channel'
-  WHEN NOT regexp_full_match(json_extract_string(j, '$.source.revision'), '[0-9a-f]{{40}}') THEN 'revision' {_DUCK_IMAGES} WHEN json_array_length(j, '$.compatibility.platforms') = 0 THEN 'platforms' WHEN trim(json_extract_string(j, '$.compatibility.schema_head')) = '' THEN 'schema_head'
-  WHEN json_extract_string(j, '$.compatibility.automatic_database_downgrade') <> 'false' THEN 'downgrade' WHEN json_extract_string(j, '$.format_version') = '1' THEN 'accepted' WHEN len(list_distinct(back)) <> len(back) OR strange > 0 THEN 'rollback_versions'
+  WHEN json_extract_string(j, '$.source.repository') IS DISTINCT FROM '{SOURCE}' THEN 'source' WHEN NOT regexp_full_match(json_extract_string(j, '$.source.revision'), '[0-9a-f]{{40}}') THEN 'revision' {_DUCK_IMAGES} WHEN len(platforms) = 0 OR len(list_filter(platforms, lambda x: json_type(x) <> 'VARCHAR' OR x::VARCHAR = '""')) > 0 THEN 'platforms' WHEN trim(json_extract_string(j, '$.compatibility.schema_head')) = '' THEN 'schema_head'
+  WHEN json_extract_string(j, '$.compatibility.automatic_database_downgrade') <> 'false' THEN 'downgrade' WHEN json_extract_string(j, '$.compose_file') IS DISTINCT FROM '{SERVICES}' THEN 'services' WHEN json_extract_string(j, '$.format_version') = '1' THEN 'accepted' WHEN json_type(listed) <> 'ARRAY' OR len(list_filter(json_extract(listed, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'rollback_types' WHEN len(list_distinct(back)) <> len(back) OR strange > 0 THEN 'rollback_versions'
   WHEN json_type(j, '$.compatibility.backup_required') <> 'BOOLEAN' THEN 'backup_required' ELSE 'accepted' END AS outcome FROM c""",
 )
 def manifest_check(v) -> DataFrame:
     """The first rule that a release manifest breaks; format 1 says nothing of going back."""
     image = "struct<repository: string, digest: string, reference: string>"
-    shape = f"format_version string, version string, channel string, source struct<revision: string>, images struct<{', '.join(f'{r}: {image}' for r in IMAGES)}>, compatibility struct<platforms: array<string>, schema_head: string, automatic_database_downgrade: string, application_rollback_safe_to_versions: array<string>, backup_required: string>, broken string"
+    shape = f"format_version string, version string, channel string, compose_file string, source struct<repository: string, revision: string>, images struct<{', '.join(f'{r}: {image}' for r in IMAGES)}>, compatibility struct<platforms: array<string>, schema_head: string, automatic_database_downgrade: string, application_rollback_safe_to_versions: array<string>, backup_required: string>, broken string"
     rows = v.v_manifests.select("p_partkey", "payload", F.from_json("payload", shape, {"columnNameOfCorruptRecord": "broken"}).alias("j"))
     text = lambda path, pattern: F.coalesce(F.col(path).rlike(pattern), F.lit(False))
     images = F.lit(True)
     for role, at in IMAGES.items():
         own = f"j.images.{role}"
         images = images & (F.col(f"{own}.repository") == at) & text(f"{own}.digest", "^sha256:[0-9a-f]{64}$") & (F.col(f"{own}.reference") == F.concat(F.lit(f"{at}@"), F.col(f"{own}.digest")))
+    variant = F.try_parse_json("payload")
+    strings = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(variant, f"$.compatibility.{path}", "variant")) == "ARRAY<STRING>", F.lit(False))
+    none = F.coalesce(F.to_json(F.try_variant_get(variant, "$.compatibility.application_rollback_safe_to_versions", "variant")) == "[]", F.lit(False))
     own, back = "j.compatibility", F.col("j.compatibility.application_rollback_safe_to_versions")
     channel = versions.channel(F.col("j.version"))
     outcome = (
-        F.when(F.col("j.broken").isNotNull(), "json").when(~text("j.format_version", "^[12]$"), "format_version").when(channel.isNull(), "version").when(~F.coalesce(F.col("j.channel") == channel, F.lit(False)), "channel")
-        .when(~text("j.source.revision", "^[0-9a-f]{40}$"), "revision").when(~F.coalesce(images, F.lit(False)), "image").when(F.coalesce(F.size(f"{own}.platforms"), F.lit(0)) <= 0, "platforms").when(~text(f"{own}.schema_head", r"\S"), "schema_head")
-        .when(~text(f"{own}.automatic_database_downgrade", "^false$"), "downgrade").when(F.col("j.format_version") == "1", "accepted").when((F.size(F.array_distinct(back)) != F.size(back)) | F.exists(back, lambda x: versions.channel(x).isNull()), "rollback_versions")
+        F.when(variant.isNull(), "json").when(~text("j.format_version", "^[12]$"), "format_version").when(channel.isNull(), "version").when(~F.coalesce(F.col("j.channel") == channel, F.lit(False)), "channel")
+        .when(~F.coalesce(F.col("j.source.repository") == SOURCE, F.lit(False)), "source").when(~text("j.source.revision", "^[0-9a-f]{40}$"), "revision").when(~F.coalesce(images, F.lit(False)), "image").when(~strings("platforms") | F.array_contains(f"{own}.platforms", ""), "platforms").when(~text(f"{own}.schema_head", r"\S"), "schema_head")
+        .when(~text(f"{own}.automatic_database_downgrade", "^false$"), "downgrade").when(~F.coalesce(F.col("j.compose_file") == SERVICES, F.lit(False)), "services").when(F.col("j.format_version") == "1", "accepted")
+        .when(~strings("application_rollback_safe_to_versions") & ~none, "rollback_types").when((F.size(F.array_distinct(back)) != F.size(back)) | F.exists(back, lambda x: versions.channel(x).isNull()), "rollback_versions")
         .when(~F.col("payload").rlike(r'"backup_required"\s*:\s*(true|false)\s*[,}]'), "backup_required").otherwise("accepted")
     )
     return rows.select("p_partkey", outcome.alias("outcome"))

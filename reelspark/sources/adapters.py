@@ -23,11 +23,11 @@ NOTICES = """v_notices AS (
 MANIFESTS = """v_manifests AS (
   SELECT p_partkey, CASE WHEN k = 1 THEN '{"version": ' ELSE
     '{"format_version": ' || CASE WHEN k = 2 THEN '3' WHEN p_partkey % 6 = 0 THEN '1' ELSE '2' END || ', "version": ' || CASE WHEN k = 3 THEN '7' WHEN k = 4 THEN '"v1.2"' ELSE '"v1.2.' || CAST(p_size AS VARCHAR(20)) || '-rc.1"' END || ', "channel": "' || CASE k WHEN 5 THEN 'nightly' WHEN 6 THEN 'stable' ELSE 'beta' END || '"'
-    || ', "source": {"revision": "' || CASE WHEN k = 7 THEN 'ABC' ELSE substr(@sha(CAST(p_partkey AS VARCHAR(20))), 1, 40) END || '"}'
-    || ', "images": {"api": {"repository": "registry.example/api", "digest": "sha256:' || CASE WHEN k = 8 THEN 'x' ELSE @sha('a') END || '", "reference": "registry.example/api@sha256:' || CASE WHEN k = 9 THEN 'y' ELSE @sha('a') END || '"}}'
-    || ', "compatibility": {"platforms": ' || CASE WHEN k = 10 THEN '[]' ELSE '["linux/amd64"]' END || ', "schema_head": "' || CASE WHEN k = 11 THEN '  ' ELSE '0009' END || '", "automatic_database_downgrade": ' || CASE WHEN k = 12 THEN 'true' ELSE 'false' END
-    || ', "application_rollback_safe_to_versions": ' || CASE k WHEN 13 THEN '["v1.0.0", "v1.0.0"]' WHEN 14 THEN '["one"]' ELSE '["v1.0.0", "v1.1.0-alpha"]' END || ', "backup_required": ' || CASE WHEN k = 15 THEN '"no"' ELSE 'true' END || '}}' END AS payload
-  FROM (SELECT p_partkey, p_size, p_partkey % 23 AS k FROM part) m)"""
+    || ', "source": {"repository": "https://' || CASE WHEN k = 16 THEN 'elsewhere' ELSE 'git' END || '.example/audio", "revision": "' || CASE WHEN k = 7 THEN 'ABC' ELSE substr(@sha(CAST(p_partkey AS VARCHAR(20))), 1, 40) END || '"}'
+    || ', "images": {"api": {"repository": "registry.example/api", "digest": "sha256:' || CASE WHEN k = 8 THEN 'x' ELSE @sha('a') END || '", "reference": "registry.example/api@sha256:' || CASE WHEN k = 9 THEN 'y' ELSE @sha('a') END || '"}, "web": {"repository": "registry.example/' || CASE WHEN k = 17 THEN 'api' ELSE 'web' END || '", "digest": "sha256:' || @sha('b') || '", "reference": "registry.example/web@sha256:' || @sha('b') || '"}}, "compose_file": "deploy/' || CASE WHEN k = 18 THEN 'dev' ELSE 'release' END || '.yaml"'
+    || ', "compatibility": {"platforms": ' || CASE k WHEN 10 THEN '[]' WHEN 19 THEN '["linux/amd64", 7]' WHEN 20 THEN '[""]' ELSE '["linux/amd64"]' END || ', "schema_head": "' || CASE WHEN k = 11 THEN '  ' ELSE '0009' END || '", "automatic_database_downgrade": ' || CASE WHEN k = 12 THEN 'true' ELSE 'false' END
+    || ', "application_rollback_safe_to_versions": ' || CASE k WHEN 13 THEN '["v1.0.0", "v1.0.0"]' WHEN 14 THEN '["one"]' WHEN 21 THEN '["v1.0.0", 2]' WHEN 22 THEN '"v1.0.0"' ELSE '["v1.0.0", "v1.1.0-alpha"]' END || ', "backup_required": ' || CASE WHEN k = 15 THEN '"no"' ELSE 'true' END || '}}' END AS payload
+  FROM (SELECT p_partkey, p_size, p_partkey % 29 AS k FROM part) m)"""
 PROBES = """v_probes AS (
   SELECT utterance_id, CASE WHEN k % 23 = 0 THEN '{"streams": [' WHEN k % 19 = 0 THEN '{"streams": {}}' ELSE
     '{"streams": [{"index": 0, "codec_type": "video", "codec_name": "h264"}' || CASE WHEN k % 8 = 0 THEN '' ELSE
@@ -36,6 +36,12 @@ PROBES = """v_probes AS (
       || CASE WHEN k % 9 = 0 THEN '' ELSE ', "format": {"format_name": "' || CASE k % 5 WHEN 0 THEN 'mov,mp4, M4A' WHEN 1 THEN 'ogg' WHEN 2 THEN 'avi' ELSE 'matroska,webm' END || '", "duration": "' || CASE k % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN '-3' WHEN 2 THEN '50000' ELSE CAST(k * 10 AS VARCHAR(20)) || '.5' END || '"}' END || '}' END AS payload
   FROM v_raw_jobs)"""
 
+UTTERANCE_MANIFESTS = """v_utterance_manifests AS (
+  SELECT utterance_id AS work_id, session_id, k * 10 AS start_ms, k * 10 + 20 AS end_ms, 'audio/wav' AS content_type, @sha(CAST(k AS VARCHAR(20))) AS sha256, k + 1 AS byte_length,
+         CASE k % 12 WHEN 0 THEN NULL WHEN 1 THEN '{"work_id": ' WHEN 2 THEN '[]' ELSE '{"session_id": ' || CAST(CASE WHEN k % 12 = 3 THEN session_id + 1 ELSE session_id END AS VARCHAR(20)) || ', "work_id": ' || CASE WHEN k % 12 = 4 THEN '"' || CAST(utterance_id AS VARCHAR(20)) || '"' ELSE CAST(utterance_id AS VARCHAR(20)) END
+           || ', "start_ms": ' || CAST(k * 10 AS VARCHAR(20)) || CASE WHEN k % 12 = 5 THEN '' ELSE ', "end_ms": ' || CAST(k * 10 + 20 AS VARCHAR(20)) END || ', "content_type": ' || CASE WHEN k % 12 = 6 THEN 'null' ELSE '"audio/wav"' END || ', "byte_length": ' || CAST(k + 1 AS VARCHAR(20))
+           || CASE WHEN k % 12 = 7 THEN ', "more": 1' ELSE '' END || ', "sha256": "' || @sha(CAST(CASE WHEN k % 12 = 8 THEN k + 1 ELSE k END AS VARCHAR(20))) || '"}' END AS manifest FROM v_raw_jobs)"""
+
 #: Common table expressions that both Spark and DuckDB read.
 ADAPTERS = f"""
 WITH v_sessions AS (
@@ -91,6 +97,18 @@ v_segments AS (
   SELECT session_id, sequence, 'utterance:' || CAST(sequence AS VARCHAR(20)) AS producer_key, 40 * (upto - n) AS start_ms, 40 * upto + 1 AS end_ms, text,
          CASE role WHEN 'user' THEN 'en' WHEN 'assistant' THEN 'de' END AS language
   FROM v_lines),
+v_segment_posts AS (
+  SELECT session_id, sequence, CASE sequence % 6 WHEN 0 THEN chr(9) || ' ' || '\u2003' WHEN 1 THEN repeat('k', 161) WHEN 2 THEN chr(10) || ' ' || repeat('k', 160) || chr(13) WHEN 3 THEN NULL ELSE producer_key END AS producer_key,
+         start_ms, CASE WHEN session_id % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms, CASE session_id % 5 WHEN 0 THEN chr(9) || chr(13) || chr(28) WHEN 1 THEN '\u00a0' || text || '\u2028' ELSE text END AS text,
+         CASE (session_id + sequence) % 6 WHEN 0 THEN ' DE' || chr(9) WHEN 1 THEN repeat(' ', 40) || 'En' WHEN 2 THEN repeat('x', 33) WHEN 3 THEN '\u3000' WHEN 4 THEN NULL ELSE language END AS language
+  FROM v_segments),
+v_media_types AS (
+  SELECT doc_id, CASE doc_id % 15 WHEN 0 THEN 'Audio/WebM; codecs=opus' WHEN 1 THEN ' audio/mp4 ' WHEN 2 THEN '' WHEN 3 THEN 'AUDIO/OGG;x' WHEN 4 THEN 'video/webm' WHEN 5 THEN 'Video/MP4;a;b' WHEN 6 THEN 'audio/wav' WHEN 7 THEN 'audio/x-wav;' WHEN 8 THEN 'audio/flac'
+         WHEN 9 THEN 'audio/mpeg' WHEN 10 THEN 'audio/mp3' WHEN 11 THEN 'text/plain' WHEN 12 THEN ';audio/wav' WHEN 13 THEN chr(9) || 'audio/ogg' || '\u00a0' ELSE NULL END AS content_type FROM documents),
+v_gap_posts AS (
+  SELECT gap_id, CASE WHEN gap_id % 6 = 0 THEN NULL ELSE lo END AS lo, CASE WHEN gap_id % 10 = 0 OR gap_id % 12 = 0 THEN NULL WHEN gap_id % 14 = 0 THEN lo - 1 ELSE hi END AS hi,
+         CASE WHEN gap_id % 4 = 0 THEN gap_id * 37 % 3000 END AS wall_from, CASE WHEN gap_id % 8 = 0 THEN gap_id * 37 % 3000 + gap_id % 5 - 1 END AS wall_to FROM v_gaps),
+{UTTERANCE_MANIFESTS},
 v_canonical AS (
   SELECT j.utterance_id, CASE WHEN l.doc_id % 11 = 0 THEN j.session_id + 1 ELSE j.session_id END AS session_id, 'utterance:' || CAST(l.doc_id AS VARCHAR(20)) AS producer_key, l.quality, l.toxic
   FROM labels l JOIN v_raw_jobs j ON j.utterance_id = l.doc_id),
