@@ -77,11 +77,11 @@ def facts(lower: bool, extra: Callable | None = None, sha: bool = False, more: C
     return run
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(rep, first): for each task's representative the least id with the same words anywhere.
+def classes(rows: DataFrame, *more: str) -> DataFrame:
+    """(rep, first, columns ``more`` that the words decide): for each task's representative the least id with the same words anywhere.
 
     One shuffle by digest; its groups hold a row for each task at most.
     """
     same = Window.partitionBy("digest")
-    reps = rows.where("digest is not null").select("rep", "digest")
-    return reps.withColumn("first", F.min("rep").over(same)).dropDuplicates(["digest", "rep"]).select("rep", "first")
+    reps = rows.where("digest is not null").select("rep", "digest", *more)
+    return reps.withColumn("first", F.min("rep").over(same)).dropDuplicates(["digest", "rep"]).select("rep", "first", *more)

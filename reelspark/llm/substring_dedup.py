@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm import copies
@@ -31,6 +31,7 @@ BUCKET_WORDS = 4_000_000
 FLUSH_WORDS = 3_000_000
 
 _BLOB = "bucket int, payload binary"
+_PLACES = "doc_id bigint, tag bigint, starts binary"
 _BLOB_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
@@ -73,11 +74,11 @@ def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
-def runs(ids: np.ndarray) -> list[tuple[int, int]]:
+def runs(*values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal values."""
-    if not len(ids):
+    if not len(values[0]):
         return []
-    edge = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+    edge = [0, *(np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1).tolist(), len(values[0])]
     return list(zip(edge, edge[1:], strict=False))
 
 
@@ -132,19 +133,25 @@ def anchors(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         yield from flush()
 
 
-def by_home(ids: np.ndarray, places: np.ndarray, homes: int) -> pd.DataFrame:
-    """Places in documents, packed by the home of the documents: few rows whatever the buckets."""
+def by_home(ids: np.ndarray, tags: np.ndarray, places: np.ndarray, homes: int) -> pd.DataFrame:
+    """Places in documents' texts, packed by the home of the documents: few rows whatever the buckets."""
     home = (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
-    order = np.lexsort((places, ids, home))
-    ids, places, home = ids[order], places[order], home[order]
+    order = np.lexsort((places, tags, ids, home))
+    ids, tags, places, home = ids[order], tags[order], places[order], home[order]
     out: dict[str, list] = {"home": [], "payload": []}
     for a, b in runs(home):
-        spans = runs(ids[a:b])
+        spans = runs(ids[a:b], tags[a:b])
+        first = [x for x, _ in spans]
         out["home"].append(int(home[a]))
-        out["payload"].append(pack(ids[a:b][[x for x, _ in spans]], np.array([y - x for x, y in spans], np.int32), places[a:b]))
+        out["payload"].append(pack(ids[a:b][first], tags[a:b][first], np.array([y - x for x, y in spans], np.int32), places[a:b]))
     return pd.DataFrame(out)
 
 
+def tag_of(sha256: bytes) -> int:
+    """64 bits that tell texts of one doc_id apart."""
+    return int.from_bytes(sha256[:8], "little", signed=True)
+
+
 def hit_blocks(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
     """Of one bucket: the aligned blocks whose hash another document has at any place, packed by
     the home of their documents."""
@@ -156,7 +163,7 @@ def hit_blocks(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
     shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(v[s] for v, s in zip(values, several, strict=True))]))
     keep = [np.isin(v, shared, assume_unique=True)[p[0]] for p, v in zip(parts, values, strict=True)]
     ids, blocks = (np.concatenate([p[k][x] for p, x in zip(parts, keep, strict=True)]) for k in (1, 2))
-    return by_home(ids, blocks, homes)
+    return by_home(ids, np.zeros(len(ids), np.int64), blocks, homes)
 
 
 def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -167,9 +174,9 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
     n = 0
 
     def flush():
-        h, g, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, g, doc, tag, start = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, doc, g, h))
-        h, g, doc, start = h[order], g[order], doc[order], start[order]
+        h, g, doc, tag, start = (x[order] for x in (h, g, doc, tag, start))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         leader = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
@@ -179,9 +186,9 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             lo, hi = edges[b], edges[b + 1]
             if lo < hi:
                 k = own[lo:hi]
-                part = [x[lo:hi][k] for x in (h, g, doc, start)]
-                by = np.lexsort((part[3], part[2]))
-                done = [x[lo:hi][~k] for x in (doc, start)]
+                part = [x[lo:hi][k] for x in (h, g, doc, tag, start)]
+                by = np.lexsort((part[4], part[2]))
+                done = [x[lo:hi][~k] for x in (doc, tag, start)]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(*(x[by] for x in part), *done)], pa.binary())], schema=_BLOB_SCHEMA)
 
     for batch in small_batches(batches):
@@ -192,7 +199,7 @@ def windows(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             starts = (hits.astype(np.int64)[:, None] * block - np.arange(block)[None, :]).reshape(-1)
             starts = np.unique(starts[(starts >= 0) & (starts <= len(h) - size)])
             if len(starts):
-                held.append((window_hashes(h, size)[starts], (window_hashes(h, size, MULTIPLIER_2)[starts] >> np.uint64(32)).astype(np.uint32), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
+                held.append((window_hashes(h, size)[starts], (window_hashes(h, size, MULTIPLIER_2)[starts] >> np.uint64(32)).astype(np.uint32), np.full(len(starts), doc, np.int64), np.full(len(starts), tag_of(hashlib.sha256(copies.joined(words, k)).digest()), np.int64), starts.astype(np.int32)))
                 n += len(starts)
         if n >= FLUSH_WORDS // 3:
             yield from flush()
@@ -205,26 +212,27 @@ def repeated(pdf: pd.DataFrame, homes: int) -> pd.DataFrame:
     """Of one bucket: the windows whose words start in a document with a smaller id too, packed by
     the home of their documents."""
     parts = [unpack(p) for p in pdf["payload"]]
-    h, g, doc, start = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    h, g, doc, tag, start = (np.concatenate([p[k] for p in parts]) for k in range(5))
     order = np.lexsort((doc, g, h))
-    h, g, doc, start = h[order], g[order], doc[order], start[order]
+    h, g, doc, tag, start = (x[order] for x in (h, g, doc, tag, start))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     leader = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     late = doc != doc[leader]
-    ids = np.concatenate([doc[late], *(p[4] for p in parts)])
-    starts = np.concatenate([start[late], *(p[5] for p in parts)])
-    return by_home(ids, starts, homes)
+    ids, tags, starts = (np.concatenate([x[late], *(p[k] for p in parts)]) for x, k in ((doc, 5), (tag, 6), (start, 7)))
+    return by_home(ids, tags, starts, homes)
 
 
 def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one home: a row for each document with its places."""
+    """Of one home: a row for each document's text with its places."""
     parts = [unpack(p) for p in pdf["payload"]]
-    ids, starts = np.concatenate([np.repeat(p[0], p[1]) for p in parts]), np.concatenate([p[2] for p in parts])
-    order = np.argsort(ids, kind="stable")
-    ids, starts = ids[order], starts[order]
-    spans = runs(ids)
-    return pd.DataFrame({"doc_id": ids[[a for a, _ in spans]], "starts": [starts[a:b].tobytes() for a, b in spans]})
+    ids, tags = (np.concatenate([np.repeat(p[k], p[2]) for p in parts]) for k in (0, 1))
+    starts = np.concatenate([p[3] for p in parts])
+    order = np.lexsort((tags, ids))
+    ids, tags, starts = ids[order], tags[order], starts[order]
+    spans = runs(ids, tags)
+    first = [a for a, _ in spans]
+    return pd.DataFrame({"doc_id": ids[first], "tag": tags[first], "starts": [starts[a:b].tobytes() for a, b in spans]})
 
 
 def covered(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -241,8 +249,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     A word goes when a window of ``size`` consecutive words of its document covers it whose words
     also start somewhere in a document with a smaller doc_id; the input decides, not what is left.
     ``kept_text`` is null where nothing goes (the text stays) and else the kept words, joined by
-    one space. Null, empty and shorter texts lose nothing. doc_id is taken as a key: of rows that
-    repeat one with other words, repeats among themselves are not looked for. Rows with a null
+    one space. Null, empty and shorter texts lose nothing. Rows that repeat a doc_id are each judged by
+    their own words against smaller doc_ids, not against each other. Rows with a null
     doc_id give none, other columns are not read, an empty table gives no rows. ``size`` is odd.
     """
     if size % 2 == 0:
@@ -251,36 +259,43 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     rows = cut(docs.mapInArrow(copies.facts(False, sha=True), copies.FACTS))
-    classes = cut(copies.classes(rows.where(F.col("n_words") >= size)))
+    text = ["rep", "sha256"]  # of rows with one doc_id the words tell which text is meant
+    classes = cut(copies.classes(rows.where(F.col("n_words") >= size), "sha256"))
     buckets = partitions(spark, rows.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS)
 
     blobs = docs.mapInArrow(lambda b: anchors(b, block, buckets), _BLOB)
     found = dealt(blobs, "bucket", buckets).groupBy("bucket").applyInPandas(lambda pdf: hit_blocks(pdf, buckets), "home int, payload binary")
-    hits = dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary")
+    hits = dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, _PLACES)
     # a task reads one copy of its own; hits count for the class, whose first document stands for it
-    member = rows.select("doc_id", "rep").distinct().join(classes, "rep").select("doc_id", "first")
+    member = rows.select("doc_id", *text).distinct().join(classes, text).select("doc_id", "first")
     hits = cut(hits.join(member, "doc_id").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("starts").alias("hits")))
 
     bits = spark.sparkContext.broadcast(id_bitmap(hits, "doc_id"))
     near = docs.mapInArrow(lambda b: kept_by(bits.value)(b), "doc_id bigint, text string").join(hits, "doc_id")
     blobs = near.mapInArrow(lambda b: windows(b, size, buckets), _BLOB)
     found = dealt(blobs, "bucket", buckets).groupBy("bucket").applyInPandas(lambda pdf: repeated(pdf, buckets), "home int, payload binary")
-    late = cut(dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, "doc_id bigint, starts binary"))
+    late = cut(dealt(found, "home", buckets).groupBy("home").applyInPandas(by_document, _PLACES))
 
     late_bits = spark.sparkContext.broadcast(id_bitmap(late, "doc_id"))
 
     def rewrite(batches):
         for batch in small_batches(batches):
             out = []
-            for doc, text, starts in zip(column(batch, "doc_id"), text_bytes(batch), column(batch, "starts"), strict=True):
+            for doc, text, tag, starts in zip(column(batch, "doc_id"), text_bytes(batch), column(batch, "tag"), column(batch, "starts"), strict=True):
                 words = words_of(text)
+                whole = hashlib.sha256(b" ".join(words))
+                if tag_of(whole.digest()) != tag:
+                    continue  # the places are another text's of this doc_id
                 gone = covered(len(words), np.frombuffer(starts, np.int32), size)
                 kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-                out.append((doc, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_removed", "sha", "kept_text"])
-
-    touched = docs.mapInArrow(lambda b: kept_by(late_bits.value)(b), "doc_id bigint, text string").join(late, "doc_id").mapInArrow(rewrite, "doc_id bigint, n_removed bigint, sha string, kept_text string")
-    out = rows.join(classes, "rep", "left").join(touched, "doc_id", "left")
+                out.append((doc, whole.hexdigest(), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "sha256", "n_removed", "sha", "kept_text"])
+
+    touched = docs.mapInArrow(lambda b: kept_by(late_bits.value)(b), "doc_id bigint, text string").join(late, "doc_id").mapInArrow(rewrite, "doc_id bigint, sha256 string, n_removed bigint, sha string, kept_text string")
+    # of repeated rows one tells for all; the sort by these columns serves the join as well
+    again = F.lag(F.lit(1)).over(Window.partitionBy("doc_id", "sha256").orderBy("n_removed"))
+    touched = touched.withColumn("again", again).where("again is null").drop("again")
+    out = rows.join(classes, text, "left").join(touched, ["doc_id", "sha256"], "left")
     later = F.col("doc_id") > F.col("first")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(

@@ -154,3 +154,31 @@ def test_more_buckets_than_partitions(spark, monkeypatch):
     rows = hard_cases()
     assert sorted(tuple(r) for r in jaccard_components(docs(spark, rows).repartition(3)).collect()) == brute_jaccard(rows)
     assert sorted(tuple(r) for r in remove_repeats(docs(spark, rows).repartition(3)).drop("kept_text").collect()) == brute_repeats(rows)
+
+
+def brute_repeats_of_rows(rows, size=13):
+    """Like brute_repeats for rows that may repeat a doc_id."""
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - size + 1):
+            g = tuple(w[k : k + size])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in words:
+        gone = {j for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < i for j in range(k, k + size)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_repeated_ids(spark, seed):
+    rng = random.Random(seed)
+    p, q = (" ".join(f"{c}{k}" for k in range(30)) for c in "pq")
+    parts = [p, q, " ".join(f"r{k}" for k in range(16)), "x y z", "a"]
+    rows = [(0, p), (1, f"{q} {p}"), (1, f"{q} {p}"), (1, "other words"), (1, f"{p} tail"), (2, q), (2, p), (0, q + " " + p)]
+    rows += [(rng.randrange(6), " ".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for _ in range(40)] + [(3, None), (3, ""), (3, None)]
+    df = docs(spark, [*rows, (None, p), (None, None)], clash=True).repartition(1 + 4 * seed)
+    got = remove_repeats(df).drop("kept_text")
+    assert sorted(tuple(r) for r in got.collect()) == brute_repeats_of_rows(rows)
