@@ -9,11 +9,12 @@ a common n-gram is bounded by their sizes (length), by how many shared n-grams s
 after it (positional), and by all their shared n-grams (suffix).
 
 A group of G similar texts would make G * G / 2 pairs. Only one of equal texts enters, and where more
-than FEW of them meet at an n-gram, each is compared with one pivot, the text with the fewest n-grams
-of its own. Two texts of which one does not link with the pivot can only link if they share an n-gram
-outside the pivot, or if their overlap lies in the pivot whole; either way they meet again in a
-smaller group, whose pivot is another one (:func:`links_of`). No link between components is lost,
-and rows stay in proportion to the prefixes.
+than FEW of them meet at an n-gram, each is first compared with one pivot, the text with the fewest n-grams
+of its own. What links so far makes components, within which no further pair needs a look: a family of
+near copies is done. In each larger group the texts outside the pivot's component are then held against
+all others of the group, within blocks of bounded size, by the length, positional and suffix filters and by
+bitmaps of the sets, which bound an overlap from above. Only pairs that pass leave a block; those that no
+earlier step had are verified, each once (:func:`links_of`).
 """
 
 from __future__ import annotations
@@ -41,13 +42,13 @@ FLUSH_GRAMS = 2_500_000
 REPORT = 8
 HOT_LEAST = 1000
 MOST_HOT = 2_000_000
-#: Texts at one n-gram that are compared with each other, at first and in later levels; levels of
-#: pivots, after which what is left is compared pair by pair.
+#: Texts at one n-gram that are compared with each other; texts of a larger group that a block holds, and the
+#: cells (texts times texts) that it looks at together.
 FEW = 8
-FEW_LATER = 32
-LEVELS = 8
-#: Pairs for each posting of the first level up to which what later levels leave is compared.
-PAIRS_PER_POSTING = 1
+BLOCK_TEXTS = 512
+CELLS = 1 << 20
+#: Bits of the map of a set.
+SET_BITS = 1024
 #: Classes whose ids are broadcast (0.8 MB) to pick their sets.
 FEW_IDS = 100_000
 
@@ -292,71 +293,134 @@ def named_by(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(own), "cls", "left_semi") if own.count() <= FEW_IDS else sets
 
 
+def set_bitmaps(sets: DataFrame) -> DataFrame:
+    """(cls, bits): for each n-gram of a set one of SET_BITS bits is on. A bit that only one of two sets has
+    stands for an n-gram at least that the other lacks."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            grams, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            for a in range(0, batch.num_rows, 4096):
+                b = min(batch.num_rows, a + 4096)
+                on = np.zeros((b - a, SET_BITS), bool)
+                own = grams[offsets[a] : offsets[b]]
+                on[np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), (mix(own) % np.uint64(SET_BITS)).astype(np.int64)] = True
+                packed = np.packbits(on, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in packed], pa.binary())], names=["cls", "bits"])
+
+    return sets.select("cls", "grams").mapInArrow(run, "cls bigint, bits binary")
+
+
+class Block:
+    """The texts that a block owns; visitors, the open texts of its group, are held against them."""
+
+    columns = ("cls", "label", "n", "s", "i", "open")
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.parts = percent, []
+        self.owned: dict[str, np.ndarray] | None = None
+
+    @classmethod
+    def arrays(cls, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in cls.columns}
+        out["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, SET_BITS // 64)
+        return out
+
+    def own(self, batch: pa.RecordBatch) -> None:
+        self.parts.append(self.arrays(batch))
+
+    def visit(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.owned is None:
+            self.owned = {c: np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]} if self.parts else {}
+        if not self.owned:
+            return
+        guests = self.arrays(batch)
+        width = max(1, CELLS // len(self.owned["cls"]))
+        for a in range(0, batch.num_rows, width):
+            yield self.likely({c: x[a : a + width] for c, x in guests.items()})
+
+    def likely(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which no filter shows that they do not link."""
+        y, t = self.owned, self.percent
+        col = {c: x[c][:, None] for c in self.columns}
+        total = t * (col["n"] + y["n"])
+        most = np.minimum(col["i"], y["i"]) + np.minimum(col["s"] - col["i"], y["s"] - y["i"])
+        ok = (col["label"] != y["label"]) & (~y["open"] | (col["cls"] < y["cls"]))
+        ok &= (100 * np.minimum(col["n"], y["n"]) >= t * np.maximum(col["n"], y["n"])) & ((100 + t) * most >= total)
+        u, v = np.nonzero(ok)
+        only_u, only_v = (np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64) for p, q in ((x["bits"][u], y["bits"][v]), (y["bits"][v], x["bits"][u])))
+        most = np.minimum(x["s"][u] - only_u, y["s"][v] - only_v)
+        keep = (100 + t) * most >= total[u, v]
+        u, v = x["cls"][u[keep]], y["cls"][v[keep]]
+        return np.minimum(u, v), np.maximum(u, v)
+
+
+def likely_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the blocks of ``rows`` (key, block, guest, cls, label, n, s, i, open, bits)."""
+
+    def run(batches):
+        block, at = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "block", "guest")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if (own := tuple(keys[:2, a].tolist())) != at:
+                    block, at = Block(percent), own
+                part = batch.slice(a, b - a)
+                if not keys[2, a]:
+                    block.own(part)
+                    continue
+                for u, v in block.visit(part):
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        give_back()
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "guest").mapInArrow(run, "u bigint, v bigint")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (u, v) of classes that link."""
+    own = named_by(sets, pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")))
+    both = pairs.join(own.selectExpr("cls as u", "n", "grams as x"), "u").join(own.selectExpr("cls as v", "n as m", "grams as y"), "v")
+    return cut(both.where(f"{100 + percent} * size(array_intersect(x, y)) >= {percent} * (n + m)").select("u", "v"))
+
+
 def links_of(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between the classes of ``sets`` that connect all that are connected.
 
-    Level by level, postings (key, class) meet at their key, at first a prefix n-gram. A small group's
-    pairs are verified. In a larger one each class x is compared with the pivot p. Be E the n-grams of
-    the pivots on the way here and e how many x has in E. Pairs that both link with p are done. Any
-    other that links shares
-    - an n-gram outside E: at least ceil(t n) - e of them, so it is among the first of x's n-grams
-      outside E, as many as its prefix has, and these are x's postings of the next level, or
-    - n-grams of E alone: then its overlap is e at most, and those whose e suffices for some size of
-      partner meet in one group with another pivot. At the first level the partner of a class that
-      does not link with p must be smaller than p.
-    Once the pairs that are left are no more than PAIRS_PER_POSTING for each posting of the first
-    level, or after LEVELS levels, they are compared one by one.
+    Postings (key, class) meet at their key, a prefix n-gram. Of a small group the pairs that the filters
+    leave, and of a larger one the pairs with its pivot, are verified first. Their links make components. Of
+    two texts of a larger group that link, at least one is then outside the pivot's component, or they
+    are in one component already; so each text outside, an open one, visits every block of its group.
     """
-    links: list[DataFrame] = []
-    kinds = ["chain", "cls", "n", "s", "k", "linked"]
-    posts = sets.select(F.lit(0).cast("bigint").alias("chain"), "cls", "n", "s", "k", F.lit(False).alias("linked"), F.posexplode(F.expr("slice(grams, 1, cast(k as int))")).alias("i", "key"))
-    rest, budget = None, 0
-    for level in range(LEVELS + 1):
-        few = FEW if level == 0 else FEW_LATER
-        best = F.min(F.struct(F.col("linked"), (F.col("n") - F.col("s")) / F.col("n"), F.xxhash64("cls", F.lit(level)).alias("h"), F.col("cls")))
-        heads = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("linked").alias("done"), best.alias("best"))
-        heads = cut(heads.where("c > 1 and not done").select("key", "c", F.col("best.cls").alias("pivot")))
-        total, pairs = heads.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) div 2"))).first()
-        if not total:
-            break
-        budget = budget or PAIRS_PER_POSTING * total
-        last = level == LEVELS or (level > 0 and pairs <= budget)
-        met = cut(posts.join(heads, "key"))
-        near = "least(x.i, y.i) + least(x.s - x.i, y.s - y.i)" if level == 0 else "least(x.s, y.s)"
-        likely = may_share("x.n", "y.n", near, percent)
-        own = F.struct("cls", "n", "s", "i", "linked")
-        if last:
-            one, two = met.select("key", own.alias("x")), met.select("key", own.alias("y"))
-            pairs = one.join(two, "key").where(f"x.cls < y.cls and not (x.linked and y.linked) and {likely}").select("x", "y")
-        else:
-            groups = met.where(f"c <= {few}").groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("g"))
-            two = F.expr(f"filter(flatten(transform(g, (x, j) -> transform(slice(g, j + 2, size(g)), y -> struct(x as x, y as y)))), p -> not (p.x.linked and p.y.linked) and {likely.replace('x.', 'p.x.').replace('y.', 'p.y.')})")
-            pairs = groups.select(F.explode(two).alias("p")).select("p.x", "p.y")
-        pairs = cut(pairs.select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct())
-        own = named_by(sets, pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")))
-        both = pairs.join(own.selectExpr("cls as u", "n", "grams as x"), "u").join(own.selectExpr("cls as v", "n as m", "grams as y"), "v")
-        links.append(cut(both.where(f"{100 + percent} * size(array_intersect(x, y)) >= {percent} * (n + m)").select("u", "v")))
-        if last:
-            break
-        star = cut(met.where(f"c > {few} and cls <> pivot").select("chain", "cls", "pivot").distinct())
-        own = named_by(sets, star.select("cls").unionAll(star.select("pivot")))
-        star = star.join(own, "cls")
-        star = star if rest is None else star.join(rest, ["chain", "cls"])
-        star = star.join(own.selectExpr("cls as pivot", "n as m", "grams as p"), "pivot")
-        star = star.withColumn("linked", F.expr(f"{100 + percent} * size(array_intersect(grams, p)) >= {percent} * (n + m)"))
-        star = cut(star.select(F.xxhash64("chain", "pivot").alias("chain"), "cls", "pivot", "n", "s", "k", "m", "linked", F.array_except("grams" if rest is None else "rest", "p").alias("rest")))
-        links.append(star.where("linked").select(F.col("cls").alias("u"), F.col("pivot").alias("v")))
-        sizes = star.groupBy("chain").agg(F.min("n").alias("least"), F.min(F.expr("case when not linked then n end")).alias("least_open"))
-        star = star.join(sizes.where("least_open is not null"), "chain").withColumn("e", F.expr("s - size(rest)"))
-        outside = star.select(*kinds, F.explode(F.expr("slice(rest, 1, cast(k as int))")).alias("gram")).select(*kinds, F.lit(0).alias("i"), F.xxhash64("chain", "gram").alias("key"))
-        reach = f"{100 + percent} * e >= {percent} * (n + if(linked, least_open, least))" + (" and (not linked or n < m)" if level == 0 else "")
-        inside = star.where(reach).select(*kinds, F.lit(0).alias("i"), F.xxhash64("chain", F.lit("inside")).alias("key"))
-        posts = cut(outside.unionByName(inside))
-        rest = star.select("chain", "cls", "rest")
-    out = links[0] if links else sets.selectExpr("cls as u", "cls as v").limit(0)
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+    posts = sets.select("cls", "n", "s", F.posexplode(F.expr("slice(grams, 1, cast(k as int))")).alias("i", "key"))
+    best = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), F.xxhash64("cls").alias("h"), F.col("cls")))
+    heads = cut(posts.groupBy("key").agg(F.count("*").alias("c"), best.alias("best")).where("c > 1").select("key", "c", F.col("best.cls").alias("pivot")))
+    met = cut(posts.join(heads, "key"))
+    likely = may_share("p.x.n", "p.y.n", "least(p.x.i, p.y.i) + least(p.x.s - p.x.i, p.y.s - p.y.i)", percent)
+    groups = met.where(f"c <= {FEW}").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "n", "s", "i"))).alias("g"))
+    two = F.expr(f"filter(flatten(transform(g, (x, j) -> transform(slice(g, j + 2, size(g)), y -> struct(x as x, y as y)))), p -> {likely})")
+    small = groups.select(F.explode(two).alias("p")).selectExpr("p.x.cls as u", "p.y.cls as v")
+    star = met.where(f"c > {FEW} and cls <> pivot").selectExpr("least(cls, pivot) as u", "greatest(cls, pivot) as v")
+    pairs = cut(small.unionAll(star).distinct())
+    links = verified(pairs, sets, percent)
+    label = connected_components(links).select(F.col("v").alias("cls"), "label")
+    pivots = heads.where(f"c > {FEW}").select("key", F.col("pivot").alias("cls")).join(label, "cls", "left").select("key", F.coalesce("label", "cls").alias("of_pivot"))
+    large = met.where(f"c > {FEW}").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    large = cut(large.join(pivots, "key").withColumn("open", F.col("label") != F.col("of_pivot")).select("key", "c", "cls", "label", "n", "s", "i", "open"))
+    unsettled = large.where("open").groupBy("key").agg(F.count("*").alias("guests"))
+    left = large.join(unsettled.select("key"), "key")
+    bits = cut(set_bitmaps(named_by(sets, left.select("cls"))))
+    rows = cut(left.join(bits, "cls").withColumn("blocks", F.expr(f"cast((c - 1) div {BLOCK_TEXTS} as int) + 1")))
+    owned = rows.withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("guest", F.lit(0))
+    guests = rows.where("open").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("guest", F.lit(1))
+    names = ["key", "block", "guest", *Block.columns, "bits"]
+    more = likely_pairs(owned.select(*names).unionByName(guests.select(*names)), percent)
+    more = cut(more.distinct().join(pairs, ["u", "v"], "left_anti"))
+    return links.unionByName(verified(more, sets, percent))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -101,12 +101,12 @@ def families():
     }
 
 
-@pytest.mark.parametrize("levels", [0, 3])
-def test_jaccard_families(spark, monkeypatch, levels):
-    """Large groups; with ``levels``, that many before pairs are compared, all n-grams of more than three
-    texts are frequent, and all classes are too many to broadcast."""
-    if levels:
-        for name, value in {"FEW": 2, "FEW_LATER": 2, "REPORT": 1, "HOT_LEAST": 4, "LEVELS": levels, "FEW_IDS": -1, "PAIRS_PER_POSTING": -1}.items():
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_families(spark, monkeypatch, small):
+    """Large groups; ``small``: nearly every group has a pivot and many blocks, all n-grams of more than
+    three texts are frequent, and all classes are too many to broadcast."""
+    if small:
+        for name, value in {"FEW": 2, "BLOCK_TEXTS": 16, "REPORT": 1, "HOT_LEAST": 4, "FEW_IDS": -1}.items():
             monkeypatch.setattr(jaccard_join, name, value)
     texts = [t for own in families().values() for t in own]
     ids = random.Random(1).sample(range(10 * len(texts)), len(texts))
@@ -115,6 +115,25 @@ def test_jaccard_families(spark, monkeypatch, levels):
     assert sorted(tuple(r) for r in got.collect()) == brute_jaccard(rows)
 
 
+def test_texts_of_shared_passages(spark, monkeypatch):
+    """Of 300 texts, each 16 of 24 passages, hardly any link: few pairs are verified, none twice."""
+    rng = random.Random(1)
+    passages = [" ".join(f"p{k}w{j}" for j in range(14)) for k in range(24)]
+    rows = [(i, " ".join(rng.sample(passages, 16))) for i in range(300)]
+    seen, verified = [], jaccard_join.verified
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs)
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = jaccard_components(docs(spark, rows))
+    assert sorted(tuple(r) for r in got.collect()) == brute_jaccard(rows)
+    every = seen[0].unionByName(seen[1])
+    n = every.count()
+    assert n == every.distinct().count() and n <= 3 * 16_748
+
+
 def test_jaccard_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (3, "z")]
     got = sorted((r.doc_id, r.component_id) for r in jaccard_components(docs(spark, rows).repartition(2)).collect())
