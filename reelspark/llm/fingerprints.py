@@ -76,13 +76,14 @@ def differing(a: str, b: str) -> tuple[list[str], list[str]]:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the leaves that both have (Dice's measure): 1 for equal roots."""
-    x, y = differing(a, b)
-    if not x and not y:
+    """Share of the leaves that both have (Dice's measure): 1 for equal roots and below 1 for others, also
+    where only the order of sections or of leaves tells them apart."""
+    if a.split(":", 1)[0] == b.split(":", 1)[0]:
         return 1.0
+    x, y = differing(a, b)
     total = a.count(",") + a.count("=") + b.count(",") + b.count("=")
     x, y = (Counter(leaf for s in side for leaf in s.split("=")[1].split(",")) for side in (x, y))
-    apart = sum((x - y).values()) + sum((y - x).values())
+    apart = max(1, sum((x - y).values()) + sum((y - x).values()))
     return (total - apart) / total
 
 
