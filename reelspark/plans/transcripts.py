@@ -44,6 +44,15 @@ SELECT session_id, count(CASE WHEN before IS NOT NULL AND event_id <> before + 1
 )
 
 
+#: The oracles' documents by format.
+DOCUMENTS = {
+    "txt": f"SELECT session_id, string_agg({_LF} || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM v_segments GROUP BY session_id",
+    "vtt": f"SELECT session_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_cue('.')} || chr(10) || {_LF} || chr(10) || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM v_segments GROUP BY session_id",
+    "srt": f"SELECT session_id, string_agg(cue || chr(10) || {_cue(',')} || chr(10) || {_LF} || chr(10) || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms, sequence) AS cue FROM v_segments) r GROUP BY session_id",
+    "json": "SELECT session_id, CAST(to_json({'session_id': session_id, 'segments': list({'sequence': sequence, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text, 'language': language} ORDER BY start_ms, end_ms, sequence)}) AS VARCHAR) || chr(10) AS document FROM v_segments GROUP BY session_id",
+}
+
+
 def _document(v, body: str, sep: str = "") -> DataFrame:
     """One text per session: ``body`` of each segment in timeline order."""
     lines = v.v_segments.withColumn("text", line_feeds("text"))
@@ -52,23 +61,23 @@ def _document(v, body: str, sep: str = "") -> DataFrame:
     return lines.groupBy("session_id").agg(F.expr(f"listagg(line, '{sep}') WITHIN GROUP (ORDER BY start_ms, end_ms, sequence)").alias("document"))
 
 
-@book.frame("export_txt", f"SELECT session_id, string_agg({_LF} || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM v_segments GROUP BY session_id")
+@book.frame("export_txt", DOCUMENTS["txt"])
 def export_txt(v) -> DataFrame:
     return _document(v, "concat(text, '\\n')")
 
 
-@book.frame("export_vtt", f"SELECT session_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_cue('.')} || chr(10) || {_LF} || chr(10) || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM v_segments GROUP BY session_id")
+@book.frame("export_vtt", DOCUMENTS["vtt"])
 def export_vtt(v) -> DataFrame:
     cues = _document(v, F.concat(clock("start_ms", "."), F.lit(" --> "), clock("end_ms", "."), F.lit("\n"), F.col("text"), F.lit("\n\n")))
     return cues.withColumn("document", F.concat(F.lit("WEBVTT\n\n"), "document"))
 
 
-@book.frame("export_srt", f", r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, end_ms, sequence) AS cue FROM v_segments) SELECT session_id, string_agg(cue || chr(10) || {_cue(',')} || chr(10) || {_LF} || chr(10) || chr(10), '' ORDER BY start_ms, end_ms, sequence) AS document FROM r GROUP BY session_id")
+@book.frame("export_srt", DOCUMENTS["srt"])
 def export_srt(v) -> DataFrame:
     return _document(v, F.concat(F.col("cue").cast("string"), F.lit("\n"), clock("start_ms", ","), F.lit(" --> "), clock("end_ms", ","), F.lit("\n"), F.col("text"), F.lit("\n\n")))
 
 
-@book.frame("export_json", "SELECT session_id, CAST(to_json({'session_id': session_id, 'segments': list({'sequence': sequence, 'start_ms': start_ms, 'end_ms': end_ms, 'text': text, 'language': language} ORDER BY start_ms, end_ms, sequence)}) AS VARCHAR) || chr(10) AS document FROM v_segments GROUP BY session_id")
+@book.frame("export_json", DOCUMENTS["json"])
 def export_json(v) -> DataFrame:
     segments = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "sequence", "text", "language")))
     own = v.v_segments.groupBy("session_id").agg(segments.alias("s"))
