@@ -8,14 +8,17 @@ silence or at a hard maximum, and only with enough voiced frames is it kept.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.operators.carry import carry
+from reelspark.operators.settle import settle
+from reelspark.sources.shared import cut
 
 
 @dataclass
@@ -82,37 +85,99 @@ class Detector:
             self._close(end)
 
 
+class Endpoints:
+    """The detector as a fold of (frame_no, sample_offset, size, level); a jump of the offset drops what is in flight."""
+
+    #: ``place`` counts a block's segments.
+    ddl = "place bigint, start_sample bigint, end_sample bigint, voiced bigint"
+
+    def __init__(self, settings: Settings) -> None:
+        self.settings = settings
+
+    def start(self) -> str:
+        return self._text(Detector(self.settings), None)
+
+    @staticmethod
+    def _text(d: Detector, end: int | None) -> str:
+        return json.dumps([d.noise.hex(), d.start, d.voiced, d.quiet, list(d.lead), end])
+
+    def _steps(self, rows: Iterator[tuple], state: str) -> Iterator[tuple[Detector, int | None]]:
+        noise, start, voiced, quiet, lead, end = json.loads(state)
+        detector = Detector(self.settings, 0.0, start, voiced, quiet, deque(map(tuple, lead)))
+        detector.noise = float.fromhex(noise)
+        yield detector, end
+        for _, offset, size, level in rows:
+            if end is not None and offset != end:
+                detector.reset()
+            detector.frame(int(offset), int(size), math.nan if level is None else float(level))
+            end = offset + size
+            yield detector, end
+
+    def leave(self, rows: Iterator[tuple], state: str) -> str:
+        for detector, end in self._steps(rows, state):
+            detector.out.clear()
+        return self._text(detector, end)
+
+    def run(self, rows: Iterator[tuple], state: str, last: bool) -> Iterator[tuple]:
+        place = 0
+        for detector, end in self._steps(rows, state):
+            for out in detector.out:
+                place += 1
+                yield place, *out
+            detector.out.clear()
+        if last:
+            detector.finish(int(end))
+            for k, out in enumerate(detector.out, place + 1):
+                yield k, *out
+
+
+class NoiseFloor:
+    """The floor alone, as a fold of (frame_no, level); of each block the number of speech frames."""
+
+    ddl = "speech_frames bigint"
+
+    def __init__(self, settings: Settings) -> None:
+        self.settings = settings
+
+    def start(self) -> str:
+        return self.settings.noise.hex()
+
+    def _steps(self, rows: Iterator[tuple], state: str) -> tuple[float, int]:
+        s, noise, speech = self.settings, float.fromhex(state), 0
+        for _, level in rows:
+            level = math.nan if level is None else level
+            if level >= max(s.absolute, noise + s.margin):
+                speech += 1
+            else:
+                noise = s.alpha * noise + (1 - s.alpha) * level
+        return noise, speech
+
+    def leave(self, rows: Iterator[tuple], state: str) -> str:
+        return self._steps(rows, state)[0].hex()
+
+    def run(self, rows: Iterator[tuple], state: str, last: bool) -> Iterator[tuple]:
+        yield (self._steps(rows, state)[1],)
+
+
+def speech_frames(levels: DataFrame, settings: Settings | None = None, blocks: int | None = None) -> DataFrame:
+    """(stream_id, speech_frames) of ``levels``: stream_id, frame_no, level. A null level is no speech, and the
+    floor is unknown from there on, so that the absolute threshold alone decides."""
+    found = settle(levels.select("stream_id", "frame_no", "level"), ["frame_no"], NoiseFloor(settings or Settings()), blocks)
+    return found.groupBy("stream_id").agg(F.sum("speech_frames").alias("speech_frames"))
+
+
 SEGMENTS = "stream_id bigint, ordinal bigint, start_sample bigint, end_sample bigint, voiced bigint"
 
 
-def segments(frames: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``frames``: stream_id, frame_no, sample_offset, size, level. A stream's frames pass through one
-    task in order, which holds the detector only; a jump of the offset drops what is in flight."""
+def segments(frames: DataFrame, settings: Settings | None = None, blocks: int | None = None) -> DataFrame:
+    """SEGMENTS of ``frames``: stream_id, frame_no, sample_offset, size, level. A stream's frames may lie in many
+    tasks; a task holds the detector only. Ordinals count on from the numbers of the blocks before."""
     settings = settings or Settings()
-
-    class Stream:
-        def __init__(self) -> None:
-            self.detector, self.end, self.n = Detector(settings), None, 0
-
-        def found(self, stream: int) -> list[tuple]:
-            out = [(stream, self.n + k + 1, *x) for k, x in enumerate(self.detector.out)]
-            self.n += len(out)
-            self.detector.out.clear()
-            return out
-
-    def step(state: Stream, row: tuple) -> list[tuple]:
-        stream, _, offset, size, level = row
-        if state.end is not None and offset != state.end:
-            state.detector.reset()
-        state.detector.frame(int(offset), int(size), math.nan if level is None else float(level))
-        state.end = offset + size
-        return state.found(stream)
-
-    def finish(stream: int, state: Stream) -> list[tuple]:
-        state.detector.finish(int(state.end))
-        return state.found(stream)
-
-    return carry(frames.select("stream_id", "frame_no", "sample_offset", "size", "level"), ["frame_no"], SEGMENTS, Stream, step, finish)
+    found = cut(settle(frames.select("stream_id", "frame_no", "sample_offset", "size", "level"), ["frame_no"], Endpoints(settings), blocks))
+    counts = found.groupBy("stream_id", "_block").agg(F.count("*").alias("n"))
+    before = counts.selectExpr("stream_id as s", "_block as b", "sum(n) over (partition by stream_id order by _block) - n as before")
+    numbered = found.join(before, F.col("stream_id").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
+    return numbered.select("stream_id", (F.col("before") + F.col("place")).alias("ordinal"), "start_sample", "end_sample", "voiced")
 
 
 def dbfs(samples: str = "samples"):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import struct
 
 import pandas as pd
@@ -11,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import formats
-from reelspark.operators.carry import carry
-from reelspark.operators.endpoint import Settings, dbfs, segments
+from reelspark.operators.endpoint import Settings, dbfs, segments, speech_frames
 from reelspark.operators.transcribe import ProviderError, transcribe
 from reelspark.plans.book import Book
 from reelspark.sources import blobs as blob_source
@@ -102,15 +100,7 @@ fold AS (SELECT stream_id, rn, CASE WHEN level >= greatest(-50.0::DOUBLE, -65.0:
 SELECT stream_id, CAST(max(speech) AS BIGINT) AS speech_frames FROM fold GROUP BY stream_id""",
 )
 def noise_floor(v) -> DataFrame:
-    def step(state: list, row: tuple):
-        level = math.nan if row[2] is None else row[2]
-        if level >= max(-50.0, state[0] + 12):
-            state[1] += 1
-        else:
-            state[0] = 0.95 * state[0] + (1 - 0.95) * level
-        return []
-
-    return carry(frames(v).select("stream_id", "frame_no", "level"), ["frame_no"], "stream_id bigint, speech_frames bigint", lambda: [-65.0, 0], step, lambda key, state: [(key, state[1])])
+    return speech_frames(frames(v))
 
 
 @book.frame(
