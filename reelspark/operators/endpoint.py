@@ -159,21 +159,21 @@ class NoiseFloor:
         yield (self._steps(rows, state)[1],)
 
 
-def speech_frames(levels: DataFrame, settings: Settings | None = None, blocks: int | None = None) -> DataFrame:
+def speech_frames(levels: DataFrame, settings: Settings | None = None, blocks: int | None = None, stretch: int = 1 << 17) -> DataFrame:
     """(stream_id, speech_frames) of ``levels``: stream_id, frame_no, level. A null level is no speech, and the
     floor is unknown from there on, so that the absolute threshold alone decides."""
-    found = settle(levels.select("stream_id", "frame_no", "level"), ["frame_no"], NoiseFloor(settings or Settings()), blocks)
+    found = settle(levels.select("stream_id", "frame_no", "level"), ["frame_no"], NoiseFloor(settings or Settings()), blocks, stretch)
     return found.groupBy("stream_id").agg(F.sum("speech_frames").alias("speech_frames"))
 
 
 SEGMENTS = "stream_id bigint, ordinal bigint, start_sample bigint, end_sample bigint, voiced bigint"
 
 
-def segments(frames: DataFrame, settings: Settings | None = None, blocks: int | None = None) -> DataFrame:
+def segments(frames: DataFrame, settings: Settings | None = None, blocks: int | None = None, stretch: int = 1 << 17) -> DataFrame:
     """SEGMENTS of ``frames``: stream_id, frame_no, sample_offset, size, level. A stream's frames may lie in many
     tasks; a task holds the detector only. Ordinals count on from the numbers of the blocks before."""
     settings = settings or Settings()
-    found = cut(settle(frames.select("stream_id", "frame_no", "sample_offset", "size", "level"), ["frame_no"], Endpoints(settings), blocks))
+    found = cut(settle(frames.select("stream_id", "frame_no", "sample_offset", "size", "level"), ["frame_no"], Endpoints(settings), blocks, stretch))
     counts = found.groupBy("stream_id", "_block").agg(F.count("*").alias("n"))
     before = counts.selectExpr("stream_id as s", "_block as b", "sum(n) over (partition by stream_id order by _block) - n as before")
     numbered = found.join(before, F.col("stream_id").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))

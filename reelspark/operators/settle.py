@@ -35,14 +35,16 @@ class Forgetful(Protocol):
         """Output rows of a block, which may be the key's last one."""
 
 
-def settle(df: DataFrame, order: list[str], fold: Forgetful, blocks: int | None = None) -> DataFrame:
+def settle(df: DataFrame, order: list[str], fold: Forgetful, blocks: int | None = None, stretch: int = 1 << 17) -> DataFrame:
     """Rows of the key (the first column of ``df``), ``_block``, and ``fold.ddl``.
 
-    ``order`` must not leave ties whose order matters. Blocks are as many as ``blocks`` or the session's
+    ``order`` begins with a number and must not leave ties whose order matters; ``stretch`` of that number
+    stay in one block, so that only longer keys are cut. Blocks are as many as ``blocks`` or the session's
     shuffle partitions, small ones merged. A null key is a key; an empty table gives no rows.
     """
     key, kind = df.columns[0], df.schema[0].dataType.simpleString()
-    dealt = df.repartitionByRange(blocks, key, *order) if blocks else df.repartitionByRange(key, *order)
+    at = F.expr(f"floor({order[0]} / {stretch})")
+    dealt = df.repartitionByRange(blocks, key, at) if blocks else df.repartitionByRange(key, at)
     placed = cut(dealt.select("*", F.spark_partition_id().alias("_block")))
     names = [c for c in placed.columns if c not in (key, "_block")]
     own = Window.partitionBy(key).orderBy("_block")

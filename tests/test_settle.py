@@ -33,8 +33,8 @@ def test_one_stream_over_many_tasks(spark, streams, blocks, jump):
     rows = frames(blocks, 1200, streams, jump)
     df = spark.createDataFrame(random.Random(0).sample(rows, len(rows)), FRAMES)
     want = plain(rows, TIGHT)
-    assert sorted(map(tuple, segments(df, TIGHT, blocks).collect()), key=repr) == sorted(want, key=repr) and len(want) > 4
-    placed = settle(df.select("stream_id", "frame_no", "level"), ["frame_no"], NoiseFloor(TIGHT), blocks)
+    assert sorted(map(tuple, segments(df, TIGHT, blocks, 50).collect()), key=repr) == sorted(want, key=repr) and len(want) > 4
+    placed = settle(df.select("stream_id", "frame_no", "level"), ["frame_no"], NoiseFloor(TIGHT), blocks, 50)
     assert placed.select("_block").distinct().count() >= min(4, blocks)
 
 
@@ -48,7 +48,7 @@ def test_a_state_that_does_not_forget_is_right_too(spark):
             want += 1
         else:
             noise = settings.alpha * noise + (1 - settings.alpha) * r[4]
-    got = speech_frames(spark.createDataFrame(rows, FRAMES), settings, 5).collect()
+    got = speech_frames(spark.createDataFrame(rows, FRAMES), settings, 5, 10).collect()
     assert [tuple(r) for r in got] == [(1, want)]
 
 
