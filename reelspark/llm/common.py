@@ -114,15 +114,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-#: 1: ASCII letter, 2: punctuation that tokenizers' rules always part from letters.
+#: 1: ASCII letter, 2: punctuation that tokenizers' rules always part from letters, 16: digit.
 _PART = np.full(256, 4, np.uint8)
 _PART[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _PART[list(b".,;:!?|#*$%&<>()[]{}\"/-_=+")] = 2
+_PART[0x30:0x3A] = 16
 
 
 def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, parted: bool = False) -> Words:
     """Words of the texts ``data[offsets[k]:offsets[k + 1]]``; with ``lower``, A-Z hash as a-z;
-    ``parted``, words are also cut between ASCII letters and punctuation.
+    ``parted``, words are also cut between ASCII letters and punctuation, and on both sides of a digit.
 
     A word's hash is a polynomial over its bytes, got from running sums over a stretch of text.
     """
@@ -134,7 +135,8 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, parted:
     after[offsets[inside + 1] - 1] = True
     if parted and len(data):
         kind = _PART[data]
-        apart = kind[1:] + kind[:-1] == 3
+        both = kind[1:] + kind[:-1]
+        apart = (both == 3) | (both >= 16)
         before[1:] |= apart
         after[:-1] |= apart
     starts = np.flatnonzero(~space & before)

@@ -9,6 +9,7 @@ sequence of a task is short, and nothing is shuffled.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -22,23 +23,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import column, give_back, small_batches, table, word_table
+from reelspark.llm.common import column, give_back, small_batches, table, word_table, words_in
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Appended to each text's ids.
 END_ID = 1
 TOKENS = 2048
 SEGMENTS = 256
-#: Tokens that a task gathers before it packs, and distinct words whose ids it remembers.
+#: Tokens that a task gathers before it packs.
 GROUP_TOKENS = 1_000_000
-KNOWN_WORDS = 200_000
+#: Distinct words that a task remembers, and the ids that they have together (24 and 4 bytes each).
+KNOWN_WORDS = 1_000_000
+KNOWN_IDS = 8_000_000
+#: Words that the tokenizer gets in one string.
+WORDS_AT_ONCE = 64
 
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
     """Ids of texts by the tokenizer, word by word: its rules never reach over white space or from
-    ASCII letters to punctuation, and do not tell A-Z from a-z.
+    ASCII letters to punctuation, part each digit 0-9 from whatever is beside it, and do not tell A-Z
+    from a-z.
 
     A text with the literal of one of its added tokens goes through the tokenizer whole and gets that
     token's id there, or, with ``plain``, ordinary ids.
@@ -52,45 +58,57 @@ class WordIds:
         self.tokenizer.encode_special_tokens = plain
         added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        self.digits = [e.ids for e in self.tokenizer.encode_batch_fast(list("0123456789"), add_special_tokens=False)]
+        apart = self.tokenizer.encode("a0.0\u03010", add_special_tokens=False).ids
+        if any(len(d) != 1 for d in self.digits) or apart.count(self.digits[0][0]) != 3:
+            raise ValueError(f"{path} doesn't part digits from what is beside them")
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.at, self.length = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
-        n = len(self.slot)
+        """Forgets all words but the digits, which are never learned, as 0 ends each word there."""
+        digits = words_in(np.frombuffer(b"0123456789", np.uint8), np.arange(11))
+        order = np.argsort(digits.hashes)
+        self.hashes, self.at, self.length = digits.hashes[order], order.astype(np.int64), np.ones(10, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 10
+        self.flat[:10] = np.concatenate(self.digits)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the words ``data[starts[k]:ends[k]]`` lie, and how many they are."""
+        sizes = ends - starts + 1
+        edges = np.cumsum(sizes)
+        joined = np.full(int(edges[-1]), ord("0"), np.uint8)
+        inside = np.ones(len(joined), bool)
+        inside[edges - 1] = False
+        joined[inside] = data[np.repeat(starts - (edges - sizes) + np.arange(len(sizes)), sizes - 1) + np.arange(len(joined) - len(sizes))]
+        raw = joined.tobytes()
+        cuts = [0, *edges[WORDS_AT_ONCE - 1 : -1 : WORDS_AT_ONCE].tolist(), len(raw)]
+        encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(cuts)], add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in encoded), np.uint32)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) > len(self.at):
-            self.at, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.length))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(words)] = sizes
-        self.slot.update(zip(hashes, range(n, n + len(words)), strict=True))
+        last = np.flatnonzero(ids == self.digits[0][0])
+        first = np.concatenate([[0], last[:-1] + 1])
+        at = self.used + first
         self.used += len(ids)
+        return at, last - first
 
     def of(self, batch: pa.RecordBatch, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the batch's texts one after the other, and where each begins."""
-        if len(self.slot) > KNOWN_WORDS:
+        if len(self.hashes) > KNOWN_WORDS or self.used > KNOWN_IDS:
             self.clear()
         words = word_table(batch, lower=True, parted=True)
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        slots = np.fromiter((self.slot.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        if len(new := np.flatnonzero(slots < 0)):
-            raw = words.data.tobytes()
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            n = len(self.slot)
-            self.learn(distinct[new].tolist(), [raw[a:b] for a, b in spans])
-            slots[new] = np.arange(n, n + len(new))
-        slots = slots[which]
-        sizes = self.length[slots]
+        place = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(place, len(self.hashes) - 1)] != distinct)
+        if len(new):
+            at, length = self.learn(words.data, words.starts[first[new]], words.ends[first[new]])
+            before = place[new]
+            self.hashes, self.at, self.length = (np.insert(x, before, y) for x, y in ((self.hashes, distinct[new]), (self.at, at), (self.length, length)))
+            place = np.searchsorted(self.hashes, distinct)
+        sizes = self.length[place][which]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.at[slots] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ids = self.flat[np.repeat(self.at[place][which] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         edges = np.concatenate([[0], ends])[words.first]
         whole = [k for k in range(len(edges) - 1) if self.added.search(words.text(k))] if self.added and self.added.search(words.data.tobytes()) else []
         if whole:

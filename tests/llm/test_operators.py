@@ -127,6 +127,48 @@ def test_packing(spark):
         assert [x for r in sorted((r for r in plain if r.doc_id == i), key=lambda r: r.start) for x in r.ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+class Counting:
+    """A tokenizer that counts the strings and the characters it gets in batches."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.strings, self.characters = tokenizer, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings += len(texts)
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def one_text(words):
+    return pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"])
+
+
+def test_packing_learns_each_word_once_and_many_at_a_time():
+    encoder = packing.WordIds(packing.TOKENIZER)
+    encoder.tokenizer = count = Counting(encoder.tokenizer)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [f"x{k:06}".translate(letters) for k in range(240_000)]
+    got = [encoder.of(one_text(words[a : a + 60_000])) for a in [*range(0, 240_000, 60_000)] * 2]
+    assert all((x[0] == y[0]).all() for x, y in zip(got[:4], got[4:], strict=True))
+    assert count.strings <= 5_000 and count.characters <= 240_000 * 8
+    encoder.of(one_text(f"{words[k]}{k}.{words[k]}" for k in range(5_000)))  # numbers make no new words
+    assert count.characters <= 240_000 * 8 + 2
+
+
+def test_packing_ids_beside_digits_and_after_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(packing, "KNOWN_IDS", 90, raising=False)
+    tokenizer, encoder = Tokenizer.from_file(packing.TOKENIZER), packing.WordIds(packing.TOKENIZER)
+    atoms = [*"0123456789abXY'.=<_-", "'s", "don't", "\u0301", "\u0338", "\u20e3", "\u00a0", "\u0085", "\u1100", "\u1161", "é", "Σ", "²", "０", "😀", " ", "\n"]
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [None, "", "0", "00 0", *("".join(rng.choice(atoms, n)) for n in rng.integers(1, 40, 60))]
+        ids, edges = encoder.of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+        assert [x.tolist() for x in np.split(ids, edges[1:-1])] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+
+
 def test_packing_examples_under_three_limits(spark):
     rng = np.random.default_rng(1)
     rows = [(k, int(n), int(rng.integers(0, min(n, 600)))) for k, n in enumerate(rng.integers(1, 900, 500))]
