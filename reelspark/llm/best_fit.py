@@ -12,6 +12,7 @@ Pieces of a length are numbered through, and a piece's number tells its pattern,
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -37,6 +39,8 @@ TRIED = ((3, 1), (3, 32), (3, 64), (3, 128), (1, 1))
 #: Distinct chunks, and bytes of them, whose ids a task remembers.
 KNOWN_CHUNKS = 400_000
 KNOWN_BYTES = 16 << 20
+#: Plain chunks that the tokenizer gets in one string.
+CHUNKS_AT_ONCE = 256
 #: Bytes of text that are encoded at a time.
 BATCH_BYTES = 4 << 20
 
@@ -47,7 +51,7 @@ _APOSTROPHE = 0x27
 #: Last bytes of the white space beyond ASCII, whose characters begin with C2 or E1 to E3.
 _WIDE_SPACE_END = byte_class((0x80, 0x8A), (0x9F, 0xA0), (0xA8, 0xA9), (0xAF, 0xAF))
 #: Chunks without white space but for one leading space; a line break parts them in one text.
-_PLAIN = re.compile(rb" ?(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf])+")
+_PLAIN = r"^ ?(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf])+$"
 
 
 def chunk_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,11 +90,32 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all chunks."""
         self.slots: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.bytes = np.empty(0, np.uint32), 0
 
+    def keep(self, chunks: list[bytes]) -> None:
+        """Forgets all chunks but these."""
+        kept = [c for c in chunks if c in self.slots]
+        old = np.fromiter(map(self.slots.__getitem__, kept), np.int64, len(kept))
+        ids, size = self.ids_of(old)
+        self.clear()
+        self.add(kept, ids, size)
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, ids)
+        self.slots.update(zip(chunks, range(len(self.slots), len(self.slots) + len(chunks)), strict=True))
+        self.bytes += sum(map(len, chunks))
+
+    def ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known chunks one after the other, and how many each has."""
+        size = self.size[slots]
+        return self.flat[np.repeat(self.at[slots] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
     def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks one after the other, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
@@ -98,41 +123,35 @@ class ChunkIds:
         return np.fromiter((i for own in found for i in own), np.uint32, int(size.sum())), size
 
     def encode_plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for plain chunks, as the lines of one text: a line break is an id of its own there."""
-        if len(self.line_break) != 1 or len(chunks) < 2:
+        """The same for plain chunks, as the lines of a few texts: a line break is an id of its own there."""
+        if len(self.line_break) != 1:
             return self.encode(chunks)
-        ids = np.array(self.tokenizer.encode(b"\n".join(chunks).decode(), add_special_tokens=False).ids, np.uint32)
+        lines = [b"\n".join(chunks[k : k + CHUNKS_AT_ONCE]).decode() + "\n" for k in range(0, len(chunks), CHUNKS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
         breaks = np.flatnonzero(ids == self.line_break[0])
-        if len(breaks) != len(chunks) - 1:
+        if len(breaks) != len(chunks):
             return self.encode(chunks)
-        edges = np.concatenate([[-1], breaks, [len(ids)]])
-        return np.delete(ids, breaks), np.diff(edges) - 1
+        return np.delete(ids, breaks), np.diff(breaks, prepend=-1) - 1
 
     def learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
-        other = [c for c in chunks if not _PLAIN.fullmatch(c)]
-        for own, encode in ((plain, self.encode_plain), (other, self.encode)):
-            ids, size = encode(own)
-            self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, ids)
-            self.slots.update(zip(own, range(len(self.slots), len(self.slots) + len(own)), strict=True))
-            self.bytes += sum(map(len, own))
+        plain = pc.match_substring_regex(pa.array(chunks, pa.large_binary()), _PLAIN).to_numpy(zero_copy_only=False)
+        for chosen, encode in ((plain, self.encode_plain), (~plain, self.encode)):
+            own = list(itertools.compress(chunks, chosen.tolist()))
+            self.add(own, *encode(own))
 
     def of(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and where each begins."""
-        if len(self.slots) > KNOWN_CHUNKS or self.bytes > KNOWN_BYTES:
-            self.clear()
         places = chunk_places(data, offsets)
         coded = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
         chunks = coded.dictionary.to_pylist()
+        if len(self.slots) > KNOWN_CHUNKS or self.bytes > KNOWN_BYTES:
+            self.keep(chunks)
         if new := [c for c in chunks if c not in self.slots]:
             self.learn(new)
         slots = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
-        size = self.size[slots]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[slots] - (ends - size), size) + np.arange(int(size.sum()))]
-        edges = np.append(0, ends)[np.searchsorted(places, offsets)]
+        ids, size = self.ids_of(slots)
+        edges = np.append(0, np.cumsum(size))[np.searchsorted(places, offsets)]
         if self.added and self.added.search(raw := data.tobytes()):
             own = np.split(ids, edges[1:-1])
             for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):

@@ -150,6 +150,48 @@ def test_chunk_ids_equal_the_tokenizer(seed):
         assert ids[edges[k] : edges[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def buffer_of(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+class Strings:
+    """A tokenizer that notes the strings it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode(self, text, **how):
+        self.seen.append(text)
+        return self.tokenizer.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.seen += texts
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_new_chunks_go_to_the_tokenizer_in_short_strings():
+    encoder = best_fit.ChunkIds(best_fit.TOKENIZER)
+    encoder.tokenizer = count = Strings(encoder.tokenizer)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    encoder.of(*buffer_of([" ".join(f"x{k:05}".translate(letters) for k in range(60_000))]))
+    assert len(count.seen) <= 300 and max(map(len, count.seen)) <= 4_000
+
+
+def test_a_full_table_keeps_the_chunks_in_use(monkeypatch):
+    monkeypatch.setattr(best_fit, "KNOWN_CHUNKS", 40)
+    encoder = best_fit.ChunkIds(best_fit.TOKENIZER)
+    encoder.tokenizer = count = Strings(tokenizer := encoder.tokenizer)
+    often = " the\n\nquick  brown é世界"
+    for k in range(12):
+        texts = [often, "", *(f" {chr(97 + k)}{chr(97 + j)}zzé" for j in range(15)), often]
+        ids, edges = encoder.of(*buffer_of(texts), None)
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.slots) <= 40 + 15
+        assert encoder.bytes == sum(map(len, encoder.slots))
+    assert sum("quick" in s or "brown" in s for s in count.seen) == 2  # once each
+
+
 def brute_audit(rows, least, top):
     terms = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))) for t, lang, source in rows]
     out = []
