@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 
@@ -59,12 +62,34 @@ def publish(fs: pafs.FileSystem, path: str, content: bytes) -> bool:
         return False
 
 
-def replace(fs: pafs.FileSystem, path: str, content: bytes) -> None:
-    """``path`` with ``content``, whole at any time; for writers that all have the same content."""
-    own = _staged(fs, path, content)
+def _moved(fs: pafs.FileSystem, own: str, path: str, size: int) -> None:
     try:
         fs.move(own, path)
     except OSError:
-        if fs.get_file_info(path).size != len(content):
+        if fs.get_file_info(path).size != size:
             raise
         fs.delete_file(own)
+
+
+def replace(fs: pafs.FileSystem, path: str, content: bytes) -> None:
+    """``path`` with ``content``, whole at any time; for writers that all have the same content."""
+    _moved(fs, _staged(fs, path, content), path, len(content))
+
+
+@contextmanager
+def replacing(fs: pafs.FileSystem, path: str) -> Iterator[pa.NativeFile]:
+    """As :func:`replace`, for content that is written piece by piece; nothing is left where that breaks off."""
+    folder, _, name = path.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    try:
+        with fs.open_output_stream(own, compression=None, buffer_size=1 << 20) as out:
+            yield out
+            size = out.tell()
+        if isinstance(fs, pafs.LocalFileSystem):
+            with open(own, "rb") as written:
+                os.fsync(written.fileno())
+    except BaseException:
+        fs.delete_file(own)
+        raise
+    _moved(fs, own, path, size)

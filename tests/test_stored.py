@@ -237,3 +237,26 @@ def test_a_stamp_never_goes_back(spark):
     jobs = spark.createDataFrame([("pending", 50), ("pending", None), ("claimed", 10)], "state string, last_delivery bigint").withColumns({"next_attempt": F.lit(None).cast("bigint"), "claim_expires": F.lit(60).cast("bigint")})
     got = ready(jobs, 70, 15).where("eligible").select(forward("last_delivery", F.lit(40)).alias("x")).collect()
     assert sorted(r.x for r in got) == [40, 40, 50]
+
+
+@pytest.mark.parametrize("form", ["txt", "vtt", "srt", "json"])
+def test_export_has_as_many_files_as_blocks(spark, tmp_path, form):
+    segments, rows = long_transcript(spark, 20, range(59))
+    sessions = spark.range(240).selectExpr("id as session_id")
+    folder, own = f"file://{tmp_path}/e", {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        parts = layout.write_export(segments, sessions, form, folder, 4)
+        got = {r.session_id: (r.byte_length, r.sha256) for r in layout.digests(parts, folder).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in range(240):
+        own[s] = document(rows[20 * s : 20 * (s + 1)], form, s).encode() if s < 59 else document([], form, s).encode()
+    assert got == {s: (len(x), hashlib.sha256(x).hexdigest()) for s, x in own.items()}
+    assert len(files(tmp_path / "e")) <= 8
+    read = {}
+    for p in sorted(parts.collect(), key=lambda p: (p.session_id, p.block)):
+        data = (tmp_path / "e" / p.path).read_bytes()[p.offset : p.offset + p.byte_length]
+        assert not p.whole or data == own[p.session_id]
+        read[p.session_id] = read.get(p.session_id, b"") + data
+    assert read == own and any(not p.whole for p in parts.collect())
