@@ -18,7 +18,7 @@ from reelspark.sources.publish import opened
 FRAMES = "key string, frame_no bigint, samples bigint, content binary"
 _FRAMES = pa.schema([("key", pa.string()), ("frame_no", pa.int64()), ("samples", pa.int64()), ("content", pa.binary())])
 
-#: Frames that are read and returned at a time: 640 KB.
+#: Frames that are read at a time, 640 KB, and returned at a time, at most twice as many.
 BLOCK = 1024
 
 
@@ -47,52 +47,69 @@ def sound_data(file: BinaryIO, size: int) -> tuple[int, int] | None:
 
 @dataclass
 class Ranges(InputPartition):
-    """(path, size, first byte, byte behind the last) of the pieces of one task."""
+    """(path, size, first byte, byte behind the last) of the stretches of one task."""
 
     pieces: list[tuple[str, int, int, int]]
 
 
+#: Tasks that a folder is dealt to, unless a task would have more than MOST bytes, or less than a range.
+TASKS = 256
+MOST = 64 << 20
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, folder: str, split: int) -> None:
         self.folder, self.split = folder, split
 
     def partitions(self) -> list[Ranges]:
-        """Ranges of at most ``split`` bytes; small files share a task."""
+        """Stretches of ranges of ``split`` bytes, as many in a task as TASKS and MOST tell; small files share a task."""
         fs, root = opened(self.folder)
+        found = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
+        most = max(self.split, min(MOST, sum(size for _, size in found) // TASKS))
         out: list[Ranges] = []
         room = 0
-        for info in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda f: f.path):
-            if info.type != pafs.FileType.File or info.base_name.startswith((".", "_")):
-                continue
-            for lo in range(0, info.size, self.split):
-                hi = min(info.size, lo + self.split)
-                if hi - lo > room:
+        for path, size in found:
+            lo = 0
+            while lo < size:
+                if room < min(self.split, size - lo):
                     out.append(Ranges([]))
-                    room = self.split
-                out[-1].pieces.append((info.path, info.size, lo, hi))
+                    room = most
+                hi = size if size - lo <= room else lo + room // self.split * self.split
+                out[-1].pieces.append((path, size, lo, hi))
                 room -= hi - lo
+                lo = hi
         return out or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         """A frame belongs to the range that has its first byte, and is read whole from there."""
         fs, root = opened(self.folder)
         step = 2 * FRAME
-        for path, size, lo, hi in partition.pieces:
+        rows: list[tuple[str, int, int, bytes]] = []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FRAMES.types, strict=True)], schema=_FRAMES)
+
+        for path, size, begin, end in partition.pieces:
+            key = path[len(root.rstrip("/")) + 1 :]
             with fs.open_input_file(path) as file:
                 span = sound_data(file, size)
                 if span is None:
                     continue
                 start, length = span
-                first, behind = (max(0, -((start - x) // step)) for x in (lo, hi))
-                behind = min(behind, -(-length // step))
-                for at in range(first, behind, BLOCK):
-                    n = min(BLOCK, behind - at)
-                    file.seek(start + at * step)
-                    data = file.read(min(n * step, length - at * step))
-                    content = [data[k : k + step] for k in range(0, len(data), step)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path[len(root.rstrip("/")) + 1 :]] * n), pa.array(range(at, at + n), pa.int64()), pa.array([len(c) // 2 for c in content], pa.int64()), pa.array(content, pa.binary())], schema=_FRAMES
-                    )
+                for lo in range(begin, end, self.split):
+                    first, behind = (max(0, -((start - x) // step)) for x in (lo, min(end, lo + self.split)))
+                    behind = min(behind, -(-length // step))
+                    for at in range(first, behind, BLOCK):
+                        file.seek(start + at * step)
+                        data = file.read(min(min(BLOCK, behind - at) * step, length - at * step))
+                        for k in range(0, len(data), step):
+                            content = data[k : k + step]
+                            rows.append((key, at + k // step, len(content) // 2, content))
+                        if len(rows) >= BLOCK:
+                            yield told()
+                            rows.clear()
+        if rows:
+            yield told()
 
 
 class WavRanges(DataSource):

@@ -149,6 +149,19 @@ def test_chunks_truncation_and_other_files(spark, tmp_path):
     assert got == {"more.wav": data, "cut.wav": data[:-4]}
 
 
+def test_tasks_and_batches_do_not_follow_small_ranges(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for k in range(60):
+        (tmp_path / "m" / f"{k:02d}.wav").write_bytes(wav(sound(320 * 17 + k)))
+    reader = RangeReader(f"file://{tmp_path}/m", 100)
+    dealt = reader.partitions()
+    assert 200 <= len(dealt) <= 300 and sum(hi - lo for p in dealt for _, _, lo, hi in p.pieces) == sum(p.stat().st_size for p in files(tmp_path / "m"))
+    assert sum(sum(1 for _ in reader.read(p)) for p in dealt) <= len(dealt)
+    want = {(r.key, r.frame_no, bytes(r.content)) for r in wav_frames(blobs(spark, f"file://{tmp_path}/m")).collect()}
+    got = [(r.key, r.frame_no, bytes(r.content)) for r in ranged_frames(spark, f"file://{tmp_path}/m", 100).collect()]
+    assert len(got) == len(want) == 60 * 17 + 59 and set(got) == want
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_no_duplicate_and_no_hole_after_lost_notices(spark, batches):
     rng = random.Random(batches)
