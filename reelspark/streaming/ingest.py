@@ -2,61 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from reelspark.sources.shared import shared_folder
-from reelspark.streaming.runner import restarted
+from pyspark.sql.types import StringType, StructType
 
-#: Sequences of a session that share a state, so that one session's offers are spread.
-SPREAD = 1024
+from reelspark.sources.shared import cut, shared_folder
 
+KEY = ["session_id", "sequence"]
 DECISIONS = "session_id bigint, sequence bigint, arrival bigint, outcome string"
 
 
-class IngestProcessor(StatefulProcessor):
-    """Keeps the identity of each accepted sequence; a state is read and written only for its sequences."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getMapState("accepted", "sequence bigint", "identity string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        offers = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        known: dict[int, str] = {}
-        outcomes = []
-        for sequence, identity in zip(offers["sequence"].tolist(), offers["identity"].tolist(), strict=True):
-            if sequence not in known:
-                if self.accepted.containsKey((sequence,)):
-                    known[sequence] = self.accepted.getValue((sequence,))[0]
-                else:
-                    self.accepted.updateValue((sequence,), (identity,))
-                    known[sequence] = identity
-                    outcomes.append("accepted")
-                    continue
-            outcomes.append("idempotent" if known[sequence] == identity else "conflict")
-        yield pd.DataFrame({"session_id": key[0], "sequence": offers["sequence"], "arrival": offers["arrival"], "outcome": outcomes})
-
-    def close(self) -> None:
-        pass
-
-
-def decisions(offers: DataFrame, identity: tuple[str, ...]) -> DataFrame:
-    """DECISIONS for each row of a stream of ``offers`` (session_id, sequence, arrival and ``identity``'s columns)."""
-    rows = offers.select("session_id", F.expr(f"sequence div {SPREAD}").alias("part"), "sequence", "arrival", F.sha2(F.to_json(F.struct(*identity)), 256).alias("identity"))
-    return rows.groupBy("session_id", "part").transformWithStateInPandas(IngestProcessor(), DECISIONS, "Append", "None")
+def decided(offers: DataFrame, accepted: DataFrame | None) -> DataFrame:
+    """``offers`` (session_id, sequence, arrival, identity) with ``outcome``, judged by the ``accepted`` ones of before
+    (session_id, sequence, identity; one of a key) and by each other, by ascending arrival, an unknown one last."""
+    both = offers.withColumn("_known", F.lit(False))
+    if accepted is not None:
+        both = both.unionByName(accepted.withColumn("_known", F.lit(True)), allowMissingColumns=True)
+    own = Window.partitionBy(*KEY).orderBy(F.col("_known").desc(), F.col("arrival").asc_nulls_last())
+    judged = both.withColumns({"_place": F.row_number().over(own), "_first": F.first("identity").over(own)}).where("not _known")
+    outcome = F.when(F.col("_place") == 1, "accepted").when(F.col("identity").eqNullSafe(F.col("_first")), "idempotent").otherwise("conflict")
+    return judged.select(*KEY, "arrival", "identity", outcome.alias("outcome"))
 
 
 def ingested(spark: SparkSession, offers: DataFrame, identity: tuple[str, ...], batches: int) -> DataFrame:
-    """DECISIONS for ``offers``, run as a stream in ``batches`` by arrival, each a restart. Offers of one key with
-    equal arrival are taken in any order; null keys are left out, as the natural key forbids them."""
-    offers = offers.where("session_id is not null and sequence is not null")
-    lo, hi = offers.agg(F.min("arrival"), F.max("arrival")).first()
-    if lo is None:
+    """DECISIONS for ``offers`` (session_id, sequence, arrival and ``identity``'s columns), run as a stream in ``batches``
+    by arrival, each a restart. Offers of one key with equal arrival are taken in any order; null keys are left out, as
+    the natural key forbids them.
+
+    What is accepted is a stored table: a micro-batch reads what those before it have accepted, of the sessions between
+    the least and the greatest of its own, and writes its decisions under its number, so one that runs again after a
+    failure decides the same.
+    """
+    folder = shared_folder(spark, "ingest")
+    kept = cut(offers.where("session_id is not null and sequence is not null").select(*(F.col(c).cast("bigint") for c in (*KEY, "arrival")), F.struct(*identity).alias("identity")), "offers")
+    schema = StructType([*kept.schema.fields]).add("outcome", StringType())
+
+    def decide(rows: DataFrame, batch_id: int) -> None:
+        before = None
+        if batch_id:
+            least, most = rows.agg(F.min("session_id"), F.max("session_id")).first()
+            stored = rows.sparkSession.read.schema(schema).parquet(*(f"{folder}/out/{k}" for k in range(batch_id)))
+            before = stored.where((F.col("outcome") == "accepted") & F.col("session_id").between(least, most)).select(*KEY, "identity")
+        found = decided(rows, before).withColumn("identity", F.when(F.col("outcome") == "accepted", F.col("identity")))
+        found.write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+
+    lo, hi = (x or 0 for x in kept.agg(F.min("arrival"), F.max("arrival")).first())
+    part = F.expr(f"coalesce((arrival - {lo}L) div {(hi - lo) // batches + 1}L, {batches - 1})")
+    last = -1
+    for k in range(batches):
+        kept.where(part == k).write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(kept.schema).parquet(f"{folder}/in/*")
+        query = stream.writeStream.foreachBatch(decide).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        last = max([last, *(p["batchId"] for p in query.recentProgress)])
+    if last < 0:
         return spark.createDataFrame([], DECISIONS)
-    width = (hi - lo) // batches + 1
-    parts = [offers.where(f"(arrival - {lo}L) div {width}L = {k}") for k in range(batches)]
-    return restarted(spark, parts, lambda s: decisions(s, identity), shared_folder(spark, "ingest"))
+    return spark.read.schema(DECISIONS).parquet(*(f"{folder}/out/{k}" for k in range(last + 1)))

@@ -42,3 +42,21 @@ def test_ingest_decisions_outlive_restarts(spark):
         assert found.count() == len(rows)
         counts = found.groupBy("session_id", "sequence").agg(*(F.count_if(F.col("outcome") == o) for o in ("accepted", "idempotent", "conflict")))
         assert sorted(map(tuple, counts.collect())) == want
+
+
+def test_ingest_reads_each_offer_once_and_keeps_unknown_arrivals(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = [(k // 2 % 20_000, k // 40_000, None if k == 39_999 else k, "b" if k % 6 == 1 else "a") for k in range(80_000)]
+    offers = spark.createDataFrame(rows, "session_id bigint, sequence bigint, arrival bigint, raw string")
+    found = ingested(spark, offers.withColumn("sha256", counted("raw")), ("sha256",), 3)
+    got = {(r.session_id, r.sequence): (r.accepted, r.idempotent, r.conflict) for r in found.groupBy("session_id", "sequence").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "idempotent", "conflict"))).collect()}
+    assert got == {(k // 2 % 20_000, k // 40_000): (1, int(k % 6 != 0), int(k % 6 == 0)) for k in range(0, 80_000, 2)}
+    assert made.value == len(rows)
+    assert found.where("session_id = 19999 and sequence = 0 and arrival is null").first().outcome == "idempotent"
+    assert ingested(spark, offers.limit(0), ("raw",), 2).count() == 0
